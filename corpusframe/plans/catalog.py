@@ -220,3 +220,307 @@ def length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("length_profile", _describe_sql(_DEDUPED_NO_STOP_SQL, "label"))(length_profile)
+
+
+# --------------------------------------------------------------------------
+# Merged corpus and duplicates
+# --------------------------------------------------------------------------
+
+from corpusframe.plans import cleaning as CL  # noqa: E402
+from corpusframe.sources.ingest import merged_corpus  # noqa: E402
+
+
+@register("merged_corpus", f"SELECT origin, row_id, text, label FROM ({S.MERGED})")
+def q_merged_corpus(spark, sf_dir):
+    """S3 + U1: five sources (two label filters of the labelled corpus, pages
+    and conversations through HTML-to-text, benchmark) in one schema."""
+    return merged_corpus(spark, sf_dir)
+
+
+@register(
+    "duplicate_members",
+    f"WITH c AS ({S.CLEANED}) SELECT origin, row_id, label, cleaned_text FROM c "
+    "WHERE cleaned_text IN (SELECT cleaned_text FROM c GROUP BY cleaned_text HAVING count(*) > 1)",
+)
+def q_duplicate_members(spark, sf_dir):
+    """Every copy of a duplicated cleaned text."""
+    return dedup.duplicate_members(CL.cleaned_corpus(spark, sf_dir), "cleaned_text")
+
+
+@register(
+    "duplicate_count",
+    f"SELECT CAST(count(*) - count(DISTINCT cleaned_text) AS BIGINT) AS duplicates FROM ({S.CLEANED})",
+)
+def q_duplicate_count(spark, sf_dir):
+    """Rows beyond the first per cleaned text."""
+    return dedup.duplicate_count(CL.cleaned_corpus(spark, sf_dir), "cleaned_text")
+
+
+@register("deduplicated_corpus", f"SELECT row_id, origin, label, cleaned_text FROM ({S.DEDUPED})")
+def q_deduplicated_corpus(spark, sf_dir):
+    """U4: distinct (label, cleaned_text), first row kept."""
+    return CL.deduplicated_corpus(spark, sf_dir)
+
+
+@register(
+    "label_conflicts",
+    "SELECT cleaned_text, CAST(count(DISTINCT label) AS BIGINT) AS n_labels, CAST(count(*) AS BIGINT) AS n_rows "
+    f"FROM ({S.CLEANED}) GROUP BY cleaned_text HAVING count(DISTINCT label) > 1",
+)
+def q_label_conflicts(spark, sf_dir):
+    """Cleaned texts carried with more than one label."""
+    return dedup.label_conflicts(CL.cleaned_corpus(spark, sf_dir), "cleaned_text", "label")
+
+
+@register(
+    "corpus_counts",
+    f"WITH m AS ({S.MERGED}), d AS ({S.DEDUPED}) "
+    "SELECT 'rows_merged' AS metric, CAST(count(*) AS BIGINT) AS value FROM m UNION ALL "
+    f"SELECT 'missing_text_before_cast', CAST(count_if(text IS NULL OR {S.strip('text')} = '') AS BIGINT) FROM m UNION ALL "
+    "SELECT 'missing_text_after_cast', CAST(0 AS BIGINT) UNION ALL "
+    "SELECT 'rows_deduplicated', CAST(count(*) AS BIGINT) FROM d UNION ALL "
+    "SELECT 'label_0', CAST(count_if(label = 0) AS BIGINT) FROM d UNION ALL "
+    "SELECT 'label_1', CAST(count_if(label = 1) AS BIGINT) FROM d",
+)
+def q_corpus_counts(spark, sf_dir):
+    """A1-A3 of the cleaning flow."""
+    return CL.corpus_counts(spark, sf_dir)
+
+
+@register(
+    "category_filter",
+    f"SELECT doc_id, lower(text) AS text, CAST(1 AS INTEGER) AS label FROM documents WHERE source = 'src3'",
+)
+def q_category_filter(spark, sf_dir):
+    """F2 + P3 + P4: rows of one category, relabelled as a single class."""
+    d = C.table(spark, sf_dir, "documents")
+    return d.filter(F.col("source") == "src3").select(
+        "doc_id", T.lowercase("text").alias("text"), F.lit(1).cast("int").alias("label")
+    )
+
+
+@register(
+    "no_stop_profile",
+    _describe_sql(
+        f"SELECT label, {S.stop_removed('cleaned_text')} AS no_stop FROM ({S.DEDUPED})", "label"
+    ),
+)
+def q_no_stop_profile(spark, sf_dir):
+    """A4 over the merged, cleaned, de-duplicated corpus without stop words."""
+    df = CL.no_stop_corpus(spark, sf_dir)
+    df = df.select("label", T.word_count("cleaned_text").alias("word_count"), T.char_count("cleaned_text").alias("char_count"))
+    out = profile.describe(df, ["word_count", "char_count"], ["label"])
+    return out.select(
+        "label", "measure", "count", rnd("mean").alias("mean"), rnd("std").alias("std"), "min",
+        rnd("p25").alias("p25"), rnd("p50").alias("p50"), rnd("p75").alias("p75"), "max",
+    )
+
+
+# --------------------------------------------------------------------------
+# Splits (X1-X4, A10)
+# --------------------------------------------------------------------------
+
+from corpusframe.operators import evaluation as EV  # noqa: E402
+from corpusframe.operators import splits as SP  # noqa: E402
+from corpusframe.plans import runs as RU  # noqa: E402
+
+_FOLDS_SQL = S.split_sql(f"SELECT id, label, link_count, email_length FROM ({S.FINALIZED})", RU.TEST_SIZE, RU.K_FOLDS)
+
+
+@register("stratified_holdout", f"SELECT id, label, is_test FROM ({_FOLDS_SQL})")
+def q_stratified_holdout(spark, sf_dir):
+    """Exact stratified 80/20 split of the labelled corpus."""
+    return RU.fold_assignments(spark, sf_dir).select("id", "label", "is_test")
+
+
+@register("stratified_folds", f"SELECT id, label, fold FROM ({_FOLDS_SQL}) WHERE NOT is_test")
+def q_stratified_folds(spark, sf_dir):
+    """X2 over the training split (folds never see test rows)."""
+    return RU.fold_assignments(spark, sf_dir).filter(~F.col("is_test")).select("id", "label", "fold")
+
+
+@register(
+    "stratified_kfold",
+    f"SELECT id, label, fold FROM ({S.split_sql(f'SELECT id, label FROM ({S.LABELLED})', 0.0, 5)})",
+)
+def q_stratified_kfold(spark, sf_dir):
+    """X2 on its own: 5 folds over every labelled document."""
+    df = C.labelled_documents(spark, sf_dir).select("id", "label")
+    return SP.stratified_kfold(df, "id", "label", 5, 42)
+
+
+@register(
+    "fold_views",
+    f"WITH f AS (SELECT * FROM ({_FOLDS_SQL}) WHERE NOT is_test), "
+    "v AS (SELECT fold, label, count(*) AS n FROM f GROUP BY ALL), t AS (SELECT label, count(*) AS n FROM f GROUP BY label) "
+    "SELECT v.fold, v.label, 'validation' AS role, CAST(v.n AS BIGINT) AS n FROM v UNION ALL "
+    "SELECT v.fold, v.label, 'train', CAST(t.n - v.n AS BIGINT) FROM v JOIN t USING (label)",
+)
+def q_fold_views(spark, sf_dir):
+    """Size per class of each fold's validation view (fold = i) and
+    training view (fold != i)."""
+    f = RU.fold_assignments(spark, sf_dir).filter(~F.col("is_test"))
+    val = f.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    tot = f.groupBy("label").agg(F.count(F.lit(1)).alias("t"))  # one row per class
+    train = val.join(F.broadcast(tot), "label").select("fold", "label", F.lit("train").alias("role"), (F.col("t") - F.col("n")).alias("n"))
+    return val.select("fold", "label", F.lit("validation").alias("role"), "n").unionByName(train)
+
+
+@register(
+    "fold_class_counts",
+    f"WITH f AS (SELECT * FROM ({_FOLDS_SQL}) WHERE NOT is_test) "
+    "SELECT fold, CAST(count(DISTINCT label) AS BIGINT) AS n_classes, "
+    "(SELECT CAST(count(DISTINCT fold) AS BIGINT) FROM f) AS n_folds FROM f GROUP BY fold",
+)
+def q_fold_class_counts(spark, sf_dir):
+    """A10 + Q4: distinct classes per fold and distinct folds."""
+    f = RU.fold_assignments(spark, sf_dir).filter(~F.col("is_test"))
+    per = f.groupBy("fold").agg(F.count_distinct("label").alias("n_classes"))
+    n = f.agg(F.count_distinct("fold").alias("n_folds"))  # one row
+    return per.crossJoin(F.broadcast(n))
+
+
+@register(
+    "bootstrap_sample",
+    f"WITH c AS (SELECT id, label FROM ({S.LABELLED})), "
+    "r AS (SELECT id, label, row_number() OVER (ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1 AS rk FROM c), "
+    "n AS (SELECT count(*) AS n FROM c), "
+    "d AS (SELECT range AS draw, ('0x' || substr(md5('42:draw:' || CAST(range AS VARCHAR)), 1, 15))::BIGINT % n AS rk "
+    "FROM range(2000), n) SELECT d.draw, r.id, r.label FROM d JOIN r USING (rk)",
+)
+def q_bootstrap_sample(spark, sf_dir):
+    """Exactly 2000 draws with replacement over the labelled corpus."""
+    df = C.labelled_documents(spark, sf_dir).select("id", "label")
+    return SP.bootstrap_sample(df, 2000, "id", 42)
+
+
+# --------------------------------------------------------------------------
+# Evaluation on fixed predictions
+# --------------------------------------------------------------------------
+
+_SCORED = S.scored()
+
+
+def _rounded(df, cols):
+    return df.select(*[rnd(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@register(
+    "binary_metrics",
+    f"WITH s AS ({_SCORED}), c AS (SELECT count_if(label=1 AND predicted_label=1) AS tp, "
+    "count_if(label=0 AND predicted_label=1) AS fp, count_if(label=1 AND predicted_label=0) AS fn, "
+    "count_if(label=0 AND predicted_label=0) AS tn FROM s) "
+    f"SELECT round((tp+tn)/(tp+tn+fp+fn), {R}) AS accuracy, "
+    f"round(CASE WHEN tp+fp=0 THEN 0.0::DOUBLE ELSE tp/(tp+fp) END, {R}) AS precision, "
+    f"round(CASE WHEN tp+fn=0 THEN 0.0::DOUBLE ELSE tp/(tp+fn) END, {R}) AS recall, "
+    f"round(CASE WHEN 2*tp+fp+fn=0 THEN 0.0::DOUBLE ELSE 2*tp/(2*tp+fp+fn) END, {R}) AS f1, "
+    "CAST(tp+fn AS BIGINT) AS support FROM c",
+)
+def q_binary_metrics(spark, sf_dir):
+    """E1 + E2 over every labelled document."""
+    return _rounded(EV.binary_metrics(C.scored(spark, sf_dir)), ["accuracy", "precision", "recall", "f1"])
+
+
+@register(
+    "confusion_matrix",
+    f"WITH s AS ({_SCORED}), g AS (SELECT * FROM (VALUES (0,0),(0,1),(1,0),(1,1)) t(true_label, predicted_label)), "
+    "c AS (SELECT label AS true_label, predicted_label, count(*) AS n FROM s GROUP BY ALL), "
+    "m AS (SELECT g.true_label, g.predicted_label, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM g LEFT JOIN c USING (true_label, predicted_label)) "
+    f"SELECT true_label, predicted_label, n, round(n / sum(n) OVER (PARTITION BY true_label), {R}) AS rate FROM m",
+)
+def q_confusion_matrix(spark, sf_dir):
+    """E6 + E7."""
+    return _rounded(EV.confusion_matrix(C.scored(spark, sf_dir)), ["rate"])
+
+
+_REPORT_SQL = f"""
+WITH s AS ({_SCORED}), conf AS (SELECT label AS y, predicted_label AS p, count(*) AS n FROM s GROUP BY ALL),
+sup AS (SELECT y AS cls, sum(n) AS support FROM conf GROUP BY y),
+pr AS (SELECT p AS cls, sum(n) AS predicted FROM conf GROUP BY p),
+tp AS (SELECT y AS cls, n AS tp FROM conf WHERE y = p),
+per0 AS (SELECT coalesce(sup.cls, pr.cls) AS cls, coalesce(support, 0) AS support, coalesce(predicted, 0) AS predicted
+         FROM sup FULL JOIN pr ON sup.cls = pr.cls),
+per AS (SELECT per0.*, coalesce(tp.tp, 0) AS tp FROM per0 LEFT JOIN tp USING (cls)),
+m AS (SELECT CAST(cls AS VARCHAR) AS row_name,
+             CASE WHEN predicted = 0 THEN 0.0::DOUBLE ELSE tp / predicted END AS precision,
+             CASE WHEN support = 0 THEN 0.0::DOUBLE ELSE tp / support END AS recall,
+             CASE WHEN predicted + support = 0 THEN 0.0::DOUBLE ELSE 2 * tp / (predicted + support) END AS f1_score,
+             CAST(support AS BIGINT) AS support, tp FROM per),
+tot AS (SELECT sum(support) AS n, sum(tp) AS tp, avg(precision) AS mp, avg(recall) AS mr, avg(f1_score) AS mf,
+               sum(precision * support) AS wp, sum(recall * support) AS wr, sum(f1_score * support) AS wf FROM m)
+SELECT row_name, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1_score, 4) AS f1_score, support FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, round(tp / n, 4), CAST(n AS BIGINT) FROM tot
+UNION ALL SELECT 'macro avg', round(mp, 4), round(mr, 4), round(mf, 4), CAST(n AS BIGINT) FROM tot
+UNION ALL SELECT 'weighted avg', round(wp / n, 4), round(wr / n, 4), round(wf / n, 4), CAST(n AS BIGINT) FROM tot
+"""
+
+
+@register("classification_report", _REPORT_SQL)
+def q_classification_report(spark, sf_dir):
+    """E8."""
+    return EV.classification_report(C.scored(spark, sf_dir))
+
+
+_SCORE_TABLE = f"SELECT score AS threshold, count_if(label = 1) AS pos, count_if(label <> 1) AS neg FROM ({_SCORED}) GROUP BY score"
+
+_ROC_SQL = f"""
+WITH t AS ({_SCORE_TABLE}), tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM t),
+c AS (SELECT *, sum(pos) OVER w AS pos_cum, sum(neg) OVER w AS neg_cum FROM t
+      WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT CAST(threshold AS DOUBLE) AS threshold, neg_cum / N AS fpr, pos_cum / P AS tpr,
+       (neg_cum - neg) / N AS fpr_prev, (pos_cum - pos) / P AS tpr_prev FROM c, tot
+UNION ALL SELECT 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM tot
+"""
+
+
+@register(
+    "roc_curve",
+    f"SELECT threshold, round(fpr, {R}) AS fpr, round(tpr, {R}) AS tpr, round(fpr_prev, {R}) AS fpr_prev, "
+    f"round(tpr_prev, {R}) AS tpr_prev FROM ({_ROC_SQL})",
+)
+def q_roc_curve(spark, sf_dir):
+    """Every distinct threshold (ties kept together) plus the start point."""
+    return _rounded(EV.roc_curve(C.scored(spark, sf_dir)), ["fpr", "tpr", "fpr_prev", "tpr_prev"])
+
+
+@register("roc_trapezoid_auc", f"SELECT round(sum((fpr - fpr_prev) * (tpr + tpr_prev) / 2), {R}) AS auc FROM ({_ROC_SQL})")
+def q_roc_trapezoid_auc(spark, sf_dir):
+    """E5: trapezoid area under the E4 points."""
+    return _rounded(EV.trapezoid_auc(EV.roc_curve(C.scored(spark, sf_dir))), ["auc"])
+
+
+@register(
+    "roc_auc",
+    f"WITH t AS ({_SCORE_TABLE}), c AS (SELECT *, sum(neg) OVER (ORDER BY threshold ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS neg_cum FROM t) "
+    f"SELECT round(CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN 'nan'::DOUBLE ELSE "
+    f"sum(CAST(pos AS DOUBLE) * (neg_cum - neg + 0.5::DOUBLE * neg)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END, {R}) AS auc FROM c",
+)
+def q_roc_auc(spark, sf_dir):
+    """Rank-sum AUC with ties."""
+    return _rounded(EV.roc_auc(C.scored(spark, sf_dir)), ["auc"])
+
+
+@register(
+    "misclassified_rows",
+    f"SELECT id, cleaned_text, label, link_count, email_length, predicted_label, "
+    f"round(greatest(score, 1 - score), {R}) AS confidence FROM ({_SCORED}) WHERE label <> predicted_label",
+)
+def q_misclassified_rows(spark, sf_dir):
+    """Rows whose prediction is wrong, with the prediction's confidence."""
+    s = C.scored(spark, sf_dir)
+    return s.filter(F.col("label") != F.col("predicted_label")).select(
+        "id", "cleaned_text", "label", "link_count", "email_length", "predicted_label",
+        rnd(F.greatest(F.col("score"), 1 - F.col("score"))).alias("confidence"),
+    )
+
+
+@register(
+    "error_types",
+    f"SELECT id, label, predicted_label, CASE WHEN label = 0 THEN 'false_positive' ELSE 'false_negative' END AS error_type "
+    f"FROM ({_SCORED}) WHERE (label = 0 AND predicted_label = 1) OR (label = 1 AND predicted_label = 0)",
+)
+def q_error_types(spark, sf_dir):
+    """false positives and false negatives in one pass."""
+    from corpusframe.operators.errors import error_rows
+
+    return error_rows(C.scored(spark, sf_dir)).select("id", "label", "predicted_label", "error_type")
