@@ -524,3 +524,173 @@ def q_error_types(spark, sf_dir):
     from corpusframe.operators.errors import error_rows
 
     return error_rows(C.scored(spark, sf_dir)).select("id", "label", "predicted_label", "error_type")
+
+
+# --------------------------------------------------------------------------
+# Run tables: epoch log, early stopping, best run, fold summary, comparison
+# (E10-E13, W1, W2, A11, A12, O2, P10)
+# --------------------------------------------------------------------------
+
+_RUN_VALUES = ", ".join(f"('{m}', {e + 1}, {w})" for m, ws in RU.RUN_EPOCH_WEIGHTS for e, w in enumerate(ws))
+_EPOCH_SCORE = S.salted_score("model || ':' || CAST(epoch AS VARCHAR)", "weight")
+
+_EVAL_LOG_SQL = f"""
+WITH f AS (SELECT * FROM ({_FOLDS_SQL}) WHERE NOT is_test),
+cfg AS (SELECT * FROM (VALUES {_RUN_VALUES}) t(model, epoch, weight)),
+r1 AS (SELECT f.id, f.label, f.fold, cfg.model, cfg.epoch, cfg.weight FROM f CROSS JOIN cfg),
+r2 AS (SELECT *, least(greatest({_EPOCH_SCORE}, 1e-7), 1 - 1e-7) AS score FROM r1),
+r3 AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS pred, -(label * ln(score) + (1 - label) * ln(1 - score)) AS loss FROM r2),
+per AS (SELECT model, fold, epoch, sum(loss) AS loss_sum, count(*) AS n,
+        count_if(label = 1 AND pred = 1) AS tp, count_if(label = 0 AND pred = 1) AS fp,
+        count_if(label = 1 AND pred = 0) AS fn, count_if(label = 0 AND pred = 0) AS tn FROM r3 GROUP BY ALL),
+per2 AS (SELECT *, sum(loss_sum) OVER (PARTITION BY model, epoch) AS loss_all, sum(n) OVER (PARTITION BY model, epoch) AS n_all FROM per)
+SELECT model, fold, epoch, loss_sum / n AS eval_loss, (loss_all - loss_sum) / (n_all - n) AS train_loss,
+       (tp + tn) / n AS accuracy,
+       CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp / (tp + fp) END AS precision,
+       CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp / (tp + fn) END AS recall,
+       CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE 2 * tp / (2 * tp + fp + fn) END AS f1
+FROM per2
+"""
+
+
+@register(
+    "epoch_log",
+    f"SELECT model, fold, epoch, 'eval' AS kind, round(eval_loss, {R}) AS loss, round(accuracy, {R}) AS accuracy, "
+    f"round(precision, {R}) AS precision, round(recall, {R}) AS recall, round(f1, {R}) AS f1 FROM ({_EVAL_LOG_SQL}) "
+    f"UNION ALL SELECT model, fold, epoch, 'train', round(train_loss, {R}), NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE "
+    f"FROM ({_EVAL_LOG_SQL})",
+)
+def q_epoch_log(spark, sf_dir):
+    """Training log of 2 runs x 5 folds x 5 epochs computed on the fold rows."""
+    return _rounded(RU.epoch_log(spark, sf_dir), ["loss", "accuracy", "precision", "recall", "f1"])
+
+
+@register(
+    "eval_log",
+    f"SELECT model, fold, epoch, round(f1, {R}) AS f1, round(accuracy, {R}) AS accuracy, round(precision, {R}) AS precision, "
+    f"round(recall, {R}) AS recall FROM ({_EVAL_LOG_SQL})",
+)
+def q_eval_log(spark, sf_dir):
+    """The log entries that carry an F1 and an epoch."""
+    return _rounded(RU.eval_log(spark, sf_dir), ["f1", "accuracy", "precision", "recall"])
+
+
+_STOP_SQL = f"""
+WITH l AS ({_EVAL_LOG_SQL}),
+a AS (SELECT *, max(f1) OVER (PARTITION BY model, fold ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM l),
+b AS (SELECT *, prev_best IS NULL OR f1 > prev_best AS improved FROM a),
+c AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (PARTITION BY model, fold ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak FROM b),
+d AS (SELECT *, row_number() OVER (PARTITION BY model, fold, streak ORDER BY epoch) - 1 AS misses FROM c),
+s AS (SELECT model, fold, min(epoch) AS stop_epoch FROM d WHERE misses >= {RU.PATIENCE} GROUP BY ALL),
+ran AS (SELECT d.*, s.stop_epoch FROM d LEFT JOIN s USING (model, fold) WHERE s.stop_epoch IS NULL OR d.epoch <= s.stop_epoch),
+g AS (SELECT model, fold, count(*) AS epochs_run, max(stop_epoch) AS stop_epoch, max(f1) AS best_f1 FROM ran GROUP BY ALL)
+SELECT g.model, g.fold, CAST(g.epochs_run AS BIGINT) AS epochs_run, g.stop_epoch,
+       (SELECT min(epoch) FROM ran WHERE ran.model = g.model AND ran.fold = g.fold AND ran.f1 = g.best_f1) AS best_epoch,
+       g.best_f1 FROM g
+"""
+
+
+@register(
+    "early_stopping",
+    f"SELECT model, fold, epochs_run, stop_epoch, best_epoch, round(best_f1, {R}) AS best_f1 FROM ({_STOP_SQL})",
+)
+def q_early_stopping(spark, sf_dir):
+    """Replay of early stopping (patience 2) per run and fold."""
+    return _rounded(RU.stopping(spark, sf_dir), ["best_f1"])
+
+
+_FOLD_RESULTS_SQL = (
+    f"SELECT l.* FROM ({_EVAL_LOG_SQL}) l JOIN ({_STOP_SQL}) s "
+    "ON l.model = s.model AND l.fold = s.fold AND l.epoch = s.best_epoch"
+)
+
+
+@register(
+    "fold_summary",
+    f"SELECT model, CAST(count(*) AS BIGINT) AS folds, round(avg(accuracy), {R}) AS accuracy_mean, "
+    f"round(stddev_pop(accuracy), {R}) AS accuracy_std, round(avg(f1), {R}) AS f1_mean, round(stddev_pop(f1), {R}) AS f1_std "
+    f"FROM ({_FOLD_RESULTS_SQL}) GROUP BY model",
+)
+def q_fold_summary(spark, sf_dir):
+    """A11 (M8 summary): mean and population std over folds of each run's
+    best-epoch metrics."""
+    out = EV.fold_summary(RU.fold_results(spark, sf_dir), ["model"], ["accuracy", "f1"])
+    return _rounded(out, ["accuracy_mean", "accuracy_std", "f1_mean", "f1_std"])
+
+
+@register(
+    "best_fold_epoch",
+    f"SELECT model, fold AS best_fold, epoch AS best_epoch, round(f1, {R}) AS best_f1 FROM ("
+    f"SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, fold, epoch) AS rn FROM ({_EVAL_LOG_SQL})) WHERE rn = 1",
+)
+def q_best_fold_epoch(spark, sf_dir):
+    """Arg-max of F1 over (fold, epoch), first on ties."""
+    return _rounded(RU.best_run(spark, sf_dir), ["best_f1"])
+
+
+@register(
+    "running_best_fold",
+    f"SELECT model, fold, round(f1, {R}) AS f1, round(best_before, {R}) AS best_before, f1 > best_before AS is_new_best FROM ("
+    "SELECT *, greatest(coalesce(max(f1) OVER (PARTITION BY model ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE), 0.0::DOUBLE) AS best_before "
+    f"FROM ({_FOLD_RESULTS_SQL}))",
+)
+def q_running_best_fold(spark, sf_dir):
+    """A fold's model is kept only when its F1 strictly beats every earlier fold."""
+    fr = RU.fold_results(spark, sf_dir).select("model", "fold", "f1")
+    out = EV.running_best(fr, ["model"], "fold", "f1", 0.0)
+    return _rounded(out, ["f1", "best_before"])
+
+
+@register(
+    "best_run_test_metrics",
+    f"WITH b AS (SELECT model, fold AS best_fold, epoch AS best_epoch FROM ("
+    f"SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, fold, epoch) AS rn FROM ({_EVAL_LOG_SQL})) WHERE rn = 1), "
+    f"cfg AS (SELECT * FROM (VALUES {_RUN_VALUES}) t(model, epoch, weight)), "
+    "ch AS (SELECT b.*, cfg.weight FROM b JOIN cfg ON b.model = cfg.model AND b.best_epoch = cfg.epoch), "
+    f"t AS (SELECT id, label FROM ({_FOLDS_SQL}) WHERE is_test), "
+    f"p AS (SELECT ch.model, ch.best_fold, ch.best_epoch, t.label, "
+    f"CAST({S.salted_score(chr(39) + chr(39) + ' || ch.model || ' + chr(39) + ':' + chr(39) + ' || CAST(ch.best_epoch AS VARCHAR)', 'ch.weight')} >= 0.5 AS INTEGER) AS predicted_label FROM t CROSS JOIN ch), "
+    "c AS (SELECT model, best_fold, best_epoch, count_if(label=1 AND predicted_label=1) AS tp, count_if(label=0 AND predicted_label=1) AS fp, "
+    "count_if(label=1 AND predicted_label=0) AS fn, count_if(label=0 AND predicted_label=0) AS tn FROM p GROUP BY ALL) "
+    f"SELECT model, best_fold, best_epoch, round((tp+tn)/(tp+tn+fp+fn), {R}) AS accuracy, "
+    f"round(CASE WHEN tp+fp=0 THEN 0.0::DOUBLE ELSE tp/(tp+fp) END, {R}) AS precision, "
+    f"round(CASE WHEN tp+fn=0 THEN 0.0::DOUBLE ELSE tp/(tp+fn) END, {R}) AS recall, "
+    f"round(CASE WHEN 2*tp+fp+fn=0 THEN 0.0::DOUBLE ELSE 2*tp/(2*tp+fp+fn) END, {R}) AS f1, CAST(tp+fn AS BIGINT) AS support FROM c",
+)
+def q_best_run_test_metrics(spark, sf_dir):
+    """The selected (fold, epoch) run of each model scored on the test split."""
+    return _rounded(RU.best_run_test_metrics(spark, sf_dir), ["accuracy", "precision", "recall", "f1"])
+
+
+_CMP_VALUES = ", ".join(f"('{n}', {w})" for n, w in RU.COMPARISON_SCORERS)
+_CMP_METRICS_SQL = f"""
+WITH t AS (SELECT id, label FROM ({_FOLDS_SQL}) WHERE is_test),
+cfg AS (SELECT * FROM (VALUES {_CMP_VALUES}) v(name, weight)),
+p AS (SELECT cfg.name, t.id, t.label, CAST({S.salted_score(S.normalise_name('cfg.name'), 'cfg.weight')} >= 0.5 AS INTEGER) AS predicted_label
+      FROM t CROSS JOIN cfg),
+c AS (SELECT name, count_if(label=1 AND predicted_label=1) AS tp, count_if(label=0 AND predicted_label=1) AS fp,
+      count_if(label=1 AND predicted_label=0) AS fn, count_if(label=0 AND predicted_label=0) AS tn FROM p GROUP BY name)
+SELECT {S.normalise_name('name')} AS name, name AS display_name, (tp+tn)/(tp+tn+fp+fn) AS accuracy,
+       CASE WHEN 2*tp+fp+fn=0 THEN 0.0::DOUBLE ELSE 2*tp/(2*tp+fp+fn) END AS f1 FROM c
+"""
+
+
+@register(
+    "model_comparison",
+    f"SELECT name, round(accuracy, {R}) AS accuracy, round(f1, {R}) AS f1, "
+    f"row_number() OVER (ORDER BY f1 DESC, display_name) AS position FROM ({_CMP_METRICS_SQL})",
+)
+def q_model_comparison(spark, sf_dir):
+    """E12 + O2 + P10: one row per model on the test split, ranked by F1."""
+    return _rounded(RU.model_comparison(spark, sf_dir), ["accuracy", "f1"])
+
+
+@register(
+    "comparison_unpivot",
+    f"SELECT name, metric, round(score, {R}) AS score FROM (UNPIVOT (SELECT name, accuracy, f1 FROM ({_CMP_METRICS_SQL})) "
+    "ON accuracy, f1 INTO NAME metric VALUE score)",
+)
+def q_comparison_unpivot(spark, sf_dir):
+    """(name, metric, score) long form of the comparison table."""
+    cmp = RU.model_comparison(spark, sf_dir).select("name", "accuracy", "f1")
+    return _rounded(EV.unpivot_metrics(cmp, ["name"], ["accuracy", "f1"]), ["score"])
