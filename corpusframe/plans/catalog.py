@@ -694,3 +694,164 @@ def q_comparison_unpivot(spark, sf_dir):
     """(name, metric, score) long form of the comparison table."""
     cmp = RU.model_comparison(spark, sf_dir).select("name", "accuracy", "f1")
     return _rounded(EV.unpivot_metrics(cmp, ["name"], ["accuracy", "f1"]), ["score"])
+
+
+# --------------------------------------------------------------------------
+# Prediction columns and data-quality checks
+# --------------------------------------------------------------------------
+
+from corpusframe.functions import logits as L  # noqa: E402
+
+
+def _logits_sql() -> str:
+    a = f"(({S.hash_unit('id', 'logit0')} - 500) / 100.0::DOUBLE)"
+    b = f"(({S.hash_unit('id', 'logit1')} - 500) / 100.0::DOUBLE + label * 2.0::DOUBLE)"
+    k = S.hash_unit("id", "special", 20)
+    second = (
+        f"CASE {k} WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN '-inf'::DOUBLE "
+        f"WHEN 3 THEN {a} WHEN 4 THEN 1000.0::DOUBLE ELSE {b} END"
+    )
+    return f"SELECT id, label, [{a}, {second}] AS logits FROM ({S.LABELLED})"
+
+
+_SANITISE = (
+    "list_transform(logits, lambda x: CASE WHEN isnan(x) THEN 0.0::DOUBLE WHEN x = 'inf'::DOUBLE THEN 10.0::DOUBLE "
+    "WHEN x = '-inf'::DOUBLE THEN -10.0::DOUBLE ELSE x END)"
+)
+_LOGITS_OUT_SQL = f"""
+WITH l AS ({_logits_sql()}),
+s AS (SELECT id, label, CAST(len(list_filter(logits, lambda x: isnan(x) OR isinf(x))) AS INTEGER) AS non_finite,
+             {_SANITISE} AS clean FROM l),
+e AS (SELECT *, list_max(clean) AS m FROM s),
+x AS (SELECT *, list_transform(clean, lambda v: exp(v - m)) AS ex FROM e),
+p AS (SELECT *, list_transform(ex, lambda v: v / list_sum(ex)) AS probs FROM x)
+SELECT id, non_finite, list_transform(clean, lambda v: round(v, {R})) AS clean_logits,
+       CAST(list_position(clean, list_max(clean)) - 1 AS INTEGER) AS predicted_label,
+       list_transform(probs, lambda v: round(v, {R})) AS probabilities,
+       round(list_max(probs), {R}) AS confidence, round(probs[2], {R}) AS positive_probability FROM p
+"""
+
+
+@register("logit_postprocess", _LOGITS_OUT_SQL)
+def q_logit_postprocess(spark, sf_dir):
+    """Q5 + Z2-Z6 on two-class logits of every labelled document (NaN, +-Inf,
+    equal and very large logits included)."""
+    df = C.labelled_documents(spark, sf_dir).select("id", "label", C.fixed_logits().alias("logits"))
+    clean = L.sanitise("logits")
+    df = df.select("id", L.count_non_finite("logits").alias("non_finite"), clean.alias("clean"))
+    return df.select(
+        "id",
+        "non_finite",
+        F.transform("clean", lambda v: F.round(v, R)).alias("clean_logits"),
+        L.argmax("clean").alias("predicted_label"),
+        F.transform(L.softmax("clean"), lambda v: F.round(v, R)).alias("probabilities"),
+        rnd(L.confidence("clean")).alias("confidence"),
+        rnd(L.positive_probability("clean", strict=True)).alias("positive_probability"),
+    )
+
+
+@register(
+    "quality_checks",
+    f"WITH f AS ({S.FINALIZED}), l AS ({_logits_sql()}) "
+    "SELECT 'finite_link_count' AS check, CAST(count_if(link_count IS NULL OR isnan(link_count) OR isinf(link_count)) AS BIGINT) AS failures FROM f UNION ALL "
+    "SELECT 'finite_email_length', CAST(count_if(email_length IS NULL OR isnan(email_length) OR isinf(email_length)) AS BIGINT) FROM f UNION ALL "
+    "SELECT 'label_not_null', CAST(count_if(label IS NULL) AS BIGINT) FROM f UNION ALL "
+    "SELECT 'label_in_0_1', CAST(count_if(label NOT IN (0, 1)) AS BIGINT) FROM f UNION ALL "
+    "SELECT 'two_classes', CAST(count(DISTINCT label) < 2 AS BIGINT) FROM f UNION ALL "
+    "SELECT 'feature_arity', CAST(count_if(len([link_count, email_length]) <> 2) AS BIGINT) FROM f UNION ALL "
+    "SELECT 'finite_logits', CAST(count_if(len(list_filter(logits, lambda x: isnan(x) OR isinf(x))) > 0) AS BIGINT) FROM l",
+)
+def q_quality_checks(spark, sf_dir):
+    """Q1-Q6 in one pass over the finalized corpus (Q5 over its logits)."""
+    df = C.finalized(spark, sf_dir).join(
+        C.labelled_documents(spark, sf_dir).select("id", "label").select("id", C.fixed_logits().alias("logits")), "id"
+    )
+    df = df.withColumn("features", F.array(F.col("link_count").cast("double"), F.col("email_length").cast("double")))
+    return profile.quality_checks(df, ["link_count", "email_length"], "label", "logits", "features")
+
+
+# --------------------------------------------------------------------------
+# Profiles (A3, A5-A8)
+# --------------------------------------------------------------------------
+
+@register(
+    "missing_counts",
+    f"SELECT 'cleaned_text' AS column, CAST(count_if(cleaned_text IS NULL) AS BIGINT) AS missing FROM ({S.FINALIZED}) UNION ALL "
+    f"SELECT 'label', CAST(count_if(label IS NULL) AS BIGINT) FROM ({S.FINALIZED}) UNION ALL "
+    f"SELECT 'link_count', CAST(count_if(link_count IS NULL) AS BIGINT) FROM ({S.FINALIZED}) UNION ALL "
+    f"SELECT 'email_length', CAST(count_if(email_length IS NULL) AS BIGINT) FROM ({S.FINALIZED})",
+)
+def q_missing_counts(spark, sf_dir):
+    """A3 per column of the finalized corpus."""
+    f = C.finalized(spark, sf_dir)
+    return profile.missing_counts(f, ["cleaned_text", "label", "link_count", "email_length"])
+
+
+def _describe_cols_sql(src: str, cols) -> str:
+    parts = [f"SELECT '{c}' AS measure, CAST({c} AS DOUBLE) AS v FROM ({src})" for c in cols]
+    return (
+        f"SELECT measure, CAST(count(v) AS BIGINT) AS count, round(avg(v), {R}) AS mean, round(stddev_samp(v), {R}) AS std, "
+        f"min(v) AS min, round(quantile_cont(v, 0.25::DOUBLE), {R}) AS p25, round(quantile_cont(v, 0.5::DOUBLE), {R}) AS p50, "
+        f"round(quantile_cont(v, 0.75::DOUBLE), {R}) AS p75, max(v) AS max FROM ({' UNION ALL '.join(parts)}) GROUP BY measure"
+    )
+
+
+@register("feature_describe", _describe_cols_sql(S.FINALIZED, ["link_count", "email_length"]))
+def q_feature_describe(spark, sf_dir):
+    """A5: describe of the two structured features."""
+    out = profile.describe(C.finalized(spark, sf_dir), ["link_count", "email_length"])
+    return _rounded(out, ["mean", "std", "p25", "p50", "p75"])
+
+
+_MISCLASSIFIED_SQL = f"SELECT * FROM ({_SCORED}) WHERE label <> predicted_label"
+
+
+@register(
+    "misclassified_length_stats",
+    f"SELECT CAST(min(email_length) AS BIGINT) AS min, CAST(max(email_length) AS BIGINT) AS max, "
+    f"round(avg(email_length), {R}) AS mean FROM ({_MISCLASSIFIED_SQL})",
+)
+def q_misclassified_length_stats(spark, sf_dir):
+    """A6 over the misclassified rows."""
+    m = C.scored(spark, sf_dir).filter(F.col("label") != F.col("predicted_label"))
+    return _rounded(profile.min_max_mean(m, "email_length"), ["mean"])
+
+
+@register(
+    "flag_prediction_counts",
+    f"WITH m AS (SELECT predicted_label, coalesce(regexp_matches(cleaned_text, 'http[s]?'), false) AS has_link, "
+    "coalesce(regexp_matches(cleaned_text, '(?i)login|log in|sign in|account'), false) AS has_login, "
+    f"coalesce(regexp_matches(cleaned_text, '(?i)urgent|immediately|verify|attention'), false) AS has_urgent FROM ({_MISCLASSIFIED_SQL})), "
+    "s AS (SELECT 'has_link' AS flag, has_link AS flag_value, predicted_label FROM m UNION ALL "
+    "SELECT 'has_login', has_login, predicted_label FROM m UNION ALL SELECT 'has_urgent', has_urgent, predicted_label FROM m), "
+    "c AS (SELECT flag, flag_value, predicted_label, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY ALL) "
+    "SELECT *, row_number() OVER (PARTITION BY flag, flag_value ORDER BY n DESC, predicted_label) AS position FROM c",
+)
+def q_flag_prediction_counts(spark, sf_dir):
+    """T8 + A7: keyword flags of misclassified rows against the prediction."""
+    m = C.scored(spark, sf_dir).filter(F.col("label") != F.col("predicted_label"))
+    m = m.select("predicted_label", *T.keyword_flags("cleaned_text"))
+    out = profile.flag_value_counts(m, list(T.FLAG_PATTERNS), "predicted_label")
+    return out.withColumn("position", F.col("position").cast("bigint"))
+
+
+@register(
+    "error_length_histogram",
+    f"WITH e AS (SELECT CASE WHEN label = 0 THEN 'false_positive' ELSE 'false_negative' END AS error_type, email_length "
+    f"FROM ({_MISCLASSIFIED_SQL})), "
+    "st0 AS (SELECT error_type, min(email_length) AS lo0, max(email_length) AS hi0 FROM e GROUP BY error_type), "
+    "st AS (SELECT error_type, CAST(CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS DOUBLE) AS lo, "
+    "CAST(CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS DOUBLE) AS hi FROM st0), "
+    "b AS (SELECT e.error_type, CAST(least(floor((email_length - lo) * 10.0::DOUBLE / (hi - lo)), 9) AS INTEGER) AS bin FROM e JOIN st USING (error_type)), "
+    "c AS (SELECT error_type, bin, count(*) AS n FROM b GROUP BY ALL), "
+    "g AS (SELECT st.*, CAST(r.range AS INTEGER) AS bin FROM st CROSS JOIN range(10) r) "
+    f"SELECT g.error_type, g.bin, round(lo + bin * (hi - lo) / 10.0::DOUBLE, {R}) AS bin_lo, "
+    f"round(CASE WHEN bin = 9 THEN hi ELSE lo + (bin + 1) * (hi - lo) / 10.0::DOUBLE END, {R}) AS bin_hi, "
+    "CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM g LEFT JOIN c USING (error_type, bin)",
+)
+def q_error_length_histogram(spark, sf_dir):
+    """10-bin length histograms of false positives and false negatives."""
+    from corpusframe.operators.errors import error_rows
+
+    e = error_rows(C.scored(spark, sf_dir))
+    return _rounded(profile.histogram(e, "email_length", "error_type", 10), ["bin_lo", "bin_hi"])

@@ -165,4 +165,4 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.orderBy(F.col("f1").desc(), F.col("name"))  # one row per model
-    return m.select(T.normalise_name("name").alias("name"), "accuracy", "f1", F.row_number().over(w).alias("position"))
+    return m.select(T.normalise_name("name").alias("name"), "accuracy", "f1", F.row_number().over(w).cast("bigint").alias("position"))

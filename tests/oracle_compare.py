@@ -42,6 +42,16 @@ def norm(v):
     return repr(v)
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def duck_type(spark_type: str) -> str:
+    if spark_type.startswith("array<"):
+        return duck_type(spark_type[6:-1]) + "[]"
+    return SPARK_TO_DUCK.get(spark_type, spark_type.upper())
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted(tuple(norm(r[i]) for i in order) for r in rows)
@@ -62,6 +72,11 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if sorted(s_cols) != sorted(d_cols):
         res.update(ok=False, why=f"columns {sorted(s_cols)} vs {sorted(d_cols)}")
         return res
+    s_types = {c: duck_type(t) for c, t in sdf.dtypes}
+    d_types = {d[0]: str(d[1]) for d in rel.description}
+    if s_types != d_types:
+        bad = {c: (s_types[c], d_types.get(c)) for c in s_types if s_types[c] != d_types.get(c)}
+        res.update(types=f"type mismatch {bad}")
     a, b = rows_of(s_cols, s_rows), rows_of(d_cols, d_rows)
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
