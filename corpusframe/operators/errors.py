@@ -55,9 +55,9 @@ def term_frequency(
     at least ``min_len`` characters that are not stop words; top ``top_k``."""
     stop = list(stop_words)
     words = df.filter(F.col(text_col).isNotNull()).select(
-        group_col, F.explode(T.split_words(text_col)).alias("word")
+        group_col, F.explode_outer(T.split_words(text_col)).alias("word")
     )
-    words = words.filter((F.length("word") >= min_len) & ~F.lower("word").isin(stop))
+    words = words.filter(F.col("word").isNotNull() & (F.length("word") >= min_len) & ~F.lower("word").isin(stop))
     counts = words.groupBy(group_col, "word").agg(F.count(F.lit(1)).alias("n"))
     return top_k_per_group(
         counts, [group_col], [F.col("n").desc(), F.col("word")], top_k, bucket_key=F.xxhash64("word")

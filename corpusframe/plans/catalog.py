@@ -131,8 +131,8 @@ def q_short_word_filter(spark, sf_dir):
 def q_date_token_counts(spark, sf_dir):
     """T10 over every word of every document."""
     d = C.table(spark, sf_dir, "documents")
-    toks = d.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[" + T.WORD_CLASS + "]+"), 0)).alias("token"))
-    return toks.filter(is_date_token("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    toks = d.select(F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit("[" + T.WORD_CLASS + "]+"), 0)).alias("token"))
+    return toks.filter(F.col("token").isNotNull() & is_date_token("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
@@ -855,3 +855,192 @@ def q_error_length_histogram(spark, sf_dir):
 
     e = error_rows(C.scored(spark, sf_dir))
     return _rounded(profile.histogram(e, "email_length", "error_type", 10), ["bin_lo", "bin_hi"])
+
+
+# --------------------------------------------------------------------------
+# Features (G1-G10)
+# --------------------------------------------------------------------------
+
+from corpusframe.operators import features as G  # noqa: E402
+from corpusframe.plans import error_analysis as EA  # noqa: E402
+
+VOCAB_SIZE = 5000
+ENCODING_LENGTH = 64
+
+_TEXT_FOLDS_SQL = S.split_sql(f"SELECT id, cleaned_text, label FROM ({S.FINALIZED})", RU.TEST_SIZE, RU.K_FOLDS)
+_TRAIN_VOCAB_SQL = S.vocab_sql(f"SELECT * FROM ({_TEXT_FOLDS_SQL}) WHERE NOT is_test", S.tokens("cleaned_text"), VOCAB_SIZE)
+
+
+def _text_split(spark, sf_dir):
+    df = C.finalized(spark, sf_dir).select("id", "cleaned_text", "label")
+    return SP.split_and_folds(df, "id", "label", RU.TEST_SIZE, RU.K_FOLDS, RU.SEED)
+
+
+def _train_vocab(spark, sf_dir):
+    tr = _text_split(spark, sf_dir).filter(~F.col("is_test"))
+    return G.fit_vocabulary(G.with_terms(tr, "cleaned_text").select("terms"), "terms", VOCAB_SIZE)
+
+
+@register(
+    "tfidf_vocabulary",
+    f"SELECT term, tf, df, round(idf, {R}) AS idf, index, rank FROM ({_TRAIN_VOCAB_SQL})",
+)
+def q_tfidf_vocabulary(spark, sf_dir):
+    """G1 + G3 + G4: the 5000 most frequent terms of the training split and their idf."""
+    return _rounded(_train_vocab(spark, sf_dir), ["idf"])
+
+
+@register(
+    "tfidf_weights",
+    f"SELECT id, term, round(weight, {R}) AS weight FROM ("
+    f"{S.tfidf_long_sql(f'SELECT * FROM ({_TEXT_FOLDS_SQL}) WHERE is_test', 'id', S.tokens('cleaned_text'), _TRAIN_VOCAB_SQL)})",
+)
+def q_tfidf_weights(spark, sf_dir):
+    """The test split transformed with the training vocabulary."""
+    te = G.with_terms(_text_split(spark, sf_dir).filter(F.col("is_test")), "cleaned_text").select("id", "terms")
+    return _rounded(G.tfidf_long(te, ["id"], "terms", _train_vocab(spark, sf_dir)), ["weight"])
+
+
+@register(
+    "bigram_vocabulary",
+    "SELECT term, tf, df, round(idf, 6) AS idf, index, rank FROM ("
+    + S.vocab_sql("SELECT text FROM documents", S.bigrams(S.no_stop_tokens("text")), 1000)
+    + ")",
+)
+def q_bigram_vocabulary(spark, sf_dir):
+    """G2 + G3: the 1000 most frequent bigrams (after stop words) of all documents."""
+    d = G.with_terms(C.table(spark, sf_dir, "documents"), "text", "terms", (2, 2), S.STOP_WORDS).select("terms")
+    return _rounded(G.fit_vocabulary(d, "terms", 1000), ["idf"])
+
+
+_SCALE_SRC = f"SELECT * FROM ({_FOLDS_SQL})"
+
+
+@register(
+    "standard_scaled_features",
+    f"WITH f AS ({_SCALE_SRC}), s AS (SELECT avg(link_count) AS ml, stddev_pop(link_count) AS sl, "
+    "avg(email_length) AS me, stddev_pop(email_length) AS se FROM f WHERE NOT is_test) "
+    f"SELECT id, is_test, round((link_count - ml) / CASE WHEN sl = 0 THEN 1.0::DOUBLE ELSE sl END, {R}) AS link_count_scaled, "
+    f"round((email_length - me) / CASE WHEN se = 0 THEN 1.0::DOUBLE ELSE se END, {R}) AS email_length_scaled FROM f, s",
+)
+def q_standard_scaled_features(spark, sf_dir):
+    """Standard scaler fitted on the training split, applied to all rows."""
+    f = RU.fold_assignments(spark, sf_dir)
+    cols = ["link_count", "email_length"]
+    stats = G.fit_standard_scaler(f.filter(~F.col("is_test")), cols)
+    out = G.apply_standard_scaler(f, stats, cols).select("id", "is_test", "link_count_scaled", "email_length_scaled")
+    return _rounded(out, ["link_count_scaled", "email_length_scaled"])
+
+
+@register(
+    "minmax_scaled_features",
+    f"WITH f AS ({_SCALE_SRC}), s AS (SELECT min(link_count)::DOUBLE AS lo_l, max(link_count)::DOUBLE AS hi_l, "
+    "min(email_length)::DOUBLE AS lo_e, max(email_length)::DOUBLE AS hi_e FROM f WHERE NOT is_test) "
+    f"SELECT id, is_test, round((link_count - lo_l) / CASE WHEN hi_l = lo_l THEN 1.0::DOUBLE ELSE hi_l - lo_l END, {R}) AS link_count_scaled, "
+    f"round((email_length - lo_e) / CASE WHEN hi_e = lo_e THEN 1.0::DOUBLE ELSE hi_e - lo_e END, {R}) AS email_length_scaled FROM f, s",
+)
+def q_minmax_scaled_features(spark, sf_dir):
+    """Min-max scaler fitted on the training split, no clamping of test rows."""
+    f = RU.fold_assignments(spark, sf_dir)
+    cols = ["link_count", "email_length"]
+    stats = G.fit_minmax_scaler(f.filter(~F.col("is_test")), cols)
+    out = G.apply_minmax_scaler(f, stats, cols).select("id", "is_test", "link_count_scaled", "email_length_scaled")
+    return _rounded(out, ["link_count_scaled", "email_length_scaled"])
+
+
+@register(
+    "token_encoding",
+    f"WITH v AS ({_TRAIN_VOCAB_SQL}), d AS (SELECT id, {S.tokens('cleaned_text')} AS toks FROM ({S.FINALIZED})), "
+    "u AS (SELECT id, unnest(generate_series(1, len(toks))) AS pos, unnest(toks) AS term FROM d), "
+    f"e AS (SELECT u.id, list(CAST(coalesce(v.rank + 2, 1) AS INTEGER) ORDER BY u.pos) AS ids FROM u LEFT JOIN v USING (term) "
+    f"WHERE u.pos <= {ENCODING_LENGTH} GROUP BY u.id) "
+    f"SELECT d.id, list_resize(coalesce(e.ids, []::INTEGER[]), {ENCODING_LENGTH}, 0) AS input_ids, "
+    f"list_resize(list_transform(coalesce(e.ids, []::INTEGER[]), lambda x: 1), {ENCODING_LENGTH}, 0) AS attention_mask "
+    "FROM d LEFT JOIN e USING (id)",
+)
+def q_token_encoding(spark, sf_dir):
+    """Fixed-length (64) token ids and attention mask of every labelled
+    document over the training vocabulary."""
+    d = C.finalized(spark, sf_dir).select("id", T.term_tokens("cleaned_text").alias("toks"))
+    return G.encode_tokens(d, "id", "toks", _train_vocab(spark, sf_dir), ENCODING_LENGTH)
+
+
+@register(
+    "dense_fusion",
+    "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), "
+    "f AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm, list_avg(v) AS mean FROM e), "
+    "s AS (SELECT avg(norm) AS mn, stddev_pop(norm) AS sn, avg(mean) AS mm, stddev_pop(mean) AS sm FROM f) "
+    f"SELECT vec_id, list_transform(list_concat(v, [greatest(least((norm - mn) / CASE WHEN sn = 0 THEN 1.0::DOUBLE ELSE sn END, 10.0::DOUBLE), -10.0::DOUBLE), "
+    f"greatest(least((mean - mm) / CASE WHEN sm = 0 THEN 1.0::DOUBLE ELSE sm END, 10.0::DOUBLE), -10.0::DOUBLE)]), lambda x: round(x, {R})) AS fused FROM f, s",
+)
+def q_dense_fusion(spark, sf_dir):
+    """Each embedding followed by its two scaled, clamped summary features."""
+    e = C.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = e.select(
+        "vec_id", "v",
+        F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm"),
+        (F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v")).alias("mean"),
+    )
+    stats = G.fit_standard_scaler(e, ["norm", "mean"])
+    e = G.apply_standard_scaler(e, stats, ["norm", "mean"])
+    fused = G.fuse_dense(F.col("v"), [F.col("norm_scaled"), F.col("mean_scaled")])
+    return e.select("vec_id", F.transform(fused, lambda x: F.round(x, R)).alias("fused"))
+
+
+# --------------------------------------------------------------------------
+# Error analysis
+# --------------------------------------------------------------------------
+
+_ERRORS_SQL = (
+    f"SELECT id, CASE WHEN label = 0 THEN 'false_positive' ELSE 'false_negative' END AS error_type, cleaned_text "
+    f"FROM ({_SCORED}) WHERE label <> predicted_label"
+)
+_ERR_TERMS = S.bigrams(S.no_stop_tokens("cleaned_text"))
+_ERR_VOCAB = S.vocab_sql(f"SELECT * FROM ({_ERRORS_SQL}) WHERE cleaned_text IS NOT NULL", _ERR_TERMS, EA.BIGRAM_MAX_FEATURES)
+_ERR_MEANS_SQL = f"""
+WITH w AS ({S.tfidf_long_sql(f"SELECT * FROM ({_ERRORS_SQL}) WHERE cleaned_text IS NOT NULL", "id, error_type", _ERR_TERMS, _ERR_VOCAB)}),
+s AS (SELECT error_type, term, sum(weight) AS s FROM w GROUP BY ALL),
+n AS (SELECT error_type, count(*) AS n FROM ({_ERRORS_SQL}) WHERE cleaned_text IS NOT NULL GROUP BY error_type),
+g AS (SELECT v.term, n.error_type, n.n FROM ({_ERR_VOCAB}) v CROSS JOIN n)
+SELECT g.error_type, g.term, coalesce(s.s, 0.0::DOUBLE) / g.n AS mean_tfidf FROM g LEFT JOIN s USING (error_type, term)
+"""
+
+
+@register("error_tfidf_means", f"SELECT error_type, term, round(mean_tfidf, {R}) AS mean_tfidf FROM ({_ERR_MEANS_SQL})")
+def q_error_tfidf_means(spark, sf_dir):
+    """A9 (+ G2-G5): mean bigram TF-IDF per class with a vocabulary fitted on
+    false positives and false negatives together."""
+    return _rounded(EA.mean_tfidf(spark, sf_dir), ["mean_tfidf"])
+
+
+@register(
+    "error_top_terms",
+    f"SELECT error_type, term, round(mean_tfidf, {R}) AS mean_tfidf, position FROM ("
+    f"SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY mean_tfidf DESC, term) AS position FROM ({_ERR_MEANS_SQL})) "
+    f"WHERE position <= {EA.TOP_TERMS}",
+)
+def q_error_top_terms(spark, sf_dir):
+    """O1: the 10 terms of highest mean TF-IDF per class."""
+    return _rounded(EA.top_terms(spark, sf_dir), ["mean_tfidf"])
+
+
+@register(
+    "error_terms_filtered",
+    f"SELECT error_type, term, round(mean_tfidf, {R}) AS mean_tfidf FROM ({_ERR_MEANS_SQL}) "
+    f"WHERE length(term) >= 3 AND NOT {S.is_date_token('term')}",
+)
+def q_error_terms_filtered(spark, sf_dir):
+    """F6 (+ T10): term scores without short terms and date tokens."""
+    return _rounded(EA.filtered_terms(spark, sf_dir), ["mean_tfidf"])
+
+
+@register(
+    "error_word_frequency",
+    f"WITH w AS (SELECT error_type, unnest({S.words('cleaned_text')}) AS word FROM ({_ERRORS_SQL}) WHERE cleaned_text IS NOT NULL), "
+    f"c AS (SELECT error_type, word, CAST(count(*) AS BIGINT) AS n FROM w WHERE length(word) >= 3 AND NOT list_contains({S.STOP}, lower(word)) GROUP BY ALL) "
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY n DESC, word) AS position FROM c) WHERE position <= 50",
+)
+def q_error_word_frequency(spark, sf_dir):
+    """A13 (+ F5, T9, T12): the 50 most frequent words per error class."""
+    out = EA.word_frequencies(spark, sf_dir, 50)
+    return out.withColumn("position", F.col("position").cast("bigint"))
