@@ -1044,3 +1044,107 @@ def q_error_word_frequency(spark, sf_dir):
     """A13 (+ F5, T9, T12): the 50 most frequent words per error class."""
     out = EA.word_frequencies(spark, sf_dir, 50)
     return out.withColumn("position", F.col("position").cast("bigint"))
+
+
+# --------------------------------------------------------------------------
+# Learned models (M1-M8, Z1, Z7, G8): fitted on the data, checked by rows
+# and invariants (tests/test_models.py); the fixed batch scorer has SQL.
+# --------------------------------------------------------------------------
+
+from corpusframe.plans import learned as LM  # noqa: E402
+
+
+@register("learned_predictions")
+def q_learned_predictions(spark, sf_dir):
+    """M1-M5 + G8 + Z1: test-split predictions of naive Bayes, logistic
+    regression, calibrated linear SVM, random forest and boosted trees."""
+    return LM.test_predictions(spark, sf_dir)
+
+
+@register("learned_comparison")
+def q_learned_comparison(spark, sf_dir):
+    """E12 + Z7 over the learned models."""
+    return LM.comparison(spark, sf_dir)
+
+
+@register("cv_grid_search")
+def q_cv_grid_search(spark, sf_dir):
+    """M7: logistic-regression grid over the 5 exact folds."""
+    return LM.grid_search(spark, sf_dir)
+
+
+@register("kfold_runs")
+def q_kfold_runs(spark, sf_dir):
+    """M8 + S5 + S6: per-fold validation metrics of k-fold training."""
+    return LM.k_fold(spark, sf_dir)
+
+
+@register("fusion_head")
+def q_fusion_head(spark, sf_dir):
+    """M6: MLP over embedding + scaled summary features."""
+    return LM.fusion_head(spark, sf_dir)
+
+
+_W = ", ".join(f"{w}::DOUBLE" for w in LM.scorer_weights(LM.EMBEDDING_DIM))
+
+
+@register(
+    "batch_scoring",
+    f"WITH s AS (SELECT vec_id, list_dot_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), [{_W}]) AS logit "
+    "FROM embeddings) SELECT vec_id, round(logit, 6) AS logit, CAST(logit > 0 AS INTEGER) AS predicted_label FROM s",
+)
+def q_batch_scoring(spark, sf_dir):
+    """A batch function over Arrow batches of 64 embeddings."""
+    return LM.batch_scores(spark, sf_dir)
+
+
+# --------------------------------------------------------------------------
+# Sources and sinks (S1, S2, S4, S7, S8): write under the shared checkpoint
+# folder, read back.
+# --------------------------------------------------------------------------
+
+from corpusframe.plans import cleaning as CL  # noqa: E402
+from corpusframe.session import scratch_path  # noqa: E402
+from corpusframe.sources import files as IO  # noqa: E402
+
+
+@register(
+    "csv_roundtrip",
+    f"SELECT row_id, origin, label, nullif(cleaned_text, '') AS cleaned_text FROM ({S.DEDUPED})",
+)
+def q_csv_roundtrip(spark, sf_dir):
+    """S2 then S1: the de-duplicated corpus through headered, quoted,
+    multi-line CSV (empty text reads back as null, as in pandas)."""
+    df = CL.deduplicated_corpus(spark, sf_dir).select("row_id", "origin", "label", "cleaned_text")
+    path = IO.write_csv(df, scratch_path(spark, "csv-roundtrip"))
+    return IO.read_csv(spark, path, "row_id bigint, origin string, label int, cleaned_text string")
+
+
+@register("materialized_corpus", f"SELECT * FROM ({S.FINALIZED})")
+def q_materialized_corpus(spark, sf_dir):
+    """Compute once, then load from the stored table."""
+    path = scratch_path(spark, "finalized")
+    IO.materialize(C.finalized(spark, sf_dir), path)
+    return IO.materialize(C.finalized(spark, sf_dir), path)  # second call loads
+
+
+@register("fold_tables", f"SELECT id, label, fold FROM ({_FOLDS_SQL}) WHERE NOT is_test")
+def q_fold_tables(spark, sf_dir):
+    """The training rows of every fold as one table partitioned by fold."""
+    folds = RU.fold_assignments(spark, sf_dir).filter(~F.col("is_test")).select("id", "label", "fold")
+    path = IO.write_partitioned(folds, scratch_path(spark, "fold-tables"), ["fold"])
+    return spark.read.parquet(path).select("id", "label", F.col("fold").cast("int").alias("fold"))
+
+
+@register(
+    "metrics_sink",
+    f"UNPIVOT (SELECT 'fixed_scorer' AS run, CAST(accuracy AS DOUBLE) AS accuracy, CAST(precision AS DOUBLE) AS precision, "
+    f"CAST(recall AS DOUBLE) AS recall, CAST(f1 AS DOUBLE) AS f1, CAST(support AS DOUBLE) AS support "
+    f"FROM ({ORACLE['binary_metrics']})) ON accuracy, precision, recall, f1, support INTO NAME metric VALUE value",
+)
+def q_metrics_sink(spark, sf_dir):
+    """A long (run, metric, value) table written as JSON lines and read back."""
+    m = q_binary_metrics(spark, sf_dir).select(F.lit("fixed_scorer").alias("run"), "*")
+    long = IO.long_metrics(m, ["run"], ["accuracy", "precision", "recall", "f1", "support"])
+    path = IO.write_metrics(long, scratch_path(spark, "metrics"))
+    return spark.read.schema("run string, metric string, value double").json(path)
