@@ -83,6 +83,7 @@ class CalibratedSVM:
         from pyspark.ml.feature import VectorAssembler
 
         scored = svm.transform(df).withColumn("_margin", vector_to_array("rawPrediction")[1])
+        scored = scored.drop("rawPrediction", "prediction")
         return VectorAssembler(inputCols=["_margin"], outputCol="_m").transform(scored)
 
     def fit(self, df: DataFrame, id_col: str = "id") -> "CalibratedSVM":
