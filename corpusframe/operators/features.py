@@ -172,10 +172,10 @@ def tfidf_vectorizer(vocab: DataFrame, terms_col: str, out_col: str = "features"
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import DenseVector
 
-    n = vocab.count()
-    if n > MAX_VECTOR_VOCABULARY:
-        raise ValueError(f"vocabulary of {n} terms is too large for vector form; fit with max_features")
-    rows = vocab.select("term", "idf").orderBy("term").collect()
+    # one pass: at most MAX_VECTOR_VOCABULARY + 1 rows ever reach the driver
+    rows = vocab.select("term", "idf").orderBy("term").limit(MAX_VECTOR_VOCABULARY + 1).collect()
+    if len(rows) > MAX_VECTOR_VOCABULARY:
+        raise ValueError("vocabulary is too large for vector form; fit with max_features")
     cv = CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol=terms_col, outputCol="_tf")
     ep = ElementwiseProduct(scalingVec=DenseVector([r.idf for r in rows]), inputCol="_tf", outputCol="_tfidf")
     nm = Normalizer(p=2.0, inputCol="_tfidf", outputCol=out_col)
