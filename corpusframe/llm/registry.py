@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from corpusframe.llm import exact_dedup, mixing, piece_bpe, quality_rules, simhash
+from corpusframe.llm import (
+    exact_dedup,
+    html_layout,
+    license_scan,
+    mixing,
+    piece_bpe,
+    quality_rules,
+    secrets,
+    simhash,
+    suffix_dedup,
+    token_counts,
+)
 
 QUERIES = {
+    "op1_token_counts": token_counts.query,
     "op2_simhash": simhash.query,
+    "op3_license_scan": license_scan.query,
     "op4_mixing": mixing.query,
+    "op5_secrets": secrets.query,
     "op6_piece_bpe": piece_bpe.query,
+    "op7_html_layout": html_layout.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_exact_dedup": exact_dedup.query,
 }
