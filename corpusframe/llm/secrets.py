@@ -31,6 +31,7 @@ among the candidates. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,13 +127,13 @@ def battery(bare: Column) -> Column:
     padding; null if it looks like no encoding."""
     out = F.lit(None)
     canon = F.translate(bare, "-_", "+/")
-    for name, shape, alphabet, two, three in reversed(ENCODINGS):
+    for name, shape, *facts in reversed(ENCODINGS):
         word = F.lower(canon) if name == "hex" else canon
-        out = F.when(canon.rlike(shape), _bind(word, lambda s, a=alphabet, n=name, t2=two, t3=three: _tests(s, n, a, t2, t3))).otherwise(out)
+        out = F.when(canon.rlike(shape), _bind(word, partial(_tests, name, *facts))).otherwise(out)
     return out
 
 
-def _tests(s: Column, name: str, alphabet: str, two: float, three: float) -> Column:
+def _tests(name: str, alphabet: str, two: float, three: float, s: Column) -> Column:
     size = len(alphabet)
     n = F.length(s).cast("double")
     letters = F.array(*[F.lit(c) for c in alphabet])

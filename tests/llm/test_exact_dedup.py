@@ -36,7 +36,8 @@ def test_rows_that_stay(spark):
     docs = docs_of(spark, rows)
     got = exact_dedup.drop_duplicates(docs)
     assert got.columns == docs.columns
-    want = sorted((r[0], r[1] or "") for r in {(i, k, g, kept, s): (i, next(t or "" for _, t, *_ in rows if hashlib.sha256((t or "").encode()).hexdigest() == s)) for i, k, g, kept, s in brute(rows) if kept}.values())
+    by_digest = {hashlib.sha256((t or "").encode()).hexdigest(): t or "" for _, t, *_ in rows}
+    want = [(i, by_digest[s]) for i, _, _, kept, s in brute(rows) if kept]
     assert sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str) == sorted(want, key=str)
 
 

@@ -71,7 +71,7 @@ def test_heavier_documents_come_first(spark):
     """Weights show in what a partial epoch selects."""
     from pyspark.sql import functions as F
 
-    rows = [(i, "one two three four", "a" if i % 2 else "b") for i in range(4000)]
+    rows = [(i, "one two three four", "abc"[i // 4 % 3]) for i in range(6000)]
     got = mixing.mix_report(docs_of(spark, rows), weight=F.when(F.col("doc_id") % 4 < 2, 4.0).otherwise(1.0)).collect()
     part = [r for r in got if r["target"] % r["source_size"]]
     heavy = [r["times"] for r in part if r["doc_id"] % 4 < 2]
