@@ -1,7 +1,8 @@
 """License scans by a trained paragraph classifier, DataFrame functions only.
 
 Text is cut into paragraphs (blank lines) and those that hold a marker word
-into sentences. A multinomial logistic regression over sparse word n-grams
+into sentences, with and without cuts at line ends (a notice may be wrapped, or
+follow a line that ends in no full stop). A multinomial logistic regression over sparse word n-grams
 (one to three words, hashed to ``FEATURES`` slots) gives each sentence a licence
 family or ``unknown``. Its probabilities are calibrated by a temperature and
 the level at which a family counts as found is set, both on held-out rows. A
@@ -114,7 +115,8 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rows = rows.where(F.col("text").rlike(markers)) if markers else rows
     rows = rows.select("doc_id", F.explode(F.split("text", r"\n[ \t]*\n")).alias("paragraph"))
     rows = rows.where(F.col("paragraph").rlike(markers)) if markers else rows
-    rows = rows.select("doc_id", F.explode(F.split("paragraph", r"(?<=[.!?])\s+")).alias("sentence"))
+    units = F.array_distinct(F.concat(F.split("paragraph", r"(?<=[.!?])\s+"), F.split("paragraph", r"(?<=[.!?])\s+|\n")))
+    rows = rows.select("doc_id", F.explode(units).alias("sentence"))
     return rows.withColumn("words", words_of(F.col("sentence"))).where(F.size("words") >= 3)
 
 
@@ -198,12 +200,13 @@ def confirmed(found: DataFrame) -> DataFrame:
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenseModel | None = None) -> DataFrame:
     """One row per document and licence family found in it: doc_id, family,
-    n_sentences, probability and similarity of the clearest."""
+    n_passages (distinct sentences or lines of a paragraph), probability and
+    similarity of the clearest."""
     model = model or fit(docs, id_col, text_col)
     found = model.predict(sentences(docs, id_col, text_col))
     found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.level))
     return confirmed(found).groupBy("doc_id", "family").agg(
-        F.count(F.lit(1)).alias("n_sentences"), F.round(F.max("probability"), 6).alias("probability"), F.max("similarity").alias("similarity"))
+        F.count(F.lit(1)).alias("n_passages"), F.round(F.max("probability"), 6).alias("probability"), F.max("similarity").alias("similarity"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,8 @@ def test_random_runs_are_added_and_ordered_ones_are_not(spark):
     rnd = random.Random(1)
     full = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     secret = ["".join(rnd.choice(full) for _ in range(48)) for _ in range(60)]
-    plain = ["The2quickBrown3foxJumpsOver4theLazyDogAndRuns5AwayFromThe6House"[: 40 + i % 20] for i in range(60)]
+    words = "there were these seven settlers then the teacher asked that everyone read the letter she sent between three and ten".split()
+    plain = ["".join(rnd.choice(words).title() for _ in range(9)) + "7" for _ in range(60)]
     steps = ["".join(full[(i + k) % 64] for k in range(64)) for i in range(30)]
     data = [(i, f"here {s} there") for i, s in enumerate(secret)] + [(100 + i, f"see {s}") for i, s in enumerate(plain)] + [(200 + i, f"abc {s}") for i, s in enumerate(steps)]
     got = {r["doc_id"]: r["n_random"] for r in secrets.secret_report(docs_of(spark, data)).collect()}
