@@ -81,9 +81,13 @@ def html_to_text(c) -> Column:
     parts = F.split(c, MARKUP_PATTERN)
     parts = F.transform(parts, lambda p: F.btrim(decode_native_entities(p), F.lit(WS_CHARS)))
     native = F.array_join(F.filter(parts, lambda p: p != ""), " ")
+    # Spark evaluates a Python function for every row wherever it stands, so
+    # ordinary rows hand it a null.
+    rare = c.rlike(ANY_TAG_PATTERN) & c.rlike(OTHER_ENTITY_PATTERN)
+    decoded = _html_to_text_rare(F.when(rare, c))
     return (
         F.when(is_blank(c), F.lit(""))
         .when(~c.rlike(ANY_TAG_PATTERN), strip_ws(c))
-        .when(c.rlike(OTHER_ENTITY_PATTERN), _html_to_text_rare(c))
+        .when(decoded.isNotNull(), decoded)
         .otherwise(native)
     )

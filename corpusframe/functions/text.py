@@ -142,6 +142,26 @@ def clip(c, lo, hi) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(hi)), F.lit(lo)))
 
 
+def strict_label(c) -> Column:
+    """Label as int; a value that is no whole number fails the job."""
+    return _col(c).cast("string").cast("int")
+
+
+def quarantine(df, label_col: str = "label"):
+    """P7 with quarantine: (rows whose label is an int, rows whose label is
+    not, unchanged). A null label is not an int."""
+    parsed = F.col(label_col).cast("string").try_cast("int")
+    return df.filter(parsed.isNotNull()).withColumn(label_col, parsed), df.filter(parsed.isNull())
+
+
+def override_tail(vector_col: str, n: int, value: float) -> Column:
+    """A vector column with its last ``n`` entries set to ``value``."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    a = vector_to_array(F.col(vector_col))
+    return array_to_vector(F.transform(a, lambda x, i: F.when(i >= F.size(a) - n, F.lit(float(value))).otherwise(x)))
+
+
 def normalise_name(c) -> Column:
     """P10: lowercase, spaces to underscores."""
     return F.regexp_replace(F.lower(_col(c)), " ", "_")

@@ -1,9 +1,11 @@
 """Union and duplicate operators.
 
-Long texts are never shuffled as grouping keys: rows are grouped on a
-256-bit digest plus the length of the text. Aggregations are partial (map-side
-combine), so a text repeated in a third of all rows collapses to one row per
-map task before the shuffle.
+Texts are never shuffled, sorted or aggregated to find duplicates: rows are
+grouped on a 256-bit digest plus the length of the text, and the aggregates hold
+counts, labels and numeric ids only (hash aggregation with map-side combine, so
+a text repeated in a third of all rows collapses to one row per map task). Only
+the rows that go or stay are then looked up by their unique numeric id. The
+frames given here are read more than once: pass a stored table.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Pieces into which the rows of one duplicated text are dealt for a join.
+SALT = 16
+
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by column name, missing columns filled with null."""
@@ -22,38 +27,46 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def text_key(text_col: str) -> F.Column:
-    """Grouping key of a text: digest and length (null text -> null key parts)."""
-    return F.struct(F.sha2(F.col(text_col), 256).alias("h"), F.length(text_col).alias("n"))
+def text_key(text_col: str) -> list[F.Column]:
+    """Grouping key of a text: digest and length (null text -> null parts)."""
+    return [F.sha2(F.col(text_col), 256).alias("_h"), F.length(text_col).alias("_n")]
 
 
-def duplicate_members(df: DataFrame, text_col: str) -> DataFrame:
-    """Every row whose text occurs more than once (all copies)."""
-    keyed = df.withColumn("_k", text_key(text_col))
-    dup = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_k")
-    return keyed.join(dup, "_k", "left_semi").drop("_k")
+def duplicate_members(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """Every row whose text occurs more than once (all copies). A text's
+    rows are dealt to ``SALT`` join tasks by their id."""
+    keyed = df.select("*", *text_key(text_col))
+    dup = keyed.groupBy("_h", "_n").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    dup = dup.select("_h", "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))).alias("_s"))
+    salted = keyed.withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(SALT)))
+    same = [salted["_h"].eqNullSafe(dup["_h"]), salted["_n"].eqNullSafe(dup["_n"]), salted["_s"] == dup["_s"]]
+    return salted.join(dup, same, "left_semi").drop("_h", "_n", "_s")
 
 
 def duplicate_count(df: DataFrame, text_col: str) -> DataFrame:
     """Rows beyond the first of each text (one row: ``duplicates``)."""
-    per_text = df.groupBy(text_key(text_col).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
+    per_text = df.groupBy(*text_key(text_col)).agg(F.count(F.lit(1)).alias("_c"))
     return per_text.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
+def distinct_keys(df: DataFrame, cols: Sequence[str], text_col: str, id_col: str) -> DataFrame:
+    """One narrow row per distinct ``cols`` (the text compared by key): the
+    other columns, and the smallest ``id_col`` as ``_first``."""
+    others = [c for c in cols if c != text_col]
+    return df.groupBy(*others, *text_key(text_col)).agg(F.min(id_col).alias("_first"))
+
+
 def drop_duplicates(df: DataFrame, cols: Sequence[str], text_col: str, order_col: str) -> DataFrame:
     """U4: one row per distinct ``cols`` (the text column compared by key),
-    keeping the row with the smallest ``order_col``."""
-    others = [c for c in cols if c != text_col]
-    keys = [F.col(c) for c in others] + [text_key(text_col).alias("_k")]
-    kept = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.col(order_col)).alias("_row"))
-    return kept.select("_row.*")
+    keeping the row with the smallest ``order_col``, a unique numeric id."""
+    first = distinct_keys(df, cols, text_col, order_col).select(F.col("_first").alias(order_col))
+    return df.join(first, order_col, "left_semi")
 
 
-def label_conflicts(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
+def label_conflicts(df: DataFrame, text_col: str, label_col: str, id_col: str) -> DataFrame:
     """Texts carried with more than one label."""
-    g = df.groupBy(text_key(text_col).alias("_k")).agg(
-        F.any_value(text_col).alias(text_col),
-        F.count_distinct(label_col).alias("n_labels"),
-        F.count(F.lit(1)).alias("n_rows"),
+    per_label = df.groupBy(*text_key(text_col), label_col).agg(F.count(F.lit(1)).alias("_c"), F.min(id_col).alias("_first"))
+    g = per_label.groupBy("_h", "_n").agg(
+        F.min("_first").alias(id_col), F.count(label_col).alias("n_labels"), F.sum("_c").cast("bigint").alias("n_rows")
     )
-    return g.filter("n_labels > 1").drop("_k")
+    return df.select(id_col, text_col).join(g.filter("n_labels > 1").drop("_h", "_n"), id_col).drop(id_col)

@@ -49,19 +49,16 @@ def term_frequency(
     group_col: str = "error_type",
     min_len: int = 3,
     stop_words=ENGLISH_STOP_WORDS,
-    top_k: int = 50,
 ) -> DataFrame:
-    """A13 (+ F5, T9, T12): per group, counts of whitespace-separated words of
-    at least ``min_len`` characters that are not stop words; top ``top_k``."""
+    """A13 (+ F5, T9, T12): per group, counts of all whitespace-separated words
+    of at least ``min_len`` characters that are not stop words. The most
+    frequent ones are ``top_k_per_group`` of the result."""
     stop = list(stop_words)
     words = df.filter(F.col(text_col).isNotNull()).select(
         group_col, F.explode_outer(T.split_words(text_col)).alias("word")
     )
     words = words.filter(F.col("word").isNotNull() & (F.length("word") >= min_len) & ~F.lower("word").isin(stop))
-    counts = words.groupBy(group_col, "word").agg(F.count(F.lit(1)).alias("n"))
-    return top_k_per_group(
-        counts, [group_col], [F.col("n").desc(), F.col("word")], top_k, bucket_key=F.xxhash64("word")
-    )
+    return words.groupBy(group_col, "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def keep_term(term_col: str, min_len: int = 3) -> F.Column:

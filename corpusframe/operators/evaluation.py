@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.operators.ranking import prefix_sums
+from corpusframe.session import scratch_path
+from corpusframe.sources.files import materialize
 
 
 def _ratio(num, den):
@@ -59,17 +61,19 @@ def confusion_matrix(df: DataFrame, label_col="label", pred_col="predicted_label
     return m.withColumn("rate", F.when(row_total == 0, F.lit(float("nan"))).otherwise(F.col("n") / row_total))
 
 
-def classification_report(df: DataFrame, label_col="label", pred_col="predicted_label", digits: int = 4) -> DataFrame:
+def classification_report(df: DataFrame, label_col="label", pred_col="predicted_label", digits: int = 4, group_cols: Sequence[str] = ()) -> DataFrame:
     """Per class precision/recall/F1/support, then accuracy, macro and
-    weighted averages, rounded to ``digits``."""
-    conf = df.groupBy(F.col(label_col).alias("y"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    support = conf.groupBy(F.col("y").alias("cls")).agg(F.sum("n").alias("support"))
-    predicted = conf.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp = conf.filter(F.col("y") == F.col("p")).select(F.col("y").alias("cls"), F.col("n").alias("tp"))
+    weighted averages, rounded to ``digits``; for each group if given."""
+    g = list(group_cols)
+    conf = df.groupBy(*g, F.col(label_col).alias("y"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    support = conf.groupBy(*g, F.col("y").alias("cls")).agg(F.sum("n").alias("support"))
+    predicted = conf.groupBy(*g, F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
+    tp = conf.filter(F.col("y") == F.col("p")).select(*g, F.col("y").alias("cls"), F.col("n").alias("tp"))
     per = (
-        support.join(predicted, "cls", "full")
-        .join(tp, "cls", "left")
+        support.join(predicted, [*g, "cls"], "full")
+        .join(tp, [*g, "cls"], "left")
         .select(
+            *g,
             "cls",
             F.coalesce("support", F.lit(0)).alias("support"),
             F.coalesce("predicted", F.lit(0)).alias("predicted"),
@@ -77,6 +81,7 @@ def classification_report(df: DataFrame, label_col="label", pred_col="predicted_
         )
     )
     per = per.select(
+        *g,
         F.col("cls").cast("string").alias("row_name"),
         _ratio(F.col("tp"), F.col("predicted")).alias("precision"),
         _ratio(F.col("tp"), F.col("support")).alias("recall"),
@@ -84,7 +89,7 @@ def classification_report(df: DataFrame, label_col="label", pred_col="predicted_
         F.col("support").cast("bigint").alias("support"),
         F.col("tp"),
     )
-    total = per.agg(
+    total = per.groupBy(*g).agg(
         F.sum("support").alias("n"),
         F.sum("tp").alias("tp"),
         F.avg("precision").alias("mp"),
@@ -96,19 +101,20 @@ def classification_report(df: DataFrame, label_col="label", pred_col="predicted_
     )
     n = F.col("n")
     acc = total.select(
-        F.lit("accuracy").alias("row_name"), F.lit(None).cast("double").alias("precision"),
+        *g, F.lit("accuracy").alias("row_name"), F.lit(None).cast("double").alias("precision"),
         F.lit(None).cast("double").alias("recall"), _ratio(F.col("tp"), n).alias("f1_score"), n.cast("bigint").alias("support"),
     )
     macro = total.select(
-        F.lit("macro avg").alias("row_name"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
+        *g, F.lit("macro avg").alias("row_name"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
         F.col("mf").alias("f1_score"), n.cast("bigint").alias("support"),
     )
     weighted = total.select(
-        F.lit("weighted avg").alias("row_name"), _ratio(F.col("wp"), n).alias("precision"),
+        *g, F.lit("weighted avg").alias("row_name"), _ratio(F.col("wp"), n).alias("precision"),
         _ratio(F.col("wr"), n).alias("recall"), _ratio(F.col("wf"), n).alias("f1_score"), n.cast("bigint").alias("support"),
     )
     out = per.drop("tp").unionByName(acc).unionByName(macro).unionByName(weighted)
     return out.select(
+        *g,
         "row_name",
         F.round("precision", digits).alias("precision"),
         F.round("recall", digits).alias("recall"),
@@ -117,29 +123,40 @@ def classification_report(df: DataFrame, label_col="label", pred_col="predicted_
     )
 
 
-def score_table(df: DataFrame, label_col="label", score_col="score") -> DataFrame:
-    """One row per distinct score: positives and negatives at that score."""
-    return df.groupBy(F.col(score_col).alias("threshold")).agg(
+def score_table(df: DataFrame, label_col="label", score_col="score", group_cols: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct score (of a group): positives and negatives at
+    that score. Written once under the shared checkpoint folder, as the running
+    sums read it several times."""
+    table = df.groupBy(*group_cols, F.col(score_col).alias("threshold")).agg(
         F.count_if(F.col(label_col) == 1).alias("pos"), F.count_if(F.col(label_col) != 1).alias("neg")
     )
+    return materialize(table, scratch_path(df.sparkSession, "score-table"), force=True)
 
 
-def roc_curve(df: DataFrame, label_col="label", score_col="score", num_partitions=None) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, highest first, plus
-    the starting point (+inf, 0, 0). NaN rates when a class is absent."""
-    st = score_table(df, label_col, score_col)
-    cum = prefix_sums(st, "threshold", ["pos", "neg"], descending=True, num_partitions=num_partitions)
-    totals = st.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))  # one row
-    pts = cum.crossJoin(F.broadcast(totals))
+def _with_totals(rows: DataFrame, table: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    totals = table.groupBy(*group_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return rows.join(totals, list(group_cols)) if group_cols else rows.crossJoin(F.broadcast(totals))  # one row
+
+
+def roc_curve(df: DataFrame, label_col="label", score_col="score", group_cols: Sequence[str] = ()) -> DataFrame:
+    """(groups..., threshold, fpr, tpr) at every distinct score, highest
+    first, plus the starting point (+inf, 0, 0). NaN rates when a class is
+    absent."""
+    st = score_table(df, label_col, score_col, group_cols)
+    cum = prefix_sums(st, "threshold", ["pos", "neg"], descending=True, group_cols=group_cols)
+    pts = _with_totals(cum, st, group_cols)
     nan = F.lit(float("nan"))
     pts = pts.select(
+        *group_cols,
         F.col("threshold").cast("double").alias("threshold"),
         F.when(F.col("N") == 0, nan).otherwise(F.col("neg_cum") / F.col("N")).alias("fpr"),
         F.when(F.col("P") == 0, nan).otherwise(F.col("pos_cum") / F.col("P")).alias("tpr"),
         F.when(F.col("N") == 0, nan).otherwise((F.col("neg_cum") - F.col("neg")) / F.col("N")).alias("fpr_prev"),
         F.when(F.col("P") == 0, nan).otherwise((F.col("pos_cum") - F.col("pos")) / F.col("P")).alias("tpr_prev"),
     )
+    totals = st.groupBy(*group_cols).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     start = totals.select(
+        *group_cols,
         F.lit(float("inf")).alias("threshold"),
         F.when(F.col("N") == 0, nan).otherwise(F.lit(0.0)).alias("fpr"),
         F.when(F.col("P") == 0, nan).otherwise(F.lit(0.0)).alias("tpr"),
@@ -149,26 +166,28 @@ def roc_curve(df: DataFrame, label_col="label", score_col="score", num_partition
     return pts.unionByName(start)
 
 
-def trapezoid_auc(points: DataFrame) -> DataFrame:
+def trapezoid_auc(points: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """E5: area under (fpr, tpr) points carrying their predecessor."""
     seg = (F.col("fpr") - F.col("fpr_prev")) * (F.col("tpr") + F.col("tpr_prev")) / 2
-    return points.agg(F.sum(seg).alias("auc"))
+    return points.groupBy(*group_cols).agg(F.sum(seg).alias("auc"))
 
 
-def roc_auc(df: DataFrame, label_col="label", score_col="score", num_partitions=None) -> DataFrame:
-    """Exact ROC AUC by rank sum with ties counted half; NaN when only
-    one class is present."""
-    st = score_table(df, label_col, score_col)
-    cum = prefix_sums(st, "threshold", ["neg"], descending=False, num_partitions=num_partitions)
-    part = cum.agg(
-        F.sum(F.col("pos") * (F.col("neg_cum") - F.col("neg") + 0.5 * F.col("neg"))).alias("s"),
-        F.sum("pos").alias("P"),
-        F.sum("neg").alias("N"),
+def roc_auc(df: DataFrame, label_col="label", score_col="score", group_cols: Sequence[str] = ()) -> DataFrame:
+    """Exact ROC AUC (per group) by rank sum with ties counted half; NaN
+    when only one class is present."""
+    st = score_table(df, label_col, score_col, group_cols)
+    cum = prefix_sums(st, "threshold", ["neg"], descending=False, group_cols=group_cols)
+    below = F.col("neg_cum").cast("double") - 0.5 * F.col("neg")
+    part = cum.groupBy(*group_cols).agg(
+        F.sum(F.col("pos") * below).alias("s"),
+        F.sum("pos").cast("double").alias("P"),
+        F.sum("neg").cast("double").alias("N"),
     )
     return part.select(
-        F.when((F.col("P") == 0) | (F.col("N") == 0), F.lit(float("nan")))
+        *group_cols,
+        F.when((F.col("P") == 0) | (F.col("N") == 0) | F.col("P").isNull(), F.lit(float("nan")))
         .otherwise(F.col("s") / (F.col("P") * F.col("N")))
-        .alias("auc")
+        .alias("auc"),
     )
 
 

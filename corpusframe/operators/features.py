@@ -8,8 +8,8 @@ the fitting documents (G4); weights are ``tf * idf`` scaled to unit L2 norm
 per document, unseen terms dropped (G5).
 
 Plan shape:
-* fitting is two aggregations over exploded terms with map-side partial
-  aggregation (hot terms collapse before the shuffle) and a bounded top-k;
+* fitting is one aggregation over the rows' own term counts (one explode, one
+  shuffle, hot terms collapse before it) and a bounded top-k;
 * each document's term counts are taken inside the row (sort the terms,
   measure runs); the fitted vocabulary (at most ``max_features`` rows) is the
   broadcast side of a hash join; the long form needs one shuffle (the
@@ -27,6 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as T
+from corpusframe.operators.ranking import hash_rank
+from corpusframe.session import scratch_path
+from corpusframe.sources.files import materialize
 
 # ---------------------------------------------------------------- terms
 
@@ -101,25 +104,28 @@ def with_term_counts(df: DataFrame, terms_col: str, out_col: str = "term_counts"
 
 
 def term_stats(df: DataFrame, terms_col: str) -> DataFrame:
-    """(term, tf, df): corpus frequency and document frequency, one shuffle."""
-    occ = df.select(F.explode_outer(terms_col).alias("term"), F.lit(1).alias("_tf"), F.lit(0).alias("_df"))
-    docs = df.select(F.explode_outer(F.array_distinct(terms_col)).alias("term"), F.lit(0).alias("_tf"), F.lit(1).alias("_df"))
-    both = occ.unionByName(docs).filter(F.col("term").isNotNull())
-    return both.groupBy("term").agg(
-        F.sum("_tf").cast("bigint").alias("tf"), F.sum("_df").cast("bigint").alias("df")
-    )
+    """(term, tf, df): corpus frequency and document frequency, one explode
+    and one shuffle. The row with a null term counts the documents (``df``)."""
+    d = with_term_counts(df.select(terms_col), terms_col, "_tc").select("_tc")
+    one = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+    each = d.select(F.explode_outer(F.concat("_tc", one)).alias("_e")).select("_e.term", "_e.tf")
+    return each.groupBy("term").agg(F.sum("tf").cast("bigint").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 def fit_vocabulary(df: DataFrame, terms_col: str, max_features: int | None) -> DataFrame:
-    """G3 + G4: (term, tf, df, idf, index). ``index`` is the alphabetical
-    position (the column order of the document-term matrix); ``rank`` the
-    frequency position."""
-    stats = term_stats(df, terms_col)
-    if max_features is not None:
-        stats = stats.orderBy(F.col("tf").desc(), F.col("term")).limit(int(max_features))
-    n_docs = df.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    """G3 + G4: (term, tf, df, idf, index, rank), stored. ``index`` is the
+    alphabetical position (the column order of the document-term matrix);
+    ``rank`` the frequency position. Without ``max_features`` both are the
+    term's position in hash order: unique and gapless, but found without
+    sorting an unbounded vocabulary in one task."""
     from pyspark.sql import Window
 
+    spark = df.sparkSession
+    every = materialize(term_stats(df, terms_col), scratch_path(spark, "term-stats"), force=True)
+    n_docs = every.filter(F.col("term").isNull()).select(F.col("df").alias("_n"))  # one row
+    stats = every.filter(F.col("term").isNotNull())
+    if max_features is not None:
+        stats = stats.orderBy(F.col("tf").desc(), F.col("term")).limit(int(max_features))
     vocab = stats.crossJoin(F.broadcast(n_docs)).withColumn(
         "idf", F.log((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     )
@@ -129,18 +135,23 @@ def fit_vocabulary(df: DataFrame, terms_col: str, max_features: int | None) -> D
         vocab = vocab.withColumn(
             "rank", (F.row_number().over(Window.orderBy(F.col("tf").desc(), F.col("term"))) - 1).cast("int")
         )
-    return vocab.drop("_n")
+    else:
+        vocab = hash_rank(vocab.withColumn("_h", F.md5("term")), [], "_h", "term", "index").drop("_h").withColumn("rank", F.col("index"))
+    return materialize(vocab.drop("_n"), scratch_path(spark, "vocabulary"), force=True)
 
 
-def _vocab_side(vocab: DataFrame, bounded: bool) -> DataFrame:
-    """The vocabulary as the build side of a hash join: broadcast when it was
-    fitted with ``max_features`` (size bound known), otherwise left to the
-    planner and AQE's runtime size check."""
-    return F.broadcast(vocab) if bounded else vocab
+#: Terms a vocabulary may have to be broadcast.
+BROADCAST_TERMS = 1 << 20
+
+
+def _vocab_side(vocab: DataFrame) -> DataFrame:
+    """The vocabulary as the build side of a join: broadcast if its rows are
+    counted to be few, otherwise joined by a shuffle."""
+    return F.broadcast(vocab) if vocab.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else vocab
 
 
 def tfidf_long(
-    df: DataFrame, id_cols: Sequence[str], terms_col: str, vocab: DataFrame, bounded: bool = True, norm: bool = True
+    df: DataFrame, id_cols: Sequence[str], terms_col: str, vocab: DataFrame, norm: bool = True
 ) -> DataFrame:
     """G5 in long form: (id..., term, weight). Term counts are taken inside
     each row, idf comes from a hash join with the vocabulary (unseen terms
@@ -151,7 +162,7 @@ def tfidf_long(
     c = with_term_counts(df.select(*id_cols, terms_col), terms_col, "_tc")
     c = c.select(*id_cols, F.explode_outer("_tc").alias("_e")).select(*id_cols, "_e.term", "_e.tf")
     c = c.filter(F.col("term").isNotNull())
-    w = c.join(_vocab_side(vocab.select("term", "idf"), bounded), "term").select(
+    w = c.join(_vocab_side(vocab.select("term", "idf")), "term").select(
         *id_cols, "term", (F.col("tf") * F.col("idf")).alias("w")
     )
     if not norm:
@@ -160,31 +171,27 @@ def tfidf_long(
     return w.select(*id_cols, "term", (F.col("w") / l2).alias("weight"))
 
 
-MAX_VECTOR_VOCABULARY = 1 << 20
-
-
-def tfidf_vectorizer(vocab: DataFrame, terms_col: str, out_col: str = "features"):
+def tfidf_vectorizer(vocab: DataFrame, terms_col: str, max_features: int, out_col: str = "features"):
     """G5 as Spark ML stages producing a sparse vector: counts over the fitted
-    vocabulary (alphabetical index), times idf, L2-normalised. The
-    vocabulary is a fitted model of at most ``max_features`` terms; its size
-    is checked before it is brought to the driver to build the stages."""
+    vocabulary (alphabetical index), times idf, L2-normalised. A model's width
+    is a parameter: ``vocab`` was fitted with ``max_features``, and as many
+    terms are brought to the driver to build the stages."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import DenseVector
 
-    # one pass: at most MAX_VECTOR_VOCABULARY + 1 rows ever reach the driver
-    rows = vocab.select("term", "idf").orderBy("term").limit(MAX_VECTOR_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VECTOR_VOCABULARY:
-        raise ValueError("vocabulary is too large for vector form; fit with max_features")
+    rows = vocab.select("term", "idf").orderBy("term").limit(max_features + 1).collect()
+    if len(rows) > max_features:
+        raise ValueError("the vocabulary was not fitted with this max_features")
     cv = CountVectorizerModel.from_vocabulary([r.term for r in rows], inputCol=terms_col, outputCol="_tf")
     ep = ElementwiseProduct(scalingVec=DenseVector([r.idf for r in rows]), inputCol="_tf", outputCol="_tfidf")
     nm = Normalizer(p=2.0, inputCol="_tfidf", outputCol=out_col)
     return PipelineModel(stages=[cv, ep, nm])
 
 
-def tfidf_vector(df: DataFrame, terms_col: str, vocab: DataFrame, out_col: str = "features") -> DataFrame:
+def tfidf_vector(df: DataFrame, terms_col: str, vocab: DataFrame, max_features: int, out_col: str = "features") -> DataFrame:
     """G5 as an ML sparse vector column (for Spark ML estimators)."""
-    return tfidf_vectorizer(vocab, terms_col, out_col).transform(df).drop("_tf", "_tfidf")
+    return tfidf_vectorizer(vocab, terms_col, max_features, out_col).transform(df).drop("_tf", "_tfidf")
 
 
 # ---------------------------------------------------------------- scalers
@@ -232,11 +239,11 @@ PAD_ID = 0
 UNKNOWN_ID = 1
 
 
-def encode_tokens(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, max_length: int, bounded: bool = True) -> DataFrame:
+def encode_tokens(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, max_length: int) -> DataFrame:
     """(id, input_ids, attention_mask): the first ``max_length`` tokens
     as ids (known term ``2 + rank``, unknown 1), padded with 0, and the mask."""
     toks = df.select(id_col, F.posexplode_outer(F.slice(F.col(tokens_col), 1, max_length)).alias("pos", "term"))
-    ids = toks.join(_vocab_side(vocab.select("term", "rank"), bounded), "term", "left").select(
+    ids = toks.join(_vocab_side(vocab.select("term", "rank")), "term", "left").select(
         id_col, "pos", F.when(F.col("term").isNull(), F.lit(None)).otherwise(
             F.coalesce(F.col("rank") + 2, F.lit(UNKNOWN_ID))
         ).cast("int").alias("tid")

@@ -26,6 +26,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusframe.operators.splits import stratified_kfold
+
 SEED = 42
 
 
@@ -87,14 +89,16 @@ class CalibratedSVM:
         return VectorAssembler(inputCols=["_margin"], outputCol="_m").transform(scored)
 
     def fit(self, df: DataFrame, id_col: str = "id") -> "CalibratedSVM":
-        part = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col)), F.lit(self.k))
-        d = df.withColumn("_cal", part)
-        for i in range(self.k):
-            svm = LinearSVC(regParam=self.reg, featuresCol=self.features, labelCol=self.label).fit(d.filter(F.col("_cal") != i))
-            held = self._margin(svm, d.filter(F.col("_cal") == i))
+        """A newly fitted model; folds are stratified (X2). ``id_col`` is
+        unique; its rows are joined to their folds."""
+        d = stratified_kfold(df, id_col, self.label, self.k, SEED)
+        out = CalibratedSVM(self.k, self.reg, self.features, self.label)
+        for i in range(1, self.k + 1):
+            svm = LinearSVC(regParam=self.reg, featuresCol=self.features, labelCol=self.label).fit(d.filter(F.col("fold") != i))
+            held = self._margin(svm, d.filter(F.col("fold") == i))
             cal = LogisticRegression(featuresCol="_m", labelCol=self.label, maxIter=100).fit(held)
-            self.pairs.append((svm, cal))
-        return self
+            out.pairs.append((svm, cal))
+        return out
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``score`` (mean calibrated probability) and ``prediction``."""
@@ -161,16 +165,12 @@ def k_fold_runs(
     """M8 (+ S5, S6): for each fold without stored predictions, fit on the
     other folds and write validation predictions to the table at
     ``predictions_path`` partitioned by (model, fold); returns that table."""
-    from corpusframe.sources.files import _complete
+    from corpusframe.sources.files import pending
 
     spark = train.sparkSession
-    done: set[int] = set()
-    if _complete(spark, predictions_path):
-        stored = spark.read.parquet(predictions_path).filter(F.col("model") == model_name)
-        done = {r[0] for r in stored.select(fold_col).distinct().collect()}  # at most k values
-    for i in range(1, k + 1):
-        if i in done:
-            continue
+    planned = spark.range(1, k + 1).select(F.lit(model_name).alias("model"), F.col("id").cast("int").alias(fold_col))
+    todo = [r[1] for r in pending(planned, predictions_path, ["model", fold_col]).collect()]  # at most k values
+    for i in sorted(todo):
         tr = train.filter(F.col(fold_col) != i)
         va = train.filter(F.col(fold_col) == i)
         model = make_estimator(tr).fit(tr)

@@ -11,12 +11,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusframe.operators.ranking import prefix_sums
+
 DESCRIBE_QUANTILES = (0.25, 0.5, 0.75)
+#: Bounds of the value ranges in which counts are summed: powers of two.
+VALUE_BOUNDS = [-(2.0**k) for k in range(40, -21, -1)] + [0.0] + [2.0**k for k in range(-20, 41)]
 
 
 def describe(df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
     """A4/A5: count, mean, sample std, min, 25/50/75 % (linear interpolation)
-    and max of each value column, per group, in long form (``measure``)."""
+    and max of each value column, per group, in long form (``measure``).
+
+    Rows are counted per distinct value first; the order statistics are then
+    looked up in running sums of the counts, so no task holds a group's values.
+    """
     group_cols = list(group_cols)
     stacked = df.select(
         *group_cols,
@@ -24,26 +32,27 @@ def describe(df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str]
             F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in value_cols])
         ).alias("_m"),
     ).select(*group_cols, "_m.measure", "_m.v")
-    q = F.percentile("v", F.array(*[F.lit(p) for p in DESCRIBE_QUANTILES]))
-    out = stacked.groupBy(*group_cols, "measure").agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        q.alias("_q"),
-        F.max("v").alias("max"),
+    keys = [*group_cols, "measure"]
+    counts = stacked.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_c"))
+    plain = stacked.groupBy(*keys).agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
+    )
+    cum = prefix_sums(counts.filter(F.col("v").isNotNull()), "v", ["_c"], group_cols=keys, bounds=VALUE_BOUNDS)
+    placed = cum.join(plain.select(*keys, "count"), keys)
+    at = lambda i: F.min(F.when(F.col("_c_cum") > i, F.col("v")))  # noqa: E731  value at 0-based position i
+    quantiles = placed.groupBy(*keys).agg(
+        *[at(F.floor((F.col("count") - 1) * p)).alias(f"_lo{k}") for k, p in enumerate(DESCRIBE_QUANTILES)],
+        *[at(F.ceil((F.col("count") - 1) * p)).alias(f"_hi{k}") for k, p in enumerate(DESCRIBE_QUANTILES)],
     )
+    out = plain.join(quantiles, keys, "left")
+
+    def quantile(k: int, p: float):
+        place = (F.col("count") - 1) * p
+        return F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (place - F.floor(place))
+
+    names = ("p25", "p50", "p75")
     return out.select(
-        *group_cols,
-        "measure",
-        "count",
-        "mean",
-        "std",
-        "min",
-        F.col("_q")[0].alias("p25"),
-        F.col("_q")[1].alias("p50"),
-        F.col("_q")[2].alias("p75"),
-        "max",
+        *keys, "count", "mean", "std", "min", *[quantile(k, p).alias(n) for k, (n, p) in enumerate(zip(names, DESCRIBE_QUANTILES))], "max"
     )
 
 

@@ -1,64 +1,59 @@
 """Exact ranks and prefix sums without a single-task window.
 
 ``Window.partitionBy(label).orderBy(...)`` puts every row of a class into one
-task; with two classes that is two tasks for the whole table. Instead the rows
-are range-partitioned on (group, order keys) so every task holds one contiguous
-slice of the global order, each task numbers its slice locally, and a small
-table of per-slice totals turns local positions into global ones. That table
-has at most ``partitions + groups - 1`` rows (a slice boundary can split a
-group, nothing else), so broadcasting it is bounded by construction; the
-functions here are meant for low-cardinality groups (classes, folds, one
-global group).
+task; with two classes that is two tasks for the whole table. Instead rows fall
+into a fixed number of buckets by their order key: each (group, bucket) is
+numbered or summed on its own, and a small table of bucket totals turns local
+positions into global ones.
 
-The order keys must be unique within a group (add the row id as a last key):
-then the range bounds, the sort and therefore every rank are deterministic, so
-a recomputed task after executor loss yields the same numbers.
+A row's bucket is a function of its key alone -- the leading digits of a hash,
+or its place among literal bounds. It does not depend on the input's size, its
+partitions or the columns that ride along, so the totals and the rows always
+agree, and a recomputed task yields the same numbers. Bounds and bucket counts
+change the speed only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | position
+#: Hex digits of a hash that choose its bucket, and buckets by value.
+HASH_DIGITS = 3
+VALUE_BUCKETS = 256
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def exact_rank(
-    df: DataFrame,
-    group_cols: Sequence[str],
-    order_cols: Sequence,
-    rank_col: str = "rank",
-    num_partitions: int | None = None,
-) -> DataFrame:
+def hash_rank(df: DataFrame, group_cols: Sequence[str], hash_col: str, id_col: str, rank_col: str = "rank") -> DataFrame:
     """Add ``rank_col``: 0-based position of the row within its group in
-    ``order_cols`` order (equal to ``row_number() - 1`` over that window)."""
+    (hash, id) order. ``hash_col``: lowercase hex digits. Pass narrow rows and
+    join the ranks back; every column given here is sorted along."""
     group_cols = list(group_cols)
-    keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    n = _partitions(df, num_partitions)
-    ranged = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_slice", F.shiftrightunsigned("_mid", _LOCAL_BITS))
-        .withColumn("_pos", F.col("_mid").bitwiseAND((1 << _LOCAL_BITS) - 1))
-    )
-    totals = ranged.groupBy("_slice", *group_cols).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first")
-    )
-    before = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = ranged.join(F.broadcast(offsets.drop("_n")), ["_slice", *group_cols])
-    return out.withColumn(rank_col, F.col("_before") + F.col("_pos") - F.col("_first")).drop(
-        "_mid", "_slice", "_pos", "_first", "_before"
-    )
+    b = df.withColumn("_bucket", F.conv(F.substring(hash_col, 1, HASH_DIGITS), 16, 10).cast("int"))
+    totals = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    here = Window.partitionBy(*group_cols, "_bucket").orderBy(hash_col, id_col)
+    ranked = b.withColumn("_pos", F.row_number().over(here) - 1)
+    # 16 ** HASH_DIGITS rows per group at most, for a few groups (classes)
+    out = ranked.join(F.broadcast(offsets), [*group_cols, "_bucket"])
+    return out.withColumn(rank_col, F.col("_before") + F.col("_pos")).drop("_bucket", "_pos", "_before")
+
+
+def value_bounds(df: DataFrame, order_col: str, buckets: int = VALUE_BUCKETS) -> list[float]:
+    """Up to ``buckets - 1`` increasing bounds that cut ``order_col`` into
+    parts of similar size. Any bounds give the same sums."""
+    probabilities = [i / buckets for i in range(1, buckets)]
+    found = df.select(F.col(order_col).cast("double").alias("v")).approxQuantile("v", probabilities, 1 / (4 * buckets))
+    return sorted({float(x) for x in found})
+
+
+def _bucket(order_col: str, bounds: Sequence[float]) -> Column:
+    """Number of bounds at or below the value."""
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col(order_col)))
 
 
 def prefix_sums(
@@ -67,24 +62,26 @@ def prefix_sums(
     value_cols: Sequence[str],
     descending: bool = False,
     suffix: str = "_cum",
-    num_partitions: int | None = None,
+    group_cols: Sequence[str] = (),
+    bounds: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Add ``<v><suffix>``: running sum of each value column over the global
-    order of ``order_col`` (unique), inclusive of the current row."""
-    value_cols = list(value_cols)
+    """Add ``<v><suffix>``: running sum of each value column in the order of
+    the numeric ``order_col`` (unique within a group), inclusive of the current
+    row. ``df`` is read three times: pass a stored table."""
+    value_cols, group_cols = list(value_cols), list(group_cols)
+    bounds = value_bounds(df, order_col) if bounds is None else bounds
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    n = _partitions(df, num_partitions)
-    ranged = df.repartitionByRange(n, key).withColumn("_slice", F.spark_partition_id())
-    local = Window.partitionBy("_slice").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    for v in value_cols:
-        ranged = ranged.withColumn(f"_{v}_local", F.sum(v).over(local))
-    totals = ranged.groupBy("_slice").agg(*[F.sum(v).alias(f"_{v}_tot") for v in value_cols])
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    b = df.withColumn("_bucket", _bucket(order_col, bounds))
+    here = Window.partitionBy(*group_cols, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.select("*", *[F.sum(v).over(here).alias(f"_{v}_local") for v in value_cols])
+    totals = b.groupBy(*group_cols, "_bucket").agg(*[F.sum(v).alias(f"_{v}_tot") for v in value_cols])
+    place = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
+    before = Window.partitionBy(*group_cols).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_slice",
-        *[F.coalesce(F.sum(f"_{v}_tot").over(before), F.lit(0)).alias(f"_{v}_before") for v in value_cols],
+        *group_cols, "_bucket", *[F.coalesce(F.sum(f"_{v}_tot").over(before), F.lit(0)).alias(f"_{v}_before") for v in value_cols]
     )
-    out = ranged.join(F.broadcast(offsets), "_slice")
+    # VALUE_BUCKETS rows per group; without groups that bound is certain
+    out = local.join(offsets if group_cols else F.broadcast(offsets), [*group_cols, "_bucket"])
     for v in value_cols:
         out = out.withColumn(f"{v}{suffix}", F.col(f"_{v}_before") + F.col(f"_{v}_local"))
-    return out.drop("_slice", *[f"_{v}_local" for v in value_cols], *[f"_{v}_before" for v in value_cols])
+    return out.drop("_bucket", *[f"_{v}_local" for v in value_cols], *[f"_{v}_before" for v in value_cols])

@@ -11,12 +11,10 @@ fold sizes differ by at most one overall and within each class.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusframe.operators.ranking import exact_rank
+from corpusframe.operators.ranking import hash_rank
 
 
 def hash_key(id_col: str, seed: int | str) -> F.Column:
@@ -54,30 +52,32 @@ def split_and_folds(
     test_size: float = 0.2,
     k: int = 5,
     seed: int = 42,
-    num_partitions: int | None = None,
 ) -> DataFrame:
     """X1 + X2 in one ranking pass: adds ``is_test`` (boolean) and ``fold``
-    (1..k for training rows, null for test rows)."""
-    keyed = df.withColumn("_h", hash_key(id_col, seed))
-    ranked = exact_rank(keyed, [label_col], ["_h", id_col], "_rank", num_partitions)
-    quotas = class_quotas(df, label_col, test_size).select(label_col, "n_test", "train_before")
-    out = ranked.join(F.broadcast(quotas), label_col)
+    (1..k for training rows, null for test rows). Only (id, label) are ranked;
+    other columns join back by id, which must be unique."""
+    narrow = df.select(id_col, label_col)
+    ranked = hash_rank(narrow.withColumn("_h", hash_key(id_col, seed)), [label_col], "_h", id_col, "_rank")
+    quotas = class_quotas(narrow, label_col, test_size).select(label_col, "n_test", "train_before")
+    out = ranked.join(F.broadcast(quotas), label_col)  # one row per class
     is_test = F.col("_rank") < F.col("n_test")
     train_pos = F.col("train_before") + F.col("_rank") - F.col("n_test")
-    out = out.withColumn("is_test", is_test).withColumn(
-        "fold", F.when(~is_test, (F.pmod(train_pos, F.lit(k)) + 1).cast("int"))
+    flags = out.select(
+        id_col, label_col, is_test.alias("is_test"), F.when(~is_test, (F.pmod(train_pos, F.lit(k)) + 1).cast("int")).alias("fold")
     )
-    return out.drop("_h", "_rank", "n_test", "train_before")
+    if set(df.columns) == {id_col, label_col}:
+        return flags
+    return df.join(flags.drop(label_col), id_col)
 
 
-def stratified_split(df: DataFrame, id_col="id", label_col="label", test_size=0.2, seed=42, num_partitions=None) -> DataFrame:
+def stratified_split(df: DataFrame, id_col="id", label_col="label", test_size=0.2, seed=42) -> DataFrame:
     """Adds ``is_test``."""
-    return split_and_folds(df, id_col, label_col, test_size, 1, seed, num_partitions).drop("fold")
+    return split_and_folds(df, id_col, label_col, test_size, 1, seed).drop("fold")
 
 
-def stratified_kfold(df: DataFrame, id_col="id", label_col="label", k=5, seed=42, num_partitions=None) -> DataFrame:
+def stratified_kfold(df: DataFrame, id_col="id", label_col="label", k=5, seed=42) -> DataFrame:
     """Adds ``fold`` (1..k) over all rows of ``df``."""
-    return split_and_folds(df, id_col, label_col, 0.0, k, seed, num_partitions).drop("is_test")
+    return split_and_folds(df, id_col, label_col, 0.0, k, seed).drop("is_test")
 
 
 def fold_view(df: DataFrame, fold: int, role: str, fold_col: str = "fold") -> DataFrame:
@@ -87,12 +87,20 @@ def fold_view(df: DataFrame, fold: int, role: str, fold_col: str = "fold") -> Da
     return df.filter(F.col(fold_col) == fold)
 
 
-def bootstrap_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42, num_partitions=None) -> DataFrame:
+def fold_views(df: DataFrame, k: int, fold_col: str = "fold") -> DataFrame:
+    """X4 as a table: every row once per fold, with ``view`` (1..k) and ``role``
+    (``validation`` where the row's own fold is the view, else ``train``)."""
+    views = df.withColumn("view", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    return views.withColumn("role", F.when(F.col(fold_col) == F.col("view"), F.lit("validation")).otherwise(F.lit("train")))
+
+
+def bootstrap_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42) -> DataFrame:
     """Exactly ``n`` draws with replacement. Draw ``i`` takes the row of
-    global hash rank ``hash(seed, i) mod N``; adds ``draw``."""
-    keyed = df.withColumn("_h", hash_key(id_col, seed))
-    ranked = exact_rank(keyed, [], ["_h", id_col], "_rank", num_partitions).drop("_h")
-    total = df.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    global hash rank ``hash(seed, i) mod N``; adds ``draw``. Only ids are
+    ranked; the drawn rows join back by id, which must be unique."""
+    ids = df.select(id_col)
+    ranked = hash_rank(ids.withColumn("_h", hash_key(id_col, seed)), [], "_h", id_col, "_rank").drop("_h")
+    total = ids.agg(F.count(F.lit(1)).alias("_n"))  # one row
     draws = (
         df.sparkSession.range(n)
         .withColumnRenamed("id", "draw")
@@ -103,8 +111,4 @@ def bootstrap_sample(df: DataFrame, n: int, id_col: str = "id", seed: int = 42,
         )
         .drop("_n")
     )
-    return draws.join(ranked, "_rank").drop("_rank")
-
-
-def test_count(n: int, test_size: float) -> int:
-    return int(math.ceil(test_size * n))
+    return df.join(draws.join(ranked, "_rank").drop("_rank"), id_col)

@@ -101,9 +101,8 @@ def q_link_features(spark, sf_dir):
 
 @register(
     "keyword_flags",
-    "SELECT page_id, coalesce(regexp_matches(url || ' ' || html, 'http[s]?'), false) AS has_link, "
-    "coalesce(regexp_matches(url || ' ' || html, '(?i)login|log in|sign in|account'), false) AS has_login, "
-    "coalesce(regexp_matches(url || ' ' || html, '(?i)urgent|immediately|verify|attention'), false) AS has_urgent "
+    "SELECT page_id, "
+    + S.flags("url || ' ' || html") + " "
     "FROM pages",
 )
 def q_keyword_flags(spark, sf_dir):
@@ -244,7 +243,8 @@ def q_merged_corpus(spark, sf_dir):
 )
 def q_duplicate_members(spark, sf_dir):
     """Every copy of a duplicated cleaned text."""
-    return dedup.duplicate_members(CL.cleaned_corpus(spark, sf_dir), "cleaned_text")
+    c = CL.cleaned_corpus(spark, sf_dir).drop("missing")
+    return dedup.duplicate_members(c, "cleaned_text", "row_id")
 
 
 @register(
@@ -269,7 +269,7 @@ def q_deduplicated_corpus(spark, sf_dir):
 )
 def q_label_conflicts(spark, sf_dir):
     """Cleaned texts carried with more than one label."""
-    return dedup.label_conflicts(CL.cleaned_corpus(spark, sf_dir), "cleaned_text", "label")
+    return dedup.label_conflicts(CL.cleaned_corpus(spark, sf_dir), "cleaned_text", "label", "row_id")
 
 
 @register(
@@ -360,10 +360,8 @@ def q_fold_views(spark, sf_dir):
     """Size per class of each fold's validation view (fold = i) and
     training view (fold != i)."""
     f = RU.fold_assignments(spark, sf_dir).filter(~F.col("is_test"))
-    val = f.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
-    tot = f.groupBy("label").agg(F.count(F.lit(1)).alias("t"))  # one row per class
-    train = val.join(F.broadcast(tot), "label").select("fold", "label", F.lit("train").alias("role"), (F.col("t") - F.col("n")).alias("n"))
-    return val.select("fold", "label", F.lit("validation").alias("role"), "n").unionByName(train)
+    views = SP.fold_views(f, RU.K_FOLDS)
+    return views.groupBy(F.col("view").alias("fold"), "label", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(
@@ -531,37 +529,57 @@ def q_error_types(spark, sf_dir):
 # (E10-E13, W1, W2, A11, A12, O2, P10)
 # --------------------------------------------------------------------------
 
-_RUN_VALUES = ", ".join(f"('{m}', {e + 1}, {w})" for m, ws in RU.RUN_EPOCH_WEIGHTS for e, w in enumerate(ws))
-_EPOCH_SCORE = S.salted_score("model || ':' || CAST(epoch AS VARCHAR)", "weight")
+_RUN_MODELS = ", ".join(f"('{m}', {a!r}::DOUBLE)" for m, a in RU.MODELS)
+_RUN_SCORES_SQL = f"""
+WITH d AS (SELECT id, label, is_test, fold, CAST({S.hash_unit('id', 'part', RU.EPOCHS)} + 1 AS INTEGER) AS part, {S.tokens('cleaned_text')} AS toks
+           FROM ({S.split_sql(f'SELECT id, cleaned_text, label FROM ({S.FINALIZED})', RU.TEST_SIZE, RU.K_FOLDS)})),
+t0 AS (SELECT id, label, is_test, fold, part, unnest(toks) AS term FROM d),
+t AS (SELECT id, label, is_test, fold, part, term, count(*) AS tf FROM t0 GROUP BY ALL),
+v AS (SELECT term FROM t WHERE NOT is_test GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {RU.VOCABULARY}),
+k AS (SELECT count(*) AS k FROM v),
+r AS (SELECT m.model, m.a, f.range AS fold, e.range AS epoch FROM (VALUES {_RUN_MODELS}) m(model, a), range(1, {RU.K_FOLDS + 1}) f, range(1, {RU.EPOCHS + 1}) e),
+fe AS (SELECT DISTINCT fold, epoch FROM r),
+c AS (SELECT fe.fold, fe.epoch, t.term, sum(CASE WHEN label = 1 THEN tf ELSE 0 END) AS c1, sum(CASE WHEN label = 0 THEN tf ELSE 0 END) AS c0
+      FROM t JOIN v USING (term) JOIN fe ON t.fold <> fe.fold AND t.part <= fe.epoch WHERE NOT is_test GROUP BY ALL),
+n AS (SELECT fold, epoch, sum(c1) AS n1, sum(c0) AS n0 FROM c GROUP BY ALL),
+pr AS (SELECT fe.fold, fe.epoch, ln((count_if(d.label = 1) + 1.0::DOUBLE) / (count_if(d.label = 0) + 1.0::DOUBLE)) AS prior
+       FROM fe LEFT JOIN d ON NOT d.is_test AND d.fold <> fe.fold AND d.part <= fe.epoch GROUP BY ALL),
+w AS (SELECT r.model, r.fold, r.epoch, v.term,
+             ln((coalesce(c1, 0) + a) / (coalesce(n1, 0) + a * k)) - ln((coalesce(c0, 0) + a) / (coalesce(n0, 0) + a * k)) AS w
+      FROM r CROSS JOIN v CROSS JOIN k LEFT JOIN c ON c.fold = r.fold AND c.epoch = r.epoch AND c.term = v.term
+      LEFT JOIN n ON n.fold = r.fold AND n.epoch = r.epoch),
+s AS (SELECT t.id, w.model, w.fold, w.epoch, sum(tf * w) AS s FROM t JOIN w USING (term) GROUP BY ALL),
+sc AS (SELECT d.id, d.label, d.is_test, d.fold AS own_fold, d.part, r.model, r.fold, r.epoch,
+              1.0::DOUBLE / (1.0::DOUBLE + exp(-(prior + coalesce(s.s, 0)))) AS score
+       FROM d CROSS JOIN r JOIN pr ON pr.fold = r.fold AND pr.epoch = r.epoch
+       LEFT JOIN s ON s.id = d.id AND s.model = r.model AND s.fold = r.fold AND s.epoch = r.epoch)
+SELECT id, label, is_test, own_fold, part, model, CAST(fold AS INTEGER) AS fold, CAST(epoch AS INTEGER) AS epoch, score,
+       CAST(score > 0.5 AS INTEGER) AS pred FROM sc
+"""
 
 _EVAL_LOG_SQL = f"""
-WITH f AS (SELECT * FROM ({_FOLDS_SQL}) WHERE NOT is_test),
-cfg AS (SELECT * FROM (VALUES {_RUN_VALUES}) t(model, epoch, weight)),
-r1 AS (SELECT f.id, f.label, f.fold, cfg.model, cfg.epoch, cfg.weight FROM f CROSS JOIN cfg),
-r2 AS (SELECT *, least(greatest({_EPOCH_SCORE}, 1e-7), 1 - 1e-7) AS score FROM r1),
-r3 AS (SELECT *, CAST(score >= 0.5 AS INTEGER) AS pred, -(label * ln(score) + (1 - label) * ln(1 - score)) AS loss FROM r2),
-per AS (SELECT model, fold, epoch, sum(loss) AS loss_sum, count(*) AS n,
-        count_if(label = 1 AND pred = 1) AS tp, count_if(label = 0 AND pred = 1) AS fp,
-        count_if(label = 1 AND pred = 0) AS fn, count_if(label = 0 AND pred = 0) AS tn FROM r3 GROUP BY ALL),
-per2 AS (SELECT *, sum(loss_sum) OVER (PARTITION BY model, epoch) AS loss_all, sum(n) OVER (PARTITION BY model, epoch) AS n_all FROM per)
-SELECT model, fold, epoch, loss_sum / n AS eval_loss, (loss_all - loss_sum) / (n_all - n) AS train_loss,
-       (tp + tn) / n AS accuracy,
+WITH s AS MATERIALIZED (SELECT *, own_fold = fold AS held, own_fold <> fold AND part <= epoch AS seen,
+                  -(label * ln(least(greatest(score, 1e-7), 1 - 1e-7)) + (1 - label) * ln(1 - least(greatest(score, 1e-7), 1 - 1e-7))) AS loss
+           FROM ({_RUN_SCORES_SQL}) WHERE NOT is_test),
+per AS (SELECT model, fold, epoch, avg(loss) FILTER (WHERE held) AS eval_loss, avg(loss) FILTER (WHERE seen) AS train_loss,
+        count_if(held) AS n, count_if(held AND label = 1 AND pred = 1) AS tp, count_if(held AND label = 0 AND pred = 1) AS fp,
+        count_if(held AND label = 1 AND pred = 0) AS fn, count_if(held AND label = 0 AND pred = 0) AS tn FROM s GROUP BY ALL)
+SELECT model, fold, epoch, eval_loss, train_loss, (tp + tn) / n AS accuracy,
        CASE WHEN tp + fp = 0 THEN 0.0::DOUBLE ELSE tp / (tp + fp) END AS precision,
        CASE WHEN tp + fn = 0 THEN 0.0::DOUBLE ELSE tp / (tp + fn) END AS recall,
        CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0::DOUBLE ELSE 2 * tp / (2 * tp + fp + fn) END AS f1
-FROM per2
+FROM per
 """
 
 
 @register(
     "epoch_log",
-    f"SELECT model, fold, epoch, 'eval' AS kind, round(eval_loss, {R}) AS loss, round(accuracy, {R}) AS accuracy, "
-    f"round(precision, {R}) AS precision, round(recall, {R}) AS recall, round(f1, {R}) AS f1 FROM ({_EVAL_LOG_SQL}) "
-    f"UNION ALL SELECT model, fold, epoch, 'train', round(train_loss, {R}), NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE "
-    f"FROM ({_EVAL_LOG_SQL})",
+    f"WITH l AS MATERIALIZED ({_EVAL_LOG_SQL}) SELECT model, fold, epoch, 'eval' AS kind, round(eval_loss, {R}) AS loss, round(accuracy, {R}) AS accuracy, "
+    f"round(precision, {R}) AS precision, round(recall, {R}) AS recall, round(f1, {R}) AS f1 FROM l "
+    f"UNION ALL SELECT model, fold, epoch, 'train', round(train_loss, {R}), NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM l",
 )
 def q_epoch_log(spark, sf_dir):
-    """Training log of 2 runs x 5 folds x 5 epochs computed on the fold rows."""
+    """Training log of 2 models x 5 folds x 5 epochs, fitted on the fold rows."""
     return _rounded(RU.epoch_log(spark, sf_dir), ["loss", "accuracy", "precision", "recall", "f1"])
 
 
@@ -575,111 +593,95 @@ def q_eval_log(spark, sf_dir):
     return _rounded(RU.eval_log(spark, sf_dir), ["f1", "accuracy", "precision", "recall"])
 
 
-_STOP_SQL = f"""
-WITH l AS ({_EVAL_LOG_SQL}),
+def _stop_sql(log: str) -> str:
+    """Early stopping replayed on ``log``: rows of the epochs run, and a
+    summary per (model, fold), as CTEs ``ran`` and ``st``."""
+    return f"""
+l AS MATERIALIZED ({log}),
 a AS (SELECT *, max(f1) OVER (PARTITION BY model, fold ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM l),
 b AS (SELECT *, prev_best IS NULL OR f1 > prev_best AS improved FROM a),
 c AS (SELECT *, sum(CAST(improved AS INTEGER)) OVER (PARTITION BY model, fold ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS streak FROM b),
-d AS (SELECT *, row_number() OVER (PARTITION BY model, fold, streak ORDER BY epoch) - 1 AS misses FROM c),
-s AS (SELECT model, fold, min(epoch) AS stop_epoch FROM d WHERE misses >= {RU.PATIENCE} GROUP BY ALL),
-ran AS (SELECT d.*, s.stop_epoch FROM d LEFT JOIN s USING (model, fold) WHERE s.stop_epoch IS NULL OR d.epoch <= s.stop_epoch),
-g AS (SELECT model, fold, count(*) AS epochs_run, max(stop_epoch) AS stop_epoch, max(f1) AS best_f1 FROM ran GROUP BY ALL)
-SELECT g.model, g.fold, CAST(g.epochs_run AS BIGINT) AS epochs_run, g.stop_epoch,
-       (SELECT min(epoch) FROM ran WHERE ran.model = g.model AND ran.fold = g.fold AND ran.f1 = g.best_f1) AS best_epoch,
-       g.best_f1 FROM g
+e AS (SELECT *, row_number() OVER (PARTITION BY model, fold, streak ORDER BY epoch) - 1 AS misses FROM c),
+stop AS (SELECT model, fold, min(epoch) AS stop_epoch FROM e WHERE misses >= {RU.PATIENCE} GROUP BY ALL),
+ran AS (SELECT e.*, stop.stop_epoch FROM e LEFT JOIN stop USING (model, fold) WHERE stop.stop_epoch IS NULL OR e.epoch <= stop.stop_epoch),
+st AS (SELECT model, fold, CAST(count(*) AS BIGINT) AS epochs_run, max(stop_epoch) AS stop_epoch,
+              arg_max(epoch, f1 - epoch * 1e-12) AS best_epoch, max(f1) AS best_f1 FROM ran GROUP BY ALL),
+res AS (SELECT l.* FROM l JOIN st ON l.model = st.model AND l.fold = st.fold AND l.epoch = st.best_epoch),
+best AS (SELECT model, fold AS best_fold, epoch AS best_epoch, f1 AS best_f1 FROM
+         (SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, fold, epoch) AS rn FROM ran) WHERE rn = 1)
 """
 
 
-@register(
-    "early_stopping",
-    f"SELECT model, fold, epochs_run, stop_epoch, best_epoch, round(best_f1, {R}) AS best_f1 FROM ({_STOP_SQL})",
-)
-def q_early_stopping(spark, sf_dir):
-    """Replay of early stopping (patience 2) per run and fold."""
-    return _rounded(RU.stopping(spark, sf_dir), ["best_f1"])
+_STOP = "WITH " + _stop_sql(_EVAL_LOG_SQL)
 
 
-_FOLD_RESULTS_SQL = (
-    f"SELECT l.* FROM ({_EVAL_LOG_SQL}) l JOIN ({_STOP_SQL}) s "
-    "ON l.model = s.model AND l.fold = s.fold AND l.epoch = s.best_epoch"
-)
+@register("early_stopping", f"{_STOP} SELECT model, fold, epochs_run, stop_epoch, best_epoch, round(best_f1, {R}) AS best_f1 FROM st")
+def q_early_stopping(spark, sf_dir):
+    """Replay of early stopping (patience 2) per model and fold."""
+    return _rounded(RU.stopping(RU.eval_log(spark, sf_dir)), ["best_f1"])
 
 
 @register(
     "fold_summary",
-    f"SELECT model, CAST(count(*) AS BIGINT) AS folds, round(avg(accuracy), {R}) AS accuracy_mean, "
+    f"{_STOP} SELECT model, CAST(count(*) AS BIGINT) AS folds, round(avg(accuracy), {R}) AS accuracy_mean, "
     f"round(stddev_pop(accuracy), {R}) AS accuracy_std, round(avg(f1), {R}) AS f1_mean, round(stddev_pop(f1), {R}) AS f1_std "
-    f"FROM ({_FOLD_RESULTS_SQL}) GROUP BY model",
+    "FROM res GROUP BY model",
 )
 def q_fold_summary(spark, sf_dir):
-    """A11 (M8 summary): mean and population std over folds of each run's
+    """A11 (M8 summary): mean and population std over folds of each model's
     best-epoch metrics."""
-    out = EV.fold_summary(RU.fold_results(spark, sf_dir), ["model"], ["accuracy", "f1"])
+    out = EV.fold_summary(RU.fold_results(RU.eval_log(spark, sf_dir)), ["model"], ["accuracy", "f1"])
     return _rounded(out, ["accuracy_mean", "accuracy_std", "f1_mean", "f1_std"])
 
 
-@register(
-    "best_fold_epoch",
-    f"SELECT model, fold AS best_fold, epoch AS best_epoch, round(f1, {R}) AS best_f1 FROM ("
-    f"SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, fold, epoch) AS rn FROM ({_EVAL_LOG_SQL})) WHERE rn = 1",
-)
+@register("best_fold_epoch", f"{_STOP} SELECT model, best_fold, best_epoch, round(best_f1, {R}) AS best_f1 FROM best")
 def q_best_fold_epoch(spark, sf_dir):
-    """Arg-max of F1 over (fold, epoch), first on ties."""
-    return _rounded(RU.best_run(spark, sf_dir), ["best_f1"])
+    """Arg-max of F1 over the (fold, epoch) pairs run, first on ties."""
+    return _rounded(RU.best_run(RU.eval_log(spark, sf_dir)), ["best_f1"])
 
 
 @register(
     "running_best_fold",
-    f"SELECT model, fold, round(f1, {R}) AS f1, round(best_before, {R}) AS best_before, f1 > best_before AS is_new_best FROM ("
+    f"{_STOP} SELECT model, fold, round(f1, {R}) AS f1, round(best_before, {R}) AS best_before, f1 > best_before AS is_new_best FROM ("
     "SELECT *, greatest(coalesce(max(f1) OVER (PARTITION BY model ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE), 0.0::DOUBLE) AS best_before "
-    f"FROM ({_FOLD_RESULTS_SQL}))",
+    "FROM res)",
 )
 def q_running_best_fold(spark, sf_dir):
     """A fold's model is kept only when its F1 strictly beats every earlier fold."""
-    fr = RU.fold_results(spark, sf_dir).select("model", "fold", "f1")
+    fr = RU.fold_results(RU.eval_log(spark, sf_dir)).select("model", "fold", "f1")
     out = EV.running_best(fr, ["model"], "fold", "f1", 0.0)
     return _rounded(out, ["f1", "best_before"])
 
 
+_TEST_METRICS_SQL = f"""
+WITH sc AS MATERIALIZED ({_RUN_SCORES_SQL}), {_stop_sql(_EVAL_LOG_SQL)},
+cm AS (SELECT sc.model, best.best_fold, best.best_epoch, count_if(label=1 AND pred=1) AS tp, count_if(label=0 AND pred=1) AS fp,
+       count_if(label=1 AND pred=0) AS fn, count_if(label=0 AND pred=0) AS tn
+       FROM sc JOIN best ON sc.model = best.model AND sc.fold = best.best_fold AND sc.epoch = best.best_epoch WHERE is_test GROUP BY ALL)
+SELECT model, best_fold, best_epoch, (tp+tn)/(tp+tn+fp+fn) AS accuracy,
+       CASE WHEN tp+fp=0 THEN 0.0::DOUBLE ELSE tp/(tp+fp) END AS precision,
+       CASE WHEN tp+fn=0 THEN 0.0::DOUBLE ELSE tp/(tp+fn) END AS recall,
+       CASE WHEN 2*tp+fp+fn=0 THEN 0.0::DOUBLE ELSE 2*tp/(2*tp+fp+fn) END AS f1, CAST(tp+fn AS BIGINT) AS support FROM cm
+"""
+
+
 @register(
     "best_run_test_metrics",
-    f"WITH b AS (SELECT model, fold AS best_fold, epoch AS best_epoch FROM ("
-    f"SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, fold, epoch) AS rn FROM ({_EVAL_LOG_SQL})) WHERE rn = 1), "
-    f"cfg AS (SELECT * FROM (VALUES {_RUN_VALUES}) t(model, epoch, weight)), "
-    "ch AS (SELECT b.*, cfg.weight FROM b JOIN cfg ON b.model = cfg.model AND b.best_epoch = cfg.epoch), "
-    f"t AS (SELECT id, label FROM ({_FOLDS_SQL}) WHERE is_test), "
-    f"p AS (SELECT ch.model, ch.best_fold, ch.best_epoch, t.label, "
-    f"CAST({S.salted_score(chr(39) + chr(39) + ' || ch.model || ' + chr(39) + ':' + chr(39) + ' || CAST(ch.best_epoch AS VARCHAR)', 'ch.weight')} >= 0.5 AS INTEGER) AS predicted_label FROM t CROSS JOIN ch), "
-    "c AS (SELECT model, best_fold, best_epoch, count_if(label=1 AND predicted_label=1) AS tp, count_if(label=0 AND predicted_label=1) AS fp, "
-    "count_if(label=1 AND predicted_label=0) AS fn, count_if(label=0 AND predicted_label=0) AS tn FROM p GROUP BY ALL) "
-    f"SELECT model, best_fold, best_epoch, round((tp+tn)/(tp+tn+fp+fn), {R}) AS accuracy, "
-    f"round(CASE WHEN tp+fp=0 THEN 0.0::DOUBLE ELSE tp/(tp+fp) END, {R}) AS precision, "
-    f"round(CASE WHEN tp+fn=0 THEN 0.0::DOUBLE ELSE tp/(tp+fn) END, {R}) AS recall, "
-    f"round(CASE WHEN 2*tp+fp+fn=0 THEN 0.0::DOUBLE ELSE 2*tp/(2*tp+fp+fn) END, {R}) AS f1, CAST(tp+fn AS BIGINT) AS support FROM c",
+    f"SELECT model, best_fold, best_epoch, round(accuracy, {R}) AS accuracy, round(precision, {R}) AS precision, "
+    f"round(recall, {R}) AS recall, round(f1, {R}) AS f1, support FROM ({_TEST_METRICS_SQL})",
 )
 def q_best_run_test_metrics(spark, sf_dir):
     """The selected (fold, epoch) run of each model scored on the test split."""
     return _rounded(RU.best_run_test_metrics(spark, sf_dir), ["accuracy", "precision", "recall", "f1"])
 
 
-_CMP_VALUES = ", ".join(f"('{n}', {w})" for n, w in RU.COMPARISON_SCORERS)
-_CMP_METRICS_SQL = f"""
-WITH t AS (SELECT id, label FROM ({_FOLDS_SQL}) WHERE is_test),
-cfg AS (SELECT * FROM (VALUES {_CMP_VALUES}) v(name, weight)),
-p AS (SELECT cfg.name, t.id, t.label, CAST({S.salted_score(S.normalise_name('cfg.name'), 'cfg.weight')} >= 0.5 AS INTEGER) AS predicted_label
-      FROM t CROSS JOIN cfg),
-c AS (SELECT name, count_if(label=1 AND predicted_label=1) AS tp, count_if(label=0 AND predicted_label=1) AS fp,
-      count_if(label=1 AND predicted_label=0) AS fn, count_if(label=0 AND predicted_label=0) AS tn FROM p GROUP BY name)
-SELECT {S.normalise_name('name')} AS name, name AS display_name, (tp+tn)/(tp+tn+fp+fn) AS accuracy,
-       CASE WHEN 2*tp+fp+fn=0 THEN 0.0::DOUBLE ELSE 2*tp/(2*tp+fp+fn) END AS f1 FROM c
-"""
+_CMP_SQL = (
+    f"SELECT {S.normalise_name('model')} AS name, round(accuracy, {R}) AS accuracy, round(f1, {R}) AS f1, "
+    f"row_number() OVER (ORDER BY f1 DESC, model) AS position FROM ({_TEST_METRICS_SQL})"
+)
 
 
-@register(
-    "model_comparison",
-    f"SELECT name, round(accuracy, {R}) AS accuracy, round(f1, {R}) AS f1, "
-    f"row_number() OVER (ORDER BY f1 DESC, display_name) AS position FROM ({_CMP_METRICS_SQL})",
-)
+@register("model_comparison", _CMP_SQL)
 def q_model_comparison(spark, sf_dir):
     """E12 + O2 + P10: one row per model on the test split, ranked by F1."""
     return _rounded(RU.model_comparison(spark, sf_dir), ["accuracy", "f1"])
@@ -687,8 +689,7 @@ def q_model_comparison(spark, sf_dir):
 
 @register(
     "comparison_unpivot",
-    f"SELECT name, metric, round(score, {R}) AS score FROM (UNPIVOT (SELECT name, accuracy, f1 FROM ({_CMP_METRICS_SQL})) "
-    "ON accuracy, f1 INTO NAME metric VALUE score)",
+    f"SELECT name, metric, score FROM (UNPIVOT (SELECT name, accuracy, f1 FROM ({_CMP_SQL})) ON accuracy, f1 INTO NAME metric VALUE score)",
 )
 def q_comparison_unpivot(spark, sf_dir):
     """(name, metric, score) long form of the comparison table."""
@@ -763,9 +764,7 @@ def q_logit_postprocess(spark, sf_dir):
 )
 def q_quality_checks(spark, sf_dir):
     """Q1-Q6 in one pass over the finalized corpus (Q5 over its logits)."""
-    df = C.finalized(spark, sf_dir).join(
-        C.labelled_documents(spark, sf_dir).select("id", "label").select("id", C.fixed_logits().alias("logits")), "id"
-    )
+    df = C.finalized(spark, sf_dir).withColumn("logits", C.fixed_logits())
     df = df.withColumn("features", F.array(F.col("link_count").cast("double"), F.col("email_length").cast("double")))
     return profile.quality_checks(df, ["link_count", "email_length"], "label", "logits", "features")
 
@@ -819,9 +818,7 @@ def q_misclassified_length_stats(spark, sf_dir):
 
 @register(
     "flag_prediction_counts",
-    f"WITH m AS (SELECT predicted_label, coalesce(regexp_matches(cleaned_text, 'http[s]?'), false) AS has_link, "
-    "coalesce(regexp_matches(cleaned_text, '(?i)login|log in|sign in|account'), false) AS has_login, "
-    f"coalesce(regexp_matches(cleaned_text, '(?i)urgent|immediately|verify|attention'), false) AS has_urgent FROM ({_MISCLASSIFIED_SQL})), "
+    f"WITH m AS (SELECT predicted_label, {S.flags('cleaned_text')} FROM ({_MISCLASSIFIED_SQL})), "
     "s AS (SELECT 'has_link' AS flag, has_link AS flag_value, predicted_label FROM m UNION ALL "
     "SELECT 'has_login', has_login, predicted_label FROM m UNION ALL SELECT 'has_urgent', has_urgent, predicted_label FROM m), "
     "c AS (SELECT flag, flag_value, predicted_label, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY ALL) "
@@ -865,7 +862,7 @@ from corpusframe.operators import features as G  # noqa: E402
 from corpusframe.plans import error_analysis as EA  # noqa: E402
 
 VOCAB_SIZE = 5000
-ENCODING_LENGTH = 64
+ENCODING_LENGTH = 320  # the shorter of the two training lengths
 
 _TEXT_FOLDS_SQL = S.split_sql(f"SELECT id, cleaned_text, label FROM ({S.FINALIZED})", RU.TEST_SIZE, RU.K_FOLDS)
 _TRAIN_VOCAB_SQL = S.vocab_sql(f"SELECT * FROM ({_TEXT_FOLDS_SQL}) WHERE NOT is_test", S.tokens("cleaned_text"), VOCAB_SIZE)
@@ -903,14 +900,14 @@ def q_tfidf_weights(spark, sf_dir):
 
 @register(
     "bigram_vocabulary",
-    "SELECT term, tf, df, round(idf, 6) AS idf, index, rank FROM ("
-    + S.vocab_sql("SELECT text FROM documents", S.bigrams(S.no_stop_tokens("text")), 1000)
+    "SELECT term, tf, df, round(idf, 6) AS idf FROM ("
+    + S.term_stats_sql(f"SELECT {S.no_stop_tokens('text')} AS toks FROM documents", S.bigrams("toks"))
     + ")",
 )
 def q_bigram_vocabulary(spark, sf_dir):
-    """G2 + G3: the 1000 most frequent bigrams (after stop words) of all documents."""
+    """G2 + G3 + G4: every bigram (after stop words) of all documents."""
     d = G.with_terms(C.table(spark, sf_dir, "documents"), "text", "terms", (2, 2), S.STOP_WORDS).select("terms")
-    return _rounded(G.fit_vocabulary(d, "terms", 1000), ["idf"])
+    return _rounded(G.fit_vocabulary(d, "terms", None).select("term", "tf", "df", "idf"), ["idf"])
 
 
 _SCALE_SRC = f"SELECT * FROM ({_FOLDS_SQL})"
@@ -959,7 +956,7 @@ def q_minmax_scaled_features(spark, sf_dir):
     "FROM d LEFT JOIN e USING (id)",
 )
 def q_token_encoding(spark, sf_dir):
-    """Fixed-length (64) token ids and attention mask of every labelled
+    """Fixed-length (320) token ids and attention mask of every labelled
     document over the training vocabulary."""
     d = C.finalized(spark, sf_dir).select("id", T.term_tokens("cleaned_text").alias("toks"))
     return G.encode_tokens(d, "id", "toks", _train_vocab(spark, sf_dir), ENCODING_LENGTH)
@@ -992,13 +989,14 @@ def q_dense_fusion(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 _ERRORS_SQL = (
-    f"SELECT id, CASE WHEN label = 0 THEN 'false_positive' ELSE 'false_negative' END AS error_type, cleaned_text "
+    f"SELECT id, CASE WHEN label = 0 THEN 'false_positive' ELSE 'false_negative' END AS error_type, nullif(cleaned_text, '') AS cleaned_text "
     f"FROM ({_SCORED}) WHERE label <> predicted_label"
 )
-_ERR_TERMS = S.bigrams(S.no_stop_tokens("cleaned_text"))
-_ERR_VOCAB = S.vocab_sql(f"SELECT * FROM ({_ERRORS_SQL}) WHERE cleaned_text IS NOT NULL", _ERR_TERMS, EA.BIGRAM_MAX_FEATURES)
+_ERR_TERMS = S.bigrams("toks")
+_ERR_TOKS = f"SELECT id, error_type, {S.no_stop_tokens('cleaned_text')} AS toks FROM ({_ERRORS_SQL}) WHERE cleaned_text IS NOT NULL"
+_ERR_VOCAB = S.vocab_sql(_ERR_TOKS, _ERR_TERMS, EA.BIGRAM_MAX_FEATURES)
 _ERR_MEANS_SQL = f"""
-WITH w AS ({S.tfidf_long_sql(f"SELECT * FROM ({_ERRORS_SQL}) WHERE cleaned_text IS NOT NULL", "id, error_type", _ERR_TERMS, _ERR_VOCAB)}),
+WITH w AS ({S.tfidf_long_sql(_ERR_TOKS, "id, error_type", _ERR_TERMS, _ERR_VOCAB)}),
 s AS (SELECT error_type, term, sum(weight) AS s FROM w GROUP BY ALL),
 n AS (SELECT error_type, count(*) AS n FROM ({_ERRORS_SQL}) WHERE cleaned_text IS NOT NULL GROUP BY error_type),
 g AS (SELECT v.term, n.error_type, n.n FROM ({_ERR_VOCAB}) v CROSS JOIN n)
@@ -1038,12 +1036,11 @@ def q_error_terms_filtered(spark, sf_dir):
     "error_word_frequency",
     f"WITH w AS (SELECT error_type, unnest({S.words('cleaned_text')}) AS word FROM ({_ERRORS_SQL}) WHERE cleaned_text IS NOT NULL), "
     f"c AS (SELECT error_type, word, CAST(count(*) AS BIGINT) AS n FROM w WHERE length(word) >= 3 AND NOT list_contains({S.STOP}, lower(word)) GROUP BY ALL) "
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY error_type ORDER BY n DESC, word) AS position FROM c) WHERE position <= 50",
+    "SELECT error_type, word, n FROM c",
 )
 def q_error_word_frequency(spark, sf_dir):
-    """A13 (+ F5, T9, T12): the 50 most frequent words per error class."""
-    out = EA.word_frequencies(spark, sf_dir, 50)
-    return out.withColumn("position", F.col("position").cast("bigint"))
+    """A13 (+ F5, T9, T12): word counts per error class."""
+    return EA.word_frequencies(spark, sf_dir)
 
 
 # --------------------------------------------------------------------------
@@ -1063,10 +1060,16 @@ def q_learned_predictions(spark, sf_dir):
 
 @register("learned_comparison")
 def q_learned_comparison(spark, sf_dir):
-    """E12 + Z7 over the learned models."""
+    """E12 over the learned models."""
     return LM.comparison(spark, sf_dir)
 
 
+@register("inference_times")
+def q_inference_times(spark, sf_dir):
+    """Z7 over the learned models."""
+    return LM.inference_times(spark, sf_dir)
+
+
 @register("cv_grid_search")
 def q_cv_grid_search(spark, sf_dir):
     """M7: logistic-regression grid over the 5 exact folds."""
@@ -1103,7 +1106,6 @@ def q_batch_scoring(spark, sf_dir):
 # folder, read back.
 # --------------------------------------------------------------------------
 
-from corpusframe.plans import cleaning as CL  # noqa: E402
 from corpusframe.session import scratch_path  # noqa: E402
 from corpusframe.sources import files as IO  # noqa: E402
 
@@ -1148,3 +1150,126 @@ def q_metrics_sink(spark, sf_dir):
     long = IO.long_metrics(m, ["run"], ["accuracy", "precision", "recall", "f1", "support"])
     path = IO.write_metrics(long, scratch_path(spark, "metrics"))
     return spark.read.schema("run string, metric string, value double").json(path)
+
+
+# --------------------------------------------------------------------------
+# Export, report, resume, ablation, first rows, quarantine
+# --------------------------------------------------------------------------
+
+@register(
+    "misclassified_export",
+    f"SELECT id, nullif(cleaned_text, '') AS cleaned_text, label, link_count, email_length, predicted_label, "
+    f"round(greatest(score, 1 - score), {R}) AS confidence FROM ({_MISCLASSIFIED_SQL})",
+)
+def q_misclassified_export(spark, sf_dir):
+    """The misclassified rows as the exported CSV table holds them."""
+    rows = IO.read_csv(spark, EA.error_export(spark, sf_dir), EA.EXPORT_SCHEMA)
+    return _rounded(rows, ["confidence"])
+
+
+_FOLD_SCORED_SQL = f"SELECT s.*, f.fold FROM ({_SCORED}) s JOIN ({_FOLDS_SQL}) f USING (id) WHERE NOT f.is_test"
+
+
+@register(
+    "fold_report_sink",
+    f"""
+WITH s AS ({_FOLD_SCORED_SQL}), cls AS (SELECT DISTINCT fold, unnest([0, 1]) AS c FROM s),
+p0 AS (SELECT cls.fold, cls.c, count_if(label = c) AS support, count_if(predicted_label = c) AS predicted,
+       count_if(label = c AND predicted_label = c) AS tp FROM cls JOIN s ON s.fold = cls.fold GROUP BY ALL),
+p AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0::DOUBLE ELSE tp / predicted END AS precision, CASE WHEN support = 0 THEN 0.0::DOUBLE ELSE tp / support END AS recall,
+      CASE WHEN predicted + support = 0 THEN 0.0::DOUBLE ELSE 2 * tp / (predicted + support) END AS f1_score FROM p0 WHERE predicted + support > 0),
+o AS (SELECT fold, CAST(c AS VARCHAR) AS row_name, precision, recall, f1_score, CAST(support AS BIGINT) AS support FROM p
+      UNION ALL SELECT fold, 'accuracy', NULL, NULL, sum(tp) / sum(support), CAST(sum(support) AS BIGINT) FROM p GROUP BY fold
+      UNION ALL SELECT fold, 'macro avg', avg(precision), avg(recall), avg(f1_score), CAST(sum(support) AS BIGINT) FROM p GROUP BY fold
+      UNION ALL SELECT fold, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                       sum(f1_score * support) / sum(support), CAST(sum(support) AS BIGINT) FROM p GROUP BY fold)
+SELECT fold, row_name, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1_score, 4) AS f1_score, support,
+       '{RU.SEED}' AS seed, '{RU.TEST_SIZE}' AS test_size, '2026-01-01 00:00:00' AS written_at FROM o
+""",
+)
+def q_fold_report_sink(spark, sf_dir):
+    """Every fold's classification report with the run's parameters and a
+    time, written as JSON lines and read back."""
+    folds = RU.fold_assignments(spark, sf_dir).filter(~F.col("is_test")).select("id", "fold")
+    report = EV.classification_report(C.scored(spark, sf_dir).join(folds, "id"), group_cols=["fold"])
+    table = IO.run_report(report, {"seed": RU.SEED, "test_size": RU.TEST_SIZE}, ["fold"], "2026-01-01 00:00:00")
+    path = IO.write_metrics(table, scratch_path(spark, "fold-report"))
+    schema = "fold int, row_name string, precision double, recall double, f1_score double, support bigint, parameters map<string,string>, written_at timestamp"
+    back = spark.read.schema(schema).json(path)
+    return back.select(
+        "fold", "row_name", "precision", "recall", "f1_score", "support", F.col("parameters")["seed"].alias("seed"),
+        F.col("parameters")["test_size"].alias("test_size"), F.date_format("written_at", "yyyy-MM-dd HH:mm:ss").alias("written_at"),
+    )
+
+
+@register(
+    "pending_folds",
+    f"SELECT fold, label, CAST(count(*) AS BIGINT) AS n FROM ({_FOLDS_SQL}) WHERE NOT is_test AND fold NOT IN (1, 3) GROUP BY ALL",
+)
+def q_pending_folds(spark, sf_dir):
+    """Fold results are stored for two folds; what is planned and not yet
+    stored remains."""
+    planned = RU.fold_assignments(spark, sf_dir).filter(~F.col("is_test")).groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    path = IO.write_partitioned(planned.filter(F.col("fold").isin(1, 3)), scratch_path(spark, "done-folds"), ["fold"])
+    return IO.pending(planned, path, ["fold"])
+
+
+@register("first_documents", "SELECT doc_id, source, n_chars FROM documents ORDER BY doc_id LIMIT 1000")
+def q_first_documents(spark, sf_dir):
+    """O3: the first 1000 documents in id order (the feature is the limit)."""
+    return IO.first_rows(C.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id", 1000)
+
+
+@register(
+    "label_quarantine",
+    "WITH t AS (SELECT doc_id, source, replace(source, 'src', '') AS a, CASE WHEN lang = 'en' THEN replace(source, 'src', '') ELSE source END AS raw FROM documents) "
+    "SELECT doc_id, raw, TRY_CAST(raw AS INTEGER) AS label, TRY_CAST(raw AS INTEGER) IS NULL AS quarantined FROM t",
+)
+def q_label_quarantine(spark, sf_dir):
+    """Labels that are no ints are set aside, not lost (the source number
+    stands for a label; it is only an int in English rows)."""
+    d = C.table(spark, sf_dir, "documents")
+    number = F.replace("source", F.lit("src"), F.lit(""))
+    raw = d.select("doc_id", F.when(F.col("lang") == "en", number).otherwise(F.col("source")).alias("raw"))
+    good, bad = T.quarantine(raw.withColumn("label", F.col("raw")), "label")
+    return good.withColumn("quarantined", F.lit(False)).unionByName(
+        bad.withColumn("label", F.lit(None).cast("int")).withColumn("quarantined", F.lit(True))
+    )
+
+
+_NB_SQL = f"""
+WITH f AS (SELECT * FROM ({S.split_sql(f'SELECT id, cleaned_text, label, link_count, email_length FROM ({S.FINALIZED})', RU.TEST_SIZE, RU.K_FOLDS)})),
+w AS ({S.tfidf_long_sql('SELECT * FROM f', 'id', S.tokens('cleaned_text'), _TRAIN_VOCAB_SQL)}),
+mm AS (SELECT min(link_count)::DOUBLE AS ll, max(link_count)::DOUBLE AS hl, min(email_length)::DOUBLE AS le, max(email_length)::DOUBLE AS he FROM f WHERE NOT is_test),
+x AS (SELECT id, term AS k, weight AS v FROM w
+      UNION ALL SELECT id, ' link', greatest((link_count - ll) / CASE WHEN hl = ll THEN 1.0::DOUBLE ELSE hl - ll END, 0.0::DOUBLE) FROM f, mm
+      UNION ALL SELECT id, ' length', greatest((email_length - le) / CASE WHEN he = le THEN 1.0::DOUBLE ELSE he - le END, 0.0::DOUBLE) FROM f, mm),
+n AS (SELECT count(*) + {len(LM.NUMERIC)} AS k FROM ({_TRAIN_VOCAB_SQL})),
+c AS (SELECT k, sum(CASE WHEN label = 1 THEN v ELSE 0 END) AS c1, sum(CASE WHEN label = 0 THEN v ELSE 0 END) AS c0 FROM x JOIN f USING (id) WHERE NOT is_test GROUP BY k),
+t AS (SELECT sum(c1) AS n1, sum(c0) AS n0 FROM c),
+th AS (SELECT c.k, ln((c1 + 1) / (n1 + n.k)) - ln((c0 + 1) / (n0 + n.k)) AS d FROM c, t, n),
+pr AS (SELECT ln((count_if(label = 1) + 1.0::DOUBLE) / (count_if(label = 0) + 1.0::DOUBLE)) AS p FROM f WHERE NOT is_test),
+s AS (SELECT x.id, p + sum(v * d) AS m FROM x JOIN th USING (k), pr GROUP BY x.id, p),
+s0 AS (SELECT x.id, p + sum(CASE WHEN k IN (' link', ' length') THEN 0 ELSE v * d END) AS m FROM x JOIN th USING (k), pr GROUP BY x.id, p)
+"""
+
+
+@register(
+    "naive_bayes_predictions",
+    f"{_NB_SQL} SELECT f.id, f.label, CAST(m > 0 AS INTEGER) AS predicted_label, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-m)), {R}) AS score "
+    "FROM f JOIN s USING (id) WHERE is_test",
+)
+def q_naive_bayes_predictions(spark, sf_dir):
+    """M1 + Z1: multinomial naive Bayes over TF-IDF and the scaled numeric
+    features, on the test split."""
+    return _rounded(LM.naive_bayes_predictions(spark, sf_dir), ["score"])
+
+
+@register(
+    "feature_ablation",
+    f"{_NB_SQL} SELECT 'all' AS features_used, f.id, f.label, CAST(m > 0 AS INTEGER) AS predicted_label FROM f JOIN s USING (id) WHERE is_test "
+    "UNION ALL SELECT 'text only', f.id, f.label, CAST(m > 0 AS INTEGER) FROM f JOIN s0 USING (id) WHERE is_test",
+)
+def q_feature_ablation(spark, sf_dir):
+    """Naive Bayes with and without its numeric features."""
+    return LM.ablation(spark, sf_dir)

@@ -7,14 +7,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as T
-from corpusframe.operators import dedup, profile
+from corpusframe.operators import dedup
+from corpusframe.session import scratch_path
+from corpusframe.sources.files import materialize
 from corpusframe.sources.ingest import merged_corpus
 
 
 def cleaned_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(origin, row_id, label, cleaned_text): P1 then T2 on the merged corpus."""
+    """(origin, row_id, label, cleaned_text, missing): P1 then T2 on the merged
+    corpus. Cleaned once and stored, as the duplicate operators read it twice."""
     m = merged_corpus(spark, sf_dir)
-    return m.select("origin", "row_id", "label", T.remove_punctuation(T.null_to_text("text")).alias("cleaned_text"))
+    out = m.select(
+        "origin", "row_id", "label", T.remove_punctuation(T.null_to_text("text")).alias("cleaned_text"), T.is_blank("text").alias("missing")
+    )
+    return materialize(out, scratch_path(spark, "cleaned-corpus"), force=True)
 
 
 def deduplicated_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,14 +41,13 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1-A3 as (metric, value): rows before and after de-duplication, rows
     per label after it, and missing texts before (null or blank) and after
     the text cast (always 0: the cast turns a missing value into text)."""
-    m = merged_corpus(spark, sf_dir)
-    before = m.agg(
+    c = cleaned_corpus(spark, sf_dir)
+    before = c.agg(
         F.count(F.lit(1)).alias("rows_merged"),
-        F.count_if(T.is_blank("text")).alias("missing_text_before_cast"),
-        F.count_if(T.null_to_text("text").isNull()).alias("missing_text_after_cast"),
+        F.count_if("missing").alias("missing_text_before_cast"),
+        F.count_if(F.col("cleaned_text").isNull()).alias("missing_text_after_cast"),
     )
-    d = deduplicated_corpus(spark, sf_dir)
-    after = d.agg(
+    after = dedup.distinct_keys(c, ["label", "cleaned_text"], "cleaned_text", "row_id").agg(
         F.count(F.lit(1)).alias("rows_deduplicated"),
         F.count_if(F.col("label") == 0).alias("label_0"),
         F.count_if(F.col("label") == 1).alias("label_1"),
@@ -54,7 +59,3 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).select("col.*")
 
     return long(before).unionByName(long(after))
-
-
-def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.label_counts(deduplicated_corpus(spark, sf_dir))

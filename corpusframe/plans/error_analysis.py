@@ -11,15 +11,31 @@ from corpusframe.functions.stopwords import ENGLISH_STOP_WORDS
 from corpusframe.operators import errors as ER
 from corpusframe.operators import features as G
 from corpusframe.plans.corpus import scored
+from corpusframe.session import scratch_path
+from corpusframe.sources.files import read_csv, write_csv
 
 BIGRAM_MAX_FEATURES = 100
 TOP_TERMS = 10
 
 
+def error_export(spark: SparkSession, sf_dir: str) -> str:
+    """Write the misclassified rows with prediction and confidence as one
+    CSV table; returns its path."""
+    s = ER.misclassified(scored(spark, sf_dir))
+    rows = s.select(
+        "id", "cleaned_text", "label", "link_count", "email_length", "predicted_label", F.greatest(F.col("score"), 1 - F.col("score")).alias("confidence")
+    )
+    return write_csv(rows, scratch_path(spark, "misclassified"))
+
+
+EXPORT_SCHEMA = "id bigint, cleaned_text string, label int, link_count bigint, email_length bigint, predicted_label int, confidence double"
+
+
 def error_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, error_type, cleaned_text, email_length, ...) of the false
-    positives and false negatives of the fixed scorer."""
-    return ER.error_rows(scored(spark, sf_dir))
+    """(id, error_type, cleaned_text, email_length, ...) of the false positives
+    and false negatives, read from the E9 export."""
+    rows = read_csv(spark, error_export(spark, sf_dir), EXPORT_SCHEMA)
+    return ER.error_rows(rows)
 
 
 def bigram_fit(errors: DataFrame, stop_words=ENGLISH_STOP_WORDS, max_features: int = BIGRAM_MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
@@ -30,10 +46,12 @@ def bigram_fit(errors: DataFrame, stop_words=ENGLISH_STOP_WORDS, max_features: i
     return G.fit_vocabulary(e, "terms", max_features), e
 
 
-def mean_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mean_tfidf(spark: SparkSession, sf_dir: str, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """Mean weight of every vocabulary term per class, over all rows of
-    the class (rows without the term count as 0)."""
-    vocab, e = bigram_fit(error_corpus(spark, sf_dir))
+    the class (rows without the term count as 0). ``stop_words``: the list of
+    the bigram fit; the library list that the flow was written for is not
+    available offline, so the default is this package's own list."""
+    vocab, e = bigram_fit(error_corpus(spark, sf_dir), stop_words)
     w = G.tfidf_long(e, ["id", "error_type"], "terms", vocab)
     sums = w.groupBy("error_type", "term").agg(F.sum("weight").alias("s"))
     n = e.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))  # one row per class
@@ -56,6 +74,6 @@ def filtered_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean_tfidf(spark, sf_dir).filter(ER.keep_term("term"))
 
 
-def word_frequencies(spark: SparkSession, sf_dir: str, top_k: int = 50) -> DataFrame:
-    """Most frequent words per class."""
-    return ER.term_frequency(error_corpus(spark, sf_dir), "cleaned_text", "error_type", 3, ENGLISH_STOP_WORDS, top_k)
+def word_frequencies(spark: SparkSession, sf_dir: str, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
+    """Word counts per class."""
+    return ER.term_frequency(error_corpus(spark, sf_dir), "cleaned_text", "error_type", 3, stop_words)

@@ -16,6 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusframe.functions import text as T
 from corpusframe.operators import evaluation as E
 from corpusframe.operators import features as G
 from corpusframe.operators import models as M
@@ -38,17 +39,14 @@ GRID = (
     {"regParam": 0.01, "maxIter": 100},
 )
 
-_FITTED: dict = {}
-
-
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label, is_test, fold, features, nb_features) of the finalized corpus."""
     df = C.finalized(spark, sf_dir)
     d = SP.split_and_folds(df, "id", "label", RU.TEST_SIZE, RU.K_FOLDS, RU.SEED)
-    d = G.with_terms(d, "cleaned_text")
+    d = materialize(G.with_terms(d, "cleaned_text").drop("cleaned_text"), scratch_path(spark, "learned-terms"), force=True)
     train = d.filter(~F.col("is_test"))
     vocab = G.fit_vocabulary(train.select("terms"), "terms", VOCAB_SIZE)
-    d = G.tfidf_vector(d, "terms", vocab, "tfidf")
+    d = G.tfidf_vector(d, "terms", vocab, VOCAB_SIZE, "tfidf")
     stats = G.fit_minmax_scaler(train, list(NUMERIC))
     d = G.apply_minmax_scaler(d, stats, list(NUMERIC))
     for c in NUMERIC:  # naive Bayes needs non-negative inputs on unseen rows
@@ -59,51 +57,69 @@ def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(out, scratch_path(spark, "learned-features"), force=True)
 
 
-def fitted_models(spark: SparkSession, sf_dir: str):
-    """(feature table, {display name: fitted model}); fitted once per session
-    and input folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        ft = feature_table(spark, sf_dir)
-        train = ft.filter(~F.col("is_test"))
-        n = train.count()
-        sample = SP.bootstrap_sample(train, SAMPLE_ROWS, "id", RU.SEED)
-        sample = materialize(sample, scratch_path(spark, "learned-sample"), force=True)
-        models = {
-            "Naive Bayes": M.naive_bayes("nb_features").fit(train),
-            "Logistic Regression": M.logistic_regression(n).fit(train),
-            "Linear SVM": M.CalibratedSVM().fit(sample),
-            "Random Forest": M.random_forest().fit(sample),
-            "Gradient Boosting": M.gradient_boosting().fit(sample),
-        }
-        _FITTED[key] = (ft, models)
-    return _FITTED[key]
+def fit_models(spark: SparkSession, ft: DataFrame) -> dict:
+    """{display name: fitted model} on the training rows of a feature table."""
+    train = ft.filter(~F.col("is_test"))
+    n = train.count()
+    sample = SP.bootstrap_sample(train, SAMPLE_ROWS, "id", RU.SEED)  # draws: unique; ids repeat
+    sample = materialize(sample, scratch_path(spark, "learned-sample"), force=True)
+    return {
+        "Naive Bayes": M.naive_bayes("nb_features").fit(train),
+        "Logistic Regression": M.logistic_regression(n).fit(train),
+        "Linear SVM": M.CalibratedSVM().fit(sample, "draw"),
+        "Random Forest": M.random_forest().fit(sample),
+        "Gradient Boosting": M.gradient_boosting().fit(sample),
+    }
 
 
 def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(model, id, label, predicted_label, score) on the test split."""
-    ft, models = fitted_models(spark, sf_dir)
+    """(model, id, label, predicted_label, score) on the test split, one
+    stored table partitioned by model."""
+    ft = feature_table(spark, sf_dir)
     test = ft.filter(F.col("is_test"))
-    frames = [M.predictions(m, test).withColumn("model", F.lit(name)) for name, m in models.items()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.select("model", "id", "label", "predicted_label", "score")
+    path = scratch_path(spark, "test-predictions")
+    for name, m in fit_models(spark, ft).items():
+        M.predictions(m, test).withColumn("model", F.lit(name)).write.mode("append").partitionBy("model").parquet(path)
+    return spark.read.parquet(path).select("model", "id", "label", "predicted_label", "score")
 
 
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E12 + Z7: one row per learned model with test accuracy, precision,
-    recall, F1, AUC and inference seconds, best F1 first."""
-    ft, models = fitted_models(spark, sf_dir)
+    """One row per learned model with test accuracy, precision, recall,
+    F1 and AUC, from one grouped evaluation of the stored predictions."""
+    preds = test_predictions(spark, sf_dir)
+    met = E.binary_metrics(preds, group_cols=["model"]).drop("support")
+    return met.join(E.roc_auc(preds, group_cols=["model"]), "model").orderBy(F.col("f1").desc(), "model")
+
+
+def inference_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds to score the test split, per model; a table of its own, as
+    it differs from run to run."""
+    ft = feature_table(spark, sf_dir)
     test = ft.filter(F.col("is_test"))
-    rows = None
-    for name, m in models.items():
-        preds = M.predictions(m, test)
-        secs = M.timed(preds)
-        met = E.binary_metrics(preds).drop("support").crossJoin(E.roc_auc(preds))
-        met = met.select(F.lit(name).alias("model"), "*", F.lit(round(secs, 3)).alias("inference_seconds"))
-        rows = met if rows is None else rows.unionByName(met)
-    return rows.orderBy(F.col("f1").desc(), "model")
+    models = fit_models(spark, ft)
+    rows = [(name, round(M.timed(M.predictions(m, test)), 3)) for name, m in models.items()]
+    return spark.createDataFrame(rows, "model string, inference_seconds double")
+
+
+def naive_bayes_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 + Z1: test-split predictions of naive Bayes alone."""
+    ft = feature_table(spark, sf_dir)
+    model = M.naive_bayes("nb_features").fit(ft.filter(~F.col("is_test")))
+    return M.predictions(model, ft.filter(F.col("is_test")))
+
+
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Naive Bayes scored on the test split with its numeric features
+    overridden by a constant 0, beside the unchanged run: (features, id,
+    predicted_label)."""
+    ft = feature_table(spark, sf_dir)
+    model = M.naive_bayes("nb_features").fit(ft.filter(~F.col("is_test")))
+    test = ft.filter(F.col("is_test"))
+    without = T.override_tail("nb_features", len(NUMERIC), 0.0)
+    both = test.withColumn("features_used", F.lit("all")).unionByName(
+        test.withColumn("nb_features", without).withColumn("features_used", F.lit("text only"))
+    )
+    return M.predictions(model, both, ("features_used", "id", "label")).drop("score")
 
 
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +144,7 @@ def k_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         train, lambda tr: M.logistic_regression(tr.count()), RU.K_FOLDS, path, model_name="logistic_regression"
     )
     met = E.binary_metrics(preds, group_cols=["fold"]).drop("support")
-    auc = None
-    for i in range(1, RU.K_FOLDS + 1):
-        a = E.roc_auc(preds.filter(F.col("fold") == i)).withColumn("fold", F.lit(i))
-        auc = a if auc is None else auc.unionByName(a)
+    auc = E.roc_auc(preds, group_cols=["fold"])
     return met.join(auc, "fold").select("fold", "accuracy", "precision", "recall", "f1", "auc")
 
 

@@ -1,50 +1,39 @@
-"""Split -> cross-validate -> evaluate, on fixed scorers (section 3.2/3.3).
-
-The training runs of the reference are replaced by deterministic scorers
-(``fixed_score`` with a per-run salt and label weight), so the whole flow --
-exact split, folds, per-epoch evaluation log, early stopping, best run,
-fold summaries, test evaluation of the chosen run, model comparison -- is
-exact and has a SQL oracle. Learned Spark ML models plug into the same
-tables (see ``corpusframe.operators.models``).
+"""Split -> cross-validate -> evaluate (section 3.2/3.3), on fitted models.
+
+The runs are multinomial naive Bayes models over the word counts of the
+cleaned texts, one per smoothing value, fitted for every fold and epoch: epoch
+``e`` of fold ``f`` has learned the training rows of the other folds whose hash
+falls into the first ``e`` of ``EPOCHS`` parts. Fitting is counting, so the
+whole flow -- exact split, folds, per-epoch log, early stopping, best run, fold
+summaries, test evaluation of the chosen run, model comparison -- is exact and
+has a SQL oracle.
+
+The weights of all models are one row per vocabulary term (``VOCABULARY`` rows,
+bounded); every text is scored by all of them in one pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as T
 from corpusframe.operators import evaluation as E
-from corpusframe.operators.splits import hex_to_long, split_and_folds
-from corpusframe.plans.corpus import finalized
+from corpusframe.operators import features as G
+from corpusframe.operators.splits import split_and_folds
+from corpusframe.plans.corpus import finalized, hash_unit
+from corpusframe.session import scratch_path
+from corpusframe.sources.files import materialize
 
 TEST_SIZE = 0.2
 K_FOLDS = 5
 SEED = 42
 PATIENCE = 2
+EPOCHS = 5
+VOCABULARY = 500
 
-# Per run: label weight of the scorer at each epoch (1-based).
-RUN_EPOCH_WEIGHTS = (
-    ("model_a", (200, 320, 300, 300, 340)),
-    ("model_b", (150, 250, 380, 330, 390)),
-)
-
-# Scorers of the comparison table: (display name, label weight).
-COMPARISON_SCORERS = (
-    ("Naive Bayes", 150),
-    ("Logistic Regression", 250),
-    ("Linear SVM", 200),
-    ("Random Forest", 180),
-    ("Gradient Boosting", 220),
-    ("Transformer", 350),
-)
-
-
-def salted_score(salt: F.Column, weight: F.Column, id_col: str = "id", label_col: str = "label") -> F.Column:
-    """``fixed_score`` with a per-row salt and weight."""
-    h = F.md5(F.concat(salt, F.lit(":"), F.col(id_col).cast("string")))
-    u = F.pmod(hex_to_long(h, 8), F.lit(1000))
-    return ((u + F.col(label_col) * weight) / (F.lit(999) + weight)).cast("double")
+#: (display name, additive smoothing of the term counts).
+MODELS = (("Naive Bayes 1.0", 1.0), ("Naive Bayes 0.01", 0.01))
 
 
 def fold_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,116 +42,151 @@ def fold_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_and_folds(df, "id", "label", TEST_SIZE, K_FOLDS, SEED)
 
 
-def _run_configs() -> F.Column:
-    return F.array(
-        *[
-            F.struct(F.lit(m).alias("model"), F.lit(e + 1).alias("epoch"), F.lit(w).alias("weight"))
-            for m, ws in RUN_EPOCH_WEIGHTS
-            for e, w in enumerate(ws)
-        ]
-    )
-
-
-def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training log: per (model, fold, epoch) an ``eval`` row with the metrics
-    on the fold's validation rows and a ``train`` row with the mean loss on
-    its training rows (metrics null)."""
-    folds = fold_assignments(spark, sf_dir).filter(~F.col("is_test"))
-    rows = folds.select("id", "label", "fold", F.explode(_run_configs()).alias("r")).select(
-        "id", "label", "fold", "r.model", "r.epoch", "r.weight"
-    )
-    s = salted_score(F.concat(F.col("model"), F.lit(":"), F.col("epoch").cast("string")), F.col("weight"))
-    s = F.least(F.greatest(s, F.lit(1e-7)), F.lit(1 - 1e-7))
-    rows = rows.withColumn("score", s).withColumn("predicted_label", (F.col("score") >= 0.5).cast("int"))
-    rows = rows.withColumn(
-        "loss", -(F.col("label") * F.log(F.col("score")) + (1 - F.col("label")) * F.log(1 - F.col("score")))
-    )
-    per = rows.groupBy("model", "fold", "epoch").agg(
-        F.sum("loss").alias("loss_sum"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((F.col("label") == 1) & (F.col("predicted_label") == 1)).alias("tp"),
-        F.count_if((F.col("label") == 0) & (F.col("predicted_label") == 1)).alias("fp"),
-        F.count_if((F.col("label") == 1) & (F.col("predicted_label") == 0)).alias("fn"),
-        F.count_if((F.col("label") == 0) & (F.col("predicted_label") == 0)).alias("tn"),
+def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, is_test, fold, part, term_counts) of every labelled text;
+    stored, as the fit and the scoring read it."""
+    df = finalized(spark, sf_dir).select("id", "label", "cleaned_text")
+    rows = G.with_terms(split_and_folds(df, "id", "label", TEST_SIZE, K_FOLDS, SEED), "cleaned_text")
+    rows = G.with_term_counts(rows.drop("cleaned_text"), "terms").withColumn("part", (hash_unit("id", "part", EPOCHS) + 1).cast("int"))
+    return materialize(rows.drop("terms"), scratch_path(spark, "run-rows"), force=True)
+
+
+def _long(rows: DataFrame, *cols: str) -> DataFrame:
+    d = rows.select(*cols, F.explode_outer("term_counts").alias("_e"))
+    return d.select(*cols, "_e.term", "_e.tf").filter(F.col("term").isNotNull())
+
+
+def _specs() -> list[tuple[str, float, int, int]]:
+    """(model, smoothing, fold, epoch) in the order of the weight arrays."""
+    return [(m, a, f, e) for m, a in MODELS for f in range(1, K_FOLDS + 1) for e in range(1, EPOCHS + 1)]
+
+
+def weights(rows: DataFrame) -> DataFrame:
+    """(term, w): per vocabulary term the log ratio of its probability in the
+    two classes under every run; and one row with a null term, the priors."""
+    train = rows.filter(~F.col("is_test"))
+    terms = _long(train, "label", "fold", "part")
+    vocab = terms.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term")
+    vocab = materialize(vocab, scratch_path(rows.sparkSession, "run-vocabulary"), force=True)
+    known = terms.join(F.broadcast(vocab), "term")
+
+    def learned(label: int, fold: int, epoch: int) -> F.Column:
+        return (F.col("label") == label) & (F.col("fold") != fold) & (F.col("part") <= epoch)
+
+    runs = [(y, f, e) for y in (0, 1) for f in range(1, K_FOLDS + 1) for e in range(1, EPOCHS + 1)]
+    counts = known.groupBy("term").agg(*[F.sum(F.when(learned(*r), F.col("tf")).otherwise(0)).alias("c{}_{}_{}".format(*r)) for r in runs])
+    totals = counts.agg(*[F.sum("c{}_{}_{}".format(*r)).alias("n{}_{}_{}".format(*r)) for r in runs], F.count(F.lit(1)).alias("_k"))
+    met = counts.crossJoin(F.broadcast(totals))  # one row
+    of_term = [
+        F.log((F.col(f"c1_{f}_{e}") + a) / (F.col(f"n1_{f}_{e}") + a * F.col("_k")))
+        - F.log((F.col(f"c0_{f}_{e}") + a) / (F.col(f"n0_{f}_{e}") + a * F.col("_k")))
+        for _, a, f, e in _specs()
+    ]
+    docs = train.agg(*[F.count_if(learned(*r)).alias("d{}_{}_{}".format(*r)) for r in runs])
+    prior = [F.log((F.col(f"d1_{f}_{e}") + 1.0) / (F.col(f"d0_{f}_{e}") + 1.0)) for _, _, f, e in _specs()]
+    out = met.select("term", F.array(*of_term).alias("w")).unionByName(docs.select(F.lit(None).cast("string").alias("term"), F.array(*prior).alias("w")))
+    return materialize(out, scratch_path(rows.sparkSession, "run-weights"), force=True)
+
+
+def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, is_test, own_fold, part, model, fold, epoch, score): every
+    text under every run; score is the probability of class 1."""
+    rows = run_rows(spark, sf_dir)
+    w = weights(rows)
+    known = _long(rows, "id").join(F.broadcast(w.filter(F.col("term").isNotNull())), "term")  # VOCABULARY rows
+    specs = _specs()
+    sums = known.groupBy("id").agg(*[F.sum(F.col("tf") * F.col("w")[i]).alias(f"s{i}") for i in range(len(specs))])
+    prior = w.filter(F.col("term").isNull()).select(F.col("w").alias("_prior"))  # one row
+    met = rows.drop("term_counts").join(sums, "id", "left").crossJoin(F.broadcast(prior))
+    run = F.array(*[
+        F.struct(F.lit(m).alias("model"), F.lit(f).alias("fold"), F.lit(e).alias("epoch"),
+                 (F.col("_prior")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0.0))).alias("margin"))
+        for i, (m, _, f, e) in enumerate(specs)
+    ])
+    long = met.select("id", "label", "is_test", F.col("fold").alias("own_fold"), "part", F.explode(run).alias("r"))
+    score = 1.0 / (1.0 + F.exp(-F.col("r.margin")))
+    out = long.select("id", "label", "is_test", "own_fold", "part", "r.model", "r.fold", "r.epoch", score.alias("score"))
+    out = out.withColumn("predicted_label", (F.col("score") > 0.5).cast("int"))
+    return materialize(out, scratch_path(spark, "run-scores"), force=True)
+
+
+def _log(scores: DataFrame) -> DataFrame:
+    s = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))
+    loss = -(F.col("label") * F.log(s) + (1 - F.col("label")) * F.log(1 - s))
+    held = F.col("own_fold") == F.col("fold")
+    seen = ~held & (F.col("part") <= F.col("epoch"))
+    of = lambda y, p: F.count_if(held & (F.col("label") == y) & (F.col("predicted_label") == p))
+    per = scores.filter(~F.col("is_test")).groupBy("model", "fold", "epoch").agg(
+        F.avg(F.when(held, loss)).alias("eval_loss"), F.avg(F.when(seen, loss)).alias("train_loss"),
+        of(1, 1).alias("tp"), of(0, 1).alias("fp"), of(1, 0).alias("fn"), of(0, 0).alias("tn"),
     )
-    from pyspark.sql import Window
-
-    run = Window.partitionBy("model", "epoch")  # k rows per group
-    per = per.withColumn("loss_all", F.sum("loss_sum").over(run)).withColumn("n_all", F.sum("n").over(run))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     eval_rows = per.select(
-        "model", "fold", "epoch", F.lit("eval").alias("kind"),
-        (F.col("loss_sum") / F.col("n")).alias("loss"),
-        E._ratio(tp + tn, F.col("n")).alias("accuracy"),
+        "model", "fold", "epoch", F.lit("eval").alias("kind"), F.col("eval_loss").alias("loss"),
+        E._ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
         E._ratio(tp, tp + fp).alias("precision"),
         E._ratio(tp, tp + fn).alias("recall"),
         E._ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
     )
     null = F.lit(None).cast("double")
     train_rows = per.select(
-        "model", "fold", "epoch", F.lit("train").alias("kind"),
-        ((F.col("loss_all") - F.col("loss_sum")) / (F.col("n_all") - F.col("n"))).alias("loss"),
+        "model", "fold", "epoch", F.lit("train").alias("kind"), F.col("train_loss").alias("loss"),
         null.alias("accuracy"), null.alias("precision"), null.alias("recall"), null.alias("f1"),
     )
     return eval_rows.unionByName(train_rows)
 
 
-def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log entries having both an F1 and an epoch."""
-    log = epoch_log(spark, sf_dir)
-    return log.filter(F.col("f1").isNotNull() & F.col("epoch").isNotNull()).select(
+def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training log: per (model, fold, epoch) an ``eval`` row with the metrics
+    on the fold's validation rows and a ``train`` row with the mean loss on
+    the rows learned so far (metrics null)."""
+    return _log(run_scores(spark, sf_dir))
+
+
+def eval_log(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None) -> DataFrame:
+    """Log entries having both an F1 and an epoch; stored (runs x folds x
+    epochs rows)."""
+    log = _log(run_scores(spark, sf_dir) if scores is None else scores)
+    log = log.filter(F.col("f1").isNotNull() & F.col("epoch").isNotNull()).select(
         "model", "fold", "epoch", "f1", "accuracy", "precision", "recall"
     )
+    return materialize(log.coalesce(1), scratch_path(spark, "run-log"), force=True)
 
 
-def stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W2 per (model, fold)."""
-    return E.early_stopping(eval_log(spark, sf_dir), ["model", "fold"], "epoch", "f1", PATIENCE)
+def stopping(log: DataFrame) -> DataFrame:
+    """W2 per (model, fold) of an ``eval_log``."""
+    return E.early_stopping(log, ["model", "fold"], "epoch", "f1", PATIENCE)
 
 
-def fold_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per (model, fold): the metrics of the best epoch among those run."""
-    st = stopping(spark, sf_dir).select("model", "fold", F.col("best_epoch").alias("epoch"))
-    return eval_log(spark, sf_dir).join(st, ["model", "fold", "epoch"])
+def epochs_run(log: DataFrame) -> DataFrame:
+    """The log as early stopping leaves it: no epoch after the stop."""
+    st = stopping(log).select("model", "fold", "stop_epoch")
+    return log.join(st, ["model", "fold"]).filter(F.col("stop_epoch").isNull() | (F.col("epoch") <= F.col("stop_epoch"))).drop("stop_epoch")
 
 
-def best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per model, the (fold, epoch) with the highest F1 (first fold
-    and epoch on ties)."""
-    return E.best_row(eval_log(spark, sf_dir), ["model"], "f1", ["fold", "epoch"])
+def fold_results(log: DataFrame) -> DataFrame:
+    """Per (model, fold): the metrics of the best epoch among those run."""
+    st = stopping(log).select("model", "fold", F.col("best_epoch").alias("epoch"))
+    return log.join(st, ["model", "fold", "epoch"])
 
 
-def run_registry(spark: SparkSession) -> DataFrame:
-    """The runs table: (model, epoch, weight)."""
-    rows = [(m, e + 1, w) for m, ws in RUN_EPOCH_WEIGHTS for e, w in enumerate(ws)]
-    return spark.createDataFrame(rows, "model string, epoch int, weight int")
+def best_run(log: DataFrame) -> DataFrame:
+    """Per model, the (fold, epoch) with the highest F1 among the
+    epochs run (first fold and epoch on ties)."""
+    return E.best_row(epochs_run(log), ["model"], "f1", ["fold", "epoch"])
 
 
 def best_run_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score the test split with each model's selected run."""
-    reg = run_registry(spark).select("model", F.col("epoch").alias("best_epoch"), "weight")
-    chosen = best_run(spark, sf_dir).join(reg, ["model", "best_epoch"]).select("model", "best_fold", "best_epoch", "weight")
-    test = fold_assignments(spark, sf_dir).filter(F.col("is_test")).select("id", "label")
-    # one row per model: bounded broadcast
-    rows = test.crossJoin(F.broadcast(chosen))
-    s = salted_score(F.concat(F.col("model"), F.lit(":"), F.col("best_epoch").cast("string")), F.col("weight"))
-    rows = rows.withColumn("predicted_label", (s >= 0.5).cast("int"))
+    scores = run_scores(spark, sf_dir)
+    chosen = best_run(eval_log(spark, sf_dir, scores)).select("model", "best_fold", "best_epoch")
+    test = scores.filter("is_test").withColumnsRenamed({"fold": "best_fold", "epoch": "best_epoch"})
+    rows = test.join(F.broadcast(chosen), ["model", "best_fold", "best_epoch"])  # one row per model
     return E.binary_metrics(rows, group_cols=["model", "best_fold", "best_epoch"])
 
 
-def comparison_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test-split predictions of every comparison scorer: (name, id, label, score, predicted_label)."""
-    test = fold_assignments(spark, sf_dir).filter(F.col("is_test")).select("id", "label")
-    cfg = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("weight")) for n, w in COMPARISON_SCORERS])
-    rows = test.select("id", "label", F.explode(cfg).alias("c")).select("id", "label", "c.name", "c.weight")
-    s = salted_score(T.normalise_name(F.col("name")), F.col("weight"))
-    return rows.select("name", "id", "label", s.alias("score"), (s >= 0.5).cast("int").alias("predicted_label"))
-
-
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E12 + O2: one row per model (normalised name), F1 rank."""
-    m = E.binary_metrics(comparison_predictions(spark, sf_dir), group_cols=["name"])
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.col("f1").desc(), F.col("name"))  # one row per model
-    return m.select(T.normalise_name("name").alias("name"), "accuracy", "f1", F.row_number().over(w).cast("bigint").alias("position"))
+    m = best_run_test_metrics(spark, sf_dir)
+    w = Window.orderBy(F.col("f1").desc(), F.col("model"))  # one row per model
+    return m.select(T.normalise_name("model").alias("name"), "accuracy", "f1", F.row_number().over(w).cast("bigint").alias("position"))

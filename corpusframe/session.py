@@ -9,6 +9,7 @@ cuts) always goes under the shared folder the session names in
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -43,10 +44,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; set a local one only if unset."""
+    """The session's shared checkpoint folder. Only a session whose driver and
+    executors are one process (``local`` master: tests, bench) gets a folder of
+    its own if it names none; on a cluster a folder that all executors share
+    must be named in ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
-    path = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="corpusframe-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

@@ -1,14 +1,13 @@
 """File sources and sinks.
 
 Every path a job writes by default lies under the session's shared
-checkpoint folder (``spark.checkpoint.dir``), never a machine-local one.
+checkpoint folder (``spark.checkpoint.dir``); see ``session.checkpoint_dir``.
 Writes are whole-directory commits (``_SUCCESS`` marker), so a job that loses
 executors re-runs the failed tasks and a half-written folder is never read.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,15 +78,25 @@ def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def run_report(report: DataFrame, parameters: dict, id_cols: Sequence[str] = (), written_at=None) -> DataFrame:
+    """S7 report: one row per line of a classification report (with its id
+    columns, e.g. the fold), the run's parameters as a map, and the time of
+    writing (now unless given)."""
+    pairs = [x for k, v in sorted(parameters.items()) for x in (F.lit(str(k)), F.lit(str(v)))]
+    return report.select(
+        *id_cols, *[c for c in report.columns if c not in id_cols],
+        F.create_map(*pairs).alias("parameters"),
+        (F.current_timestamp() if written_at is None else F.lit(written_at).cast("timestamp")).alias("written_at"),
+    )
+
+
+def first_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """O3: the ``n`` rows of smallest id, in id order (a distributed top-n)."""
+    return df.orderBy(id_col).limit(n)
+
+
 def long_metrics(df: DataFrame, id_cols: Sequence[str], metric_cols: Sequence[str]) -> DataFrame:
     """S7 layout: ``(id..., metric, value)``."""
     return df.select(*id_cols, *[F.col(c).cast("double").alias(c) for c in metric_cols]).unpivot(
         list(id_cols), list(metric_cols), "metric", "value"
     )
-
-
-def output_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint folder."""
-    from corpusframe.session import checkpoint_dir
-
-    return os.path.join(checkpoint_dir(spark), *parts)
