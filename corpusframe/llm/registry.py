@@ -30,6 +30,7 @@ QUERIES = {
 
 ORACLE = {
     "op4_mixing": mixing.ORACLE_SQL,
+    "op5_secrets": secrets.oracle_sql(),
     "op9_quality_rules": quality_rules.oracle_sql(),
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -246,3 +246,77 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
+
+
+def _spans_sql(name: str, pattern: str, group: int = 0) -> str:
+    """CTE of the matches of one pattern with their places."""
+    p = pattern.replace("'", "''")
+    return f"""
+{name}0 AS (SELECT rid, unnest(regexp_extract_all(t, '{p}')) AS w, unnest(regexp_extract_all(t, '{p}', {group})) AS g,
+           unnest(regexp_split_to_array(t, '{p}')[1:len(regexp_extract_all(t, '{p}'))]) AS piece,
+           unnest(range(len(regexp_extract_all(t, '{p}')))) AS i FROM d WHERE regexp_matches(t, '{p}')),
+{name} AS (SELECT rid, w, g, (sum(length(piece)) OVER o + coalesce(sum(length(w)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS s
+           FROM {name}0 WINDOW o AS (PARTITION BY rid ORDER BY i))"""
+
+
+def _erfc_sql(z: str) -> str:
+    fit = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5::DOUBLE * abs({z})))"
+    poly = "0.0::DOUBLE"
+    for c in reversed(fit):
+        poly = f"({c!r}::DOUBLE + {t} * {poly})"
+    tail = f"({t} * exp(-{z} * {z} + {poly}))"
+    return f"(CASE WHEN {z} >= 0 THEN {tail} ELSE 2.0::DOUBLE - {tail} END)"
+
+
+def oracle_sql() -> str:
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    keywords = "|".join(either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    assign = f"({keywords})" + ASSIGN[ASSIGN.index("[\"']?") :]
+    mixes = {"hex": ("[0-9]", "[a-fA-F]"), "base32": ("[2-7]", "[A-Z]"), "lower": ("[0-9]", "[a-z]"), "upper": ("[0-9]", "[A-Z]"), "base64": ("[0-9]", "[a-z]", "[A-Z]")}
+    shapes = {name: shape[shape.rindex("(?=") :].split(")", 1)[1].strip("^$") for name, shape, *_ in ENCODINGS}
+    encoding = " ".join(
+        f"WHEN regexp_full_match(canon, '{shapes[n]}') AND " + " AND ".join(f"regexp_matches(canon, '{x}')" for x in mixes[n]) + f" THEN '{n}'"
+        for n, *_ in ENCODINGS
+    )
+    facts = ", ".join(f"('{n}', '{a}', {two!r}::DOUBLE, {three!r}::DOUBLE)" for n, _, a, two, three in ENCODINGS)
+    two_sided = lambda z: _erfc_sql(f"(abs({z}) / sqrt(2.0::DOUBLE))")
+    kinds = "['" + "','".join(KINDS) + "']"
+    size = " ".join(f"WHEN e - s >= {low} THEN {k}" for k, low in reversed(list(enumerate(LENGTHS))))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+{_spans_sql('a', assign, 2)},{_spans_sql('k', ACCESS)},{_spans_sql('h', LONG_HEX)},{_spans_sql('r', CANDIDATE)},
+base AS (SELECT rid, s, 0 AS kind, s + length(w) AS e FROM a WHERE length(g) >= 6
+         UNION ALL SELECT rid, s, 1, s + length(w) FROM k WHERE length(w) >= 20
+         UNION ALL SELECT rid, s, 2, s + length(w) FROM h),
+c0 AS (SELECT row_number() OVER () AS cid, rid, s, s + length(w) AS e, translate(rtrim(w, '='), '-_', '+/') AS canon FROM r
+       WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.s < r.s + length(r.w) AND r.s < b.e)),
+c1 AS (SELECT *, CASE {encoding} END AS enc FROM c0),
+c2 AS (SELECT cid, rid, s, e, CASE WHEN enc = 'hex' THEN lower(canon) ELSE canon END AS word, alphabet, length(alphabet)::DOUBLE AS size, two, three
+       FROM c1 JOIN (VALUES {facts}) f(name, alphabet, two, three) ON enc = name),
+ch AS (SELECT cid, i, strpos(alphabet, substr(word, i::INTEGER, 1))::DOUBLE AS x, size FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM c2)),
+cm AS (SELECT *, x - avg(x) OVER (PARTITION BY cid) AS dev, (x > size // 2)::INTEGER AS bit FROM ch),
+cl AS (SELECT *, lead(dev) OVER o AS ahead, lag(bit) OVER o AS past FROM cm WINDOW o AS (PARTITION BY cid ORDER BY i)),
+st AS (SELECT cid, count(*)::DOUBLE AS n, sum(bit)::DOUBLE AS ones, count_if(past IS NULL OR past <> bit) AS runs, sum(dev * dev) AS total, sum(dev * coalesce(ahead, 0)) AS lagged
+       FROM cl GROUP BY cid),
+sq AS (SELECT cid, sum(m * m)::DOUBLE AS q FROM (SELECT cid, x, count(*) AS m FROM ch GROUP BY ALL) GROUP BY cid),
+z0 AS (SELECT c2.*, n, q, ones, runs, total, lagged, size - 1 AS f, 2.0::DOUBLE * ones * (n - ones) AS cross_, n * (n - 1) / 2 AS pairs, n * (n - 1) * (n - 2) / 6 AS triples
+       FROM c2 JOIN st USING (cid) JOIN sq USING (cid)),
+z AS (SELECT *, ((pow(greatest(size / n * q - n, 0) / f, {1 / 3!r}::DOUBLE) - (1 - 2 / (9 * f))) / sqrt(2 / (9 * f))) / sqrt(2.0::DOUBLE) AS zu,
+             cross_ * (cross_ - n) / (n * n * (n - 1)) AS spread,
+             (pairs * two - (q - n) / 2) / sqrt(pairs * (two - two * two) + 6 * triples * greatest(0, three - two * two)) / sqrt(2.0::DOUBLE) AS zn FROM z0),
+y AS (SELECT *, CASE WHEN spread > 0 THEN (runs - cross_ / n - 1) / sqrt(spread) END AS zr, CASE WHEN total > 0 THEN (lagged / total + 1 / n) * sqrt(n) END AS zs FROM z),
+p AS (SELECT cid, rid, s, e, CASE WHEN 3 * least(0.5 * {_erfc_sql('zu')}, CASE WHEN zr IS NULL THEN 0 ELSE {two_sided('zr')} END,
+             CASE WHEN zs IS NULL THEN 0 ELSE {two_sided('zs')} END) >= {GATE} THEN 0.5 * {_erfc_sql('zn')} ELSE 1.0::DOUBLE END AS p FROM y),
+b AS (SELECT *, CASE {size} ELSE 0 END AS len_class,
+             least(floor(CASE WHEN p > 0 THEN -log10(least(p, 1)) ELSE {MOST_DECADES} END * {BINS_A_DECADE}), {MOST_DECADES * BINS_A_DECADE})::INTEGER AS bin FROM p),
+bc AS (SELECT len_class, bin, count(*) AS m FROM b GROUP BY ALL),
+up AS (SELECT *, sum(m) OVER (PARTITION BY len_class ORDER BY bin DESC) AS found, sum(m) OVER (PARTITION BY len_class) AS every FROM bc),
+lim AS (SELECT len_class, min(bin) AS least_bin FROM up WHERE pow(10.0::DOUBLE, -bin / {float(BINS_A_DECADE)!r}::DOUBLE) * every <= {FDR} * found GROUP BY len_class),
+every_span AS (SELECT * FROM base UNION ALL SELECT rid, s, 3, e FROM b JOIN lim USING (len_class) WHERE bin >= least_bin),
+g AS (SELECT rid, count_if(kind = 0) AS n_assign, count_if(kind = 1) AS n_access, count_if(kind = 2) AS n_hex, count_if(kind = 3) AS n_random,
+             string_agg({kinds}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3) AS b,
+             string_agg({kinds}[kind + 1] || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS spans FROM every_span GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0)::BIGINT AS n_random FROM d LEFT JOIN g USING (rid)
+"""

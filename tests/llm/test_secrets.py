@@ -78,3 +78,24 @@ def test_no_user_function(spark):
 
 def test_empty_table(spark):
     assert secrets.secret_report(docs_of(spark, [])).count() == 0
+
+
+def test_sql_agrees_with_added_spans_too(spark, tmp_path):
+    import duckdb
+
+    rnd = random.Random(2)
+    alphabets = {"hexhex": "0123456789ABCDEF", "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "low": "abcdefghijklmnopqrstuvwxyz0123456789"}
+    data = rows()
+    for k in range(120):
+        a = rnd.choice(list(alphabets.values()))
+        data.append((1000 + k, f"ü {''.join(rnd.choice(a) for _ in range(rnd.randrange(18, 150)))}= x " + "Word" * rnd.randrange(4, 9) + "1a"))
+    docs = docs_of(spark, data)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(secrets.oracle_sql())
+    names = [c[0] for c in want.description]
+    want = sorted(want.fetchall(), key=str)
+    got = sorted((tuple(r[c] for c in names) for r in secrets.secret_report(docs).collect()), key=str)
+    assert got == want
+    assert sum(r[names.index("n_random")] for r in got) > 20
