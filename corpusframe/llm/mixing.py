@@ -31,6 +31,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BUCKETS = 4096
+#: Weights from here up spread over the ranges with at most weight / LEAST_WEIGHT
+#: times an even share in one; other weights only make ranges less even.
+LEAST_WEIGHT = 0.5
 SEED = "mix"
 
 
@@ -60,7 +63,7 @@ def _source_key(source_col: str) -> Column:
 def rows_of(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None = None) -> list[Column]:
     """The columns that decide a row: source key, id, size, key and its range."""
     key = sampling_key(id_col, quality_weight(text_col) if weight is None else weight)
-    at = F.least(F.floor(F.lit(BUCKETS) * (1 - F.exp(-key))), F.lit(BUCKETS - 1)).cast("int")
+    at = F.least(F.floor(F.lit(BUCKETS) * (1 - F.exp(-key * LEAST_WEIGHT))), F.lit(BUCKETS - 1)).cast("int")
     return [_source_key(source_col).alias("src"), F.col(id_col).alias("id"), size_of(text_col).alias("size"), key.alias("key"), at.alias("range")]
 
 
