@@ -139,3 +139,53 @@ def test_html_literal_cases(spark):
 def test_ordinary_rows_hand_python_a_null(spark, monkeypatch):
     plan = spark.createDataFrame([("<p>x",)], "h string").select(html_to_text("h"))._jdf.queryExecution().executedPlan().toString()
     assert "CASE WHEN" in plan.split("ArrowEvalPython")[1].split("\n")[0] or "_html_to_text_rare(CASE" in plan
+
+
+def test_histogram_edges(spark):
+    d = spark.createDataFrame([("same", 5.0)] * 4 + [("range", float(x)) for x in (0, 1, 5, 10, 10)], "g string, v double")
+    got = {(r["g"], r["bin"]): r["n"] for r in profile.histogram(d, "v", "g", 10).collect()}
+    assert got["same", 5] == 4 and got["range", 9] == 2 and got["range", 0] == 1 and got["range", 1] == 1 and len(got) == 20
+
+
+def test_metrics_without_a_positive_prediction(spark):
+    from corpusframe.operators import evaluation as E
+
+    d = spark.createDataFrame([(1, 0), (0, 0), (0, 0)], "label int, predicted_label int")
+    r = E.binary_metrics(d).first()
+    assert (r["accuracy"], r["precision"], r["recall"], r["f1"], r["support"]) == (pytest.approx(2 / 3), 0.0, 0.0, 0.0, 1)
+    tied = spark.createDataFrame([(1, 0.5), (0, 0.5), (0, 0.5)], "label int, score double")
+    assert E.roc_auc(tied).first()[0] == 0.5
+
+
+def test_early_stopping_replay(spark):
+    from corpusframe.operators import evaluation as E
+
+    logs = {
+        "two misses": [0.5, 0.6, 0.6, 0.4, 0.9],  # a tie is a miss: stops at epoch 4
+        "never improves": [0.3, 0.2, 0.1, 0.9],
+        "always improves": [0.1, 0.2, 0.3],
+        "recovers": [0.5, 0.4, 0.6, 0.5],
+    }
+    rows = [(m, e + 1, x) for m, xs in logs.items() for e, x in enumerate(xs)]
+    got = {r["run"]: r for r in E.early_stopping(spark.createDataFrame(rows, "run string, epoch int, f1 double"), ["run"], "epoch", "f1", 2).collect()}
+    want = {"two misses": (4, 4, 2, 0.6), "never improves": (3, 3, 1, 0.3), "always improves": (3, None, 3, 0.3), "recovers": (4, None, 3, 0.6)}
+    assert {m: (r["epochs_run"], r["stop_epoch"], r["best_epoch"], r["best_f1"]) for m, r in got.items()} == want
+
+
+def test_splits_of_tiny_classes(spark):
+    d = spark.createDataFrame([(i, int(i == 0)) for i in range(11)], "id int, label int")
+    out = SP.split_and_folds(d, "id", "label", 0.2, 5)
+    assert out.filter("is_test").count() == 3 and out.filter("not is_test").select("fold").distinct().count() == 5
+    few = SP.stratified_kfold(d.filter("id < 3"), "id", "label", 5)
+    assert few.count() == 3 and few.select("fold").distinct().count() == 3
+
+
+def test_features_of_unseen_and_constant_values(spark):
+    train = spark.createDataFrame([(1, ["a", "b"], 2.0, 7.0), (2, ["a"], 4.0, 7.0)], "id int, terms array<string>, x double, c double")
+    other = spark.createDataFrame([(3, ["z"], 6.0, 9.0), (4, ["a", "z"], 2.0, 7.0)], "id int, terms array<string>, x double, c double")
+    w = {(r["id"], r["term"]): r["weight"] for r in G.tfidf_long(other, ["id"], "terms", G.fit_vocabulary(train, "terms", 10)).collect()}
+    assert w == {(4, "a"): 1.0}
+    std = {r["id"]: (r["x_scaled"], r["c_scaled"]) for r in G.apply_standard_scaler(other, G.fit_standard_scaler(train, ["x", "c"]), ["x", "c"]).collect()}
+    assert std == {3: (3.0, 2.0), 4: (-1.0, 0.0)}
+    mm = {r["id"]: (r["x_scaled"], r["c_scaled"]) for r in G.apply_minmax_scaler(other, G.fit_minmax_scaler(train, ["x", "c"]), ["x", "c"]).collect()}
+    assert mm == {3: (2.0, 2.0), 4: (0.0, 0.0)}
