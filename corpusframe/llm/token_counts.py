@@ -20,7 +20,8 @@ The vocabulary is a parameter: pairs of piece and score. The query's comes from
 the public 32k model's pieces and scores.
 
 Defined cases: null counts as empty; an empty text has no tokens; rows are
-treated one by one; texts are worked through in slices of ``SLICE`` words.
+treated one by one; texts of over ``LONG`` characters are worked
+through in slices of ``SLICE`` words.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ BLANK = "▁"
 MODEL = "piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
 SLICE = 1 << 16
+LONG = 1 << 18
 CACHED_WORDS = 500_000
 _LOW = float("-inf")
 
@@ -106,13 +108,22 @@ class UnigramCounter:
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         cache, total = self.cache, 0
-        found = (m.group() for m in self.words.finditer(BLANK + text.replace(" ", BLANK)))
-        while part := list(islice(found, SLICE)):
+        for part in self.slices(text):
             for w in set(part).difference(cache):
                 cache[w] = self.word(w)
             total += sum(map(cache.__getitem__, part))
         return total
 
+    def slices(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, a bounded number at a time."""
+        marked = BLANK + text.replace(" ", BLANK)
+        if len(text) <= LONG:
+            yield self.words.findall(marked)
+            return
+        found = (m.group() for m in self.words.finditer(marked))
+        while part := list(islice(found, SLICE)):
+            yield part
+
 
 @lru_cache(maxsize=2)
 def _counter(vocabulary: Vocabulary) -> UnigramCounter:
