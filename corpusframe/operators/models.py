@@ -91,7 +91,7 @@ class CalibratedSVM:
     def fit(self, df: DataFrame, id_col: str = "id") -> "CalibratedSVM":
         """A newly fitted model; folds are stratified (X2). ``id_col`` is
         unique; its rows are joined to their folds."""
-        d = stratified_kfold(df, id_col, self.label, self.k, SEED)
+        d = stratified_kfold(df.select(id_col, self.label, self.features), id_col, self.label, self.k, SEED)
         out = CalibratedSVM(self.k, self.reg, self.features, self.label)
         for i in range(1, self.k + 1):
             svm = LinearSVC(regParam=self.reg, featuresCol=self.features, labelCol=self.label).fit(d.filter(F.col("fold") != i))
