@@ -131,7 +131,8 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = templates(docs.sparkSession)
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - (n - 1), F.lit(1))), lambda i: F.slice("words", i, n))
     windows = known.select("family", F.explode(F.flatten(F.array(F.array("words"), *[cut(n) for n in WINDOWS]))).alias("words")).distinct()
-    mixed = windows.select(F.explode("words").alias("w")).distinct().crossJoin(docs.sparkSession.range(NEGATIVES // 8).select("id"))
+    mixed = windows.select(F.explode("words").alias("w")).distinct()
+    mixed = mixed.select("w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(NEGATIVES // 8 - 1).cast("long"))).alias("id"))
     mixed = mixed.withColumn("h", F.xxhash64("w", "id")).where(F.pmod("h", F.lit(16)) == 0)
     mixed = mixed.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("h", "w"))), lambda x: x["w"]).alias("words"))
     mixed = mixed.select(F.lit(UNKNOWN).alias("family"), F.slice("words", 1, 12).alias("words"))
