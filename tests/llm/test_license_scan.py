@@ -30,7 +30,7 @@ def test_notices_in_the_documents(documents, model):
     want = set()
     for r in documents.select("doc_id", "text").collect():
         for notice, family in NOTICES.items():
-            if notice in re.split(r"(?<=[.!?])\s+|\n\n", r["text"]):
+            if notice in re.split(r"(?<=[.!?])\s+|\n", r["text"]):
                 want.add((r["doc_id"], family))
     got = {(r["doc_id"], r["family"]) for r in L.license_report(documents, model=model).collect()}
     assert got == want and len(want) > 20
