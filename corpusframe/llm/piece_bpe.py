@@ -16,8 +16,11 @@ from one merge ends before the next). Pairs of equal score merge one at a time.
 Finished words leave the arrays; rounds go on until no pair remains. Characters
 without a piece become their UTF-8 bytes' pieces.
 
-Texts are worked through in slices of ``SLICE`` words, so a very long text
-needs no more memory than its slices and its ids.
+Rows are taken ``ROWS`` at a time. Texts of over ``LONG`` characters are worked
+through in slices of ``SLICE`` words, so a very long text needs no more memory
+than its slices and its ids. A word's ids, their decimal form and their decoded
+bytes are kept with it: ids decode piece by piece, so a text's decoded form is
+its words' forms in a row, less the dummy prefix.
 
 Defined cases: null counts as empty; an empty text has no ids and decodes to
 an empty text; rows are treated one by one; other columns pass through.
@@ -44,6 +47,7 @@ MODEL = "piece_bpe_32k.model"
 LONGEST = 16
 APART = 64
 SLICE = 1 << 16
+ROWS, LONG = 400, 1 << 18
 CACHED_WORDS = 400_000
 _NONE = np.iinfo(np.int32).max
 
@@ -98,7 +102,7 @@ class PieceBpe:
         self.is_byte = np.array([sp.is_byte(i) for i in range(n)])
         self.shown = np.array([not sp.is_control(i) for i in range(n)])
         self.blank_first = np.array([p.startswith(BLANK) for p in pieces])
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache: dict[str, tuple[bytes, str, bytes]] = {}
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each pair; rank ``_NONE`` if it has no piece."""
@@ -167,15 +171,33 @@ class PieceBpe:
                     ids.append(s)
                 else:
                     ids += [self.byte_id[b] for b in chr(-1 - s).encode()]
-            self.cache[w] = (np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)))
+            decoded = b"".join([self.bytes_of[i] for i in ids])
+            self.cache[w] = (np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)), decoded)
             begin = end
 
     def slices(self, text: str | None) -> Iterator[list[str]]:
+        """The words of a text, in order, a bounded number at a time."""
         if text:
-            found = (m.group() for m in self.segment.finditer(BLANK + text.replace(" ", BLANK)))
+            marked = BLANK + text.replace(" ", BLANK)
+            if len(text) <= LONG:
+                yield self.segment.findall(marked)
+                return
+            found = (m.group() for m in self.segment.finditer(marked))
             while part := list(islice(found, SLICE)):
                 yield part
 
+    def digests(self, parts: Iterable[list[str]]) -> tuple[np.ndarray, str, str]:
+        """ids, and the hashes of their decimal form and of the decoded text,
+        of a text given as slices of learned words."""
+        shown, back, flat = hashlib.sha256(), hashlib.sha256(), []
+        for part in parts:
+            got = [self.cache[w] for w in part]
+            shown.update((("," if flat else "") + ",".join([x[1] for x in got])).encode())
+            raw = b"".join([x[2] for x in got])
+            back.update(raw if flat else raw[1:])  # the first piece starts with the dummy prefix
+            flat.append(b"".join([x[0] for x in got]))
+        return np.frombuffer(b"".join(flat), np.int32), shown.hexdigest(), back.hexdigest()
+
     def encode(self, text: str | None) -> np.ndarray:
         out = []
         for part in self.slices(text):
@@ -236,31 +258,23 @@ def encode(docs: DataFrame, text_col: str = "text", model: bytes | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(sent)
         for b in batches:
-            texts = b.column(text_col)
-            if len(bpe.cache) > CACHED_WORDS:
-                bpe.cache.clear()
-            new: set[str] = set()
-            for t in texts:
-                for part in bpe.slices(t.as_py()):
-                    new.update(w for w in part if w not in bpe.cache)
-            bpe.learn(new)
-            count, hashed, back, ids_of = [], [], [], []
-            for t in texts:
-                h, flat = hashlib.sha256(), []
-                for part in bpe.slices(t.as_py()):
-                    got = [bpe.cache[w] for w in part]
-                    h.update((("," if flat else "") + ",".join([x[1] for x in got])).encode())
-                    flat.append(b"".join([x[0] for x in got]))
-                ids = np.frombuffer(b"".join(flat), np.int32)
-                count.append(len(ids))
-                hashed.append(h.hexdigest())
-                back.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
-                ids_of.append(ids)
-            arrays = [pa.array(count, pa.int64()), pa.array(hashed, pa.string()), pa.array(back, pa.string())]
-            if with_ids:
-                arrays.append(pa.array(ids_of, pa.list_(pa.int32())))
-            tokens = pa.StructArray.from_arrays(arrays, names=[f.name for f in fields])
-            yield pa.RecordBatch.from_arrays([*b.columns, tokens], names=[*b.schema.names, out])
+            for at in range(0, b.num_rows, ROWS):
+                rows = b.slice(at, ROWS)
+                texts = rows.column(text_col).to_pylist()
+                if len(bpe.cache) > CACHED_WORDS:
+                    bpe.cache.clear()
+                held = [None if t and len(t) > LONG else list(bpe.slices(t)) for t in texts]
+                new: set[str] = set()
+                for t, parts in zip(texts, held):
+                    for part in bpe.slices(t) if parts is None else parts:
+                        new.update(part)
+                bpe.learn(new)
+                done = [bpe.digests(bpe.slices(t) if parts is None else parts) for t, parts in zip(texts, held)]
+                arrays = [pa.array([len(d[0]) for d in done], pa.int64()), *(pa.array([d[k] for d in done], pa.string()) for k in (1, 2))]
+                if with_ids:
+                    arrays.append(pa.array([d[0] for d in done], pa.list_(pa.int32())))
+                tokens = pa.StructArray.from_arrays(arrays, names=[f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([*rows.columns, tokens], names=[*rows.schema.names, out])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, StructType(fields))])), out
 
