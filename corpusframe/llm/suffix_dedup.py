@@ -324,7 +324,7 @@ def _counted_windows(strings: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["digest", "start", "single", "window"])
 
     found = stored(strings.mapInArrow(run, "digest binary, start long, single boolean, window binary"), "suffix-windows")
-    again = found.groupBy("window").count().where("count > 1").select("window")
+    again = stored(found.groupBy("window").count().where("count > 1").select("window"), "suffix-again")
     return found.where("single").join(again, "window", "left_semi").select("digest", "start", F.lit(1).cast("long").alias("windows"))
 
 
@@ -361,7 +361,8 @@ def repeats_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     segs = stored(_segments_of(texts, length, gram), "suffix-segments")
 
     anchors = segs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b"))
-    anchors = anchors.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed"))
+    # Stored, so that the join shuffles both sides itself and can split an anchor with very many segments.
+    anchors = stored(anchors.where("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("mixed")), "suffix-anchors")
     again = stored(segs.join(anchors, "anchor"), "suffix-repeated")
     mixed = again.where("mixed")
     kinds = mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "place")).alias("one"))
