@@ -10,6 +10,15 @@ template comparison then confirms: the sentence and a template of the predicted
 family must share at least ``SIMILARITY`` of the five-word shingles of the
 shorter one.
 
+Short notices (identifiers, titles, reworded notice lines) have few shingles or
+none, so units of at most ``SHORT`` words are also compared word by word: a unit
+that is made up of licence names (``NAMES``) between notice words only
+(``LEAD``, ``JOIN``, ``TAIL``; up to three words of any kind, as a project's
+name, may stand before "is ... under") is a notice of each licence it names,
+whatever the classifier says, with similarity 1 and the classifier's probability
+of that family. Web addresses are left out of this comparison. A name
+without a version counts; another version of a one-version family does not.
+
 Training rows: all windows of ``WINDOWS`` words of the templates, with their
 family; as ``unknown``, at most ``NEGATIVES`` sentences of the corpus (those of
 the documents with the smallest id hashes) and as many sentences of template
@@ -93,6 +102,49 @@ TEMPLATES = {
 }
 #: Every template sentence holds one of these; a paragraph without any has no notice.
 MARKERS = r"(?i)licen[sc]e|copyright|permission|redistribut|warrant|public domain|creative commons|software|source code"
+#: What may hold a notice: as above, or a licence name without any such word.
+NOTED = MARKERS + r"|licen[sc]|\bl?gpl|\bmpl\b|\bcc0|\bcc[ \-]by|\b(?:apache|asl)[ \-](?:version |v ?)?2|\bunder\b.{0,40}\b(?:mit|expat|bsd|isc)\b"
+#: End of a sentence; the stop of "v. 2.0" is none.
+STOP = r"(?<=[.!?])(?<![ ,][vV]\.)\s+"
+#: Longest unit compared word by word.
+SHORT = 24
+_TWO = r"(?: (?:version |v )?v?2(?:\.0)?)?"
+_GNU = r"(?: (?:version |v )?v?[1-3](?:\.[0-9])?)?"
+_CC = r"(?: v?[1-4]\.0)?(?: (?:international|unported|generic|universal))?(?: public)?(?: licen[sc]e)?"
+#: Family: its names in lower-case words. Names in ``_BARE`` mean other things
+#: too and need a word of licensing beside them.
+NAMES = {
+    "apache-2.0": rf"apache-(?:license-)?2(?:\.0)?(?: licen[sc]e)?|apache(?: software)? licen[sc]e{_TWO}|apache (?:version |v )?v?2(?:\.0)?(?: licen[sc]e)?|asl 2\.0",
+    "mit": r"(?:mit|expat|mit-style)(?: (?:x11 )?licen[sc]e)?",
+    "bsd": r"(?:(?:new|modified|revised|simplified|original|[0-4]-clause|two-clause|three-clause|four-clause) )?bsd(?:-style)?(?: (?:[0-4]|two|three|four)[ \-]clause)?"
+           r"(?: licen[sc]e)?|bsd-[0-4]-clause(?: licen[sc]e)?",
+    "gpl": rf"(?:gnu )?(?:general public licen[sc]e(?: gpl)?|gpl){_GNU}|(?:gnu )?gpl-?v?[1-3](?:\.[0-9])?(?:-only|-or-later)?",
+    "lgpl": rf"(?:gnu )?(?:(?:lesser|library) general public licen[sc]e(?: lgpl)?|lgpl){_GNU}|(?:gnu )?lgpl-?v?[1-3](?:\.[0-9])?(?:-only|-or-later)?",
+    "mpl-2.0": rf"mozilla public licen[sc]e(?: mpl)?{_TWO}|mpl-?v?2(?:\.0)?|mpl{_TWO}",
+    "isc": r"isc(?: licen[sc]e)?",
+    "cc-by-nc": rf"(?:cc[ \-]by[ \-]nc(?:-[1-4]\.0)?|creative commons attribution[ \-]non-?commercial){_CC}",
+    "cc-by-sa": rf"(?:cc[ \-]by[ \-]sa(?:-[1-4]\.0)?|creative commons attribution[ \-]share-?[ ]?alike){_CC}",
+    "cc-by": rf"(?:cc[ \-]by(?:-[1-4]\.0)?|creative commons attribution){_CC}",
+    "cc0": r"(?:cc0(?:-1\.0)?|creative commons(?: cc0)? zero|creative commons cc0)(?: v?1\.0)?(?: universal)?(?: public domain dedication)?(?: licen[sc]e)?",
+    "unlicense": r"unlicense(?: licen[sc]e)?",
+}
+_BARE = r"mit|expat|bsd|isc|mit-style|bsd-style"
+#: Words that may stand before the first name, between names and after the last.
+LEAD = (
+    "a|all|an|and|are|at|available|by|code|content|contents|copyright|covered|data|dataset|distributed|distribution|document|documentation|dual|dual-licensed|dually|"
+    "everything|file|files|following|free|governed|here|identifier|in|is|issued|it|its|library|licence|licences|licenced|license|licenses|licensed|licensing|made|material|"
+    "module|name|notice|of|offered|open|open-source|our|package|program|project|provided|publicly|published|released|repository|script|site|software|source|spdx|"
+    "spdx-license-identifier|subject|term|terms|conditions|text|texts|that|the|these|this|to|type|under|version|via|website|with|work|works|your|book|article|either|both"
+)
+JOIN = "and|or|the|a|an|with|under|at|your|option|either|any|later|version|licen[sc]es?|terms|of|only"
+TAIL = (
+    "licen[sc]es?|licensed|only|or|any|newer|later|version|versions|at|your|option|unless|except|where|otherwise|noted|stated|specified|see|for|details|more|information|the|file|in|"
+    "copy|copying|of|full|text|terms|and|as|published|by|free|software|foundation|"
+    "applies|exception|this|repository|project|md|txt|license\\.md|license\\.txt"
+)
+_ANY_NAME = "(?:" + "|".join(NAMES.values()) + ")"
+_NOTICE = rf"^ (?:(?:(?!not |no |never |without |if |unless )[^ ]+ ){{1,3}}(?:is|are) (?=[^.]*under ))?(?:(?:{LEAD}) )*{_ANY_NAME}(?: (?:(?:{JOIN}) ){{0,6}}{_ANY_NAME})* (?:(?:{TAIL}) )*$"
+_LICENSING = r" (?:licen[sc]\S*|spdx-license-identifier|unlicense|under|dual-licensed) "
 
 
 def words_of(text: Column) -> Column:
@@ -109,15 +161,31 @@ def shingles_of(words: Column) -> Column:
     return F.transform(F.array(words), of)[0]
 
 
-def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markers: str | None = MARKERS) -> DataFrame:
-    """(doc_id, sentence, words) of the paragraphs that hold a marker."""
+def named_in(sentence: Column) -> Column:
+    """Families that a short notice names; empty if the unit is none."""
+    words = words_of(F.regexp_replace(sentence, r"(?i)\bhttps?://\S+|\bwww\.\S+", " "))
+
+    def of(w: Column) -> Column:
+        line = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+        names = F.regexp_extract_all(line, F.lit(rf"(?<= ){_ANY_NAME}(?= )"), F.lit(0))
+        names = F.filter(names, lambda n: ~n.rlike(rf"^(?:{_BARE})$") | line.rlike(_LICENSING))
+        of_name = lambda n: F.coalesce(*[F.when(n.rlike(rf"^(?:{pattern})$"), F.lit(f)) for f, pattern in NAMES.items()])
+        short = F.size(w).between(1, SHORT) & ~sentence.rlike(r"\?\s*$")
+        return F.when(short & line.rlike(_NOTICE), F.array_distinct(F.transform(names, of_name))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(words), of)[0]
+
+
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markers: str | None = MARKERS, least: int = 1) -> DataFrame:
+    """(doc_id, sentence, words) of the paragraphs that hold a marker; units of
+    fewer than ``least`` words are left out."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.where(F.col("text").rlike(markers)) if markers else rows
     rows = rows.select("doc_id", F.explode(F.split("text", r"\n[ \t]*\n")).alias("paragraph"))
     rows = rows.where(F.col("paragraph").rlike(markers)) if markers else rows
-    units = F.array_distinct(F.concat(F.split("paragraph", r"(?<=[.!?])\s+"), F.split("paragraph", r"(?<=[.!?])\s+|\n")))
+    units = F.array_distinct(F.concat(F.split("paragraph", STOP), F.split("paragraph", STOP + r"|\n")))
     rows = rows.select("doc_id", F.explode(units).alias("sentence"))
-    return rows.withColumn("words", words_of(F.col("sentence"))).where(F.size("words") >= 3)
+    return rows.withColumn("words", words_of(F.col("sentence"))).where(F.size("words") >= least)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -137,7 +205,7 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = mixed.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("h", "w"))), lambda x: x["w"]).alias("words"))
     mixed = mixed.select(F.lit(UNKNOWN).alias("family"), F.slice("words", 1, 12).alias("words"))
     few = docs.select(id_col, text_col).orderBy(F.xxhash64(F.col(id_col)), F.xxhash64(text_col)).limit(NEGATIVES // 10)
-    few = sentences(few, id_col, text_col, markers=None).where(~F.col("sentence").rlike(MARKERS))
+    few = sentences(few, id_col, text_col, markers=None, least=3).where(~F.col("sentence").rlike(MARKERS))
     few = few.orderBy(F.xxhash64("sentence"), "sentence").limit(NEGATIVES).select(F.lit(UNKNOWN).alias("family"), "words")
     rows = windows.unionByName(mixed).unionByName(few)
     return rows.withColumn("held", F.pmod(F.xxhash64(F.array_join("words", " ")), F.lit(4)) == 0)
@@ -157,11 +225,24 @@ class LicenseModel:
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with words) and the best family with its probability."""
+        return self.scored(rows).select(*rows.columns, F.col("best.family").alias("family"), F.col("best.p").alias("probability"))
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``p``, the probability of each family in the order of
+        ``families``, and ``best`` (p, family)."""
         scored = self.model.transform(rows).withColumn("p", _softmax(vector_to_array("rawPrediction"), self.temperature))
         names = F.array(*[F.lit(f) for f in self.families])
         best = F.array_max(F.transform("p", lambda p, i: F.struct(p.alias("p"), F.get(names, i).alias("family"))))
-        out = scored.withColumn("best", best)
-        return out.select(*rows.columns, F.col("best.family").alias("family"), F.col("best.p").alias("probability"))
+        return scored.select(*rows.columns, "p", best.alias("best"))
+
+    def found(self, units: DataFrame) -> DataFrame:
+        """``units`` (with named) per family that they may be a notice of: the
+        best one at the level, and those named; its probability."""
+        families = F.array(*[F.lit(f) for f in self.families])
+        best = F.filter(F.array("best"), lambda b: (b["family"] != UNKNOWN) & (b["p"] >= self.level))
+        every = F.array_distinct(F.concat("named", F.transform(best, lambda b: b["family"])))
+        rows = self.scored(units).select(*units.columns, "p", F.explode(every).alias("family"))
+        return rows.withColumn("probability", F.get("p", F.array_position(families, F.col("family")).cast("int") - 1)).drop("p")
 
 
 def _softmax(raw: Column, temperature: float) -> Column:
@@ -190,13 +271,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lice
 
 
 def confirmed(found: DataFrame) -> DataFrame:
-    """``found`` (words, family) with the similarity to its family's nearest
-    template, where that is at least ``SIMILARITY``."""
+    """``found`` (words, named, family) with the similarity to its family's
+    nearest template (1 if named), where that is at least ``SIMILARITY``."""
     spark = found.sparkSession
     known = templates(spark).select("family", shingles_of(F.col("words")).alias("t")).groupBy("family").agg(F.collect_list("t").alias("ts"))
     met = found.join(F.broadcast(known), "family").withColumn("s", shingles_of(F.col("words")))  # one row per family
     alike = F.transform("ts", lambda t: F.size(F.array_intersect(t, "s")) / F.least(F.size(t), F.size("s")))
-    return met.withColumn("similarity", F.array_max(alike)).where(F.col("similarity") >= SIMILARITY).drop("ts", "s")
+    similarity = F.when(F.array_contains("named", F.col("family")), F.lit(1.0)).otherwise(F.array_max(alike))
+    return met.withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY).drop("ts", "s")
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: LicenseModel | None = None) -> DataFrame:
@@ -204,9 +286,8 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_passages (distinct sentences or lines of a paragraph), probability and
     similarity of the clearest."""
     model = model or fit(docs, id_col, text_col)
-    found = model.predict(sentences(docs, id_col, text_col))
-    found = found.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.level))
-    return confirmed(found).groupBy("doc_id", "family").agg(
+    units = sentences(docs, id_col, text_col, markers=NOTED).withColumn("named", named_in(F.col("sentence")))
+    return confirmed(model.found(units)).groupBy("doc_id", "family").agg(
         F.count(F.lit(1)).alias("n_passages"), F.round(F.max("probability"), 6).alias("probability"), F.max("similarity").alias("similarity"))
 
 

@@ -57,6 +57,29 @@ def test_wrapped_and_inlined_notices(spark, model):
     assert got == {(100, "mit"), (101, "mit"), (104, "cc-by-sa"), (104, "cc-by")}
 
 
+SHORT_NOTICES = {
+    "SPDX-License-Identifier: MIT": {"mit"}, "MIT License": {"mit"}, "The MIT License": {"mit"}, "Apache License, Version 2.0": {"apache-2.0"},
+    "GNU General Public License": {"gpl"}, "Licensed under the Apache License 2.0": {"apache-2.0"},
+    "Released under the Apache License, Version 2.0": {"apache-2.0"}, "Distributed under the MIT License": {"mit"}, "Licensed under CC BY 3.0": {"cc-by"},
+    "License: BSD-3-Clause": {"bsd"}, "Dual licensed under MIT or Apache-2.0.": {"mit", "apache-2.0"}, "Released under GPLv3": {"gpl"},
+    "Foo Bar is licensed under the GNU Lesser General Public License v2.1 or later.": {"lgpl"}, "Mozilla Public License, v. 2.0": {"mpl-2.0"},
+    "Licensed under CC BY-NC-SA 4.0": set(), "Apache License, Version 1.1": set(), "Mozilla Public License, v. 1.1": set(),
+    "GNU Affero General Public License": set(), "She went to MIT under protest.": set(), "He studied at MIT": set(), "The licence": set(),
+    "This is not the MIT License": set(), "Is this the MIT License?": set(), "MIT software": set(), "Apache Software Foundation": set(),
+}
+
+
+def test_short_and_reworded_notices(spark, model):
+    notices = list(SHORT_NOTICES)
+    rows = [(i, t) for i, t in enumerate(notices)] + [(1000 + i, f"Prose of a page.\n\n{t}\n\nMore prose.") for i, t in enumerate(notices)]
+    got = {}
+    for r in L.license_report(docs_of(spark, rows), model=model).collect():
+        got.setdefault(r["doc_id"], set()).add(r["family"])
+        assert r["similarity"] >= L.SIMILARITY
+    for i, t in enumerate(notices):
+        assert got.get(i, set()) == SHORT_NOTICES[t] == got.get(1000 + i, set()), t
+
+
 def test_no_user_function(documents, model):
     plan = L.license_report(documents, model=model)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
