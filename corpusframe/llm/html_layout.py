@@ -3,7 +3,8 @@
 A small tree builder reads tags, raw-text elements and character references,
 closes elements that end by implication (paragraphs, list items, table parts,
 options), ignores stray end tags and moves text that stands between table
-cells in front of the table. The tree is then rendered as text: everything
+cells in front of the table. The head ends at its end tag or, without one, at
+the first text or tag that cannot stand in it. The tree is then rendered as text: everything
 visible, nothing else. Not visible: the head, scripts, styles, templates,
 embedded documents, elements with ``hidden``, ``display:none`` or
 ``visibility:hidden``, and closed details except their summary. Blocks start on
@@ -45,6 +46,8 @@ BLOCK = SPACED | frozenset(
 TABLE_PARTS = frozenset("table thead tbody tfoot tr colgroup".split())
 #: Start tag: open elements that it closes, and elements beyond which it does not look.
 _CELL = frozenset(("td", "th"))
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template head html".split())
 CLOSES = {
     "li": (frozenset(("li",)), frozenset("ul ol menu dir table td th".split())),
     "dt": (frozenset(("dt", "dd")), frozenset("dl table td th".split())),
@@ -94,6 +97,8 @@ def build(html: str) -> Node:
             del open_[found:]
 
     def text(s: str) -> None:
+        if open_[-1].tag == "head" and s.strip(" \t\n\f\r"):
+            open_.pop()
         if open_[-1].tag not in TABLE_PARTS:
             open_[-1].children.append(s)
         elif s.strip():
@@ -102,7 +107,7 @@ def build(html: str) -> Node:
             at = next((i for i in range(len(parent.children) - 1, -1, -1) if parent.children[i] is open_[k]), len(parent.children))
             parent.children.insert(at, s)
 
-    at = 0
+    at, headed = 0, False
     while at < len(html):
         m = _TOKEN.search(html, at)
         if m is None:
@@ -114,6 +119,8 @@ def build(html: str) -> Node:
         if m["end"]:
             tag = m["end"].lower()
             if tag == "br":
+                if open_[-1].tag == "head":
+                    open_.pop()
                 open_[-1].children.append(Node("br", {}))
             else:
                 barrier = frozenset() if tag in TABLE_PARTS or tag in ("body", "html") else frozenset(("table",)) if tag in _CELL or tag == "caption" else frozenset(("td", "th", "caption", "table"))
@@ -125,6 +132,14 @@ def build(html: str) -> Node:
                         break
         elif m["start"]:
             tag = m["start"].lower()
+            if tag == "head":
+                if headed or open_[-1].tag not in ("", "html"):
+                    continue
+                headed = True
+            elif open_[-1].tag == "head" and tag == "html":
+                continue
+            elif open_[-1].tag == "head" and tag not in IN_HEAD:
+                open_.pop()
             if tag in _ENDS_P:
                 close(*_P)
             if tag in CLOSES:

@@ -37,6 +37,22 @@ def test_rendering(html, text):
     assert H.html_to_text(html) == text
 
 
+HEADS = [
+    ("<!DOCTYPE html><html><head><title>t</title><p>All the text", "All the text"),
+    ("<head><meta charset=x>\n<link rel=y> bare text", "bare text"),
+    ("<html><head><html><title>t</title><style>p{}</style><h1>one</h1><p>two</html>", "one\n\ntwo"),
+    ("<head><template><p>no</template><script>no</script><noscript>no</noscript><div>yes</div></head>more", "yes\nmore"),
+    ("<head><title>t</title></head><body>a<head> b", "a b"),
+    ("<div>x<head>y</div>z", "xy\nz"),
+    ("<head></br>x", "x"),
+]
+
+
+@pytest.mark.parametrize("html,text", HEADS)
+def test_head_without_end_tag(html, text):
+    assert H.html_to_text(html) == text
+
+
 def test_deep_and_wide_pages():
     assert H.html_to_text("<div>" * 20_000 + "x") == "x"
     assert H.html_to_text("<ul><li>" * 300 + "x").endswith("- x")
