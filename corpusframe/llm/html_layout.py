@@ -6,7 +6,8 @@ options), ignores stray end tags and moves text that stands between table
 cells in front of the table. The head ends at its end tag or, without one, at
 the first text or tag that cannot stand in it. The tree is then rendered as text: everything
 visible, nothing else. Not visible: the head, scripts, styles, templates,
-embedded documents, elements with ``hidden``, ``display:none`` or
+embedded documents, all of an svg but its text elements and embedded HTML, all
+of a math but its token elements (and embedded HTML), elements with ``hidden``, ``display:none`` or
 ``visibility:hidden``, and closed details except their summary. Blocks start on
 new lines, with a blank line around paragraphs, headings, lists, quotes and
 tables; white space collapses outside ``pre``; lists carry bullets or numbers
@@ -36,9 +37,9 @@ from corpusframe.llm.tables import fresh, table
 PAD = 60
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template iframe object noembed noframes noscript title svg math canvas audio video datalist".split())
+UNSEEN = frozenset("head script style template iframe object noembed noframes noscript title canvas audio video datalist".split())
 #: Blocks with a blank line around them, and blocks that only start a line.
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure fieldset".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre xmp table figure fieldset".split())
 BLOCK = SPACED | frozenset(
     "html body div section article aside header footer main nav address form li dt dd hr details summary figcaption "
     "legend caption center menu dir option select optgroup textarea dialog hgroup search tr thead tbody tfoot".split()
@@ -65,6 +66,17 @@ CLOSES["tbody"] = CLOSES["tfoot"] = CLOSES["colgroup"] = CLOSES["thead"]
 _ENDS_P = BLOCK - frozenset("html body li dt dd option optgroup select textarea caption tr thead tbody tfoot".split()) | frozenset(("li", "dt", "dd"))
 _P = (frozenset(("p",)), frozenset("table td th caption button li dd dt object template blockquote div section article body".split()))
 
+#: Foreign elements: those that hold text to be seen, those that pass it on, those that hold HTML, those never seen.
+TOKENS = frozenset("mi mn mo ms mtext".split())
+TEXTS = frozenset("tspan textpath a tref".split())
+HOLDS_HTML = frozenset("foreignobject desc title".split()) | TOKENS
+UNSEEN_FOREIGN = frozenset(
+    "title desc defs metadata style script symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+#: HTML start tags that end foreign content.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span "
+    "strong strike sub sup table tt u ul var".split())
+
 _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?](?P<other>[^>]*)(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(?:>|\Z)", re.S)
@@ -74,10 +86,26 @@ _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """``kind`` is svg or math in foreign content, else empty; ``shows``: text
+    directly in the element is seen."""
+
+    __slots__ = ("tag", "attrs", "children", "kind", "shows")
+
+    def __init__(self, tag: str, attrs: dict[str, str], kind: str = "", shows: bool = True):
+        self.tag, self.attrs, self.children, self.kind, self.shows = tag, attrs, [], kind, shows
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def holds_html(self) -> bool:
+        if self.tag == "annotation-xml":
+            return self.attrs.get("encoding", "").lower() in ("text/html", "application/xhtml+xml")
+        return not self.kind or self.tag in HOLDS_HTML and (self.tag in TOKENS) == (self.kind == "math")
+
+
+def _self_closing(tag: str, attrs: str) -> bool:
+    """The slash that ends an unquoted value is part of it, except for svg and
+    math, which would take the text behind them along."""
+    if not attrs.endswith("/"):
+        return False
+    return tag in ("svg", "math") or "=" not in attrs.replace('"', " ").replace("'", " ").split()[-1]
 
 
 def build(html: str) -> Node:
@@ -91,7 +119,7 @@ def build(html: str) -> Node:
         for k in range(len(open_) - 1, 0, -1):
             if open_[k].tag in tags:
                 found = k
-            elif open_[k].tag in barrier:
+            elif open_[k].tag in barrier or open_[k].kind:
                 break
         if found:
             del open_[found:]
@@ -99,7 +127,7 @@ def build(html: str) -> Node:
     def text(s: str) -> None:
         if open_[-1].tag == "head" and s.strip(" \t\n\f\r"):
             open_.pop()
-        if open_[-1].tag not in TABLE_PARTS:
+        if open_[-1].tag not in TABLE_PARTS or open_[-1].kind:
             open_[-1].children.append(s)
         elif s.strip():
             k = max(i for i, n in enumerate(open_) if n.tag == "table" or i == 0)
@@ -116,8 +144,16 @@ def build(html: str) -> Node:
         if m.start() > at:
             text(unescape(html[at : m.start()]))
         at = m.end()
-        if m["end"]:
+        if open_[-1].kind and html.startswith("<![CDATA[", m.start()):
+            end = html.find("]]>", m.start())
+            end = len(html) if end < 0 else end
+            text(html[m.start() + 9 : end])
+            at = end + 3
+        elif m["end"]:
             tag = m["end"].lower()
+            if tag in ("p", "br"):
+                while not open_[-1].holds_html():
+                    open_.pop()
             if tag == "br":
                 if open_[-1].tag == "head":
                     open_.pop()
@@ -132,7 +168,12 @@ def build(html: str) -> Node:
                         break
         elif m["start"]:
             tag = m["start"].lower()
-            if tag == "head":
+            if tag in BREAKS_OUT or tag == "font" and re.search(r"(?i)\b(?:color|face|size)\b", m["attrs"] or ""):
+                while not open_[-1].holds_html():
+                    open_.pop()
+            kind = open_[-1].kind if not open_[-1].holds_html() or tag in ("mglyph", "malignmark") else ""
+            kind = tag if tag in ("svg", "math") and (not kind or open_[-1].tag == "annotation-xml") else kind
+            if tag == "head" and not kind:
                 if headed or open_[-1].tag not in ("", "html"):
                     continue
                 headed = True
@@ -140,19 +181,23 @@ def build(html: str) -> Node:
                 continue
             elif open_[-1].tag == "head" and tag not in IN_HEAD:
                 open_.pop()
-            if tag in _ENDS_P:
+            if tag in _ENDS_P and not kind:
                 close(*_P)
-            if tag in CLOSES:
+            if tag in CLOSES and not kind:
                 close(*CLOSES[tag])
             attrs = {}
             for name, value in _ATTR.findall(m["attrs"] or ""):
                 attrs.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
-            node = Node(tag, attrs)
+            shows = not kind or (tag in TOKENS if kind == "math" else tag == "text" or tag in TEXTS and open_[-1].kind == "svg" and open_[-1].shows)
+            node = Node(tag, attrs, kind, shows)
             open_[-1].children.append(node)
-            if tag in RAW:
+            if kind:
+                if not _self_closing(tag, m["attrs"]):
+                    open_.append(node)
+            elif tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>|\\Z", re.I).search(html, at)
-                if tag == "textarea":
-                    node.children.append(unescape(html[at : end.start()]))
+                if tag in ("textarea", "xmp"):
+                    node.children.append(unescape(html[at : end.start()]) if tag == "textarea" else html[at : end.start()])
                 at = end.end()
             elif tag not in VOID:
                 open_.append(node)
@@ -261,11 +306,21 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
 
 def _seen(node: Node, parent: Node | None) -> bool:
     a = node.attrs
+    if node.kind:
+        if node.tag in UNSEEN_FOREIGN and not (node.tag == "annotation-xml" and node.holds_html() and parent.tag != "semantics"):
+            return False
+        if a.get("display", "").strip().lower() == "none" or a.get("visibility", "").strip().lower() in ("hidden", "collapse"):
+            return False
+        return not ("style" in a and _HIDDEN.search(a["style"])) and _open(parent)
     if node.tag in UNSEEN or "hidden" in a or ("style" in a and _HIDDEN.search(a["style"])):
         return False
     if node.tag == "dialog" and "open" not in a:
         return False
-    return not (parent is not None and parent.tag == "details" and "open" not in parent.attrs and node.tag != "summary")
+    return node.tag == "summary" or _open(parent)
+
+
+def _open(parent: Node | None) -> bool:
+    return parent is None or parent.kind != "" or parent.tag != "details" or "open" in parent.attrs
 
 
 def render(root: Node) -> str:
@@ -278,13 +333,19 @@ def render(root: Node) -> str:
         node, parent, leaving = todo.pop()
         out = outs[-1]
         if isinstance(node, str):
-            if parent.tag != "details" or "open" in parent.attrs:
+            if parent.shows and _open(parent):
                 (out.verbatim if pre else out.words)(node)
             continue
         tag = node.tag
         if not leaving:
             if not _seen(node, parent):
                 continue
+            if node.kind:  # inline; separate texts and cells stay apart
+                if tag in ("text", "mtd"):
+                    out.words(" ")
+                todo.append((node, parent, True))
+                todo += [(c, node, False) for c in reversed(node.children)]
+                continue
             if tag == "br":
                 out.end(True)
                 continue
@@ -305,7 +366,7 @@ def render(root: Node) -> str:
                 out.marker = mark
             elif tag in ("blockquote", "dd"):
                 out.indent.append("  ")
-            elif tag in ("pre", "textarea"):
+            elif tag in ("pre", "textarea", "xmp"):
                 pre += 1
             elif tag == "table":
                 tables.append([])
@@ -318,6 +379,10 @@ def render(root: Node) -> str:
             todo.append((node, parent, True))
             todo += [(c, node, False) for c in reversed(node.children)]
             continue
+        if node.kind:
+            if tag in ("text", "mtd"):
+                out.words(" ")
+            continue
         if tag in _CELL and tables:
             done = outs.pop().text()
             tables[-1][-1].append((done, _span(node.attrs.get("colspan"), 1000), _span(node.attrs.get("rowspan"), 65534)))
@@ -327,7 +392,7 @@ def render(root: Node) -> str:
                 if line:
                     out.verbatim(line)
                 out.end()
-        elif tag in ("pre", "textarea"):
+        elif tag in ("pre", "textarea", "xmp"):
             pre -= 1
         if tag in BLOCK:
             out.block(tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1))

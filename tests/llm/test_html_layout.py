@@ -53,6 +53,29 @@ def test_head_without_end_tag(html, text):
     assert H.html_to_text(html) == text
 
 
+FOREIGN = [
+    ("<div><svg class=i/> price 5</div>after", "price 5\nafter"),
+    ("a <math/> b<svg viewBox='0 0 1 1'><path d='M0'/><circle r=1 /></svg> c", "a b c"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style>no</style><g><text x=1>one <tspan>two</tspan></text><text>three</text></g>no</svg>end", "one two three end"),
+    ("<p>so <math><msup><mi>x</mi><mn>2</mn></msup><mo>+</mo><mn>1</mn></math> is", "so x2+1 is"),
+    ("<math><semantics><mi>y</mi><annotation encoding=tex>no</annotation></semantics></math>", "y"),
+    ("<svg><foreignObject><p>in<p>side</foreignObject></svg>out", "in\n\nside\n\nout"),
+    ("<p>a<svg><path d=x><p>b", "a\n\nb"),
+    ("<svg><text><![CDATA[1 < 2 > 0]]></text></svg>", "1 < 2 > 0"),
+    ("<svg><script/><text>seen</text><text display=none>no</text></svg>", "seen"),
+    ("<svg><text x=1/>kept</text><text x='1'/>no<text y=2 />no</svg>", "kept"),
+    ("<svg><a href=/x/><text>kept</text></a></svg>z", "kept z"),
+    ("x<xmp>a <b> &amp;\n c</xmp>y", "x\n\na <b> &amp;\n c\n\ny"),
+    ("<div/>one<p/>two", "one\n\ntwo"),
+    ("<table><tr><td><svg><text>s</text></svg><td>t</table>", "s  t"),
+]
+
+
+@pytest.mark.parametrize("html,text", FOREIGN)
+def test_foreign_and_example_elements(html, text):
+    assert H.html_to_text(html) == text
+
+
 def test_deep_and_wide_pages():
     assert H.html_to_text("<div>" * 20_000 + "x") == "x"
     assert H.html_to_text("<ul><li>" * 300 + "x").endswith("- x")
