@@ -2,8 +2,10 @@
 
 Base kinds, each leftmost and non-overlapping over the whole text: assignments
 (``password = ...``), access keys (``AKIA...``) and long hex runs. The method
-adds spans of kind ``random``: runs of ``CANDIDATE`` that overlap no base span,
-look like an encoding (hex, base32, lower or upper alphanumeric, base64; each
+adds spans of kind ``random``: runs of ``RUN`` (``=`` ends a run, so names before
+it are split off; up to two belong to it as padding) and, of runs that overlap
+base spans, what remains between those and is still that long (without the
+separators next to the cut), that look like an encoding (hex, base32, lower or upper alphanumeric, base64; each
 must mix the classes of its alphabet) and pass three tests of randomness over
 that alphabet: chi-squared uniformity of the letters, runs above and below the
 alphabet's middle, and lag-1 serial correlation (Bonferroni at ``GATE``).
@@ -43,7 +45,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Equal to matching HEX and dropping short matches: a maximal run is long or holds no long part.
 LONG_HEX = r"[0-9a-f]{24,}"
+#: As the SQL has it: differs from RUN for runs with an inner "=" or a base span.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Separators beside a blank; one letter each, so that places are kept.
+CUT_EDGE = r"[+/_-](?=[+/_-]{0,8} )|(?<= [+/_-]{0,8})[+/_-]"
 KINDS = ("assign", "access", "hex", "random")
 GATE = 0.01
 FDR = 0.05
@@ -170,9 +176,25 @@ def _tests(name: str, alphabet: str, two: float, three: float, s: Column) -> Col
     return _bind(F.struct(squares.alias("q"), high.alias("bits"), ranks.alias("x"), mean.alias("mean")), of)
 
 
+def _rest(run: Column, over: Column) -> Column:
+    """The runs that are left of a run when the spans ``over`` are cut out."""
+
+    def blank(what: Column, b: Column) -> Column:
+        start = F.greatest(b["start"] - run["start"], F.lit(0))
+        end = F.least(b["end"] - run["start"], F.length(what))
+        return F.concat(F.substr(what, F.lit(1), start), F.repeat(F.lit(" "), end - start), F.substr(what, end + 1))
+
+    cut = F.aggregate(over, run["what"], blank)
+    left = _bind(F.regexp_replace(cut, CUT_EDGE, " "), lambda t: _spans(t, RUN, 3))
+    return F.transform(left, lambda c: F.struct(
+        (run["start"] + c["start"]).alias("start"), (run["start"] + c["end"]).alias("end"), c["kind"].alias("kind"), c["what"].alias("what")))
+
+
 def candidates(text: Column, base: Column) -> Column:
     """(start, end, what, test) of the runs that look like an encoding."""
-    runs = F.filter(_spans(text, CANDIDATE, 3), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    whole = F.transform(_spans(text, RUN, 3), lambda c: F.struct(
+        c.alias("c"), F.filter(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])).alias("over")))
+    runs = F.flatten(F.transform(whole, lambda w: F.when(F.size(w["over"]) == 0, F.array(w["c"])).otherwise(_rest(w["c"], w["over"]))))
     tested = F.transform(runs, lambda c: F.struct(
         c["start"].alias("start"), c["end"].alias("end"), _bind(F.rtrim(c["what"], F.lit("=")), battery).alias("test")))
     return F.filter(tested, lambda c: c["test"].isNotNull() & (F.length(c["test"]["encoding"]) > 0))
