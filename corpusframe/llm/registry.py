@@ -10,6 +10,7 @@ from corpusframe.llm import (
     piece_bpe,
     quality_rules,
     secrets,
+    sharding,
     simhash,
     suffix_dedup,
     token_counts,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op13_sharding": sharding.query,
 }
 
 ORACLE = {
@@ -33,4 +35,5 @@ ORACLE = {
     "op5_secrets": secrets.oracle_sql(),
     "op9_quality_rules": quality_rules.oracle_sql(),
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_sharding": sharding.oracle_sql(),
 }
