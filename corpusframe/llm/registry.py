@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusframe.llm import (
+    collocations,
     exact_dedup,
     html_layout,
     license_scan,
@@ -14,6 +15,7 @@ from corpusframe.llm import (
     simhash,
     suffix_dedup,
     token_counts,
+    whitening,
 )
 
 QUERIES = {
@@ -27,6 +29,8 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_exact_dedup": exact_dedup.query,
+    "op11_collocations": collocations.query,
+    "op12_whitening": whitening.query,
     "op13_sharding": sharding.query,
 }
 
@@ -35,5 +39,6 @@ ORACLE = {
     "op5_secrets": secrets.oracle_sql(),
     "op9_quality_rules": quality_rules.oracle_sql(),
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_collocations": collocations.oracle_sql(),
     "op13_sharding": sharding.oracle_sql(),
 }
