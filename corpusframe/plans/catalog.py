@@ -322,6 +322,7 @@ def q_no_stop_profile(spark, sf_dir):
 
 from corpusframe.operators import evaluation as EV  # noqa: E402
 from corpusframe.operators import splits as SP  # noqa: E402
+from corpusframe.plans import base as B  # noqa: E402
 from corpusframe.plans import runs as RU  # noqa: E402
 
 _FOLDS_SQL = S.split_sql(f"SELECT id, label, link_count, email_length FROM ({S.FINALIZED})", RU.TEST_SIZE, RU.K_FOLDS)
@@ -530,25 +531,33 @@ def q_error_types(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 _RUN_MODELS = ", ".join(f"('{m}', {a!r}::DOUBLE)" for m, a in RU.MODELS)
+# The feature base: f (split rows), x (id, feature, value) of every row, n (number of features).
+_BASE_SPLIT_SQL = S.split_sql(f"SELECT id, cleaned_text, label, link_count, email_length FROM ({S.FINALIZED})", B.TEST_SIZE, B.K_FOLDS)
+_BASE_VOCAB_SQL = S.vocab_sql(f"SELECT * FROM ({_BASE_SPLIT_SQL}) WHERE NOT is_test", S.tokens("cleaned_text"), B.VOCAB_SIZE)
+_BASE_SQL = f"""
+f AS MATERIALIZED (SELECT * FROM ({_BASE_SPLIT_SQL})),
+w0 AS ({S.tfidf_long_sql('SELECT * FROM f', 'id', S.tokens('cleaned_text'), _BASE_VOCAB_SQL)}),
+mm AS (SELECT min(link_count)::DOUBLE AS ll, max(link_count)::DOUBLE AS hl, min(email_length)::DOUBLE AS le, max(email_length)::DOUBLE AS he FROM f WHERE NOT is_test),
+x AS MATERIALIZED (SELECT id, term AS k, weight AS v FROM w0
+      UNION ALL SELECT id, ' link', greatest((link_count - ll) / CASE WHEN hl = ll THEN 1.0::DOUBLE ELSE hl - ll END, 0.0::DOUBLE) FROM f, mm
+      UNION ALL SELECT id, ' length', greatest((email_length - le) / CASE WHEN he = le THEN 1.0::DOUBLE ELSE he - le END, 0.0::DOUBLE) FROM f, mm),
+n AS (SELECT count(*) + {len(B.NUMERIC)} AS k FROM ({_BASE_VOCAB_SQL}))
+"""
 _RUN_SCORES_SQL = f"""
-WITH d AS (SELECT id, label, is_test, fold, CAST({S.hash_unit('id', 'part', RU.EPOCHS)} + 1 AS INTEGER) AS part, {S.tokens('cleaned_text')} AS toks
-           FROM ({S.split_sql(f'SELECT id, cleaned_text, label FROM ({S.FINALIZED})', RU.TEST_SIZE, RU.K_FOLDS)})),
-t0 AS (SELECT id, label, is_test, fold, part, unnest(toks) AS term FROM d),
-t AS (SELECT id, label, is_test, fold, part, term, count(*) AS tf FROM t0 GROUP BY ALL),
-v AS (SELECT term FROM t WHERE NOT is_test GROUP BY term ORDER BY sum(tf) DESC, term LIMIT {RU.VOCABULARY}),
-k AS (SELECT count(*) AS k FROM v),
+WITH {_BASE_SQL},
+d AS (SELECT id, label, is_test, fold, CAST({S.hash_unit('id', 'part', RU.EPOCHS)} + 1 AS INTEGER) AS part FROM f),
 r AS (SELECT m.model, m.a, f.range AS fold, e.range AS epoch FROM (VALUES {_RUN_MODELS}) m(model, a), range(1, {RU.K_FOLDS + 1}) f, range(1, {RU.EPOCHS + 1}) e),
 fe AS (SELECT DISTINCT fold, epoch FROM r),
-c AS (SELECT fe.fold, fe.epoch, t.term, sum(CASE WHEN label = 1 THEN tf ELSE 0 END) AS c1, sum(CASE WHEN label = 0 THEN tf ELSE 0 END) AS c0
-      FROM t JOIN v USING (term) JOIN fe ON t.fold <> fe.fold AND t.part <= fe.epoch WHERE NOT is_test GROUP BY ALL),
-n AS (SELECT fold, epoch, sum(c1) AS n1, sum(c0) AS n0 FROM c GROUP BY ALL),
+c AS (SELECT fe.fold, fe.epoch, x.k, sum(CASE WHEN label = 1 THEN v ELSE 0 END) AS c1, sum(CASE WHEN label = 0 THEN v ELSE 0 END) AS c0
+      FROM x JOIN d USING (id) JOIN fe ON d.fold <> fe.fold AND d.part <= fe.epoch WHERE NOT is_test GROUP BY ALL),
+t AS (SELECT fold, epoch, sum(c1) AS n1, sum(c0) AS n0 FROM c GROUP BY ALL),
 pr AS (SELECT fe.fold, fe.epoch, ln((count_if(d.label = 1) + 1.0::DOUBLE) / (count_if(d.label = 0) + 1.0::DOUBLE)) AS prior
        FROM fe LEFT JOIN d ON NOT d.is_test AND d.fold <> fe.fold AND d.part <= fe.epoch GROUP BY ALL),
-w AS (SELECT r.model, r.fold, r.epoch, v.term,
-             ln((coalesce(c1, 0) + a) / (coalesce(n1, 0) + a * k)) - ln((coalesce(c0, 0) + a) / (coalesce(n0, 0) + a * k)) AS w
-      FROM r CROSS JOIN v CROSS JOIN k LEFT JOIN c ON c.fold = r.fold AND c.epoch = r.epoch AND c.term = v.term
-      LEFT JOIN n ON n.fold = r.fold AND n.epoch = r.epoch),
-s AS (SELECT t.id, w.model, w.fold, w.epoch, sum(tf * w) AS s FROM t JOIN w USING (term) GROUP BY ALL),
+w AS (SELECT r.model, r.fold, r.epoch, q.k,
+             ln((coalesce(c1, 0) + a) / (coalesce(n1, 0) + a * n.k)) - ln((coalesce(c0, 0) + a) / (coalesce(n0, 0) + a * n.k)) AS w
+      FROM r CROSS JOIN (SELECT DISTINCT k FROM x) q CROSS JOIN n LEFT JOIN c ON c.fold = r.fold AND c.epoch = r.epoch AND c.k = q.k
+      LEFT JOIN t ON t.fold = r.fold AND t.epoch = r.epoch),
+s AS (SELECT x.id, w.model, w.fold, w.epoch, sum(v * w) AS s FROM x JOIN w USING (k) GROUP BY ALL),
 sc AS (SELECT d.id, d.label, d.is_test, d.fold AS own_fold, d.part, r.model, r.fold, r.epoch,
               1.0::DOUBLE / (1.0::DOUBLE + exp(-(prior + coalesce(s.s, 0)))) AS score
        FROM d CROSS JOIN r JOIN pr ON pr.fold = r.fold AND pr.epoch = r.epoch
@@ -861,7 +870,7 @@ def q_error_length_histogram(spark, sf_dir):
 from corpusframe.operators import features as G  # noqa: E402
 from corpusframe.plans import error_analysis as EA  # noqa: E402
 
-VOCAB_SIZE = 5000
+VOCAB_SIZE = B.VOCAB_SIZE
 ENCODING_LENGTH = 320  # the shorter of the two training lengths
 
 _TEXT_FOLDS_SQL = S.split_sql(f"SELECT id, cleaned_text, label FROM ({S.FINALIZED})", RU.TEST_SIZE, RU.K_FOLDS)
@@ -1238,13 +1247,7 @@ def q_label_quarantine(spark, sf_dir):
 
 
 _NB_SQL = f"""
-WITH f AS (SELECT * FROM ({S.split_sql(f'SELECT id, cleaned_text, label, link_count, email_length FROM ({S.FINALIZED})', RU.TEST_SIZE, RU.K_FOLDS)})),
-w AS ({S.tfidf_long_sql('SELECT * FROM f', 'id', S.tokens('cleaned_text'), _TRAIN_VOCAB_SQL)}),
-mm AS (SELECT min(link_count)::DOUBLE AS ll, max(link_count)::DOUBLE AS hl, min(email_length)::DOUBLE AS le, max(email_length)::DOUBLE AS he FROM f WHERE NOT is_test),
-x AS (SELECT id, term AS k, weight AS v FROM w
-      UNION ALL SELECT id, ' link', greatest((link_count - ll) / CASE WHEN hl = ll THEN 1.0::DOUBLE ELSE hl - ll END, 0.0::DOUBLE) FROM f, mm
-      UNION ALL SELECT id, ' length', greatest((email_length - le) / CASE WHEN he = le THEN 1.0::DOUBLE ELSE he - le END, 0.0::DOUBLE) FROM f, mm),
-n AS (SELECT count(*) + {len(LM.NUMERIC)} AS k FROM ({_TRAIN_VOCAB_SQL})),
+WITH {_BASE_SQL},
 c AS (SELECT k, sum(CASE WHEN label = 1 THEN v ELSE 0 END) AS c1, sum(CASE WHEN label = 0 THEN v ELSE 0 END) AS c0 FROM x JOIN f USING (id) WHERE NOT is_test GROUP BY k),
 t AS (SELECT sum(c1) AS n1, sum(c0) AS n0 FROM c),
 th AS (SELECT c.k, ln((c1 + 1) / (n1 + n.k)) - ln((c0 + 1) / (n0 + n.k)) AS d FROM c, t, n),

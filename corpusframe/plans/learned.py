@@ -1,10 +1,9 @@
 """Classical comparison with learned Spark ML models (section 3.3), grid x
 fold search (M7), k-fold runs (M8), fusion head (M6) and batch scoring (Z1).
 
-The feature table is built once per call -- exact split and folds, TF-IDF
-over the training vocabulary (G1-G5), min-max numerics fitted on training
-rows (G7), assembled vectors (G8) -- and written under the shared checkpoint
-folder, so every fit reads a short lineage that survives lost executors.
+The feature table (``base``) is built once per call and written under the shared
+checkpoint folder, so every fit reads a short lineage that survives lost
+executors.
 Models are fitted on the full training split (naive Bayes, logistic
 regression) or on an exact bootstrap sample of it (SVM, forest, boosting),
 as in the reference.
@@ -12,7 +11,6 @@ as in the reference.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +19,12 @@ from corpusframe.operators import evaluation as E
 from corpusframe.operators import features as G
 from corpusframe.operators import models as M
 from corpusframe.operators import splits as SP
+from corpusframe.plans import base as B
 from corpusframe.plans import corpus as C
-from corpusframe.plans import runs as RU
 from corpusframe.session import scratch_path
 from corpusframe.sources.files import materialize
 
-VOCAB_SIZE = 5000
 SAMPLE_ROWS = 2000
-NUMERIC = ("link_count", "email_length")
 
 # M7 grid: (regParam, maxIter) of logistic regression, one row per configuration.
 GRID = (
@@ -39,29 +35,11 @@ GRID = (
     {"regParam": 0.01, "maxIter": 100},
 )
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, label, is_test, fold, features, nb_features) of the finalized corpus."""
-    df = C.finalized(spark, sf_dir)
-    d = SP.split_and_folds(df, "id", "label", RU.TEST_SIZE, RU.K_FOLDS, RU.SEED)
-    d = materialize(G.with_terms(d, "cleaned_text").drop("cleaned_text"), scratch_path(spark, "learned-terms"), force=True)
-    train = d.filter(~F.col("is_test"))
-    vocab = G.fit_vocabulary(train.select("terms"), "terms", VOCAB_SIZE)
-    d = G.tfidf_vector(d, "terms", vocab, VOCAB_SIZE, "tfidf")
-    stats = G.fit_minmax_scaler(train, list(NUMERIC))
-    d = G.apply_minmax_scaler(d, stats, list(NUMERIC))
-    for c in NUMERIC:  # naive Bayes needs non-negative inputs on unseen rows
-        d = d.withColumn(f"{c}_nn", F.greatest(F.col(f"{c}_scaled"), F.lit(0.0)))
-    d = VectorAssembler(inputCols=["tfidf", *[f"{c}_scaled" for c in NUMERIC]], outputCol="features").transform(d)
-    d = VectorAssembler(inputCols=["tfidf", *[f"{c}_nn" for c in NUMERIC]], outputCol="nb_features").transform(d)
-    out = d.select("id", "label", "is_test", "fold", "features", "nb_features")
-    return materialize(out, scratch_path(spark, "learned-features"), force=True)
-
-
 def fit_models(spark: SparkSession, ft: DataFrame) -> dict:
     """{display name: fitted model} on the training rows of a feature table."""
     train = ft.filter(~F.col("is_test"))
     n = train.count()
-    sample = SP.bootstrap_sample(train, SAMPLE_ROWS, "id", RU.SEED)  # draws: unique; ids repeat
+    sample = SP.bootstrap_sample(train, SAMPLE_ROWS, "id", B.SEED)  # draws: unique; ids repeat
     sample = materialize(sample, scratch_path(spark, "learned-sample"), force=True)
     return {
         "Naive Bayes": M.naive_bayes("nb_features").fit(train),
@@ -75,7 +53,7 @@ def fit_models(spark: SparkSession, ft: DataFrame) -> dict:
 def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, id, label, predicted_label, score) on the test split, one
     stored table partitioned by model."""
-    ft = feature_table(spark, sf_dir)
+    ft = B.feature_table(spark, sf_dir)
     test = ft.filter(F.col("is_test"))
     path = scratch_path(spark, "test-predictions")
     for name, m in fit_models(spark, ft).items():
@@ -94,7 +72,7 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inference_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds to score the test split, per model; a table of its own, as
     it differs from run to run."""
-    ft = feature_table(spark, sf_dir)
+    ft = B.feature_table(spark, sf_dir)
     test = ft.filter(F.col("is_test"))
     models = fit_models(spark, ft)
     rows = [(name, round(M.timed(M.predictions(m, test)), 3)) for name, m in models.items()]
@@ -103,7 +81,7 @@ def inference_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def naive_bayes_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1 + Z1: test-split predictions of naive Bayes alone."""
-    ft = feature_table(spark, sf_dir)
+    ft = B.feature_table(spark, sf_dir)
     model = M.naive_bayes("nb_features").fit(ft.filter(~F.col("is_test")))
     return M.predictions(model, ft.filter(F.col("is_test")))
 
@@ -112,10 +90,10 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Naive Bayes scored on the test split with its numeric features
     overridden by a constant 0, beside the unchanged run: (features, id,
     predicted_label)."""
-    ft = feature_table(spark, sf_dir)
+    ft = B.feature_table(spark, sf_dir)
     model = M.naive_bayes("nb_features").fit(ft.filter(~F.col("is_test")))
     test = ft.filter(F.col("is_test"))
-    without = T.override_tail("nb_features", len(NUMERIC), 0.0)
+    without = T.override_tail("nb_features", len(B.NUMERIC), 0.0)
     both = test.withColumn("features_used", F.lit("all")).unionByName(
         test.withColumn("nb_features", without).withColumn("features_used", F.lit("text only"))
     )
@@ -125,10 +103,10 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: every configuration of ``GRID`` on the 5 training folds; mean and
     std of fold AUC, and the chosen configuration."""
-    ft = feature_table(spark, sf_dir)
+    ft = B.feature_table(spark, sf_dir)
     train = ft.filter(~F.col("is_test"))
     est = M.logistic_regression(1).setStandardization(False)
-    _, res = M.grid_search(train, est, list(GRID), "fold", RU.K_FOLDS)
+    _, res = M.grid_search(train, est, list(GRID), "fold", B.K_FOLDS)
     best = max(range(len(res)), key=lambda i: (res[i][1], -i))
     rows = [(i, float(cfg["regParam"]), int(cfg["maxIter"]), float(m), float(s), i == best) for i, (cfg, m, s) in enumerate(res)]
     return spark.createDataFrame(rows, "config int, reg_param double, max_iter int, mean_auc double, std_auc double, chosen boolean")
@@ -137,11 +115,11 @@ def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8 (+ S5, S6, A11): logistic regression over the 5 folds, validation
     predictions stored per (model, fold); per-fold metrics."""
-    ft = feature_table(spark, sf_dir)
+    ft = B.feature_table(spark, sf_dir)
     train = ft.filter(~F.col("is_test"))
     path = scratch_path(spark, "kfold-predictions")
     preds = M.k_fold_runs(
-        train, lambda tr: M.logistic_regression(tr.count()), RU.K_FOLDS, path, model_name="logistic_regression"
+        train, lambda tr: M.logistic_regression(tr.count()), B.K_FOLDS, path, model_name="logistic_regression"
     )
     met = E.binary_metrics(preds, group_cols=["fold"]).drop("support")
     auc = E.roc_auc(preds, group_cols=["fold"])
@@ -171,7 +149,7 @@ def fusion_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fused_embeddings(spark, sf_dir)
     fused = G.fuse_dense(F.col("v"), [F.col("norm_scaled"), F.col("mean_scaled")])
     e = e.select("vec_id", "label", array_to_vector(fused).alias("features"), F.size(fused).alias("_d"))
-    e = SP.stratified_split(e, "vec_id", "label", RU.TEST_SIZE, RU.SEED)
+    e = SP.stratified_split(e, "vec_id", "label", B.TEST_SIZE, B.SEED)
     e = materialize(e, scratch_path(spark, "fusion-features"), force=True)
     d = e.select(F.max("_d")).first()[0]  # one value
     model = M.fusion_head(int(d)).fit(e.filter(~F.col("is_test")))

@@ -1,39 +1,42 @@
 """Split -> cross-validate -> evaluate (section 3.2/3.3), on fitted models.
 
-The runs are multinomial naive Bayes models over the word counts of the
-cleaned texts, one per smoothing value, fitted for every fold and epoch: epoch
-``e`` of fold ``f`` has learned the training rows of the other folds whose hash
-falls into the first ``e`` of ``EPOCHS`` parts. Fitting is counting, so the
-whole flow -- exact split, folds, per-epoch log, early stopping, best run, fold
-summaries, test evaluation of the chosen run, model comparison -- is exact and
-has a SQL oracle.
-
-The weights of all models are one row per vocabulary term (``VOCABULARY`` rows,
-bounded); every text is scored by all of them in one pass.
+The runs are multinomial naive Bayes models over the reference's features (the
+``base`` pipeline: TF-IDF of ``base.VOCAB_SIZE`` terms and two min-max scaled
+numbers), one per smoothing value, fitted for every fold and epoch: epoch ``e``
+of fold ``f`` has learned the training rows of the other folds whose hash falls
+into the first ``e`` of ``EPOCHS`` parts. Fitting is adding up, so the whole
+flow -- exact split, folds, per-epoch log, early stopping, best run, fold
+summaries, test evaluation of the chosen run, model comparison -- has a SQL
+oracle. ``boosting`` has the log of an iterative learner.
+
+Feature sums are taken once per (feature, label, fold, part), a table whose size
+depends on the parameters only; every run's weights are sums of its rows. The
+weights of all runs are one row per feature, and one pass gives every text the
+margins of all runs as an array, which is stored beside its label; no row per
+text and run is ever written or shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as T
 from corpusframe.operators import evaluation as E
-from corpusframe.operators import features as G
 from corpusframe.operators.splits import split_and_folds
+from corpusframe.plans import base as B
+from corpusframe.plans.base import K_FOLDS, SEED, TEST_SIZE
 from corpusframe.plans.corpus import finalized, hash_unit
 from corpusframe.session import scratch_path
 from corpusframe.sources.files import materialize
 
-TEST_SIZE = 0.2
-K_FOLDS = 5
-SEED = 42
 PATIENCE = 2
 EPOCHS = 5
-VOCABULARY = 500
 
-#: (display name, additive smoothing of the term counts).
+#: (display name, additive smoothing of the feature sums).
 MODELS = (("Naive Bayes 1.0", 1.0), ("Naive Bayes 0.01", 0.01))
+#: The feature that every text has once; its weight is the log ratio of the classes.
+PRIOR = -1
 
 
 def fold_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,18 +45,12 @@ def fold_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_and_folds(df, "id", "label", TEST_SIZE, K_FOLDS, SEED)
 
 
-def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, label, is_test, fold, part, term_counts) of every labelled text;
-    stored, as the fit and the scoring read it."""
-    df = finalized(spark, sf_dir).select("id", "label", "cleaned_text")
-    rows = G.with_terms(split_and_folds(df, "id", "label", TEST_SIZE, K_FOLDS, SEED), "cleaned_text")
-    rows = G.with_term_counts(rows.drop("cleaned_text"), "terms").withColumn("part", (hash_unit("id", "part", EPOCHS) + 1).cast("int"))
-    return materialize(rows.drop("terms"), scratch_path(spark, "run-rows"), force=True)
-
-
-def _long(rows: DataFrame, *cols: str) -> DataFrame:
-    d = rows.select(*cols, F.explode_outer("term_counts").alias("_e"))
-    return d.select(*cols, "_e.term", "_e.tf").filter(F.col("term").isNotNull())
+def run_rows(features: DataFrame) -> DataFrame:
+    """A feature table -> (id, label, is_test, fold, part, x): ``x`` holds the
+    entries of the feature vector and the constant ``PRIOR``."""
+    one = F.array(F.struct(F.lit(PRIOR).alias("k"), F.lit(1.0).alias("v")))
+    part = (hash_unit("id", "part", EPOCHS) + 1).cast("int")
+    return features.select("id", "label", "is_test", "fold", part.alias("part"), F.concat(B.entries("nb_features"), one).alias("x"))
 
 
 def _specs() -> list[tuple[str, float, int, int]]:
@@ -61,65 +58,86 @@ def _specs() -> list[tuple[str, float, int, int]]:
     return [(m, a, f, e) for m, a in MODELS for f in range(1, K_FOLDS + 1) for e in range(1, EPOCHS + 1)]
 
 
-def weights(rows: DataFrame) -> DataFrame:
-    """(term, w): per vocabulary term the log ratio of its probability in the
-    two classes under every run; and one row with a null term, the priors."""
-    train = rows.filter(~F.col("is_test"))
-    terms = _long(train, "label", "fold", "part")
-    vocab = terms.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(VOCABULARY).select("term")
-    vocab = materialize(vocab, scratch_path(rows.sparkSession, "run-vocabulary"), force=True)
-    known = terms.join(F.broadcast(vocab), "term")
+def spec_columns(at: Column) -> list[Column]:
+    """model, fold, epoch of a place in the arrays."""
+    names = F.array(*[F.lit(m) for m, _ in MODELS])
+    return [
+        F.element_at(names, (F.floor(at / (K_FOLDS * EPOCHS)) + 1).cast("int")).alias("model"),
+        (F.floor(at / EPOCHS) % K_FOLDS + 1).cast("int").alias("fold"),
+        (at % EPOCHS + 1).cast("int").alias("epoch"),
+    ]
 
-    def learned(label: int, fold: int, epoch: int) -> F.Column:
-        return (F.col("label") == label) & (F.col("fold") != fold) & (F.col("part") <= epoch)
 
+def weights(rows: DataFrame, width: int) -> DataFrame:
+    """(k, w), stored: for each of the ``width`` features, and ``PRIOR``, the
+    log ratio of its probability in the two classes under every run."""
+    spark = rows.sparkSession
+    each = rows.filter(~F.col("is_test")).select("label", "fold", "part", F.explode_outer("x").alias("e"))
+    cube = each.groupBy(F.col("e.k").alias("k"), "label", "fold", "part").agg(F.sum("e.v").alias("v"))
+    cube = materialize(cube, scratch_path(spark, "run-cube"), force=True)
     runs = [(y, f, e) for y in (0, 1) for f in range(1, K_FOLDS + 1) for e in range(1, EPOCHS + 1)]
-    counts = known.groupBy("term").agg(*[F.sum(F.when(learned(*r), F.col("tf")).otherwise(0)).alias("c{}_{}_{}".format(*r)) for r in runs])
-    totals = counts.agg(*[F.sum("c{}_{}_{}".format(*r)).alias("n{}_{}_{}".format(*r)) for r in runs], F.count(F.lit(1)).alias("_k"))
+
+    def learned(label: int, fold: int, epoch: int) -> Column:
+        return (F.col("label") == label) & (F.col("fold") != fold) & (F.col("part") <= epoch)
+
+    sums = [F.sum(F.when(learned(*r), F.col("v")).otherwise(0.0)).alias("c{}_{}_{}".format(*r)) for r in runs]
+    every = spark.range(width).select(F.col("id").cast("int").alias("k"))
+    counts = every.join(cube, "k", "left").groupBy("k").agg(*sums)
+    totals = cube.filter(F.col("k") != PRIOR).agg(*[c.alias("n{}_{}_{}".format(*r)) for c, r in zip(sums, runs)])
     met = counts.crossJoin(F.broadcast(totals))  # one row
-    of_term = [
-        F.log((F.col(f"c1_{f}_{e}") + a) / (F.col(f"n1_{f}_{e}") + a * F.col("_k")))
-        - F.log((F.col(f"c0_{f}_{e}") + a) / (F.col(f"n0_{f}_{e}") + a * F.col("_k")))
+    none = F.lit(0.0)
+    of_feature = [
+        F.log((F.col(f"c1_{f}_{e}") + a) / (F.coalesce(f"n1_{f}_{e}", none) + a * width))
+        - F.log((F.col(f"c0_{f}_{e}") + a) / (F.coalesce(f"n0_{f}_{e}", none) + a * width))
         for _, a, f, e in _specs()
     ]
-    docs = train.agg(*[F.count_if(learned(*r)).alias("d{}_{}_{}".format(*r)) for r in runs])
-    prior = [F.log((F.col(f"d1_{f}_{e}") + 1.0) / (F.col(f"d0_{f}_{e}") + 1.0)) for _, _, f, e in _specs()]
-    out = met.select("term", F.array(*of_term).alias("w")).unionByName(docs.select(F.lit(None).cast("string").alias("term"), F.array(*prior).alias("w")))
-    return materialize(out, scratch_path(rows.sparkSession, "run-weights"), force=True)
+    prior = cube.filter(F.col("k") == PRIOR).agg(*sums)
+    of_prior = [F.log((F.coalesce(f"c1_{f}_{e}", none) + 1.0) / (F.coalesce(f"c0_{f}_{e}", none) + 1.0)) for _, _, f, e in _specs()]
+    out = met.select("k", F.array(*of_feature).alias("w")).unionByName(prior.select(F.lit(PRIOR).alias("k"), F.array(*of_prior).alias("w")))
+    return materialize(out, scratch_path(spark, "run-weights"), force=True)
+
+
+def margins(rows: DataFrame, w: DataFrame) -> DataFrame:
+    """(id, label, is_test, own_fold, part, m): ``m`` holds the text's log odds
+    of class 1 under every run; stored."""
+    keys = ["id", "label", "is_test", F.col("fold").alias("own_fold"), "part"]
+    each = rows.select(*keys, F.explode_outer("x").alias("e")).select("id", "label", "is_test", "own_fold", "part", "e.k", "e.v")
+    met = each.join(F.broadcast(w), "k")  # VOCAB_SIZE rows and a few
+    sums = [F.sum(F.col("v") * F.col("w")[i]).alias(f"s{i}") for i in range(len(_specs()))]
+    per = met.groupBy("id", "label", "is_test", "own_fold", "part").agg(*sums)
+    out = per.select("id", "label", "is_test", "own_fold", "part", F.array(*[f"s{i}" for i in range(len(sums))]).alias("m"))
+    return materialize(out, scratch_path(rows.sparkSession, "run-margins"), force=True)
 
 
 def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, label, is_test, own_fold, part, model, fold, epoch, score): every
-    text under every run; score is the probability of class 1."""
-    rows = run_rows(spark, sf_dir)
-    w = weights(rows)
-    known = _long(rows, "id").join(F.broadcast(w.filter(F.col("term").isNotNull())), "term")  # VOCABULARY rows
-    specs = _specs()
-    sums = known.groupBy("id").agg(*[F.sum(F.col("tf") * F.col("w")[i]).alias(f"s{i}") for i in range(len(specs))])
-    prior = w.filter(F.col("term").isNull()).select(F.col("w").alias("_prior"))  # one row
-    met = rows.drop("term_counts").join(sums, "id", "left").crossJoin(F.broadcast(prior))
-    run = F.array(*[
-        F.struct(F.lit(m).alias("model"), F.lit(f).alias("fold"), F.lit(e).alias("epoch"),
-                 (F.col("_prior")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0.0))).alias("margin"))
-        for i, (m, _, f, e) in enumerate(specs)
-    ])
-    long = met.select("id", "label", "is_test", F.col("fold").alias("own_fold"), "part", F.explode(run).alias("r"))
-    score = 1.0 / (1.0 + F.exp(-F.col("r.margin")))
-    out = long.select("id", "label", "is_test", "own_fold", "part", "r.model", "r.fold", "r.epoch", score.alias("score"))
-    out = out.withColumn("predicted_label", (F.col("score") > 0.5).cast("int"))
-    return materialize(out, scratch_path(spark, "run-scores"), force=True)
+    """``margins`` of every text of the feature base."""
+    features = B.feature_table(spark, sf_dir)
+    width = features.select(F.unwrap_udt("nb_features").alias("u")).agg(F.max(F.coalesce("u.size", F.size("u.values")))).first()[0] or 0
+    rows = run_rows(features)
+    return margins(rows, weights(rows, width))
+
+
+def probability(margin: Column) -> Column:
+    return 1.0 / (1.0 + F.exp(-margin))
 
 
 def _log(scores: DataFrame) -> DataFrame:
-    s = F.least(F.greatest(F.col("score"), F.lit(1e-7)), F.lit(1 - 1e-7))
-    loss = -(F.col("label") * F.log(s) + (1 - F.col("label")) * F.log(1 - s))
-    held = F.col("own_fold") == F.col("fold")
-    seen = ~held & (F.col("part") <= F.col("epoch"))
-    of = lambda y, p: F.count_if(held & (F.col("label") == y) & (F.col("predicted_label") == p))
-    per = scores.filter(~F.col("is_test")).groupBy("model", "fold", "epoch").agg(
-        F.avg(F.when(held, loss)).alias("eval_loss"), F.avg(F.when(seen, loss)).alias("train_loss"),
+    """One row per run with its losses and counts: an aggregate over the arrays."""
+    own = scores.filter(~F.col("is_test")).select("label", "own_fold", "part", F.posexplode("m").alias("at", "margin"))
+    _, fold, epoch = spec_columns(F.col("at"))
+    score = probability(F.col("margin"))
+    s = F.least(F.greatest(score, F.lit(1e-7)), F.lit(1 - 1e-7))
+    own = own.select(
+        "at", "label", (-(F.col("label") * F.log(s) + (1 - F.col("label")) * F.log(1 - s))).alias("loss"), (score > 0.5).cast("int").alias("p"),
+        (F.col("own_fold") == fold).alias("held"), ((F.col("own_fold") != fold) & (F.col("part") <= epoch)).alias("seen"),
+    )
+    of = lambda y, p: F.count_if(F.col("held") & (F.col("label") == y) & (F.col("p") == p))
+    per = own.groupBy("at").agg(
+        F.avg(F.when(F.col("held"), F.col("loss"))).alias("eval_loss"), F.avg(F.when(F.col("seen"), F.col("loss"))).alias("train_loss"),
         of(1, 1).alias("tp"), of(0, 1).alias("fp"), of(1, 0).alias("fn"), of(0, 0).alias("tn"),
     )
+    per = per.select(*spec_columns(F.col("at")), "eval_loss", "train_loss", "tp", "fp", "fn", "tn")
+    per = materialize(per.coalesce(1), scratch_path(scores.sparkSession, "run-log"), force=True)  # one row a run
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
     eval_rows = per.select(
         "model", "fold", "epoch", F.lit("eval").alias("kind"), F.col("eval_loss").alias("loss"),
@@ -144,13 +162,12 @@ def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_log(spark: SparkSession, sf_dir: str, scores: DataFrame | None = None) -> DataFrame:
-    """Log entries having both an F1 and an epoch; stored (runs x folds x
-    epochs rows)."""
+    """Log entries having both an F1 and an epoch (runs x folds x epochs
+    rows)."""
     log = _log(run_scores(spark, sf_dir) if scores is None else scores)
-    log = log.filter(F.col("f1").isNotNull() & F.col("epoch").isNotNull()).select(
+    return log.filter(F.col("f1").isNotNull() & F.col("epoch").isNotNull()).select(
         "model", "fold", "epoch", "f1", "accuracy", "precision", "recall"
     )
-    return materialize(log.coalesce(1), scratch_path(spark, "run-log"), force=True)
 
 
 def stopping(log: DataFrame) -> DataFrame:
@@ -180,7 +197,9 @@ def best_run_test_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score the test split with each model's selected run."""
     scores = run_scores(spark, sf_dir)
     chosen = best_run(eval_log(spark, sf_dir, scores)).select("model", "best_fold", "best_epoch")
-    test = scores.filter("is_test").withColumnsRenamed({"fold": "best_fold", "epoch": "best_epoch"})
+    test = scores.filter("is_test").select("label", F.posexplode("m").alias("at", "margin"))
+    model, fold, epoch = spec_columns(F.col("at"))
+    test = test.select("label", (probability(F.col("margin")) > 0.5).cast("int").alias("predicted_label"), model, fold.alias("best_fold"), epoch.alias("best_epoch"))
     rows = test.join(F.broadcast(chosen), ["model", "best_fold", "best_epoch"])  # one row per model
     return E.binary_metrics(rows, group_cols=["model", "best_fold", "best_epoch"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from corpusframe.operators import models as M
+from corpusframe.plans import base as B
 from corpusframe.plans import learned as LM
 from corpusframe.session import scratch_path
 
@@ -14,7 +15,7 @@ MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="module")
 def n_test(spark):
-    return LM.feature_table(spark, MID).filter(F.col("is_test")).count()
+    return B.feature_table(spark, MID).filter(F.col("is_test")).count()
 
 
 def test_learned_predictions(spark, n_test):
@@ -49,7 +50,7 @@ def test_grid_search(spark):
 
 
 def test_kfold_resumes(spark):
-    ft = LM.feature_table(spark, MID)
+    ft = B.feature_table(spark, MID)
     train = ft.filter(~F.col("is_test"))
     path = scratch_path(spark, "kfold-test")
     first = M.k_fold_runs(train, lambda tr: M.naive_bayes("nb_features"), 5, path, model_name="nb")
