@@ -6,6 +6,10 @@ edge of the graph is a phrase of ``LONGEST`` words inside a piece, its weight ho
 often it occurs; it leads from the node of its first ``LONGEST - 1`` words to the
 node of its last ones.
 
+0. Cuts. Adjacent pairs of words are counted by a hash; a pair whose hash occurs
+   fewer than ``least`` times lies in no frequent phrase, so pieces are cut there.
+   A cut is an end of a piece like any other; the parts hold every occurrence of
+   every phrase that is frequent, and every word.
 1. Edges. At every word the longest phrase that starts there is counted: an edge,
    or, near the end of its piece, the shorter rest of the piece.
 2. Shorter counts come from the flow through the nodes: a phrase occurs as often
@@ -20,9 +24,11 @@ node of its last ones.
 4. The other candidates are scored by their weakest cut, in whole numbers of up
    to 38 digits, and ranked per language.
 
-Scale. Tasks count edges in tables of ``HELD`` entries (so a frequent phrase is
-one row of each table), sorted, which makes neighbours compress well. Edges are
-dealt by their node, so that edges and nodes are summed after one shuffle; the
+Scale. Pairs are counted as numbers (hash, count), once per batch of texts, and
+what comes of it is a bitmap of ``PAIRS`` bits, whatever the input's size: the
+larger the corpus, the fewer pairs it cuts, and the counts are exact with any
+bitmap. Tasks count edges in tables of ``HELD`` entries, so a frequent phrase is
+one row of each table. Edges are dealt by their node, so that edges and nodes are summed after one shuffle; the
 lower levels are sums with partial sums before each shuffle, so no word or short
 phrase makes a hot task. A phrase of ``least`` occurrences is passed on as
 finished and is not counted again. Steps 3 and 4 work on phrases of at least
@@ -42,7 +48,10 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,6 +66,8 @@ HELD = 500_000
 BATCH = 50_000
 #: Numbers by which nodes are dealt to tasks.
 DEALT = 1 << 20
+#: Bits of the bitmap of pairs (a power of two).
+PAIRS = 1 << 27
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -65,9 +76,60 @@ _READ = bytes.maketrans(_UPPER + _ENDS + b"\t", _UPPER.lower() + b"\n" * len(_EN
 # ------------------------------------------------------------- counting
 
 
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Hashes(dict):
+    """64 bits for each word, computed when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > HELD:
+            self.clear()
+        self[word] = found = crc32(word) << 32 | crc32(word, 0x5BD1E995)
+        return found
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], list[int]]]:
+    """(lang, words, lengths of the pieces) of each text of (lang, text)."""
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+        pieces = [words for piece in text.translate(_READ).split(b"\n") if (words := piece.split())]  # bytes split at ASCII white space only
+        if pieces:
+            yield lang, [w for words in pieces for w in words], [len(words) for words in pieces]
+
+
+def _pairs(lang: str, words: list[bytes], lengths: list[int], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """For each word but the last: the number of its pair with the next word,
+    and whether both are of one piece."""
+    h = np.array([hashes[w] for w in words], dtype=np.uint64)
+    x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ np.uint64(hashes[lang.encode()])) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    inside = np.ones(len(x), dtype=bool)
+    inside[np.cumsum(lengths)[:-1] - 1] = False
+    return (x >> np.uint64(32)).astype(np.int64) & (PAIRS - 1), inside
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) -> (pair, n)."""
+    hashes = _Hashes()
+    for b in batches:
+        found = [pairs[inside] for pairs, inside in (_pairs(*t, hashes) for t in _texts(b))]
+        if found:
+            pair, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"pair": pair.astype(np.int32), "n": n})
+
+
+def frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
+    """The bitmap, as bytes: bits of pair numbers that occur ``least`` times."""
+    counts = texts.mapInArrow(_count_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    bits = counts.where(F.col("n") >= least).select(F.expr("pair div 32").alias("at"), F.expr("shiftleft(1L, pair % 32)").alias("bit"))
+    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most PAIRS / 32 rows
+    bitmap = np.zeros(PAIRS // 32, dtype="<u4")
+    bitmap[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return bitmap.view(np.uint8)
+
+
+def _edges(batches: Iterator[pa.RecordBatch], kept) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, g, n): the phrases that start at each word."""
     held: dict[str, Counter] = {}
+    hashes, bitmap = _Hashes(), kept.value
 
     def passed_on() -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
@@ -79,12 +141,16 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+        for lang, words, lengths in _texts(b):
+            pairs, inside = _pairs(lang, words, lengths, hashes)
+            joined = inside & ((bitmap[pairs >> 3] >> (pairs & 7).astype(np.uint8)) & 1).astype(bool)
+            ends = np.append(np.flatnonzero(~joined) + 1, len(words))
+            starts = np.append(0, ends[:-1])
+            alone = ends - starts == 1
             counts = held.setdefault(lang, Counter())
-            for piece in text.translate(_READ).split(b"\n"):
-                words = piece.split()  # of bytes: at ASCII white space only, and none but spaces is left
-                if words:
-                    counts.update([b" ".join(words[i : i + LONGEST]) for i in range(len(words))])
+            counts.update([words[i] for i in starts[alone].tolist()])
+            for start, end in zip(starts[~alone].tolist(), ends[~alone].tolist()):
+                counts.update([b" ".join(words[i : min(i + LONGEST, end)]) for i in range(start, end)])
             if sum(map(len, held.values())) > HELD:
                 yield from passed_on()
     yield from passed_on()
@@ -108,7 +174,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, text_col: str = "text", l
     least ``least`` occurrences, and one row with an empty phrase per language
     that has words: the number of its words."""
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    edges = docs.select(lang.alias("lang"), text_of(text_col).alias("text")).mapInArrow(_edges, "lang string, g string, n long")
+    texts = docs.select(lang.alias("lang"), text_of(text_col).alias("text"))
+    kept = docs.sparkSession.sparkContext.broadcast(frequent_pairs(texts, least))  # PAIRS bits
+    edges = texts.mapInArrow(partial(_edges, kept=kept), "lang string, g string, n long")
     node = F.xxhash64("lang", F.substring_index("g", " ", LONGEST - 1))
     edges = edges.withColumn("p", F.pmod(node, F.lit(DEALT)).cast("int")).repartition("p")
     # Grouped by p as well, edges and nodes are summed where they were dealt to.

@@ -81,6 +81,17 @@ def test_small_tables_of_counts_and_partitions_change_nothing(spark, monkeypatch
     assert got_of(C.collocations(table_of(spark, rows).repartition(6), 4)) == want
 
 
+def test_any_bitmap_that_holds_the_frequent_pairs_gives_the_same(spark, monkeypatch):
+    """A full bitmap cuts nothing, as on a corpus whose every pair is frequent."""
+    import numpy as np
+
+    rows = prose(200, 4)
+    cut = C.frequent_pairs(table_of(spark, rows).select("lang", "text").na.fill(""), 6)
+    assert 0 < np.unpackbits(cut).sum() < 2000
+    monkeypatch.setattr(C, "frequent_pairs", lambda texts, least: np.full(C.PAIRS // 8, 255, dtype=np.uint8))
+    assert got_of(C.collocations(table_of(spark, rows), 6)) == brute(rows, 6)
+
+
 def test_counts_are_the_flow(spark):
     rows = prose(150, 5)
     f = counts_of(rows)
