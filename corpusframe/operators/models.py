@@ -2,8 +2,8 @@
 
 Estimators carry the reference's settings mapped to Spark ML parameters.
 Fitting and scoring are distributed (Spark ML aggregates gradients, split
-statistics and class counts per partition); the driver only loops over
-folds and grid configurations, never over rows.
+statistics and class counts per partition); the driver only plans
+folds and grid configurations (``search``), it never loops over rows.
 """
 
 from __future__ import annotations
@@ -11,22 +11,29 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Estimator, Model
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier,
     LinearSVC,
+    LinearSVCModel,
     LogisticRegression,
+    LogisticRegressionModel,
     MultilayerPerceptronClassifier,
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasSeed
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusframe.operators.kernel import RandomFourierFeatures
+from corpusframe.operators.search import WORKERS, run_planned
 from corpusframe.operators.splits import stratified_kfold
+from corpusframe.sources.registry import ModelRegistry
 
 SEED = 42
 
@@ -72,46 +79,102 @@ def positive_probability(prob_col: str = "probability") -> Column:
     return vector_to_array(F.col(prob_col))[1]
 
 
-class CalibratedSVM:
-    """M3: linear SVM with sigmoid calibration on ``k`` folds: per fold an
-    SVM fitted on the other folds and a one-feature logistic regression on
-    its held-out margins; predictions average the fold probabilities."""
+class _SvmParams(HasFeaturesCol, HasLabelCol, HasSeed):
+    k = Param(Params._dummy(), "k", "calibration folds", TypeConverters.toInt)
+    reg = Param(Params._dummy(), "reg", "L2 strength of the SVM", TypeConverters.toFloat)
+    idCol = Param(Params._dummy(), "idCol", "unique column that deals rows to folds", TypeConverters.toString)
 
-    def __init__(self, k: int = 3, reg: float = 0.0, features="features", label="label"):
-        self.k, self.reg, self.features, self.label = k, reg, features, label
-        self.pairs: list[tuple[Model, Model]] = []
+    def __init__(self):
+        super().__init__()
+        self._setDefault(k=3, reg=0.0, idCol="id", seed=SEED, featuresCol="features", labelCol="label")
 
-    def _margin(self, svm: Model, df: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import VectorAssembler
 
-        scored = svm.transform(df).withColumn("_margin", vector_to_array("rawPrediction")[1])
-        scored = scored.drop("rawPrediction", "prediction")
-        return VectorAssembler(inputCols=["_margin"], outputCol="_m").transform(scored)
+def _margin(svm: Model, df: DataFrame) -> DataFrame:
+    scored = svm.transform(df).withColumn("_margin", vector_to_array("rawPrediction")[1])
+    return scored.withColumn("_m", array_to_vector(F.array("_margin"))).drop("rawPrediction", "prediction")
 
-    def fit(self, df: DataFrame, id_col: str = "id") -> "CalibratedSVM":
-        """A newly fitted model; folds are stratified (X2). ``id_col`` is
-        unique; its rows are joined to their folds."""
-        d = stratified_kfold(df.select(id_col, self.label, self.features), id_col, self.label, self.k, SEED)
-        out = CalibratedSVM(self.k, self.reg, self.features, self.label)
-        for i in range(1, self.k + 1):
-            svm = LinearSVC(regParam=self.reg, featuresCol=self.features, labelCol=self.label).fit(d.filter(F.col("fold") != i))
-            held = self._margin(svm, d.filter(F.col("fold") == i))
-            cal = LogisticRegression(featuresCol="_m", labelCol=self.label, maxIter=100).fit(held)
-            out.pairs.append((svm, cal))
-        return out
 
-    def transform(self, df: DataFrame) -> DataFrame:
+class CalibratedSVM(Estimator, _SvmParams, DefaultParamsReadable, DefaultParamsWritable):
+    """M3: SVM with sigmoid calibration on ``k`` folds: per fold an SVM fitted
+    on the other folds and a one-feature logistic regression on its held-out
+    margins; predictions average the fold probabilities. Linear in its features:
+    ``rbf_svm`` puts the kernel before it."""
+
+    @keyword_only
+    def __init__(self, *, k=3, reg=0.0, featuresCol="features", labelCol="label", idCol="id"):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> CalibratedSVMModel:
+        """Folds are stratified (X2); the id column's rows are joined to their folds."""
+        of, label, features = self.getOrDefault, self.getLabelCol(), self.getFeaturesCol()
+        d = stratified_kfold(df.select(of(self.idCol), label, features), of(self.idCol), label, of(self.k), of(self.seed))
+        pairs = []
+        for i in range(1, of(self.k) + 1):
+            svm = LinearSVC(regParam=of(self.reg), featuresCol=features, labelCol=label).fit(d.filter(F.col("fold") != i))
+            held = _margin(svm, d.filter(F.col("fold") == i))
+            pairs.append((svm, LogisticRegression(featuresCol="_m", labelCol=label, maxIter=100).fit(held)))
+        return self._copyValues(CalibratedSVMModel(pairs))
+
+
+class CalibratedSVMModel(Model, _SvmParams, MLReadable, MLWritable):
+    def __init__(self, pairs: Sequence[tuple[Model, Model]] = ()):
+        super().__init__()
+        self.pairs = list(pairs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
         """Adds ``score`` (mean calibrated probability) and ``prediction``."""
         probs = []
         out = df
         for i, (svm, cal) in enumerate(self.pairs):
-            s = cal.transform(self._margin(svm, out)).withColumn(f"_p{i}", positive_probability())
+            s = cal.transform(_margin(svm, out)).withColumn(f"_p{i}", positive_probability())
             out = s.drop("_margin", "_m", "rawPrediction", "probability", "prediction")
             probs.append(F.col(f"_p{i}"))
         score = sum(probs[1:], probs[0]) / F.lit(len(probs))
         out = out.withColumn("score", score).withColumn("prediction", (F.col("score") > 0.5).cast("double"))
         return out.drop(*[f"_p{i}" for i in range(len(probs))])
 
+    def write(self) -> MLWriter:
+        return _SvmWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _SvmReader(cls)
+
+
+class _SvmWriter(MLWriter):
+    def __init__(self, instance: CalibratedSVMModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        for i, (svm, cal) in enumerate(self.instance.pairs):
+            svm.write().save(f"{path}/svm-{i}")
+            cal.write().save(f"{path}/sigmoid-{i}")
+
+
+class _SvmReader(MLReader):
+    def __init__(self, cls):
+        super().__init__()
+        self.cls = cls
+
+    def load(self, path: str) -> CalibratedSVMModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.cls()
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        for i in range(model.getOrDefault(model.k)):
+            model.pairs.append((LinearSVCModel.load(f"{path}/svm-{i}"), LogisticRegressionModel.load(f"{path}/sigmoid-{i}")))
+        return model
+
+
+def rbf_svm(width: int = 512, id_col: str = "id", features="features", label="label", reg: float = 0.0) -> Pipeline:
+    """M3 with the reference's kernel: random Fourier features of an RBF kernel
+    (gamma from the training variance), then the calibrated SVM."""
+    kernel = RandomFourierFeatures(inputCol=features, outputCol="fourier", width=width, seed=SEED)
+    return Pipeline(stages=[kernel, CalibratedSVM(featuresCol="fourier", labelCol=label, idCol=id_col, reg=reg)])
+
 
 def predictions(model, df: DataFrame, keep: Sequence[str] = ("id", "label")) -> DataFrame:
     """``(keep..., predicted_label, score)`` from a fitted model."""
@@ -130,27 +193,32 @@ def timed(df: DataFrame) -> float:
 
 def grid_search(
     train: DataFrame,
-    estimator: Estimator,
+    make_estimator: Callable[[dict], Estimator],
     grid: Sequence[dict],
+    path: str,
     fold_col: str = "fold",
     k: int = 5,
-    parallelism: int = 2,
-    label="label",
-) -> tuple[Model, list[tuple[dict, float, float]]]:
-    """M7: every grid configuration on every fold (``fold_col`` 1..k) by
-    ``CrossValidator``; returns the refitted best model and per configuration
-    (params, mean AUC, std AUC)."""
-    builder = ParamGridBuilder()
-    maps = []
-    for cfg in grid:
-        maps.append({estimator.getParam(k): v for k, v in cfg.items()})
-    ev = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
-    cv = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps or builder.build(), evaluator=ev,
-        foldCol="_cvfold", numFolds=k, parallelism=parallelism, seed=SEED,
+    workers: int = WORKERS,
+    keep: Sequence[str] = ("id", "label"),
+) -> DataFrame:
+    """M7 (+ S5, S6): every configuration of ``grid`` on every fold (``fold_col``
+    1..k), fitted on the other folds; validation predictions stored per (config,
+    fold) at ``path``. Returns (config, mean_auc, std_auc)."""
+    from corpusframe.operators.evaluation import roc_auc
+
+    spark = train.sparkSession
+    planned = spark.range(len(grid)).select(F.col("id").cast("int").alias("config")).crossJoin(
+        spark.range(1, k + 1).select(F.col("id").cast("int").alias("cv_fold"))
     )
-    model = cv.fit(train.withColumn("_cvfold", (F.col(fold_col) - 1).cast("int")))
-    return model, [(cfg, m, s) for cfg, m, s in zip(grid, model.avgMetrics, model.stdMetrics)]
+
+    def fit(row: dict) -> DataFrame:
+        model = make_estimator(grid[row["config"]]).fit(train.filter(F.col(fold_col) != row["cv_fold"]))
+        scored = predictions(model, train.filter(F.col(fold_col) == row["cv_fold"]), keep)
+        return scored.withColumn("config", F.lit(row["config"])).withColumn("cv_fold", F.lit(row["cv_fold"]))
+
+    found = run_planned(planned, path, ["config", "cv_fold"], fit, workers, "grid search")
+    auc = roc_auc(found, group_cols=["config", "cv_fold"])
+    return auc.groupBy("config").agg(F.avg("auc").alias("mean_auc"), F.stddev_pop("auc").alias("std_auc"))
 
 
 def k_fold_runs(
@@ -161,19 +229,25 @@ def k_fold_runs(
     fold_col: str = "fold",
     keep: Sequence[str] = ("id", "label"),
     model_name: str = "model",
+    registry: ModelRegistry | None = None,
+    workers: int = WORKERS,
 ) -> DataFrame:
     """M8 (+ S5, S6): for each fold without stored predictions, fit on the
     other folds and write validation predictions to the table at
-    ``predictions_path`` partitioned by (model, fold); returns that table."""
-    from corpusframe.sources.files import pending
+    ``predictions_path`` partitioned by (model, fold); returns that table. With a
+    registry every fold's model is stored, with its validation metrics."""
+    from corpusframe.operators.evaluation import binary_metrics
 
     spark = train.sparkSession
     planned = spark.range(1, k + 1).select(F.lit(model_name).alias("model"), F.col("id").cast("int").alias(fold_col))
-    todo = [r[1] for r in pending(planned, predictions_path, ["model", fold_col]).collect()]  # at most k values
-    for i in sorted(todo):
-        tr = train.filter(F.col(fold_col) != i)
-        va = train.filter(F.col(fold_col) == i)
+
+    def fit(row: dict) -> DataFrame:
+        i = row[fold_col]
+        tr, va = train.filter(F.col(fold_col) != i), train.filter(F.col(fold_col) == i)
         model = make_estimator(tr).fit(tr)
-        out = predictions(model, va, keep).withColumn("model", F.lit(model_name)).withColumn(fold_col, F.lit(i))
-        out.write.mode("append").partitionBy("model", fold_col).parquet(predictions_path)
-    return spark.read.parquet(predictions_path).filter(F.col("model") == model_name)
+        scored = predictions(model, va, keep).withColumn("model", F.lit(model_name)).withColumn(fold_col, F.lit(i))
+        if registry is not None:
+            registry.register(model_name, model, binary_metrics(scored).first().asDict(), fold=i)
+        return scored
+
+    return run_planned(planned, predictions_path, ["model", fold_col], fit, workers, "folds").filter(F.col("model") == model_name)

@@ -1063,7 +1063,7 @@ from corpusframe.plans import learned as LM  # noqa: E402
 @register("learned_predictions")
 def q_learned_predictions(spark, sf_dir):
     """M1-M5 + G8 + Z1: test-split predictions of naive Bayes, logistic
-    regression, calibrated linear SVM, random forest and boosted trees."""
+    regression, calibrated RBF SVM, random forest and boosted trees."""
     return LM.test_predictions(spark, sf_dir)
 
 
@@ -1091,6 +1091,43 @@ def q_kfold_runs(spark, sf_dir):
     return LM.k_fold(spark, sf_dir)
 
 
+_STORED_SQL = f"""
+WITH sc AS MATERIALIZED (SELECT *, own_fold = fold AS held FROM ({_RUN_SCORES_SQL}) WHERE model = '{RU.MODELS[0][0]}' AND epoch = {RU.EPOCHS} AND (is_test OR own_fold = fold)),
+m AS (SELECT fold, is_test, count_if(label=1 AND pred=1) AS tp, count_if(label=0 AND pred=1) AS fp, count_if(label=1 AND pred=0) AS fn,
+      count_if(label=0 AND pred=0) AS tn FROM sc GROUP BY ALL),
+e AS (SELECT *, (tp+tn)/(tp+tn+fp+fn) AS accuracy, CASE WHEN tp+fp=0 THEN 0.0::DOUBLE ELSE tp/(tp+fp) END AS precision,
+      CASE WHEN tp+fn=0 THEN 0.0::DOUBLE ELSE tp/(tp+fn) END AS recall, CASE WHEN 2*tp+fp+fn=0 THEN 0.0::DOUBLE ELSE 2*tp/(2*tp+fp+fn) END AS f1 FROM m),
+b AS (SELECT fold, f1 FROM e WHERE NOT is_test ORDER BY f1 DESC, fold LIMIT 1)
+SELECT 'naive_bayes' AS model, b.fold AS best_fold, round(b.f1, {R}) AS fold_f1, round(accuracy, {R}) AS accuracy, round(precision, {R}) AS precision,
+       round(recall, {R}) AS recall, round(e.f1, {R}) AS f1, CAST(tp+fn AS BIGINT) AS support FROM e JOIN b USING (fold) WHERE is_test
+"""
+
+
+@register("stored_best_run", _STORED_SQL)
+def q_stored_best_run(spark, sf_dir):
+    """Naive Bayes of every fold stored; the best one loaded with the stored
+    feature pipeline and scored on the test split."""
+    return _rounded(LM.stored_best_run(spark, sf_dir), ["fold_f1", "accuracy", "precision", "recall", "f1"])
+
+
+@register("stored_best_logistic")
+def q_stored_best_logistic(spark, sf_dir):
+    """E11 for logistic regression."""
+    return LM.stored_best_run(spark, sf_dir, "logistic_regression")
+
+
+@register("boosting_log")
+def q_boosting_log(spark, sf_dir):
+    """Metrics after every round of boosted trees, per fold."""
+    return LM.boosting_log(spark, sf_dir)
+
+
+@register("boosting_stops")
+def q_boosting_stops(spark, sf_dir):
+    """Where the boosted fits of the folds would stop."""
+    return LM.boosting_stops(spark, sf_dir)
+
+
 @register("fusion_head")
 def q_fusion_head(spark, sf_dir):
     """M6: MLP over embedding + scaled summary features."""

@@ -11,18 +11,22 @@ as in the reference.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as T
+from corpusframe.operators import boosting as BO
 from corpusframe.operators import evaluation as E
 from corpusframe.operators import features as G
 from corpusframe.operators import models as M
 from corpusframe.operators import splits as SP
+from corpusframe.operators.search import run_planned
 from corpusframe.plans import base as B
 from corpusframe.plans import corpus as C
 from corpusframe.session import scratch_path
-from corpusframe.sources.files import materialize
+from corpusframe.sources.files import materialize, overwrite_partitions
+from corpusframe.sources.registry import ModelRegistry
 
 SAMPLE_ROWS = 2000
 
@@ -35,19 +39,35 @@ GRID = (
     {"regParam": 0.01, "maxIter": 100},
 )
 
-def fit_models(spark: SparkSession, ft: DataFrame) -> dict:
-    """{display name: fitted model} on the training rows of a feature table."""
+def train_models(spark: SparkSession, ft: DataFrame) -> ModelRegistry:
+    """The five classical models, fitted on the training rows of a feature table
+    side by side, and stored."""
     train = ft.filter(~F.col("is_test"))
     n = train.count()
     sample = SP.bootstrap_sample(train, SAMPLE_ROWS, "id", B.SEED)  # draws: unique; ids repeat
     sample = materialize(sample, scratch_path(spark, "learned-sample"), force=True)
-    return {
-        "Naive Bayes": M.naive_bayes("nb_features").fit(train),
-        "Logistic Regression": M.logistic_regression(n).fit(train),
-        "Linear SVM": M.CalibratedSVM().fit(sample, "draw"),
-        "Random Forest": M.random_forest().fit(sample),
-        "Gradient Boosting": M.gradient_boosting().fit(sample),
+    fits = {
+        "Naive Bayes": (M.naive_bayes("nb_features"), train),
+        "Logistic Regression": (M.logistic_regression(n), train),
+        "SVM": (M.rbf_svm(id_col="draw"), sample),
+        "Random Forest": (M.random_forest(), sample),
+        "Gradient Boosting": (M.gradient_boosting(), sample),
     }
+    registry = ModelRegistry(spark, scratch_path(spark, "learned-models"))
+
+    def fit(row: dict) -> DataFrame:
+        estimator, rows = fits[row["model"]]
+        path = registry.register(row["model"], estimator.fit(rows), {"train_rows": n if rows is train else SAMPLE_ROWS})
+        return spark.createDataFrame([(row["model"], path)], "model string, path string")
+
+    planned = spark.createDataFrame([(name,) for name in fits], "model string")
+    run_planned(planned, scratch_path(spark, "learned-fits"), ["model"], fit, name="models")
+    return registry
+
+
+def stored_models(registry: ModelRegistry) -> dict:
+    """{name: model}, loaded from the registry."""
+    return {r["model"]: registry.load(r["path"]) for r in registry.best("train_rows").orderBy("model").collect()}
 
 
 def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +76,8 @@ def test_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ft = B.feature_table(spark, sf_dir)
     test = ft.filter(F.col("is_test"))
     path = scratch_path(spark, "test-predictions")
-    for name, m in fit_models(spark, ft).items():
-        M.predictions(m, test).withColumn("model", F.lit(name)).write.mode("append").partitionBy("model").parquet(path)
+    for name, m in stored_models(train_models(spark, ft)).items():
+        overwrite_partitions(M.predictions(m, test).withColumn("model", F.lit(name)), path, ["model"])
     return spark.read.parquet(path).select("model", "id", "label", "predicted_label", "score")
 
 
@@ -70,12 +90,11 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inference_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds to score the test split, per model; a table of its own, as
-    it differs from run to run."""
+    """Seconds to score the test split with each stored model; a table of
+    its own, as it differs from run to run. Loading and fitting are not timed."""
     ft = B.feature_table(spark, sf_dir)
     test = ft.filter(F.col("is_test"))
-    models = fit_models(spark, ft)
-    rows = [(name, round(M.timed(M.predictions(m, test)), 3)) for name, m in models.items()]
+    rows = [(name, round(M.timed(M.predictions(m, test)), 3)) for name, m in stored_models(train_models(spark, ft)).items()]
     return spark.createDataFrame(rows, "model string, inference_seconds double")
 
 
@@ -103,20 +122,18 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M7: every configuration of ``GRID`` on the 5 training folds; mean and
     std of fold AUC, and the chosen configuration."""
-    ft = B.feature_table(spark, sf_dir)
-    train = ft.filter(~F.col("is_test"))
-    est = M.logistic_regression(1).setStandardization(False)
-    _, res = M.grid_search(train, est, list(GRID), "fold", B.K_FOLDS)
-    best = max(range(len(res)), key=lambda i: (res[i][1], -i))
-    rows = [(i, float(cfg["regParam"]), int(cfg["maxIter"]), float(m), float(s), i == best) for i, (cfg, m, s) in enumerate(res)]
-    return spark.createDataFrame(rows, "config int, reg_param double, max_iter int, mean_auc double, std_auc double, chosen boolean")
+    train = B.feature_table(spark, sf_dir).filter(~F.col("is_test"))
+    base = M.logistic_regression(1)
+    res = M.grid_search(train, lambda cfg: base.copy({base.getParam(k): v for k, v in cfg.items()}), GRID, scratch_path(spark, "grid-predictions"), "fold", B.K_FOLDS)
+    grid = spark.createDataFrame([(i, float(c["regParam"]), int(c["maxIter"])) for i, c in enumerate(GRID)], "config int, reg_param double, max_iter int")
+    order = Window.orderBy(F.col("mean_auc").desc(), "config")  # one row a configuration
+    return grid.join(res, "config").withColumn("chosen", F.row_number().over(order) == 1).orderBy("config")
 
 
 def k_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M8 (+ S5, S6, A11): logistic regression over the 5 folds, validation
     predictions stored per (model, fold); per-fold metrics."""
-    ft = B.feature_table(spark, sf_dir)
-    train = ft.filter(~F.col("is_test"))
+    train = B.feature_table(spark, sf_dir).filter(~F.col("is_test"))
     path = scratch_path(spark, "kfold-predictions")
     preds = M.k_fold_runs(
         train, lambda tr: M.logistic_regression(tr.count()), B.K_FOLDS, path, model_name="logistic_regression"
@@ -126,6 +143,55 @@ def k_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.join(auc, "fold").select("fold", "accuracy", "precision", "recall", "f1", "auc")
 
 
+FOLD_MODELS = {
+    "logistic_regression": lambda train: M.logistic_regression(train.count()),
+    "naive_bayes": lambda train: M.naive_bayes("nb_features"),
+}
+
+
+def stored_best_run(spark: SparkSession, sf_dir: str, name: str = "naive_bayes") -> DataFrame:
+    """A model of ``FOLD_MODELS`` is fitted on every fold and stored with
+    its validation metrics; the fold with the best F1 is loaded again, stored
+    together with the feature pipeline (vocabulary, idf, scaler), and that whole
+    is loaded and scores the test split from its texts: (model, best_fold,
+    fold_f1, accuracy, precision, recall, f1, support)."""
+    rows = B.split_rows(spark, sf_dir)
+    features = B.fit_features(rows)
+    table = features.transform(rows.filter("NOT is_test")).select("id", "label", "fold", "features", "nb_features")
+    train = materialize(table, scratch_path(spark, "learned-features"), force=True)
+    registry = ModelRegistry(spark, scratch_path(spark, "runs"))
+    M.k_fold_runs(train, FOLD_MODELS[name], B.K_FOLDS, scratch_path(spark, "fold-predictions"), model_name=name, registry=registry)
+    best = registry.best("f1", name).first()  # one row
+    whole = PipelineModel([features, registry.load(best["path"])])
+    path = registry.register(f"{name}_from_text", whole, {"f1": best["value"]}, best["fold"])
+    test = M.predictions(registry.load(path), rows.filter("is_test"))
+    met = E.binary_metrics(test)
+    return met.select(F.lit(name).alias("model"), F.lit(best["fold"]).alias("best_fold"), F.lit(best["value"]).alias("fold_f1"), *met.columns)
+
+
+def boosting_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E10 of an iterative learner: boosted trees fitted on every fold (from an
+    exact bootstrap sample of its training rows, as in the comparison), and the
+    metrics of every round on the validation rows: (fold, round, rows, loss,
+    accuracy, precision, recall, f1)."""
+    train = B.feature_table(spark, sf_dir).filter(~F.col("is_test"))
+
+    def fit(row: dict) -> DataFrame:
+        own = train.filter(F.col("fold") != row["fold"])
+        sample = materialize(SP.bootstrap_sample(own, SAMPLE_ROWS, "id", B.SEED), scratch_path(spark, "boosting-sample"), force=True)
+        model = M.gradient_boosting().fit(sample)
+        return BO.round_log(model, train.filter(F.col("fold") == row["fold"])).withColumn("fold", F.lit(row["fold"]))
+
+    planned = spark.range(1, B.K_FOLDS + 1).select(F.col("id").cast("int").alias("fold"))
+    log = run_planned(planned, scratch_path(spark, "boosting-log"), ["fold"], fit, name="boosting")
+    return log.select("fold", "round", "rows", "loss", "accuracy", "precision", "recall", "f1")
+
+
+def boosting_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 of an iterative learner: early stopping replayed on the boosting log."""
+    return BO.stops(boosting_log(spark, sf_dir), ["fold"])
+
+
 def fused_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, label, v, norm_scaled, mean_scaled): embedding with its two
     standard-scaled summary features (G10 inputs); target ``label % 2``."""

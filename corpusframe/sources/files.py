@@ -64,6 +64,21 @@ def pending(planned: DataFrame, done_path: str, keys: Sequence[str]) -> DataFram
     return planned.join(done, list(keys), "left_anti")
 
 
+def partitions_written(spark: SparkSession, path: str) -> bool:
+    """Whether a partitioned table at ``path`` has a committed partition (its
+    writers work in hidden folders until they commit)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and any(s.isDirectory() and "=" in s.getPath().getName() for s in fs.listStatus(p))
+
+
+def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replace the partitions that ``df`` has rows of, and no others; writers of
+    different partitions may work at the same time."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "overwrite") -> str:
     """One table partitioned by e.g. ``(model, fold)`` or ``fold``;
     rows are clustered on the partition columns first so each task writes

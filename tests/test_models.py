@@ -21,7 +21,7 @@ def n_test(spark):
 def test_learned_predictions(spark, n_test):
     df = E.queries()["learned_predictions"](spark, MID)
     rows = df.collect()
-    assert {r.model for r in rows} == {"Naive Bayes", "Logistic Regression", "Linear SVM", "Random Forest", "Gradient Boosting"}
+    assert {r.model for r in rows} == {"Naive Bayes", "Logistic Regression", "SVM", "Random Forest", "Gradient Boosting"}
     assert len(rows) == 5 * n_test
     assert all(r.predicted_label in (0, 1) and 0.0 <= r.score <= 1.0 for r in rows)
 
