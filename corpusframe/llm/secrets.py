@@ -45,8 +45,6 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 #: Equal to matching HEX and dropping short matches: a maximal run is long or holds no long part.
 LONG_HEX = r"[0-9a-f]{24,}"
-#: As the SQL has it: differs from RUN for runs with an inner "=" or a base span.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Separators beside a blank; one letter each, so that places are kept.
 CUT_EDGE = r"[+/_-](?=[+/_-]{0,8} )|(?<= [+/_-]{0,8})[+/_-]"
@@ -270,13 +268,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-def _spans_sql(name: str, pattern: str, group: int = 0) -> str:
-    """CTE of the matches of one pattern with their places."""
+def _spans_sql(name: str, pattern: str, group: int = 0, source: str = "d") -> str:
+    """CTE of the matches of one pattern in the texts of ``source`` (rid, t)
+    with their places."""
     p = pattern.replace("'", "''")
     return f"""
 {name}0 AS (SELECT rid, unnest(regexp_extract_all(t, '{p}')) AS w, unnest(regexp_extract_all(t, '{p}', {group})) AS g,
            unnest(regexp_split_to_array(t, '{p}')[1:len(regexp_extract_all(t, '{p}'))]) AS piece,
-           unnest(range(len(regexp_extract_all(t, '{p}')))) AS i FROM d WHERE regexp_matches(t, '{p}')),
+           unnest(range(len(regexp_extract_all(t, '{p}')))) AS i FROM {source} WHERE regexp_matches(t, '{p}')),
 {name} AS (SELECT rid, w, g, (sum(length(piece)) OVER o + coalesce(sum(length(w)) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS s
            FROM {name}0 WINDOW o AS (PARTITION BY rid ORDER BY i))"""
 
@@ -307,12 +306,21 @@ def oracle_sql() -> str:
     size = " ".join(f"WHEN e - s >= {low} THEN {k}" for k, low in reversed(list(enumerate(LENGTHS))))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-{_spans_sql('a', assign, 2)},{_spans_sql('k', ACCESS)},{_spans_sql('h', LONG_HEX)},{_spans_sql('r', CANDIDATE)},
+{_spans_sql('a', assign, 2)},{_spans_sql('k', ACCESS)},{_spans_sql('h', LONG_HEX)},{_spans_sql('r', RUN)},
 base AS (SELECT rid, s, 0 AS kind, s + length(w) AS e FROM a WHERE length(g) >= 6
          UNION ALL SELECT rid, s, 1, s + length(w) FROM k WHERE length(w) >= 20
          UNION ALL SELECT rid, s, 2, s + length(w) FROM h),
-c0 AS (SELECT row_number() OVER () AS cid, rid, s, s + length(w) AS e, translate(rtrim(w, '='), '-_', '+/') AS canon FROM r
-       WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = r.rid AND b.s < r.s + length(r.w) AND r.s < b.e)),
+runs AS MATERIALIZED (SELECT row_number() OVER () AS k, rid, w, s, s + length(w) AS e FROM r),
+hit AS MATERIALIZED (SELECT runs.k, b.s, b.e FROM runs JOIN base b ON b.rid = runs.rid AND b.s < runs.e AND runs.s < b.e),
+letters AS (SELECT k, i, CASE WHEN EXISTS (SELECT 1 FROM hit WHERE hit.k = x.k AND x.s + i >= hit.s AND x.s + i < hit.e) THEN ' ' ELSE substr(w, i::INTEGER + 1, 1) END AS c
+            FROM (SELECT *, unnest(range(length(w))) AS i FROM runs WHERE k IN (SELECT k FROM hit)) x),
+cut AS (SELECT k, string_agg(c, '' ORDER BY i) AS t FROM letters GROUP BY k),
+rest AS (SELECT k AS rid, string_agg(CASE WHEN regexp_matches(c, '[+/_-]') AND (regexp_matches(substr(t, i::INTEGER + 2, 9), '^[+/_-]{{0,8}} ')
+                OR regexp_matches(substr(t, greatest(i::INTEGER - 8, 1), least(i::INTEGER, 9)), ' [+/_-]{{0,8}}$')) THEN ' ' ELSE c END, '' ORDER BY i) AS t
+         FROM letters JOIN cut USING (k) GROUP BY k),
+{_spans_sql('q', RUN, 0, 'rest')},
+found AS (SELECT rid, s, w FROM runs WHERE k NOT IN (SELECT k FROM hit) UNION ALL SELECT runs.rid, runs.s + q.s, q.w FROM q JOIN runs ON q.rid = runs.k),
+c0 AS (SELECT row_number() OVER () AS cid, rid, s, s + length(w) AS e, translate(rtrim(w, '='), '-_', '+/') AS canon FROM found),
 c1 AS (SELECT *, CASE {encoding} END AS enc FROM c0),
 c2 AS (SELECT cid, rid, s, e, CASE WHEN enc = 'hex' THEN lower(canon) ELSE canon END AS word, alphabet, length(alphabet)::DOUBLE AS size, two, three
        FROM c1 JOIN (VALUES {facts}) f(name, alphabet, two, three) ON enc = name),
