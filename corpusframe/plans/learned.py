@@ -49,7 +49,7 @@ def train_models(spark: SparkSession, ft: DataFrame) -> ModelRegistry:
     fits = {
         "Naive Bayes": (M.naive_bayes("nb_features"), train),
         "Logistic Regression": (M.logistic_regression(n), train),
-        "SVM": (M.rbf_svm(id_col="draw"), sample),
+        "SVM": (M.rbf_svm(id_col="draw", reg=1.0 / SAMPLE_ROWS), sample),
         "Random Forest": (M.random_forest(), sample),
         "Gradient Boosting": (M.gradient_boosting(), sample),
     }

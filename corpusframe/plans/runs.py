@@ -10,16 +10,21 @@ summaries, test evaluation of the chosen run, model comparison -- has a SQL
 oracle. ``boosting`` has the log of an iterative learner.
 
 Feature sums are taken once per (feature, label, fold, part), a table whose size
-depends on the parameters only; every run's weights are sums of its rows. The
-weights of all runs are one row per feature, and one pass gives every text the
-margins of all runs as an array, which is stored beside its label; no row per
-text and run is ever written or shuffled.
+depends on the parameters only; every run's weights are sums of its rows. One
+pass gives every text the margins of all runs as an array, where it is: no row
+per text and run, or text and feature, is ever written or shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from corpusframe.functions import text as T
 from corpusframe.operators import evaluation as E
@@ -68,45 +73,45 @@ def spec_columns(at: Column) -> list[Column]:
     ]
 
 
-def weights(rows: DataFrame, width: int) -> DataFrame:
-    """(k, w), stored: for each of the ``width`` features, and ``PRIOR``, the
-    log ratio of its probability in the two classes under every run."""
-    spark = rows.sparkSession
+def weights(rows: DataFrame, width: int) -> np.ndarray:
+    """For each of the ``width`` features (and last, ``PRIOR``) the log ratio of
+    its probability in the two classes under every run: an array of
+    ``width + 1`` by the number of runs."""
     each = rows.filter(~F.col("is_test")).select("label", "fold", "part", F.explode_outer("x").alias("e"))
-    cube = each.groupBy(F.col("e.k").alias("k"), "label", "fold", "part").agg(F.sum("e.v").alias("v"))
-    cube = materialize(cube, scratch_path(spark, "run-cube"), force=True)
-    runs = [(y, f, e) for y in (0, 1) for f in range(1, K_FOLDS + 1) for e in range(1, EPOCHS + 1)]
-
-    def learned(label: int, fold: int, epoch: int) -> Column:
-        return (F.col("label") == label) & (F.col("fold") != fold) & (F.col("part") <= epoch)
-
-    sums = [F.sum(F.when(learned(*r), F.col("v")).otherwise(0.0)).alias("c{}_{}_{}".format(*r)) for r in runs]
-    every = spark.range(width).select(F.col("id").cast("int").alias("k"))
-    counts = every.join(cube, "k", "left").groupBy("k").agg(*sums)
-    totals = cube.filter(F.col("k") != PRIOR).agg(*[c.alias("n{}_{}_{}".format(*r)) for c, r in zip(sums, runs)])
-    met = counts.crossJoin(F.broadcast(totals))  # one row
-    none = F.lit(0.0)
-    of_feature = [
-        F.log((F.col(f"c1_{f}_{e}") + a) / (F.coalesce(f"n1_{f}_{e}", none) + a * width))
-        - F.log((F.col(f"c0_{f}_{e}") + a) / (F.coalesce(f"n0_{f}_{e}", none) + a * width))
-        for _, a, f, e in _specs()
-    ]
-    prior = cube.filter(F.col("k") == PRIOR).agg(*sums)
-    of_prior = [F.log((F.coalesce(f"c1_{f}_{e}", none) + 1.0) / (F.coalesce(f"c0_{f}_{e}", none) + 1.0)) for _, _, f, e in _specs()]
-    out = met.select("k", F.array(*of_feature).alias("w")).unionByName(prior.select(F.lit(PRIOR).alias("k"), F.array(*of_prior).alias("w")))
-    return materialize(out, scratch_path(spark, "run-weights"), force=True)
-
-
-def margins(rows: DataFrame, w: DataFrame) -> DataFrame:
+    cube = each.groupBy("label", "fold", "part", F.col("e.k").alias("k")).agg(F.sum("e.v").alias("v"))
+    t = cube.toArrow()  # at most 2 * K_FOLDS * EPOCHS * (width + 1) rows
+    sums = np.zeros((2, K_FOLDS, EPOCHS, width + 1))
+    at = [t.column(c).to_numpy() for c in ("label", "fold", "part", "k")]
+    sums[at[0], at[1] - 1, at[2] - 1, at[3]] = t.column("v").to_numpy()  # PRIOR is the last one
+    sums = sums.cumsum(axis=2)
+    learned = sums.sum(axis=1, keepdims=True) - sums  # of the other folds
+    out = []
+    for _, a in MODELS:
+        c, prior = learned[..., :-1], learned[..., -1:]
+        p = np.log(c + a) - np.log(c.sum(axis=-1, keepdims=True) + a * width)
+        ratio = np.concatenate([p[1] - p[0], np.log(prior[1] + 1.0) - np.log(prior[0] + 1.0)], axis=-1)
+        out.append(ratio.reshape(K_FOLDS * EPOCHS, width + 1))
+    return np.concatenate(out).T.copy()
+
+
+def _margins(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x = b.column("x")
+        entries, ends = x.flatten(), x.value_lengths().to_numpy().cumsum()
+        parts = w[entries.field("k").to_numpy()] * entries.field("v").to_numpy()[:, None]
+        m = np.add.reduceat(parts, np.append(0, ends[:-1]), axis=0)  # no row is without an entry
+        offsets = pa.array(np.arange(0, m.size + 1, w.shape[1]), pa.int32())
+        columns = [b.column(i) for i in range(b.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))], [*b.schema.names[:-1], "m"])
+
+
+def margins(rows: DataFrame, w: np.ndarray) -> DataFrame:
     """(id, label, is_test, own_fold, part, m): ``m`` holds the text's log odds
-    of class 1 under every run; stored."""
-    keys = ["id", "label", "is_test", F.col("fold").alias("own_fold"), "part"]
-    each = rows.select(*keys, F.explode_outer("x").alias("e")).select("id", "label", "is_test", "own_fold", "part", "e.k", "e.v")
-    met = each.join(F.broadcast(w), "k")  # VOCAB_SIZE rows and a few
-    sums = [F.sum(F.col("v") * F.col("w")[i]).alias(f"s{i}") for i in range(len(_specs()))]
-    per = met.groupBy("id", "label", "is_test", "own_fold", "part").agg(*sums)
-    out = per.select("id", "label", "is_test", "own_fold", "part", F.array(*[f"s{i}" for i in range(len(sums))]).alias("m"))
-    return materialize(out, scratch_path(rows.sparkSession, "run-margins"), force=True)
+    of class 1 under every run: its entries times the weights, in Arrow batches
+    where the rows are; stored."""
+    rows = rows.select("id", "label", "is_test", F.col("fold").alias("own_fold"), "part", "x")
+    schema = StructType([*rows.schema.fields[:-1], StructField("m", ArrayType(DoubleType()))])
+    return materialize(rows.mapInArrow(partial(_margins, w=w), schema), scratch_path(rows.sparkSession, "run-margins"), force=True)
 
 
 def run_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
