@@ -1,4 +1,4 @@
-"""Model fitting on Spark ML (M1-M8) and scoring.
+"""Model fitting on Spark ML (M1-M5, M7, M8; M6 is ``fusion``) and scoring.
 
 Estimators carry the reference's settings mapped to Spark ML parameters.
 Fitting and scoring are distributed (Spark ML aggregates gradients, split
@@ -19,7 +19,6 @@ from pyspark.ml.classification import (
     LinearSVCModel,
     LogisticRegression,
     LogisticRegressionModel,
-    MultilayerPerceptronClassifier,
     NaiveBayes,
     RandomForestClassifier,
 )
@@ -68,13 +67,6 @@ def gradient_boosting(features="features", label="label") -> Estimator:
     )
 
 
-def fusion_head(n_inputs: int, hidden: int = 128, max_iter: int = 100, features="features", label="label") -> Estimator:
-    """M6: one hidden layer over the fused dense vector, two outputs."""
-    return MultilayerPerceptronClassifier(
-        layers=[n_inputs, hidden, 2], maxIter=max_iter, seed=SEED, featuresCol=features, labelCol=label,
-    )
-
-
 def positive_probability(prob_col: str = "probability") -> Column:
     return vector_to_array(F.col(prob_col))[1]
 

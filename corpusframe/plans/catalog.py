@@ -1130,7 +1130,7 @@ def q_boosting_stops(spark, sf_dir):
 
 @register("fusion_head")
 def q_fusion_head(spark, sf_dir):
-    """M6: MLP over embedding + scaled summary features."""
+    """M6: joint head over embedding and projected summary features."""
     return LM.fusion_head(spark, sf_dir)
 
 

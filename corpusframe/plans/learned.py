@@ -21,6 +21,7 @@ from corpusframe.operators import evaluation as E
 from corpusframe.operators import features as G
 from corpusframe.operators import models as M
 from corpusframe.operators import splits as SP
+from corpusframe.operators.fusion import FusionHead
 from corpusframe.operators.search import run_planned
 from corpusframe.plans import base as B
 from corpusframe.plans import corpus as C
@@ -209,16 +210,13 @@ def fused_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fusion_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M6: MLP over the fused vector; test-split predictions."""
-    from pyspark.ml.functions import array_to_vector
-
+    """M6: the jointly trained head over embedding and scaled numbers;
+    test-split predictions."""
     e = fused_embeddings(spark, sf_dir)
-    fused = G.fuse_dense(F.col("v"), [F.col("norm_scaled"), F.col("mean_scaled")])
-    e = e.select("vec_id", "label", array_to_vector(fused).alias("features"), F.size(fused).alias("_d"))
+    e = e.select("vec_id", "label", "v", F.array("norm_scaled", "mean_scaled").alias("f"))
     e = SP.stratified_split(e, "vec_id", "label", B.TEST_SIZE, B.SEED)
     e = materialize(e, scratch_path(spark, "fusion-features"), force=True)
-    d = e.select(F.max("_d")).first()[0]  # one value
-    model = M.fusion_head(int(d)).fit(e.filter(~F.col("is_test")))
+    model = FusionHead(seed=B.SEED).fit(e.filter(~F.col("is_test")))
     return M.predictions(model, e.filter(F.col("is_test")), ("vec_id", "label"))
 
 
