@@ -1,59 +1,67 @@
 """Profiling and data-quality operators.
 
-Each is one aggregate pass with partial aggregation; results are small
-DataFrames, nothing is collected.
+Each is an aggregate with partial aggregation (quantiles take a few small ones
+more); results are small DataFrames, nothing is collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusframe.operators.ranking import prefix_sums
+from corpusframe.operators.ranking import bucket_of, value_bounds
+from corpusframe.session import scratch_path
+from corpusframe.sources.files import materialize
 
 DESCRIBE_QUANTILES = (0.25, 0.5, 0.75)
-#: Bounds of the value ranges in which counts are summed: powers of two.
-VALUE_BOUNDS = [-(2.0**k) for k in range(40, -21, -1)] + [0.0] + [2.0**k for k in range(-20, 41)]
 
 
 def describe(df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
     """A4/A5: count, mean, sample std, min, 25/50/75 % (linear interpolation)
     and max of each value column, per group, in long form (``measure``).
 
-    Rows are counted per distinct value first; the order statistics are then
-    looked up in running sums of the counts, so no task holds a group's values.
+    Rows are counted per distinct value once, and stored; ``df`` is read once. The
+    values of a group are cut into buckets of like size (``ranking.value_bounds``);
+    the buckets' totals show in which bucket a quantile lies, and only those
+    buckets are sorted, so no task holds a group's values.
     """
     group_cols = list(group_cols)
+    key = lambda c: F.struct(*group_cols, F.lit(c).alias("measure"))  # noqa: E731  a struct: null groups are equal
     stacked = df.select(
-        *group_cols,
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in value_cols])
-        ).alias("_m"),
-    ).select(*group_cols, "_m.measure", "_m.v")
-    keys = [*group_cols, "measure"]
-    counts = stacked.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("_c"))
-    plain = stacked.groupBy(*keys).agg(
-        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
-    )
-    cum = prefix_sums(counts.filter(F.col("v").isNotNull()), "v", ["_c"], group_cols=keys, bounds=VALUE_BOUNDS)
-    placed = cum.join(plain.select(*keys, "count"), keys)
-    at = lambda i: F.min(F.when(F.col("_c_cum") > i, F.col("v")))  # noqa: E731  value at 0-based position i
-    quantiles = placed.groupBy(*keys).agg(
-        *[at(F.floor((F.col("count") - 1) * p)).alias(f"_lo{k}") for k, p in enumerate(DESCRIBE_QUANTILES)],
-        *[at(F.ceil((F.col("count") - 1) * p)).alias(f"_hi{k}") for k, p in enumerate(DESCRIBE_QUANTILES)],
-    )
-    out = plain.join(quantiles, keys, "left")
-
-    def quantile(k: int, p: float):
-        place = (F.col("count") - 1) * p
-        return F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (place - F.floor(place))
-
-    names = ("p25", "p50", "p75")
-    return out.select(
-        *keys, "count", "mean", "std", "min", *[quantile(k, p).alias(n) for k, (n, p) in enumerate(zip(names, DESCRIBE_QUANTILES))], "max"
+        F.explode(F.array(*[F.struct(key(c).alias("g"), F.col(c).cast("double").alias("v")) for c in value_cols])).alias("_m")
+    ).select("_m.*")
+    spark = df.sparkSession
+    counts = materialize(stacked.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")), scratch_path(spark, "describe-counts"), force=True)
+    known = counts.filter(F.col("v").isNotNull())
+    plain = counts.groupBy("g").agg(
+        F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)).alias("count"),
+        F.sum(F.col("v") * F.col("c")).alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"),
     )
+    stats = plain.join(value_bounds(known, "v", ["g"]), "g", "left").withColumn("mean", F.when(F.col("count") > 0, F.col("sum") / F.col("count")))
+    stats = materialize(stats, scratch_path(spark, "describe-stats"), force=True)  # one row per group
+    placed = known.join(stats.select("g", "_bounds", "mean"), "g")
+    placed = placed.select("g", "v", "c", bucket_of(F.col("v"), F.col("_bounds")).alias("b"), (F.col("c") * (F.col("v") - F.col("mean")) ** 2).alias("dev"))
+    upto = Window.partitionBy("g").orderBy("b")
+    totals = placed.groupBy("g", "b").agg(F.sum("c").alias("n"), F.sum("dev").alias("dev"))
+    totals = totals.withColumn("before", F.sum("n").over(upto) - F.col("n"))  # VALUE_BUCKETS rows per group
+    totals = materialize(totals, scratch_path(spark, "describe-totals"), force=True)
+    place = [((F.col("count") - 1) * p) for p in DESCRIBE_QUANTILES]
+    wanted = F.array(*[F.struct(F.lit(f"{side}{k}").alias("name"), of(x).cast("long").alias("i")) for k, x in enumerate(place) for side, of in (("lo", F.floor), ("hi", F.ceil))])
+    wanted = stats.filter(F.col("count") > 0).select("g", F.explode(wanted).alias("w")).select("g", "w.*")
+    met = totals.join(wanted, "g").filter((F.col("before") <= F.col("i")) & (F.col("i") < F.col("before") + F.col("n")))
+    here = placed.join(met.select("g", "b").distinct(), ["g", "b"])
+    here = here.withColumn("run", F.sum("c").over(Window.partitionBy("g", "b").orderBy("v")))
+    found = here.join(met.select("g", "b", "name", (F.col("i") - F.col("before")).alias("i")), ["g", "b"])
+    found = found.filter((F.col("run") > F.col("i")) & (F.col("run") - F.col("c") <= F.col("i")))
+    names = [f"{side}{k}" for k in range(len(DESCRIBE_QUANTILES)) for side in ("lo", "hi")]
+    quantiles = found.groupBy("g").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in names])
+    spread = totals.groupBy("g").agg(F.sum("dev").alias("dev"))
+    out = stats.drop("_bounds").join(quantiles, "g", "left").join(spread, "g", "left")
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("dev") / (F.col("count") - 1)))
+    at = [F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (x - F.floor(x)) for k, x in enumerate(place)]
+    return out.select("g.*", "count", "mean", std.alias("std"), "min", *[x.alias(n) for n, x in zip(("p25", "p50", "p75"), at)], "max")
 
 
 def label_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -84,8 +92,6 @@ def min_max_mean(df: DataFrame, col: str) -> DataFrame:
 def flag_value_counts(df: DataFrame, flag_cols: Sequence[str], value_col: str) -> DataFrame:
     """For each flag, counts of ``value_col`` per flag value, with the
     position of each count inside its (flag, value) group, largest first."""
-    from pyspark.sql import Window
-
     stacked = df.select(
         F.explode(
             F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).alias("flag_value")) for f in flag_cols])

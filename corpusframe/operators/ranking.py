@@ -41,19 +41,22 @@ def hash_rank(df: DataFrame, group_cols: Sequence[str], hash_col: str, id_col: s
     return out.withColumn(rank_col, F.col("_before") + F.col("_pos")).drop("_bucket", "_pos", "_before")
 
 
-def value_bounds(df: DataFrame, order_col: str, buckets: int = VALUE_BUCKETS) -> list[float]:
-    """Up to ``buckets - 1`` increasing bounds that cut ``order_col`` into
-    parts of similar size. Any bounds give the same sums."""
-    probabilities = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.col(order_col).cast("double").alias("v")).approxQuantile("v", probabilities, 1 / (4 * buckets))
-    return sorted({float(x) for x in found})
+def value_bounds(df: DataFrame, order_col: str, group_cols: Sequence[str] = (), buckets: int = VALUE_BUCKETS) -> DataFrame:
+    """(groups..., _bounds): up to ``buckets - 1`` increasing bounds per group
+    that cut its rows into parts of like size. They come from a quantile sketch
+    (merged from the tasks' sketches) with an error of a fortieth of a bucket, so
+    no bucket of distinct values holds much more than its share, wherever
+    the values lie. Any bounds give the same sums."""
+    probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    found = F.percentile_approx(F.col(order_col).cast("double"), probabilities, F.lit(40 * buckets))
+    return df.groupBy(*group_cols).agg(F.array_sort(found).alias("_bounds"))
 
 
-def _bucket(order_col: str, bounds: Sequence[float]) -> Column:
-    """Number of bounds at or below the value."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col(order_col)))
+def bucket_of(value: Column, bounds: Column) -> Column:
+    """Number of bounds at or below the value, by binary search. At most
+    ``VALUE_BUCKETS - 1`` bounds, in order."""
+    steps = F.array(*[F.lit(1 << k) for k in range(VALUE_BUCKETS.bit_length() - 2, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(bounds, at + s - 1) <= value, at + s).otherwise(at))
 
 
 def prefix_sums(
@@ -69,9 +72,14 @@ def prefix_sums(
     the numeric ``order_col`` (unique within a group), inclusive of the current
     row. ``df`` is read three times: pass a stored table."""
     value_cols, group_cols = list(value_cols), list(group_cols)
-    bounds = value_bounds(df, order_col) if bounds is None else bounds
     key = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    b = df.withColumn("_bucket", _bucket(order_col, bounds))
+    if bounds is not None:
+        b = df.withColumn("_bounds", F.lit(list(bounds)).cast("array<double>"))
+    elif group_cols:
+        b = df.join(value_bounds(df, order_col, group_cols), group_cols)
+    else:
+        b = df.crossJoin(F.broadcast(value_bounds(df, order_col)))  # one row
+    b = b.withColumn("_bucket", bucket_of(F.col(order_col), F.col("_bounds"))).drop("_bounds")
     here = Window.partitionBy(*group_cols, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     local = b.select("*", *[F.sum(v).over(here).alias(f"_{v}_local") for v in value_cols])
     totals = b.groupBy(*group_cols, "_bucket").agg(*[F.sum(v).alias(f"_{v}_tot") for v in value_cols])

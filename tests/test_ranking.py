@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusframe.operators import evaluation as E
+from corpusframe.operators import profile as P
 from corpusframe.operators import ranking as R
 from corpusframe.operators import splits as SP
+from corpusframe.session import scratch_path
 
 CASES = [(4_000, 1), (4_000, 4), (4_000, 200), (400_000, 8)]
 
@@ -91,3 +93,31 @@ def test_counts_beyond_a_bigint_product(spark, monkeypatch):
     table = spark.createDataFrame([(0.1, 0, big), (0.9, big, 0)], "threshold double, pos bigint, neg bigint")
     monkeypatch.setattr(E, "score_table", lambda *a: table)
     assert E.roc_auc(table).first()[0] == 1.0
+
+
+def test_quantiles_of_continuous_values(spark):
+    """Values that all lie between two powers of two: even buckets, exact quantiles."""
+    n = 400_000
+    d = spark.range(0, n, 1, 8).select((F.rand(3) + 1).alias("x"), F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("int")).alias("k"))
+    d.write.parquet(path := scratch_path(spark, "continuous"))
+    d = spark.read.parquet(path)
+    b = d.crossJoin(R.value_bounds(d, "x")).groupBy(R.bucket_of(F.col("x"), F.col("_bounds")).alias("b")).count()
+    most = b.agg(F.max("count"), F.count(F.lit(1))).first()
+    assert most[1] == R.VALUE_BUCKETS and most[0] < 2 * n / R.VALUE_BUCKETS
+    got = {r["k"]: r for r in P.describe(d, ["x"], ["k"]).collect()}
+    want = d.groupBy("k").agg(F.count("x"), F.avg("x"), F.stddev_samp("x"), F.min("x"), F.percentile("x", F.lit([0.25, 0.5, 0.75])), F.max("x")).collect()
+    assert len(got) == len(want) == 3 and None in got
+    for r in want:
+        g = got[r["k"]]
+        assert (g["count"], g["min"], g["max"]) == (r[1], r[4], r[6])
+        assert [g["p25"], g["p50"], g["p75"]] == pytest.approx(r[5], abs=1e-12)
+        assert g["mean"] == pytest.approx(r[2]) and g["std"] == pytest.approx(r[3])
+
+
+def test_describe_of_few_values_and_none(spark):
+    d = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 4.0), ("b", 2.0), ("c", None)], "k string, x double")
+    got = {r["k"]: tuple(r)[2:] for r in P.describe(d, ["x"], ["k"]).collect()}
+    assert got["a"][:2] == (3, 2.0) and got["a"][3:] == (1.0, 1.0, 1.0, 2.5, 4.0)
+    assert got["b"] == (1, 2.0, None, 2.0, 2.0, 2.0, 2.0, 2.0)
+    assert got["c"] == (0,) + (None,) * 7
+    assert P.describe(d.limit(0), ["x"], ["k"]).count() == 0
