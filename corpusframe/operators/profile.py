@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpusframe.operators.ranking import bucket_of, value_bounds
@@ -136,20 +136,18 @@ def histogram(df: DataFrame, value_col: str, group_col: str, bins: int = 10) ->
     )
 
 
-def quality_checks(
-    df: DataFrame,
+def check_expressions(
     feature_cols: Sequence[str] = (),
     label_col: str | None = "label",
     logits_col: str | None = None,
     features_array_col: str | None = None,
     arity: int = 2,
-    strict: bool = False,
-) -> DataFrame:
-    """Q1-Q6 in one aggregate pass: rows ``(check, failures)``.
-
-    Q1 non-finite features, Q2 null labels, Q3 labels outside {0, 1},
-    Q4 fewer than two classes (failures = 1), Q5 rows with non-finite logits,
-    Q6 feature arrays of the wrong size. ``strict`` makes a failure fail the job."""
+) -> list[Column]:
+    """Q1-Q6 as aggregates, each named after its check and counting failures:
+    Q1 non-finite features, Q2 null labels, Q3 labels outside {0, 1}, Q4 fewer
+    than two classes (failures = 1), Q5 rows with non-finite logits, Q6 feature
+    arrays of the wrong size. They hold no distinct aggregate, so that they can
+    also be observed while the rows are written."""
     checks = []
     for c in feature_cols:
         x = F.col(c).cast("double")
@@ -157,19 +155,36 @@ def quality_checks(
     if label_col:
         checks.append(("label_not_null", F.count_if(F.col(label_col).isNull())))
         checks.append(("label_in_0_1", F.count_if(~F.col(label_col).isin(0, 1))))
-        checks.append(("two_classes", (F.count_distinct(label_col) < 2).cast("long")))
+        checks.append(("two_classes", F.coalesce((F.min(label_col) == F.max(label_col)).cast("long"), F.lit(1))))
     if logits_col:
         from corpusframe.functions.logits import count_non_finite
 
         checks.append(("finite_logits", F.count_if(count_non_finite(logits_col) > 0)))
     if features_array_col:
         checks.append(("feature_arity", F.count_if(F.size(features_array_col) != arity)))
-    wide = df.agg(*[e.cast("bigint").alias(name) for name, e in checks])
+    return [e.cast("bigint").alias(name) for name, e in checks]
+
+
+def quality_checks(df: DataFrame, *checks, strict: bool = False, **named_checks) -> DataFrame:
+    """``check_expressions`` (its arguments follow ``df``) in one aggregate pass:
+    rows ``(check, failures)``. ``strict`` makes a failure fail the job."""
+    wide = df.agg(*check_expressions(*checks, **named_checks))
     out = wide.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(name).alias("check"), F.col(name).alias("failures")) for name, _ in checks])
-        ).alias("_c")
+        F.explode(F.array(*[F.struct(F.lit(name).alias("check"), F.col(name).alias("failures")) for name in wide.columns])).alias("_c")
     ).select("_c.*")
     if strict:
         out = out.withColumn("failures", F.when(F.assert_true(F.col("failures") == 0).isNull(), F.col("failures")))
     return out
+
+
+def write_checked(df: DataFrame, path: str, strict: bool = False, partition_by: Sequence[str] = (), **checks) -> dict[str, int]:
+    """Write ``df`` and count the failures of ``check_expressions`` on the way:
+    the rows pass once. Returns failures by check. ``strict``: if there are any
+    the table is left unfinished in the caller's eyes, by an error after the
+    write; its rows can be looked at."""
+    seen = Observation()
+    df.observe(seen, *check_expressions(**checks)).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    failures = {k: int(v) for k, v in seen.get.items()}
+    if strict and any(failures.values()):
+        raise ValueError(f"failed checks in {path}: " + ", ".join(f"{k} {v}" for k, v in failures.items() if v))
+    return failures

@@ -22,6 +22,7 @@ from corpusframe.operators import features as G
 from corpusframe.operators import models as M
 from corpusframe.operators import splits as SP
 from corpusframe.operators.fusion import FusionHead
+from corpusframe.operators.scoring import SharedModel, score_batches
 from corpusframe.operators.search import run_planned
 from corpusframe.plans import base as B
 from corpusframe.plans import corpus as C
@@ -228,28 +229,21 @@ def scorer_weights(dim: int) -> list[float]:
 EMBEDDING_DIM = 64
 
 
-def _make_linear_predict():
+def _linear_scorer(payload: bytes):
     import numpy as np
 
-    w = np.asarray(scorer_weights(EMBEDDING_DIM), dtype=np.float64)
-
-    def predict(x):
-        return np.asarray(x, dtype=np.float64).reshape(-1, EMBEDDING_DIM) @ w
-
-    return predict
+    w = np.frombuffer(payload, dtype="<f8")
+    return lambda x: x @ w
 
 
 def batch_scores(spark: SparkSession, sf_dir: str, batch_size: int = 64) -> DataFrame:
-    """A caller's batch function (built once per Python worker) applied
-    to Arrow batches of ``batch_size`` rows; logit, argmax label."""
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import DoubleType
+    """A caller's stored model, loaded once per Python worker, applied to
+    Arrow batches of ``batch_size`` rows; logit, argmax label."""
+    import numpy as np
 
-    score = predict_batch_udf(
-        _make_linear_predict, return_type=DoubleType(), batch_size=batch_size, input_tensor_shapes=[[EMBEDDING_DIM]]
-    )
+    model = SharedModel(spark, np.array(scorer_weights(EMBEDDING_DIM), dtype="<f8").tobytes(), _linear_scorer)
     e = C.table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")
     )
-    s = e.select("vec_id", score("v").alias("logit"))
+    s = score_batches(e, model, "v", EMBEDDING_DIM, batch_size).withColumnRenamed("score", "logit")
     return s.select("vec_id", F.round("logit", 6).alias("logit"), (F.col("logit") > 0).cast("int").alias("predicted_label"))

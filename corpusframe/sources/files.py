@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 CSV_OPTIONS = {
     "header": "true", "multiLine": "true", "escape": '"', "quote": '"',
@@ -28,6 +28,32 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return r.csv(path)
 
 
+def convert_csv(spark: SparkSession, path: str, out: str, schema: StructType | str, multi_line: bool = True, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S1 for files that may be malformed: one pass over the CSV writes parquet
+    under ``out``, and every later read is splittable. Returns (rows, quarantine):
+    records with too few or too many fields, a value that is no value of its
+    column's type, or a quote that is never closed are kept apart, each with its
+    raw text and file; every record is in exactly one of the two tables.
+
+    ``multi_line=False`` reads the files in splits too, where no field holds a
+    line break; an unclosed quote then ends with its line. Otherwise a file is one
+    task, and an unclosed quote takes the rest of its file into one record."""
+    typed = spark.createDataFrame([], schema).schema
+    raw, bad, file = (_unused(typed.names, n) for n in ("raw", "malformed", "file"))
+    reader = spark.read.options(**CSV_OPTIONS | {"multiLine": str(multi_line).lower(), "header": str(header).lower(), "mode": "PERMISSIVE"})
+    read = reader.option("columnNameOfCorruptRecord", raw).schema(StructType([*typed.fields, StructField(raw, StringType())])).csv(path)
+    marked = read.withColumn(bad, F.col(raw).isNotNull()).withColumn(file, F.col("_metadata.file_path"))
+    marked.write.mode("overwrite").partitionBy(bad).parquet(out)
+    table = spark.read.schema(StructType([*typed.fields, StructField(raw, StringType()), StructField(file, StringType()), StructField(bad, BooleanType())])).parquet(out)
+    return table.filter(~F.col(bad)).select(*typed.names), table.filter(bad).select(F.col(file).alias("file"), F.col(raw).alias("raw"))
+
+
+def _unused(names: Sequence[str], name: str) -> str:
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Headered CSV, one file per partition (no single-file coalesce:
     that would funnel the table through one task)."""
