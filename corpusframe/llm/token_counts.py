@@ -10,22 +10,27 @@ right and an equal score does not replace the first found. A character that is
 no piece itself may be passed at the lowest score less ``UNKNOWN_PENALTY`` and
 counts one piece per UTF-8 byte (byte fallback).
 
-Blanks become U+2581 and one is put in front. No piece holds that sign after
-another character (checked), so words, each with the blanks before it, are cut
-independently, and distinct words are solved once per task. The sums are exact
-in double precision because the scores are whole numbers (checked); therefore
-solving words apart gives the same ties as solving the text at once.
+Blanks become U+2581 and one is put in front. Where no piece holds that sign
+after another character and all scores are whole numbers, words, each with the
+blanks before it, are cut independently, and distinct words are solved once per
+task: the sums are exact in double precision, so solving words apart gives the
+same ties as solving the text at once. With other vocabularies (a trained model
+has real scores) the whole text is one run of the dynamic programming, with sums
+in the library's order, so that rounding and ties are the library's too; it
+keeps as many positions as the longest piece has characters.
 
 The vocabulary is a parameter: pairs of piece and score. The query's comes from
 the public 32k model's pieces and scores.
 
 Defined cases: null counts as empty; an empty text has no tokens; rows are
-treated one by one; texts of over ``LONG`` characters are worked
-through in slices of ``SLICE`` words.
+treated one by one; an empty table gives an empty result; texts of over ``LONG``
+characters are worked through in slices of ``SLICE`` words, or as one run. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -68,8 +73,10 @@ class UnigramCounter:
     def __init__(self, vocabulary: Sequence[tuple[str, float]]):
         import ahocorasick
 
-        if any(re.search(f"[^{BLANK}]{BLANK}", p) for p, _ in vocabulary) or any(s != int(s) for _, s in vocabulary):
-            raise ValueError("pieces must hold blanks only in front; scores must be whole numbers")
+        if any(not p or not math.isfinite(s) for p, s in vocabulary):
+            raise ValueError("pieces must not be empty and scores must be finite")
+        self.apart = all(s == int(s) for _, s in vocabulary) and not any(re.search(f"[^{BLANK}]{BLANK}", p) for p, _ in vocabulary)
+        self.longest = max((len(p) for p, _ in vocabulary), default=1)
         self.matches = ahocorasick.Automaton()
         for p, s in vocabulary:
             self.matches.add_word(p, (len(p), s))
@@ -102,9 +109,38 @@ class UnigramCounter:
             if w[i] not in self.single and best[i] + self.unknown > best[i + 1]:
                 best[i + 1], count[i + 1] = best[i] + self.unknown, count[i] + len(w[i].encode())
 
+    def whole(self, t: str) -> int:
+        """Pieces of the best cut of a marked text, as one run. Positions are
+        kept modulo the longest piece's length plus one."""
+        size_of_ring = self.longest + 1
+        best, count = [_LOW] * size_of_ring, [0] * size_of_ring
+        best[0], done = 0.0, 0
+
+        def passed(i: int) -> None:
+            """Position ``i + 1`` is final, position ``i + 2`` opens."""
+            here, ahead = i % size_of_ring, (i + 1) % size_of_ring
+            if t[i] not in self.single and best[here] + self.unknown > best[ahead]:
+                best[ahead], count[ahead] = best[here] + self.unknown, count[here] + len(t[i].encode())
+            best[(i + 2) % size_of_ring] = _LOW
+
+        for end, (size, score) in self.matches.iter(t):
+            while done < end:
+                passed(done)
+                done += 1
+            start, ahead = (end + 1 - size) % size_of_ring, (end + 1) % size_of_ring
+            total = best[start] + score
+            if total > best[ahead]:
+                best[ahead], count[ahead] = total, count[start] + 1
+        while done < len(t):
+            passed(done)
+            done += 1
+        return count[len(t) % size_of_ring]
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
+        if not self.apart:
+            return self.whole(BLANK + text.replace(" ", BLANK))
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
         cache, total = self.cache, 0

@@ -87,8 +87,52 @@ def test_report(spark, public):
     assert token_counts.count_tokens(docs_of(spark, [])).count() == 0
 
 
+def random_vocabulary(rnd, score):
+    out = {"▁": score()}
+    for _ in range(rnd.randrange(1, 40)):
+        inner = "".join(rnd.choice("abc▁" if rnd.random() < 0.1 else "abc") for _ in range(rnd.randrange(1, 6)))
+        out[("▁" if rnd.random() < 0.3 else "") + inner] = score()
+    return out
+
+
+def test_real_scores_equal_whole_text_viterbi_and_a_library():
+    """Fractional scores, many of them equal, and pieces with blanks inside."""
+    from tokenizers import Tokenizer, models
+
+    rnd = random.Random(7)
+    for k in range(150):
+        some = [-rnd.random() * 3 - 0.1 for _ in range(3)]
+        vocabulary = random_vocabulary(rnd, (lambda: rnd.choice(some)) if k % 2 else lambda: -rnd.random() * 5)
+        counter = token_counts.UnigramCounter(tuple(vocabulary.items()))
+        assert not counter.apart
+        lowest = min(vocabulary.values())
+        model = Tokenizer(models.Unigram([("<unk>", lowest)] + [(f"<0x{b:02X}>", lowest) for b in range(256)] + list(vocabulary.items()), 0, True))
+        for _ in range(12):
+            t = "".join(rnd.choice("abcd é ") for _ in range(rnd.choice((3, 12, 200))))
+            want = slow(t, vocabulary)
+            assert counter.count(t) == want, (t, vocabulary)
+            if t:
+                assert want == len(model.encode("▁" + t.replace(" ", "▁")).ids), (t, vocabulary)
+
+
+def test_whole_run_equals_words_apart(public):
+    counter = token_counts.UnigramCounter(public)
+    assert counter.apart
+    for t in strings([p for p, _ in public], 5):
+        if t:
+            assert counter.whole("▁" + t.replace(" ", "▁")) == counter.count(t)
+
+
+def test_trained_vocabulary_report(spark, public):
+    """Real scores through the operator, whole texts of awkward rows."""
+    rnd = random.Random(1)
+    vocabulary = {p: -1.0 - 10 * rnd.random() for p, _ in public[:4000]}
+    rows = [r for r in awkward() if len(r[1] or "") < 5000]
+    got = token_counts.count_tokens(docs_of(spark, rows), vocabulary=tuple(vocabulary.items())).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((r[0], slow(r[1], vocabulary)) for r in rows), key=str)
+
+
 def test_bad_vocabulary():
-    with pytest.raises(ValueError):
-        token_counts.UnigramCounter((("a▁b", -1.0),))
-    with pytest.raises(ValueError):
-        token_counts.UnigramCounter((("a", -1.5),))
+    for bad in ((("", -1.0),), (("a", float("nan")),), (("a", float("-inf")),)):
+        with pytest.raises(ValueError):
+            token_counts.UnigramCounter(bad)
