@@ -7,24 +7,30 @@ cells in front of the table. The head ends at its end tag or, without one, at
 the first text or tag that cannot stand in it. The tree is then rendered as text: everything
 visible, nothing else. Not visible: the head, scripts, styles, templates,
 embedded documents, all of an svg but its text elements and embedded HTML, all
-of a math but its token elements (and embedded HTML), elements with ``hidden``, ``display:none`` or
-``visibility:hidden``, and closed details except their summary. Blocks start on
+of a math but its token elements (and embedded HTML), elements with ``hidden`` or
+``display:none``, what is ``visibility:hidden`` (but elements inside that are
+``visible`` again show), and closed details except their summary. Blocks start on
 new lines, with a blank line around paragraphs, headings, lists, quotes and
 tables; white space collapses outside ``pre``; lists carry bullets or numbers
-and nest by indentation; table cells are aligned in columns, over spans too.
-Columns are padded up to ``PAD`` characters.
-
-Building and rendering use loops with explicit stacks, so depth is no limit,
-and their memory follows the page's size.
-
-Defined cases: a null or empty page gives an empty text; markup that is no tag
-(``1 < 2``) is text; unclosed markup runs to the end; rows are treated one by
-one and other columns pass through.
+and nest by indentation; table cells are aligned in columns, over spans too;
+buttons show their label. Columns are padded, and lists and quotes indented, up
+to ``PAD`` characters; tables inside more than ``DEEP`` tables are set as blocks.
+
+Building and rendering use loops with explicit stacks, so depth is no limit.
+The builder knows the places of the open elements of each tag, so a tag costs
+the same however many elements are open; time and memory follow the page's size.
+
+Defined cases: a null or empty page gives an empty text; an empty table of pages
+gives an empty result; markup that is no tag (``1 < 2``) is text; unclosed markup
+runs to the end; very long pages are rendered whole; rows are treated one by one
+and other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -35,6 +41,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from corpusframe.llm.tables import fresh, table
 
 PAD = 60
+DEEP = 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 UNSEEN = frozenset("head script style template iframe object noembed noframes noscript title canvas audio video datalist".split())
@@ -81,7 +88,9 @@ _TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?](?P<other>[^>]*)(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_SHOWN_BY = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-zA-Z-]+)", re.I)
+#: Types of input whose value is a label.
+BUTTONS = frozenset("submit reset button".split())
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -112,28 +121,45 @@ def build(html: str) -> Node:
     """The page's tree; children are nodes and texts."""
     root = Node("", {})
     open_: list[Node] = [root]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag, in order
+    foreign: list[int] = []
+
+    def push(node: Node) -> None:
+        places[node.tag].append(len(open_))
+        if node.kind:
+            foreign.append(len(open_))
+        open_.append(node)
+
+    def cut(k: int) -> None:
+        """Close the open elements from place ``k`` on."""
+        while len(open_) > max(k, 1):
+            node = open_.pop()
+            places[node.tag].pop()
+            if node.kind:
+                foreign.pop()
+
+    def last(tags: frozenset) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
     def close(tags: frozenset, barrier: frozenset) -> None:
         """Close the outermost open element of ``tags`` this side of ``barrier``."""
-        found = 0
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in tags:
-                found = k
-            elif open_[k].tag in barrier or open_[k].kind:
-                break
+        least = max(last(barrier), foreign[-1] if foreign else 0)
+        found = [places[t][i] for t in tags if (i := bisect_right(places[t], least)) < len(places[t])]
         if found:
-            del open_[found:]
+            cut(min(found))
 
     def text(s: str) -> None:
         if open_[-1].tag == "head" and s.strip(" \t\n\f\r"):
-            open_.pop()
+            cut(len(open_) - 1)
         if open_[-1].tag not in TABLE_PARTS or open_[-1].kind:
             open_[-1].children.append(s)
         elif s.strip():
-            k = max(i for i, n in enumerate(open_) if n.tag == "table" or i == 0)
-            parent = open_[max(k - 1, 0)]
-            at = next((i for i in range(len(parent.children) - 1, -1, -1) if parent.children[i] is open_[k]), len(parent.children))
-            parent.children.insert(at, s)
+            # An open table is the last child of the element that it stands in.
+            k = places["table"][-1] if places["table"] else 0
+            if k:
+                open_[k - 1].children.insert(-1, s)
+            else:
+                root.children.append(s)
 
     at, headed = 0, False
     while at < len(html):
@@ -153,24 +179,20 @@ def build(html: str) -> Node:
             tag = m["end"].lower()
             if tag in ("p", "br"):
                 while not open_[-1].holds_html():
-                    open_.pop()
+                    cut(len(open_) - 1)
             if tag == "br":
                 if open_[-1].tag == "head":
-                    open_.pop()
+                    cut(len(open_) - 1)
                 open_[-1].children.append(Node("br", {}))
             else:
                 barrier = frozenset() if tag in TABLE_PARTS or tag in ("body", "html") else frozenset(("table",)) if tag in _CELL or tag == "caption" else frozenset(("td", "th", "caption", "table"))
-                for k in range(len(open_) - 1, 0, -1):
-                    if open_[k].tag == tag:
-                        del open_[k:]
-                        break
-                    if open_[k].tag in barrier:
-                        break
+                if places[tag] and places[tag][-1] >= last(barrier):
+                    cut(places[tag][-1])
         elif m["start"]:
             tag = m["start"].lower()
             if tag in BREAKS_OUT or tag == "font" and re.search(r"(?i)\b(?:color|face|size)\b", m["attrs"] or ""):
                 while not open_[-1].holds_html():
-                    open_.pop()
+                    cut(len(open_) - 1)
             kind = open_[-1].kind if not open_[-1].holds_html() or tag in ("mglyph", "malignmark") else ""
             kind = tag if tag in ("svg", "math") and (not kind or open_[-1].tag == "annotation-xml") else kind
             if tag == "head" and not kind:
@@ -180,7 +202,7 @@ def build(html: str) -> Node:
             elif open_[-1].tag == "head" and tag == "html":
                 continue
             elif open_[-1].tag == "head" and tag not in IN_HEAD:
-                open_.pop()
+                cut(len(open_) - 1)
             if tag in _ENDS_P and not kind:
                 close(*_P)
             if tag in CLOSES and not kind:
@@ -193,14 +215,14 @@ def build(html: str) -> Node:
             open_[-1].children.append(node)
             if kind:
                 if not _self_closing(tag, m["attrs"]):
-                    open_.append(node)
+                    push(node)
             elif tag in RAW:
                 end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>|\\Z", re.I).search(html, at)
                 if tag in ("textarea", "xmp"):
                     node.children.append(unescape(html[at : end.start()]) if tag == "textarea" else html[at : end.start()])
                 at = end.end()
             elif tag not in VOID:
-                open_.append(node)
+                push(node)
     return root
 
 
@@ -211,7 +233,7 @@ class _Out:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.space, self.gap = False, False
-        self.indent: list[str] = []
+        self.indent: list[str] = [""]  # each what its lines begin with
         self.marker: str | None = None
 
     def _begin(self) -> None:
@@ -219,12 +241,15 @@ class _Out:
             if self.gap and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.gap = False
-            lead = "".join(self.indent)
+            lead = self.indent[-1]
             if self.marker is not None:
-                lead = lead[: len(lead) - len(self.marker)] + self.marker
+                lead = lead[: max(len(lead) - len(self.marker), 0)] + self.marker
                 self.marker = None
             self.now.append(lead)
 
+    def deeper(self, s: str) -> None:
+        self.indent.append(self.indent[-1] + s if len(self.indent[-1]) < PAD else self.indent[-1])
+
     def words(self, s: str) -> None:
         s = _WHITE.sub(" ", s)
         body = s.strip(" ")
@@ -304,17 +329,20 @@ def _grid(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     return out
 
 
-def _seen(node: Node, parent: Node | None) -> bool:
+def _shown_by(node: Node) -> dict[str, str]:
+    """display and visibility, as far as the element sets them."""
     a = node.attrs
-    if node.kind:
-        if node.tag in UNSEEN_FOREIGN and not (node.tag == "annotation-xml" and node.holds_html() and parent.tag != "semantics"):
-            return False
-        if a.get("display", "").strip().lower() == "none" or a.get("visibility", "").strip().lower() in ("hidden", "collapse"):
-            return False
-        return not ("style" in a and _HIDDEN.search(a["style"])) and _open(parent)
-    if node.tag in UNSEEN or "hidden" in a or ("style" in a and _HIDDEN.search(a["style"])):
+    own = {k: a[k].strip().lower() for k in ("display", "visibility") if k in a} if node.kind else {}
+    return own | {k.lower(): v.lower() for k, v in _SHOWN_BY.findall(a["style"])} if "style" in a else own
+
+
+def _seen(node: Node, parent: Node | None, by: dict[str, str]) -> bool:
+    """Whether the element is laid out at all."""
+    if by.get("display") == "none":
         return False
-    if node.tag == "dialog" and "open" not in a:
+    if node.kind:
+        return not (node.tag in UNSEEN_FOREIGN and not (node.tag == "annotation-xml" and node.holds_html() and parent.tag != "semantics")) and _open(parent)
+    if node.tag in UNSEEN or "hidden" in node.attrs or (node.tag == "dialog" and "open" not in node.attrs):
         return False
     return node.tag == "summary" or _open(parent)
 
@@ -328,23 +356,26 @@ def render(root: Node) -> str:
     tables: list[list] = []  # rows of each open table
     lists: list[list] = []  # [ordered, next number] of each open list
     pre = 0
-    todo: list[tuple] = [(root, None, False)]
+    todo: list[tuple] = [(root, None, True, False)]  # node, parent, visible, leaving
     while todo:
-        node, parent, leaving = todo.pop()
+        node, parent, visible, leaving = todo.pop()
         out = outs[-1]
         if isinstance(node, str):
-            if parent.shows and _open(parent):
+            if visible and parent.shows and _open(parent):
                 (out.verbatim if pre else out.words)(node)
             continue
         tag = node.tag
+        grid = bool(tables) and tables[-1] is not None
         if not leaving:
-            if not _seen(node, parent):
+            by = _shown_by(node)
+            if not _seen(node, parent, by):
                 continue
+            visible = {"visible": True, "hidden": False, "collapse": False}.get(by.get("visibility", ""), visible)
             if node.kind:  # inline; separate texts and cells stay apart
                 if tag in ("text", "mtd"):
                     out.words(" ")
-                todo.append((node, parent, True))
-                todo += [(c, node, False) for c in reversed(node.children)]
+                todo.append((node, parent, visible, True))
+                todo += [(c, node, visible, False) for c in reversed(node.children)]
                 continue
             if tag == "br":
                 out.end(True)
@@ -352,6 +383,8 @@ def render(root: Node) -> str:
             if tag in VOID:
                 if tag == "hr":
                     out.block(True)
+                elif tag == "input" and visible and node.attrs.get("type", "").strip().lower() in BUTTONS:
+                    out.words(f" {node.attrs.get('value', '')} ")
                 continue
             if tag in BLOCK:
                 out.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
@@ -360,41 +393,45 @@ def render(root: Node) -> str:
                 lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
             elif tag == "li":
                 here = lists[-1] if lists else [False, 1]
+                value = node.attrs.get("value", "").strip()
+                here[1] = int(value) if re.fullmatch(r"-?\d{1,9}", value) else here[1]
                 mark = f"{here[1]}. " if here[0] else "- "
                 here[1] += 1
-                out.indent.append(" " * len(mark))
-                out.marker = mark
+                out.deeper(" " * len(mark))
+                out.marker = mark if visible else None
             elif tag in ("blockquote", "dd"):
-                out.indent.append("  ")
+                out.deeper("  ")
             elif tag in ("pre", "textarea", "xmp"):
                 pre += 1
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
+                tables.append([] if len(tables) < DEEP else None)
+            elif tag == "tr" and grid:
                 tables[-1].append([])
-            elif tag in _CELL and tables:
+            elif tag in _CELL and grid:
                 if not tables[-1]:
                     tables[-1].append([])
                 outs.append(_Out())
-            todo.append((node, parent, True))
-            todo += [(c, node, False) for c in reversed(node.children)]
+            elif tag in _CELL and tables:
+                out.block(False)
+            todo.append((node, parent, visible, True))
+            todo += [(c, node, visible, False) for c in reversed(node.children)]
             continue
         if node.kind:
             if tag in ("text", "mtd"):
                 out.words(" ")
             continue
-        if tag in _CELL and tables:
+        if tag in _CELL and grid:
             done = outs.pop().text()
             tables[-1][-1].append((done, _span(node.attrs.get("colspan"), 1000), _span(node.attrs.get("rowspan"), 65534)))
             continue
         if tag == "table":
-            for line in _grid(tables.pop()):
+            for line in _grid(tables.pop() or []):
                 if line:
                     out.verbatim(line)
                 out.end()
         elif tag in ("pre", "textarea", "xmp"):
             pre -= 1
-        if tag in BLOCK:
+        if tag in BLOCK or (tag in _CELL and tables):
             out.block(tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1))
         if tag in ("ul", "ol", "menu", "dir"):
             lists.pop()

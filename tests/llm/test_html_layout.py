@@ -85,6 +85,45 @@ def test_deep_and_wide_pages():
     assert H.html_to_text("<p a=b'>it's</p> \"") == 'it\'s\n\n"'
 
 
+SHOWN = [
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>z", "yes\nz"),
+    ("<p style='display:nonesuch'>a</p><p style='color:red;display :NONE'>no</p><p style='visibility:hidden;visibility:visible'>b", "a\n\nb"),
+    ("<p style='x-display:none'>a", "a"),
+    ("<p style='visibility:hidden'>no<span>no</span></p>a", "a"),
+    ("<ul style='visibility:collapse'><li>no<li style='visibility:visible'>b</ul>", "- b"),
+    ("<table><tr><td style='visibility:hidden'>hid<td>x<tr><td>long one<td>y</table>", "          x\nlong one  y"),
+    ("<svg><text visibility=hidden>no<tspan visibility=visible>yes</tspan></text></svg>", "yes"),
+    ("<form>Name <input type=text value=no> <input type=submit value='Send it'><input type=RESET value=Clear></form>", "Name Send it Clear"),
+    ("<ol><li>a<li value=7>b<li>c<li value=x>d</ol>", "1. a\n7. b\n8. c\n9. d"),
+    ("<td>a<td>b", "ab"),
+]
+
+
+@pytest.mark.parametrize("html,text", SHOWN)
+def test_visibility_labels_and_numbers(html, text):
+    assert H.html_to_text(html) == text
+
+
+HOSTILE = ["<table>x", "<b>y</i>", "<i>y<p>z", "<ul><li>x", "<ol><li value=3>x", "<table><tr><td>x", "<table><tr><td>x</table>", "<div>x</p>", "<a>x<p>", "<svg><g>x",
+           "<math><mi>x", "<td>x", "<li>x", "</table>x", "<blockquote>x", "<select><option>x", "<p><b>x", "<dl><dd>x", "<tr>x", "<svg><foreignObject>x", "<details>x",
+           "<span style='visibility:hidden'>", "<head>x", "<table><caption>x", "<pre>x", "<font color=a><svg>x"]
+
+
+@pytest.mark.parametrize("unit", HOSTILE)
+def test_hostile_pages_take_time_in_proportion(unit):
+    import time
+
+    page = unit * (100_000 // unit.count("<"))
+    began = time.process_time()
+    H.html_to_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_tables_in_very_many_tables_keep_their_text():
+    words = [f"w{i}" for i in range(60)]
+    assert H.html_to_text("".join(f"<table><tr><td>{w}" for w in words)).split() == words
+
+
 def test_every_visible_word_is_kept():
     import random
     import re
