@@ -10,21 +10,25 @@ per document, unseen terms dropped (G5).
 Plan shape:
 * fitting is one aggregation over the rows' own term counts (one explode, one
   shuffle, hot terms collapse before it) and a bounded top-k;
-* each document's term counts are taken inside the row (sort the terms,
-  measure runs); the fitted vocabulary (at most ``max_features`` rows) is the
-  broadcast side of a hash join; the long form needs one shuffle (the
-  per-document L2 norm), the ML vector form none (``CountVectorizerModel``
-  over the fitted vocabulary, idf product, normaliser).
+* with a vocabulary of at most ``max_features`` terms, documents are weighed in
+  place (``CountVectorizerModel`` over the fitted vocabulary, idf product,
+  normaliser), and encoded in place; without a bound, term counts taken inside
+  each row meet the vocabulary in a join, and one shuffle gives the L2 norm.
 
 Scalers fit one aggregate row and apply it as a one-row broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from corpusframe.functions import text as T
 from corpusframe.operators.ranking import hash_rank
@@ -194,6 +198,18 @@ def tfidf_vector(df: DataFrame, terms_col: str, vocab: DataFrame, max_features:
     return tfidf_vectorizer(vocab, terms_col, max_features, out_col).transform(df).drop("_tf", "_tfidf")
 
 
+def tfidf_rows(df: DataFrame, id_cols: Sequence[str], terms_col: str, vocab: DataFrame, max_features: int) -> DataFrame:
+    """G5 in long form for a bounded vocabulary: (id..., term, weight) from the
+    vectors, so that rows are weighed where they are, without a join or shuffle."""
+    model = tfidf_vectorizer(vocab, terms_col, max_features, "_tfidf_unit")
+    u = F.unwrap_udt("_tfidf_unit")
+    at = F.when(u["type"] == 0, u["indices"]).otherwise(F.sequence(F.lit(0), F.size(u["values"]) - 1))
+    entries = F.arrays_zip(at.alias("k"), u["values"].alias("v"))
+    each = model.transform(df.select(*id_cols, terms_col)).select(*id_cols, F.explode_outer(entries).alias("_entry"))
+    terms = F.lit(model.stages[0].vocabulary)
+    return each.filter(F.col("_entry.v") > 0).select(*id_cols, F.get(terms, F.col("_entry.k")).alias("term"), F.col("_entry.v").alias("weight"))
+
+
 # ---------------------------------------------------------------- scalers
 
 
@@ -239,14 +255,36 @@ PAD_ID = 0
 UNKNOWN_ID = 1
 
 
+def _lookup(batches: Iterator[pa.RecordBatch], terms: pa.Array, ids: pa.Array, length: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        tokens = b.column(1)
+        found = pc.fill_null(pc.take(ids, pc.index_in(tokens.flatten(), value_set=terms)), UNKNOWN_ID).to_numpy()
+        sizes = tokens.value_lengths().to_numpy()
+        known = np.arange(length) < sizes[:, None]
+        padded = np.full(known.shape, PAD_ID, dtype=np.int32)
+        padded[known] = found
+        offsets = pa.array(np.arange(0, known.size + 1, length), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.ravel(), pa.int32())) for x in (padded, known.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *lists], [b.schema.names[0], "input_ids", "attention_mask"])
+
+
 def encode_tokens(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame, max_length: int) -> DataFrame:
     """(id, input_ids, attention_mask): the first ``max_length`` tokens
-    as ids (known term ``2 + rank``, unknown 1), padded with 0, and the mask."""
-    toks = df.select(id_col, F.posexplode_outer(F.slice(F.col(tokens_col), 1, max_length)).alias("pos", "term"))
-    ids = toks.join(_vocab_side(vocab.select("term", "rank")), "term", "left").select(
-        id_col, "pos", F.when(F.col("term").isNull(), F.lit(None)).otherwise(
-            F.coalesce(F.col("rank") + 2, F.lit(UNKNOWN_ID))
-        ).cast("int").alias("tid")
+    as ids (known term ``2 + rank``, unknown 1), padded with 0, and the mask.
+
+    A vocabulary of at most ``BROADCAST_TERMS`` terms travels to the rows, which
+    are encoded where they are, in Arrow batches; a larger one is joined."""
+    none = F.array().cast("array<string>")
+    rows = df.select(id_col, F.coalesce(F.slice(F.col(tokens_col), 1, max_length), none).alias("_tokens"))
+    if vocab.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        table = vocab.select("term", (F.col("rank") + 2).cast("int").alias("id")).toArrow()
+        terms, ids = (table.column(c).combine_chunks() for c in ("term", "id"))
+        array = ArrayType(IntegerType())
+        schema = StructType([df.schema[id_col], StructField("input_ids", array), StructField("attention_mask", array)])
+        return rows.mapInArrow(partial(_lookup, terms=terms, ids=ids, length=max_length), schema)
+    toks = rows.select(id_col, F.posexplode_outer("_tokens").alias("pos", "term"))
+    ids = toks.join(vocab.select("term", "rank"), "term", "left").select(
+        id_col, "pos", F.when(F.col("term").isNotNull(), F.coalesce(F.col("rank") + 2, F.lit(UNKNOWN_ID))).cast("int").alias("tid")
     )
     seq = ids.groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.when(F.col("tid").isNotNull(), F.struct("pos", "tid")))).alias("_p")

@@ -892,14 +892,15 @@ _TEXT_FOLDS_SQL = S.split_sql(f"SELECT id, cleaned_text, label FROM ({S.FINALIZE
 _TRAIN_VOCAB_SQL = S.vocab_sql(f"SELECT * FROM ({_TEXT_FOLDS_SQL}) WHERE NOT is_test", S.tokens("cleaned_text"), VOCAB_SIZE)
 
 
-def _text_split(spark, sf_dir):
-    df = C.finalized(spark, sf_dir).select("id", "cleaned_text", "label")
-    return SP.split_and_folds(df, "id", "label", RU.TEST_SIZE, RU.K_FOLDS, RU.SEED)
+def _terms(spark, sf_dir):
+    """(id, is_test, terms) of every labelled text, stored: one pass over the
+    corpus for the fit and for what it is applied to."""
+    rows = G.with_terms(B.split_rows(spark, sf_dir), "cleaned_text").select("id", "is_test", "terms")
+    return IO.materialize(rows, scratch_path(spark, "split-terms"), force=True)
 
 
-def _train_vocab(spark, sf_dir):
-    tr = _text_split(spark, sf_dir).filter(~F.col("is_test"))
-    return G.fit_vocabulary(G.with_terms(tr, "cleaned_text").select("terms"), "terms", VOCAB_SIZE)
+def _train_vocab(terms):
+    return G.fit_vocabulary(terms.filter(~F.col("is_test")).select("terms"), "terms", VOCAB_SIZE)
 
 
 @register(
@@ -908,7 +909,7 @@ def _train_vocab(spark, sf_dir):
 )
 def q_tfidf_vocabulary(spark, sf_dir):
     """G1 + G3 + G4: the 5000 most frequent terms of the training split and their idf."""
-    return _rounded(_train_vocab(spark, sf_dir), ["idf"])
+    return _rounded(_train_vocab(_terms(spark, sf_dir)), ["idf"])
 
 
 @register(
@@ -918,8 +919,8 @@ def q_tfidf_vocabulary(spark, sf_dir):
 )
 def q_tfidf_weights(spark, sf_dir):
     """The test split transformed with the training vocabulary."""
-    te = G.with_terms(_text_split(spark, sf_dir).filter(F.col("is_test")), "cleaned_text").select("id", "terms")
-    return _rounded(G.tfidf_long(te, ["id"], "terms", _train_vocab(spark, sf_dir)), ["weight"])
+    rows = _terms(spark, sf_dir)
+    return _rounded(G.tfidf_rows(rows.filter("is_test"), ["id"], "terms", _train_vocab(rows), VOCAB_SIZE), ["weight"])
 
 
 @register(
@@ -982,8 +983,8 @@ def q_minmax_scaled_features(spark, sf_dir):
 def q_token_encoding(spark, sf_dir):
     """Fixed-length (320) token ids and attention mask of every labelled
     document over the training vocabulary."""
-    d = C.finalized(spark, sf_dir).select("id", T.term_tokens("cleaned_text").alias("toks"))
-    return G.encode_tokens(d, "id", "toks", _train_vocab(spark, sf_dir), ENCODING_LENGTH)
+    rows = _terms(spark, sf_dir)
+    return G.encode_tokens(rows, "id", "terms", _train_vocab(rows), ENCODING_LENGTH)
 
 
 @register(

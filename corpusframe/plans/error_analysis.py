@@ -12,7 +12,7 @@ from corpusframe.operators import errors as ER
 from corpusframe.operators import features as G
 from corpusframe.plans.corpus import scored
 from corpusframe.session import scratch_path
-from corpusframe.sources.files import read_csv, write_csv
+from corpusframe.sources.files import materialize, read_csv, write_csv
 
 BIGRAM_MAX_FEATURES = 100
 TOP_TERMS = 10
@@ -42,7 +42,7 @@ def bigram_fit(errors: DataFrame, stop_words=ENGLISH_STOP_WORDS, max_features: i
     """Joint vocabulary and the error rows with their bigram terms (F5 drops
     rows without text)."""
     e = G.with_terms(errors.filter(F.col("cleaned_text").isNotNull()), "cleaned_text", "terms", (2, 2), stop_words)
-    e = e.select("id", "error_type", "terms")
+    e = materialize(e.select("id", "error_type", "terms"), scratch_path(errors.sparkSession, "error-terms"), force=True)
     return G.fit_vocabulary(e, "terms", max_features), e
 
 
@@ -52,7 +52,7 @@ def mean_tfidf(spark: SparkSession, sf_dir: str, stop_words=ENGLISH_STOP_WORDS)
     the bigram fit; the library list that the flow was written for is not
     available offline, so the default is this package's own list."""
     vocab, e = bigram_fit(error_corpus(spark, sf_dir), stop_words)
-    w = G.tfidf_long(e, ["id", "error_type"], "terms", vocab)
+    w = G.tfidf_rows(e, ["id", "error_type"], "terms", vocab, BIGRAM_MAX_FEATURES)
     sums = w.groupBy("error_type", "term").agg(F.sum("weight").alias("s"))
     n = e.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))  # one row per class
     grid = vocab.select("term").crossJoin(F.broadcast(n))  # vocabulary x classes: bounded
