@@ -11,14 +11,16 @@ pass over the narrow table verifies them: exact count and exact largest id of
 each. These winners, at most ``HEAVY_DIGESTS`` rows whatever the input size,
 are broadcast; every copy that is not its digest's winner is decided in the map
 task and never shuffled. What remains (all other digests, and one row per
-frequent one) is grouped by an ordinary shuffle on the digest. A digest the
-summary misses holds at most ``3.5 / SUMMARY_ITEMS`` of all rows, so no shuffled
-group is larger than that share.
+frequent one) is grouped by an ordinary shuffle on the digest. Of the digests
+that are not named, none is among the ``HEAVY_DIGESTS`` most frequent but for the
+summary's error of ``3.5 / SUMMARY_ITEMS`` of the rows: a shuffled group holds less
+than ``1 / HEAVY_DIGESTS + 3.5 / SUMMARY_ITEMS``, a thousandth, of all rows.
 
 Defined cases. Null text equals empty text. A null id is smaller than any id:
 such a row stays only if no equal text has an id. Rows that repeat both id and
-text are equal rows: exactly one of them stays. An empty table gives an empty
-result. Input columns keep their names; working columns avoid them.
+text are equal rows: exactly one of them stays. Very long texts are only hashed.
+An empty table gives an empty result. Input columns keep their names; working
+columns avoid them.
 """
 
 from __future__ import annotations
