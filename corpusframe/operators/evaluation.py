@@ -65,21 +65,16 @@ def classification_report(df: DataFrame, label_col="label", pred_col="predicted_
     """Per class precision/recall/F1/support, then accuracy, macro and
     weighted averages, rounded to ``digits``; for each group if given."""
     g = list(group_cols)
+    # One pass: counts per (label, prediction), each of which counts once for the
+    # support of its label and once for the predictions of its prediction.
     conf = df.groupBy(*g, F.col(label_col).alias("y"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    support = conf.groupBy(*g, F.col("y").alias("cls")).agg(F.sum("n").alias("support"))
-    predicted = conf.groupBy(*g, F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp = conf.filter(F.col("y") == F.col("p")).select(*g, F.col("y").alias("cls"), F.col("n").alias("tp"))
-    per = (
-        support.join(predicted, [*g, "cls"], "full")
-        .join(tp, [*g, "cls"], "left")
-        .select(
-            *g,
-            "cls",
-            F.coalesce("support", F.lit(0)).alias("support"),
-            F.coalesce("predicted", F.lit(0)).alias("predicted"),
-            F.coalesce("tp", F.lit(0)).alias("tp"),
-        )
+    zero = F.lit(0).cast("long")
+    both = F.array(
+        F.struct(F.col("y").alias("cls"), F.col("n").alias("support"), zero.alias("predicted"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(zero).alias("tp")),
+        F.struct(F.col("p").alias("cls"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp")),
     )
+    each = conf.select(*g, F.explode(both).alias("e")).select(*g, "e.*")
+    per = each.groupBy(*g, "cls").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     per = per.select(
         *g,
         F.col("cls").cast("string").alias("row_name"),
@@ -89,30 +84,21 @@ def classification_report(df: DataFrame, label_col="label", pred_col="predicted_
         F.col("support").cast("bigint").alias("support"),
         F.col("tp"),
     )
-    total = per.groupBy(*g).agg(
-        F.sum("support").alias("n"),
-        F.sum("tp").alias("tp"),
-        F.avg("precision").alias("mp"),
-        F.avg("recall").alias("mr"),
-        F.avg("f1_score").alias("mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1_score") * F.col("support")).alias("wf"),
-    )
-    n = F.col("n")
-    acc = total.select(
-        *g, F.lit("accuracy").alias("row_name"), F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"), _ratio(F.col("tp"), n).alias("f1_score"), n.cast("bigint").alias("support"),
-    )
-    macro = total.select(
-        *g, F.lit("macro avg").alias("row_name"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-        F.col("mf").alias("f1_score"), n.cast("bigint").alias("support"),
-    )
-    weighted = total.select(
-        *g, F.lit("weighted avg").alias("row_name"), _ratio(F.col("wp"), n).alias("precision"),
-        _ratio(F.col("wr"), n).alias("recall"), _ratio(F.col("wf"), n).alias("f1_score"), n.cast("bigint").alias("support"),
-    )
-    out = per.drop("tp").unionByName(acc).unionByName(macro).unionByName(weighted)
+    per = materialize(per.coalesce(1), scratch_path(df.sparkSession, "class-report"), force=True)  # one row per class
+    mean = lambda c: F.avg(c).alias(f"m_{c}")
+    weighted = lambda c: F.sum(F.col(c) * F.col("support")).alias(f"w_{c}")
+    columns = ("precision", "recall", "f1_score")
+    total = per.groupBy(*g).agg(F.sum("support").alias("n"), F.sum("tp").alias("tp"), *[mean(c) for c in columns], *[weighted(c) for c in columns])
+    total = total.filter(F.col("n").isNotNull())
+    n, none = F.col("n"), F.lit(None).cast("double")
+    row = lambda name, p, r, f: F.struct(F.lit(name).alias("row_name"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"))
+    rows = F.array(
+        row("accuracy", none, none, _ratio(F.col("tp"), n)),
+        row("macro avg", *[F.col(f"m_{c}") for c in columns]),
+        row("weighted avg", *[_ratio(F.col(f"w_{c}"), n) for c in columns]),
+    )
+    averages = total.select(*g, F.explode(rows).alias("e"), n.cast("bigint").alias("support")).select(*g, "e.*", "support")
+    out = per.drop("tp").unionByName(averages)
     return out.select(
         *g,
         "row_name",

@@ -205,7 +205,8 @@ def tfidf_rows(df: DataFrame, id_cols: Sequence[str], terms_col: str, vocab: Dat
     u = F.unwrap_udt("_tfidf_unit")
     at = F.when(u["type"] == 0, u["indices"]).otherwise(F.sequence(F.lit(0), F.size(u["values"]) - 1))
     entries = F.arrays_zip(at.alias("k"), u["values"].alias("v"))
-    each = model.transform(df.select(*id_cols, terms_col)).select(*id_cols, F.explode_outer(entries).alias("_entry"))
+    texts = df.select(*id_cols, F.coalesce(terms_col, F.array().cast("array<string>")).alias(terms_col))
+    each = model.transform(texts).select(*id_cols, F.explode_outer(entries).alias("_entry"))
     terms = F.lit(model.stages[0].vocabulary)
     return each.filter(F.col("_entry.v") > 0).select(*id_cols, F.get(terms, F.col("_entry.k")).alias("term"), F.col("_entry.v").alias("weight"))
 

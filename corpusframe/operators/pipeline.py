@@ -78,7 +78,8 @@ class TfIdfModel(Model, _TfIdfParams, MLReadable, MLWritable):
     def _transform(self, df: DataFrame) -> DataFrame:
         if self._stages is None:  # one look at the vocabulary per model
             self._stages = G.tfidf_vectorizer(self.vocabulary, self.getInputCol(), self.getMaxFeatures(), self.getOutputCol())
-        return self._stages.transform(df).drop("_tf", "_tfidf")
+        some = F.coalesce(F.col(self.getInputCol()), F.array().cast("array<string>"))  # a null text has no terms
+        return self._stages.transform(df.withColumn(self.getInputCol(), some)).drop("_tf", "_tfidf")
 
     def write(self) -> MLWriter:
         return _TfIdfWriter(self)

@@ -59,6 +59,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+#: Folders handed out by ``scratch_path`` and not yet cleared.
+_HANDED_OUT: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _HANDED_OUT.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the stored steps of this driver's finished queries from the shared
+    folder; returns how many there were. For long-lived sessions, between jobs:
+    DataFrames that were returned before read these tables, so write their
+    results first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _HANDED_OUT:
+        path = jvm.org.apache.hadoop.fs.Path(_HANDED_OUT.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone

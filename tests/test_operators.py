@@ -200,3 +200,23 @@ def test_encoding_and_weights_in_place_equal_the_joined_form(spark, monkeypatch)
     monkeypatch.setattr(G, "BROADCAST_TERMS", 2)
     assert got == {r["id"]: (r["input_ids"], r["attention_mask"]) for r in G.encode_tokens(d, "id", "terms", vocab, 6).collect()}
     assert len(got) == 60 and all(len(a) == len(b) == 6 for a, b in got.values())
+
+
+def test_stored_steps_can_be_cleared(spark, monkeypatch):
+    monkeypatch.setattr(session, "_HANDED_OUT", [])
+    paths = [session.scratch_path(spark, f"step{i}") for i in range(3)]
+    for p in paths[:2]:
+        spark.range(5).write.parquet(p)
+    assert session.clear_scratch(spark) == 2 and session.clear_scratch(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(paths[0])
+
+
+def test_report_of_groups_and_of_nothing(spark):
+    from corpusframe.operators import evaluation as E
+
+    d = spark.createDataFrame([("a", 1, 1), ("a", 0, 1), ("a", 0, 0), ("b", 1, 0)], "k string, label int, predicted_label int")
+    got = {(r["k"], r["row_name"]): tuple(r)[2:] for r in E.classification_report(d, group_cols=["k"]).collect()}
+    assert got["a", "1"] == (0.5, 1.0, 0.6667, 1) and got["a", "0"] == (1.0, 0.5, 0.6667, 2) and got["a", "accuracy"] == (None, None, 0.6667, 3)
+    assert got["b", "0"] == (0.0, 0.0, 0.0, 0) and got["b", "weighted avg"] == (0.0, 0.0, 0.0, 1) and len(got) == 10
+    assert E.classification_report(d.limit(0)).count() == 0

@@ -53,10 +53,10 @@ def test_terms_and_unseen_words(spark):
     pipe = Pipeline(stages=[Terms(inputCol="t", outputCol="w", ngramHigh=2, stopWords=["the"]), TfIdf(inputCol="w", outputCol="x", maxFeatures=3)]).fit(df)
     path = scratch_path(spark, "terms")
     pipe.write().save(path)
-    new = spark.createDataFrame([(9, "red cat the fox"), (10, "")], "id int, t string")
+    new = spark.createDataFrame([(9, "red cat the fox"), (10, ""), (11, None)], "id int, t string")
     a, b = pipe.transform(new).orderBy("id").collect(), PipelineModel.load(path).transform(new).orderBy("id").collect()
     assert a == b and a[0]["w"] == ["red", "cat", "fox", "red cat", "cat fox"]
-    assert a[0]["x"].numNonzeros() >= 1 and a[1]["x"].numNonzeros() == 0
+    assert a[0]["x"].numNonzeros() >= 1 and a[1]["x"].numNonzeros() == a[2]["x"].numNonzeros() == 0
 
 
 def test_rare_terms_count(spark, monkeypatch):

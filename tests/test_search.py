@@ -147,3 +147,24 @@ def test_boosting_log_is_the_fit_round_by_round(spark):
     # The fit that stops by itself stops where the log's replay does.
     best = BO.stops(BO.round_log(model, held.withColumn("run", F.lit(1)), ["run"]), ["run"]).first()
     assert BO.stopped(estimator, noisy, "held").getNumTrees == best["best_round"]
+
+
+def test_logistic_regression_is_at_its_optimum(spark):
+    df = points(spark, 300, 8)
+    df = materialize(df.withColumn("features", array_to_vector(F.array(F.col("v")[0] + F.col("label"), F.col("v")[1]))), scratch_path(spark, "shifted"), force=True)
+    model = M.logistic_regression(300, c=0.5, tol=1e-10).fit(df)
+    x = np.array([r["features"].toArray() for r in df.orderBy("id").collect()])
+    y = np.array([r["label"] for r in df.orderBy("id").collect()])
+    p = 1 / (1 + np.exp(-(x @ model.coefficients.toArray() + model.intercept)))
+    slope = x.T @ (p - y) / 300 + model.coefficients.toArray() / (0.5 * 300)
+    assert np.abs(slope).max() < 1e-5 and abs((p - y).mean()) < 1e-5
+
+
+def test_forest_is_the_mean_of_its_trees(spark):
+    df = points(spark, 200, 9)
+    model = M.random_forest().setNumTrees(7).fit(df)
+    rows = df.limit(20).collect()
+    got = {r["id"]: r["score"] for r in M.predictions(model, df).collect()}
+    for r in rows:
+        votes = np.array([t.predictProbability(r["features"]).toArray() for t in model.trees])
+        assert abs(got[r["id"]] - votes.mean(axis=0)[1]) < 1e-12
