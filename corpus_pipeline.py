@@ -5,6 +5,13 @@ Each stage takes ``(spark, docs, sf_dir)``, works on every row its predecessor
 kept, and returns the columns of ``docs`` (the last: the tokens). ``run``
 writes each stage as Parquet under the shared checkpoint folder and reads it
 again, so a stage is computed once and a lost executor costs one stage at most.
+
+Defined cases. The rules reject null, empty and blank texts, so no later stage
+meets them. Null ids and rows that repeat (id, text) pass the rules; of repeated
+rows and equal texts exactly one stays, one with an id if there is one. Ties are
+decided by the ids, as each stage says. Very long texts are handled whole in every
+stage. Other columns, whatever their names, pass through to the mix; the
+last stage returns its own. An empty table gives empty results.
 """
 
 from __future__ import annotations
