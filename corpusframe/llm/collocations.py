@@ -66,6 +66,8 @@ HELD = 500_000
 BATCH = 50_000
 #: Numbers by which nodes are dealt to tasks.
 DEALT = 1 << 20
+#: Lots in which a language's candidates are ranked first.
+LOTS = 64
 #: Bits of the bitmap of pairs (a power of two).
 PAIRS = 1 << 27
 
@@ -251,8 +253,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col:
     the language), score."""
     counts = phrase_counts(docs, least, text_col, lang_col)
     found = scored(candidates(counts, unary_paths(counts)), counts)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # tasks keep top rows each before the shuffle
+    by = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # A language's best are among the best of its lots, so that one task ranks
+    # at most LOTS * top rows of it, however many candidates there are.
+    lots = found.withColumn("lot", F.pmod(F.xxhash64("phrase"), F.lit(LOTS)).cast("int"))
+    best = lots.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "lot").orderBy(*by))).where(F.col("rank") <= top).drop("lot")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
