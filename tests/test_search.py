@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from corpusframe.operators import boosting as BO
@@ -168,3 +169,14 @@ def test_forest_is_the_mean_of_its_trees(spark):
     for r in rows:
         votes = np.array([t.predictProbability(r["features"]).toArray() for t in model.trees])
         assert abs(got[r["id"]] - votes.mean(axis=0)[1]) < 1e-12
+
+
+def test_models_fit_and_score_in_a_session_that_has_observed(spark):
+    df = points(spark, 60, 11).coalesce(1)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n": 60}
+    for estimator in (M.logistic_regression(60), M.random_forest().setNumTrees(3), M.CalibratedSVM(k=2, reg=0.1)):
+        assert M.predictions(estimator.fit(df), df).count() == 60
+    runs = M.k_fold_runs(df, lambda tr: M.logistic_regression(tr.count()), 3, scratch_path(spark, "observed-folds"), model_name="lr")
+    assert runs.count() == 60
