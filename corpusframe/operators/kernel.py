@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Rows of W that a worker keeps.
 KEPT_ROWS = 20_000
+#: Rows that a worker hands back at once, however many a batch has.
+ROWS_AT_ONCE = 256
 
 
 class _Draws(dict):
@@ -55,12 +57,14 @@ def _features(width: int, gamma: float, seed: int):
         draws = _Draws(width, gamma, seed)
         for indices, values in batches:
             out = []
-            for at, v in zip(indices, values):
+            for n, (at, v) in enumerate(zip(indices, values), 1):
                 z = draws[-1].copy()
                 for i, x in zip(range(len(v)) if at is None else at, v):
                     z += x * draws[int(i)]
                 out.append(np.sqrt(2 / width) * np.cos(z))
-            yield pd.Series(out, index=values.index)
+                if len(out) == ROWS_AT_ONCE or n == len(values):
+                    yield pd.Series(out)
+                    out = []
 
     return features
 
