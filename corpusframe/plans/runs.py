@@ -42,6 +42,9 @@ EPOCHS = 5
 MODELS = (("Naive Bayes 1.0", 1.0), ("Naive Bayes 0.01", 0.01))
 #: The feature that every text has once; its weight is the log ratio of the classes.
 PRIOR = -1
+#: Entries that meet the weights at once: what a task holds beside its rows is
+#: twice this (or a text's own entries, if more) times the runs, whatever a batch has.
+ENTRIES_AT_ONCE = 1 << 15
 
 
 def fold_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +100,16 @@ def weights(rows: DataFrame, width: int) -> np.ndarray:
 def _margins(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = b.column("x")
-        entries, ends = x.flatten(), x.value_lengths().to_numpy().cumsum()
-        parts = w[entries.field("k").to_numpy()] * entries.field("v").to_numpy()[:, None]
-        m = np.add.reduceat(parts, np.append(0, ends[:-1]), axis=0)  # no row is without an entry
+        entries, ends = x.flatten(), x.value_lengths().to_numpy().cumsum(dtype=np.int64)
+        k, v = entries.field("k").to_numpy(), entries.field("v").to_numpy()
+        m, row, at = np.empty((len(x), w.shape[1])), 0, 0
+        while row < len(x):  # texts in slices of few entries
+            stop = max(row + 1, int(np.searchsorted(ends, at + ENTRIES_AT_ONCE, "right")))
+            parts = w[k[at : ends[stop - 1]]]
+            parts *= v[at : ends[stop - 1], None]
+            starts = np.append(at, ends[row : stop - 1]) - at
+            m[row:stop] = np.add.reduceat(parts, starts, axis=0)  # no row is without an entry
+            row, at = stop, ends[stop - 1]
         offsets = pa.array(np.arange(0, m.size + 1, w.shape[1]), pa.int32())
         columns = [b.column(i) for i in range(b.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))], [*b.schema.names[:-1], "m"])
