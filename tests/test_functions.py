@@ -69,3 +69,14 @@ def test_logits(spark):
     assert rows[1]["a"] == 0
     assert math.isclose(sum(rows[0]["p"]), 1.0)
     assert math.isclose(rows[1]["c"], 0.5)
+
+
+def test_override_tail_of_wide_vectors(spark):
+    from pyspark.ml.linalg import DenseVector, SparseVector
+
+    rows = [(0, SparseVector(4, {0: 1.0, 3: 2.0})), (1, DenseVector([1.0, 2.0, 3.0, 4.0])), (2, DenseVector([5.0])), (3, SparseVector(0, {}))]
+    df = spark.createDataFrame(rows, ["id", "v"]).select("id", T.override_tail("v", 2, 7.0).alias("v"))
+    got = {r["id"]: r["v"].toArray().tolist() for r in df.collect()}
+    assert got == {0: [1.0, 0.0, 7.0, 7.0], 1: [1.0, 2.0, 7.0, 7.0], 2: [7.0], 3: []}
+    # a lambda over the entries converts the whole vector again for each of them
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
