@@ -220,3 +220,14 @@ def test_report_of_groups_and_of_nothing(spark):
     assert got["a", "1"] == (0.5, 1.0, 0.6667, 1) and got["a", "0"] == (1.0, 0.5, 0.6667, 2) and got["a", "accuracy"] == (None, None, 0.6667, 3)
     assert got["b", "0"] == (0.0, 0.0, 0.0, 0) and got["b", "weighted avg"] == (0.0, 0.0, 0.0, 1) and len(got) == 10
     assert E.classification_report(d.limit(0)).count() == 0
+
+
+def test_term_stats_and_ngrams_without_lambdas_over_counts(spark):
+    rows = [(["b", "a", "b"],), (["a"],), ([],), (None,), (["ä", "a b", "a b"],)]
+    df = spark.createDataFrame(rows, "t array<string>")
+    stats = G.term_stats(df, "t")
+    assert {tuple(r) for r in stats.collect()} == {("a", 2, 2), ("b", 2, 1), ("ä", 1, 1), ("a b", 2, 1), (None, 0, 5)}
+    assert "lambda" not in stats._jdf.queryExecution().optimizedPlan().toString()
+    grams = [r[0] for r in df.select(G.ngrams("t", 2)).collect()]
+    assert grams == [["b a", "a b"], [], [], [], ["ä a b", "a b a b"]]
+    assert [r[0] for r in df.select(G.ngrams("t", 3)).collect()] == [["b a b"], [], [], [], ["ä a b a b"]]
