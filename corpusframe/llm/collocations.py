@@ -6,15 +6,14 @@ edge of the graph is a phrase of ``LONGEST`` words inside a piece, its weight ho
 often it occurs; it leads from the node of its first ``LONGEST - 1`` words to the
 node of its last ones.
 
-0. Cuts. Adjacent pairs of words are counted by a hash; a pair whose hash occurs
-   fewer than ``least`` times lies in no frequent phrase, so pieces are cut there.
-   A cut is an end of a piece like any other; the parts hold every occurrence of
-   every phrase that is frequent, and every word.
-1. Edges. At every word the longest phrase that starts there is counted: an edge,
-   or, near the end of its piece, the shorter rest of the piece.
+0. Cuts. Adjacent pairs and triples of words are counted by a hash; one whose
+   hash occurs fewer than ``least`` times lies in no frequent phrase.
+1. Edges. At every word the longest phrase that starts there and holds no such
+   pair or triple is counted: an edge, or fewer words. So each occurrence of a
+   frequent phrase, and each word, starts one phrase counted.
 2. Shorter counts come from the flow through the nodes: a phrase occurs as often
-   as all phrases that are one word longer and start with it, plus the pieces
-   that end with it (the rests counted in step 1). One level after the other
+   as all phrases that are one word longer and start with it, plus the ones
+   counted in step 1 that are no longer than it. One level after the other
    gives every phrase of 4, 3 and 2 words, every word, and the number of words.
 3. Unary paths are compacted: a node that has the weight of one edge in and of
    one edge out has no other edge, and no piece starts or ends there; such edges
@@ -24,15 +23,16 @@ node of its last ones.
 4. The other candidates are scored by their weakest cut, in whole numbers of up
    to 38 digits, and ranked per language.
 
-Scale. Pairs are counted as numbers (hash, count), once per batch of texts, and
-what comes of it is a bitmap of ``PAIRS`` bits, whatever the input's size: the
-larger the corpus, the fewer pairs it cuts, and the counts are exact with any
-bitmap. Tasks count edges in tables of ``HELD`` entries, so a frequent phrase is
-one row of each table. Edges are dealt by their node, so that edges and nodes are summed after one shuffle; the
-lower levels are sums with partial sums before each shuffle, so no word or short
-phrase makes a hot task. A phrase of ``least`` occurrences is passed on as
-finished and is not counted again. Steps 3 and 4 work on phrases of at least
-``least`` occurrences only: a path or candidate has no other parts.
+Scale. Pairs and triples are counted as numbers of ``PAIRS``, first in each task,
+a few millions at once, then in the parts of the range, to which they are dealt
+as arrays. What comes of it is a bitmap of ``PAIRS`` bits, whatever the input's
+size: the larger the corpus, the less it cuts, and the counts are exact with any
+bitmap. Tasks count ``HELD`` phrases at once, so a frequent phrase is one row of
+each such count. Edges are dealt by their node, so that edges and nodes are summed
+after one shuffle; the lower levels are sums with partial sums before each shuffle,
+so no word or short phrase makes a hot task. A phrase of ``least`` occurrences is
+passed on as finished and is not counted again. Steps 3 and 4 work on phrases of
+at least ``least`` occurrences only: a path or candidate has no other parts.
 
 Defined cases. Null and blank texts have no words; a null language is ``und``.
 Very long texts are counted like others (a task holds one Arrow batch of texts).
@@ -46,7 +46,6 @@ columns are read, so others may have any name.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from zlib import crc32
@@ -61,100 +60,192 @@ from corpusframe.llm.tables import small, stored, table, text_of
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-#: Entries that a task counts before it passes them on, and rows of a batch.
-HELD = 500_000
+#: Phrases, or numbers of pairs and triples, that a task holds before it counts
+#: them and passes them on, and rows of a batch.
+HELD = 1 << 22
 BATCH = 50_000
 #: Numbers by which nodes are dealt to tasks.
 DEALT = 1 << 20
 #: Lots in which a language's candidates are ranked first.
 LOTS = 64
-#: Bits of the bitmap of pairs (a power of two).
-PAIRS = 1 << 27
+#: Bits of the bitmap, half of them of pairs, half of triples (a power of two),
+#: and parts in which they are counted.
+PAIRS = 1 << 28
+PARTS = 1 << 10
+#: Bytes of texts that a task takes at once, and rows it reads for them.
+LOT = 1 << 20
+ROWS = 256
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _READ = bytes.maketrans(_UPPER + _ENDS + b"\t", _UPPER.lower() + b"\n" * len(_ENDS) + b" ")
+#: Masks of the first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 # ------------------------------------------------------------- counting
 
 
-class _Hashes(dict):
-    """64 bits for each word, computed when it is first asked for."""
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(lang, text) -> (lang, texts of it, together about ``LOT`` bytes or one
+    text): pieces end with a line end, words of a piece are one space apart."""
+    held: dict[str, list[bytes]] = {}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD:
-            self.clear()
-        self[word] = found = crc32(word) << 32 | crc32(word, 0x5BD1E995)
-        return found
+    def passed_on() -> Iterator[tuple[str, bytes]]:
+        for lang, texts in held.items():
+            text = b"\n".join(texts).translate(_READ)
+            while b"  " in text:
+                text = text.replace(b"  ", b" ")
+            yield lang, text
+        held.clear()
 
+    size = 0
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            part = b.slice(at, ROWS)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+                if size >= LOT:
+                    yield from passed_on()
+                    size = 0
+    yield from passed_on()
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], list[int]]]:
-    """(lang, words, lengths of the pieces) of each text of (lang, text)."""
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-        pieces = [words for piece in text.translate(_READ).split(b"\n") if (words := piece.split())]  # bytes split at ASCII white space only
-        if pieces:
-            yield lang, [w for words in pieces for w in words], [len(words) for words in pieces]
 
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of a lot, and for each word but the last
+    whether the next one is of the same piece."""
+    a = np.frombuffer(text, dtype=np.uint8)
+    inside = np.zeros(len(a) + 2, dtype=bool)
+    inside[1:-1] = (a != ord(" ")) & (a != ord("\n"))
+    at = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = at[::2], at[1::2]
+    return starts, ends, (starts[1:] == ends[:-1] + 1) & (a[ends[:-1]] == ord(" "))
 
-def _pairs(lang: str, words: list[bytes], lengths: list[int], hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """For each word but the last: the number of its pair with the next word,
-    and whether both are of one piece."""
-    h = np.array([hashes[w] for w in words], dtype=np.uint64)
-    x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + (h[1:] ^ np.uint64(hashes[lang.encode()])) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xFF51AFD7ED558CCD)
-    inside = np.ones(len(x), dtype=bool)
-    inside[np.cumsum(lengths)[:-1] - 1] = False
-    return (x >> np.uint64(32)).astype(np.int64) & (PAIRS - 1), inside
+    return x ^ x >> np.uint64(32)
+
+
+def _numbers(lang: str, text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the pairs and triples of adjacent words, by their first
+    word: those of pairs are the lower half of ``PAIRS``. A word is hashed by its
+    first and last 8 bytes and its length."""
+    eight = np.ndarray(len(text), "<u8", text + bytes(8), strides=(1,))  # the 8 bytes from each place on
+    size = ends - starts
+    first = eight[starts] & _FIRST[np.minimum(size, 8)]
+    last = np.where(size > 8, eight[np.maximum(ends - 8, 0)], first)
+    words = _mixed(_mixed(first, last), (size + (crc32(lang.encode()) << 31)).astype(np.uint64))
+    pairs = _mixed(words[:-1], words[1:])
+    triples = _mixed(pairs[:-1], words[2:])
+    half = PAIRS // 2
+    return tuple((x & np.uint64(half - 1)).astype(np.int32) + np.int32(at) for x, at in ((pairs, 0), (triples, half)))
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (pair, n)."""
-    hashes = _Hashes()
+    """(lang, text) -> (part, numbers, n): the numbers found, in the ``PARTS``
+    parts of their range, each with its count."""
+    held, size = [], 0
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        found = np.sort(np.concatenate(held or [np.empty(0, np.int32)]))
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+        numbers, n = found[first], np.diff(np.append(first, len(found))).astype(np.int32)
+        bounds = pa.array(np.searchsorted(numbers, np.arange(PARTS + 1) * (PAIRS // PARTS)), pa.int32())
+        lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (numbers, n)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), *lists], ["part", "numbers", "n"])
+        held.clear()
+
+    for lang, text in _lots(batches):
+        starts, ends, joined = _words(text)
+        pairs, triples = _numbers(lang, text, starts, ends)
+        held += [pairs[joined], triples[joined[:-1] & joined[1:]]]
+        size += len(held[-2]) + len(held[-1])
+        if size >= HELD:
+            yield from passed_on()
+            size = 0
+    if size:
+        yield from passed_on()
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(part, numbers, n), the rows of a part together -> (part, bits)."""
+    at, counts = None, None
+
+    def passed_on() -> Iterator[pa.RecordBatch]:
+        if at is not None:
+            bits = np.packbits(counts >= least, bitorder="little").tobytes()
+            yield pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32()), "bits": pa.array([bits], pa.binary())})
+
     for b in batches:
-        found = [pairs[inside] for pairs, inside in (_pairs(*t, hashes) for t in _texts(b))]
-        if found:
-            pair, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"pair": pair.astype(np.int32), "n": n})
+        numbers, n = b.column(1), b.column(2)
+        for i, part in enumerate(b.column(0).to_pylist()):
+            if part != at:
+                yield from passed_on()
+                at, counts = part, np.zeros(PAIRS // PARTS, dtype=np.int64)
+            counts[numbers[i].values.to_numpy() % len(counts)] += n[i].values.to_numpy()  # each number once
+    yield from passed_on()
 
 
 def frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
-    """The bitmap, as bytes: bits of pair numbers that occur ``least`` times."""
-    counts = texts.mapInArrow(_count_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    bits = counts.where(F.col("n") >= least).select(F.expr("pair div 32").alias("at"), F.expr("shiftleft(1L, pair % 32)").alias("bit"))
-    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most PAIRS / 32 rows
-    bitmap = np.zeros(PAIRS // 32, dtype="<u4")
-    bitmap[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
-    return bitmap.view(np.uint8)
+    """The bitmap, as bytes: bits of the numbers of pairs and triples that occur
+    ``least`` times."""
+    counts = texts.mapInArrow(_count_pairs, "part int, numbers array<int>, n array<int>")
+    counts = counts.repartition("part").sortWithinPartitions("part")
+    found = counts.mapInArrow(partial(_frequent, least=least), "part int, bits binary").toArrow()  # PAIRS bits
+    bitmap = np.zeros((PARTS, PAIRS // PARTS // 8), dtype=np.uint8)
+    for part, bits in zip(found.column("part").to_pylist(), found.column("bits").to_pylist()):
+        bitmap[part] = np.frombuffer(bits, dtype=np.uint8)
+    return bitmap.ravel()
+
+
+def _phrases(text: bytes, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> Iterator[pa.Array]:
+    """The phrases of ``words`` words from each word of a lot on."""
+    for k in range(1, LONGEST + 1):
+        of = np.flatnonzero(words == k)
+        for first in range(k):
+            at = of[of % k == first]  # these do not overlap: with the gaps between them they are one array
+            if len(at):
+                places = np.stack([starts[at], ends[at + k - 1]], axis=1).astype(np.int32).ravel()
+                found = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(text)])
+                yield found.take(pa.array(np.arange(0, len(places), 2)))
 
 
 def _edges(batches: Iterator[pa.RecordBatch], kept) -> Iterator[pa.RecordBatch]:
     """(lang, text) -> (lang, g, n): the phrases that start at each word."""
-    held: dict[str, Counter] = {}
-    hashes, bitmap = _Hashes(), kept.value
+    held: dict[str, list[pa.Array]] = {}
+    bitmap, size = kept.value, 0
 
     def passed_on() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            keys = sorted(counts)
-            for at in range(0, len(keys), BATCH):
-                part = keys[at : at + BATCH]
-                columns = [pa.array([lang] * len(part), pa.string()), pa.array(part, pa.binary()).cast(pa.string()), pa.array([counts[k] for k in part], pa.int64())]
+        for lang, phrases in held.items():
+            counts = pa.chunked_array(phrases).value_counts()
+            for at in range(0, len(counts), BATCH):
+                part = counts.slice(at, BATCH)
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), len(part)), part.field("values").cast(pa.string()), part.field("counts")]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "g", "n"])
         held.clear()
 
-    for b in batches:
-        for lang, words, lengths in _texts(b):
-            pairs, inside = _pairs(lang, words, lengths, hashes)
-            joined = inside & ((bitmap[pairs >> 3] >> (pairs & 7).astype(np.uint8)) & 1).astype(bool)
-            ends = np.append(np.flatnonzero(~joined) + 1, len(words))
-            starts = np.append(0, ends[:-1])
-            alone = ends - starts == 1
-            counts = held.setdefault(lang, Counter())
-            counts.update([words[i] for i in starts[alone].tolist()])
-            for start, end in zip(starts[~alone].tolist(), ends[~alone].tolist()):
-                counts.update([b" ".join(words[i : min(i + LONGEST, end)]) for i in range(start, end)])
-            if sum(map(len, held.values())) > HELD:
-                yield from passed_on()
+    for lang, text in _lots(batches):
+        starts, ends, joined = _words(text)
+        many = len(starts)
+        if not many:
+            continue
+        pairs, triples = (((bitmap[x >> 3] >> (x & 7).astype(np.uint8)) & 1).astype(bool) for x in _numbers(lang, text, starts, ends))
+        pairs = np.append(joined & pairs, [False] * LONGEST)
+        triples = np.append(triples, [False] * LONGEST)
+        words, on = np.ones(many, dtype=np.int64), pairs[:many].copy()
+        for k in range(LONGEST - 1):  # one word more, if its pair and its triple are frequent
+            if k:
+                on &= pairs[k : many + k] & triples[k - 1 : many + k - 1]
+            words += on
+        found = list(_phrases(text, starts, ends, words))
+        held.setdefault(lang, []).extend(found)
+        size += sum(max(len(p), p.nbytes // 16) for p in found)  # long ones count more
+        if size >= HELD:
+            yield from passed_on()
+            size = 0
     yield from passed_on()
 
 

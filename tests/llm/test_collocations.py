@@ -92,6 +92,45 @@ def test_any_bitmap_that_holds_the_frequent_pairs_gives_the_same(spark, monkeypa
     assert got_of(C.collocations(table_of(spark, rows), 6)) == brute(rows, 6)
 
 
+def test_rare_triples_of_frequent_pairs_are_no_edges(spark):
+    """Frequent pairs whose triples are rare are counted as pairs: no phrase of
+    more words is written for them, and the counts stay whole."""
+    import pyarrow as pa
+
+    r = random.Random(6)
+    rows = [(" ".join(r.choices([f"w{i}" for i in range(20)], k=40)), "en") for _ in range(300)]
+    docs = table_of(spark, rows)
+    kept = C.frequent_pairs(docs.select("lang", "text"), 15)  # of 400 pairs about 29 each, of 8,000 triples under 2
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 300, "text": [t for t, _ in rows]})
+    kept_of = type("Kept", (), {"value": kept})
+    edges = [g for b in C._edges(iter([batch]), kept_of) for g in b.column("g").to_pylist()]
+    assert len(edges) < 500 and max(len(g.split(" ")) for g in edges) == 2
+    assert got_of(C.collocations(docs, 15)) == brute(rows, 15)
+
+
+def test_lots_words_and_numbers(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["", " a  B\tc. d", "é" * 9 + " \x00 \x00\x00", "x", "long" * 5 + " " + "long" * 4, "", "a b c"] * 3
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "de", "en"] * 7, "text": texts})
+    for lot, rows in ((1, 2), (20, 256), (1 << 20, 5)):
+        monkeypatch.setattr(C, "LOT", lot)
+        monkeypatch.setattr(C, "ROWS", rows)
+        got, pairs = Counter(), {}
+        for lang, text in C._lots(iter([batch, batch.slice(0, 0)])):
+            starts, ends, joined = C._words(text)
+            words = [text[i:j] for i, j in zip(starts, ends)]
+            got.update((lang, w) for w in words)
+            two, three = C._numbers(lang, text, starts, ends)
+            assert len(joined) == len(two) == max(len(words) - 1, 0) and len(three) == max(len(words) - 2, 0)
+            for i in np.flatnonzero(joined):
+                assert pairs.setdefault((lang, words[i], words[i + 1]), two[i]) == two[i]
+        want = Counter((lang, w.encode()) for lang, t in zip(batch["lang"].to_pylist(), texts) for w in re.findall(r"[^ \t.]+", lower(t)))
+        assert got == want and len(set(pairs.values())) == len(pairs)
+        assert set(pairs) == {(lang, a.encode(), b.encode()) for lang, t in zip(batch["lang"].to_pylist(), texts) for piece in lower(t).split(".") for a, b in zip(piece.split(), piece.split()[1:])}
+
+
 def test_counts_are_the_flow(spark):
     rows = prose(150, 5)
     f = counts_of(rows)
