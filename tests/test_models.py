@@ -9,6 +9,7 @@ from corpusframe.operators import models as M
 from corpusframe.plans import base as B
 from corpusframe.plans import learned as LM
 from corpusframe.session import scratch_path
+from corpusframe.sources.files import materialize
 
 MID = "/root/testdata/sf0.01"
 
@@ -75,3 +76,33 @@ def test_fusion_head(spark):
     rows = df.collect()
     assert 0 < len(rows) < n
     assert all(r.predicted_label in (0, 1) for r in rows)
+
+
+def test_every_model_is_fitted_on_every_training_row_once(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    ft = spark.range(60).select(
+        "id", (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 5 == 0).alias("is_test"),
+        array_to_vector(F.array((F.col("id") % 2).cast("double"), (F.col("id") % 7).cast("double"))).alias("features"),
+    )
+    ft = materialize(ft.withColumn("nb_features", F.col("features")), scratch_path(spark, "own-features"), force=True)
+    plain, seen = M.naive_bayes("nb_features"), {}
+
+    class Recorder:
+        def __init__(self, name):
+            self.name = name
+
+        def fit(self, df):
+            seen[self.name] = sorted(r.id for r in df.select("id").collect())
+            return plain.fit(df)
+
+    names = ("naive_bayes", "logistic_regression", "rbf_svm", "random_forest", "gradient_boosting")
+    asked = {}
+    for name in names:
+        monkeypatch.setattr(M, name, lambda *a, name=name, **k: asked.setdefault(name, (a, k)) and Recorder(name))
+    registry = LM.train_models(spark, ft)
+    train = [i for i in range(60) if i % 5]
+    assert seen == {name: train for name in names}
+    assert asked["logistic_regression"] == ((len(train),), {}) and asked["rbf_svm"][1]["reg"] == 1 / len(train)
+    runs = registry.runs().filter("metric = 'train_rows'").collect()
+    assert sorted(r["value"] for r in runs) == [len(train)] * 5

@@ -45,6 +45,22 @@ def test_kernel_separates_rings_that_a_linear_svm_cannot(spark):
     assert [tuple(r) for r in again.select("id", "score").orderBy("id").collect()] == [tuple(r) for r in scored.select("id", "score").orderBy("id").collect()]
 
 
+def test_svm_fits_rows_that_come_twice_as_they_are(spark, monkeypatch):
+    df = points(spark, 90, 12)
+    seen = []
+
+    class Counting(M.LinearSVC):
+        def _fit(self, rows):
+            seen.append(sorted(r["id"] for r in rows.select("id").collect()))
+            return self.setMaxIter(5) and super()._fit(rows)
+
+    monkeypatch.setattr(M, "LinearSVC", Counting)
+    M.CalibratedSVM(reg=0.1).fit(df.unionByName(df))
+    assert [len(x) for x in seen] == [120] * 3
+    assert all(x[::2] == x[1::2] == sorted(set(x)) for x in seen)  # both copies, or neither
+    assert sorted(x for ids in seen for x in ids) == sorted([*range(90)] * 4)
+
+
 def test_fourier_features_approximate_the_kernel(spark):
     from pyspark.ml.linalg import SparseVector, VectorUDT  # noqa: F401
 
